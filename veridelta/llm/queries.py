@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 
-from veridelta.llm import topk, toxicity, urls
+from veridelta.llm import pii, topk, toxicity, urls
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
+    "op3_pii": pii.op3_pii,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_urls": urls.op7_urls,
 }

@@ -1,12 +1,14 @@
 """The registered queries of this subpackage and their SQL."""
 
-from veridelta.llm import pii, topk, toxicity, urls
+from veridelta.llm import dac, packing, pii, topk, toxicity, urls
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
     "op3_pii": pii.op3_pii,
+    "op4_tokens": dac.op4_tokens,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_urls": urls.op7_urls,
+    "op9_packing": packing.op9_packing,
 }
 ORACLES = {
     "op1_topk": topk.SQL,

@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 
-from veridelta.llm import dac, packing, pii, topk, toxicity, urls
+from veridelta.llm import bpe, dac, packing, pii, topk, toxicity, urls
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
+    "op2_bpe": bpe.op2_bpe,
     "op3_pii": pii.op3_pii,
     "op4_tokens": dac.op4_tokens,
     "op5_toxicity": toxicity.op5_toxicity,

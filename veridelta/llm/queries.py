@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from veridelta.llm import bpe, dac, packing, pii, simhash, topk, toxicity, urls
+from veridelta.llm import bpe, covertree, dac, packing, pii, simhash, topk, toxicity, urls
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -11,8 +11,10 @@ QUERIES = {
     "op7_urls": urls.op7_urls,
     "op8_simhash": simhash.op8_simhash,
     "op9_packing": packing.op9_packing,
+    "op10_covertree": covertree.op10_covertree,
 }
 ORACLES = {
     "op1_topk": topk.SQL,
     "op7_urls": urls.SQL,
+    "op10_covertree": covertree.SQL,
 }

@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from veridelta.llm import bpe, covertree, dac, packing, pii, simhash, topk, toxicity, urls
+from veridelta.llm import bpe, covertree, dac, packing, pii, simhash, suffixtree, topk, toxicity, urls
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_tokens": dac.op4_tokens,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_suffixtree": suffixtree.op6_suffixtree,
     "op7_urls": urls.op7_urls,
     "op8_simhash": simhash.op8_simhash,
     "op9_packing": packing.op9_packing,

@@ -3,7 +3,7 @@
 import importlib
 
 #: The modules that register queries.
-MODULES = ("base",)
+MODULES = ("base", "texts")
 
 
 def load():

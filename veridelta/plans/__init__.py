@@ -3,7 +3,7 @@
 import importlib
 
 #: The modules that register queries.
-MODULES = ("base", "texts")
+MODULES = ("base", "texts", "scores")
 
 
 def load():

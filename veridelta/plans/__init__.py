@@ -3,7 +3,7 @@
 import importlib
 
 #: The modules that register queries.
-MODULES = ("base", "texts", "scores")
+MODULES = ("base", "texts", "scores", "retrieval")
 
 
 def load():

@@ -1,0 +1,107 @@
+"""The two question loops, step-synchronous over all questions, and the model hook with its offline stand-in."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from typing import Protocol
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from veridelta.functions.text import uniform
+from veridelta.operators import control, uncertainty
+
+
+class Sampler(Protocol):
+    """A model behind a batch interface; a real one runs in ``mapInPandas``."""
+
+    def sample(self, active: DataFrame, m: int) -> DataFrame:
+        """(query, sample, concept, logprob) for each active (query, iteration, n_context)."""
+
+
+class HashedSampler:
+    """Deterministic answers from hashes: more context, fewer and surer answers. For tests; there is no model here."""
+
+    def sample(self, active: DataFrame, m: int) -> DataFrame:
+        drawn = active.select("query", "iteration", "n_context", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("sample"))
+        u = uniform(3, F.concat_ws(":", "query", "iteration", "sample"))
+        v = uniform(4, F.concat_ws(":", "query", "iteration", "sample"))
+        return drawn.select(
+            "query", "sample", F.floor(u * 12 / F.col("n_context")).alias("concept"), (F.log(v) / F.col("n_context")).alias("logprob")
+        )
+
+
+@dataclass(frozen=True)
+class Config:
+    m: int = 10
+    most_iterations: int = 5
+    alpha: float = 0.8
+    beta: float = 0.8
+    floor: float = 0.2
+    context: int = 2
+    retrieved: int = 2
+
+
+def iterate(questions: DataFrame, sampler: Sampler, config: Config = Config()) -> DataFrame:
+    """(query, iterations, decision, se, u_token, n_context, confidence) of every question.
+
+    Each round samples, measures and routes all active questions at once; those that stop leave. Thresholds are set from
+    a question's first round and carried with it. Every round's state is checkpointed, which cuts its lineage."""
+    spark = questions.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    nothing = F.lit(None).cast("double")
+    active = questions.select("query", F.lit(0).alias("iteration"), F.lit(config.context).alias("n_context"), nothing.alias("tau_s"), nothing.alias("tau_t"))
+    finished = None
+    for _ in range(config.most_iterations):
+        drawn = sampler.sample(active, config.m)
+        se = uncertainty.entropy(drawn, ["query"], "concept", F.log2, "se").select("query", "se")
+        u = uncertainty.token_uncertainty(drawn, "query", "sample", "logprob")
+        seen = active.join(se, "query").join(u, "query")
+        seen = seen.withColumns(
+            {
+                "tau_s": F.coalesce("tau_s", control.adaptive_threshold(F.col("se"), config.beta, config.floor)),
+                "tau_t": F.coalesce("tau_t", control.adaptive_threshold(F.col("u_token"), config.alpha, config.floor)),
+            }
+        )
+        decision = control.route(F.col("se"), F.col("u_token"), F.col("tau_s"), F.col("tau_t"))
+        seen = seen.withColumn("decision", decision).checkpoint()
+        last = F.col("iteration") == config.most_iterations - 1
+        out = seen.where((F.col("decision") == "STOP") | last)
+        finished = out if finished is None else finished.unionByName(out)
+        moved = F.when(F.col("decision") == "RETRIEVE", F.col("n_context") + config.retrieved).otherwise(
+            F.greatest(F.lit(1), F.col("n_context") - 1)
+        )
+        active = seen.where((F.col("decision") != "STOP") & ~last).select(
+            "query", (F.col("iteration") + 1).alias("iteration"), moved.alias("n_context"), "tau_s", "tau_t"
+        )
+        if active.isEmpty():
+            break
+    return finished.select(
+        "query", (F.col("iteration") + 1).alias("iterations"), "decision", "se", "u_token", "n_context", control.confidence(F.col("se")).alias("confidence")
+    )
+
+
+def active_retrieval(questions: DataFrame, sampler: Sampler, theta: float = 0.8, most_steps: int = 6) -> DataFrame:
+    """(query, steps, retrievals, ended): a draft at each step, retrieval and another draft where it is unsure.
+
+    A question ends when a step's least probability is sure enough after retrieval twice, or at the step limit."""
+    state = questions.select("query", F.lit(0).alias("iteration"), F.lit(1).alias("n_context"), F.lit(0).alias("retrievals"))
+    finished = None
+    for step in range(most_steps):
+        drafts = sampler.sample(state, 4).groupBy("query").agg(F.min("logprob").alias("least"))
+        unsure = F.col("least") <= F.log(F.lit(theta))
+        seen = state.join(drafts, "query").withColumn("unsure", unsure).checkpoint()
+        done = ~F.col("unsure") if step < most_steps - 1 else F.lit(True)
+        out = seen.where(done).select(
+            "query", F.lit(step + 1).alias("steps"), "retrievals", F.when(F.col("unsure"), "step_limit").otherwise("final_answer").alias("ended")
+        )
+        finished = out if finished is None else finished.unionByName(out)
+        state = seen.where(~done).select(
+            "query", (F.col("iteration") + 1).alias("iteration"), (F.col("n_context") * 3).alias("n_context"), (F.col("retrievals") + 1).alias("retrievals")
+        )
+        if state.isEmpty():
+            break
+    return finished

@@ -29,7 +29,7 @@ from veridelta.llm.byteids import vocabulary
 from veridelta.llm.common import read
 
 #: Chunks between white space, and words, kept per worker, and the longest kept.
-MOST_CHUNKS, LONGEST = 250_000, 48
+MOST_CHUNKS, LONGEST = 400_000, 48
 #: Answers kept in a transition table.
 MOST_MOVES = 1_000_000
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -117,17 +117,22 @@ class Automaton:
 
     def encode(self, symbols: str, end: str = "") -> list[int]:
         """The tokens of a word of symbols, the last of which carries ``end``."""
-        n, ids, longest = len(symbols), self.ids, self.longest
+        n, find, moves, longest = len(symbols), self.ids.get, self.moves.get, self.longest
         last, back = [-1] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
-            mark = end if i == n else ""
-            for j in range(max(0, i - longest), i):
-                token = ids.get(symbols[j:i] + mark)
+            upto = symbols[:i] + end if i == n else symbols[:i]
+            for j in range(i - longest if i > longest else 0, i):
+                token = find(upto[j:])
                 if token is None or token in self.dead:
                     continue
-                if j == 0 or (last[j] >= 0 and self.moves_on(last[j], token)):
-                    last[i], back[i] = token, j
+                if j == 0:
+                    last[i] = token
                     break
+                if (before := last[j]) >= 0:
+                    goes = moves(before << 32 | token)
+                    if self.moves_on(before, token) if goes is None else goes:
+                        last[i], back[i] = token, j
+                        break
         out = []
         while n:
             out.append(last[n])
@@ -139,6 +144,27 @@ class Automaton:
         return [self.labels[i] for i in ids]
 
 
+class Recent:
+    """What was met lately, and what was met before that: what is in use moves on, the rest goes."""
+
+    def __init__(self):
+        self.now, self.before = {}, {}
+
+    def get(self, key: str):
+        found = self.now.get(key)
+        if found is None and (found := self.before.get(key)) is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key: str, value):
+        if len(key) <= LONGEST:
+            if len(self.now) >= MOST_CHUNKS // 2:
+                self.before, self.now = dict(self.now), self.now
+                self.now.clear()
+            self.now[key] = value
+        return value
+
+
 class WordBpe:
     """A vocabulary file with word ends: how texts are split, and the automaton of its merges."""
 
@@ -154,19 +180,14 @@ class WordBpe:
         split = next(p for p in file["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         self.letters = byte_letters()
-        self.chunks: dict[str, tuple[str, str]] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.chunks, self.known = Recent(), Recent()
 
     def word(self, word: str) -> tuple[int, ...]:
         """The tokens of one pre-split word."""
         found = self.known.get(word)
         if found is None:
             symbols = "".join(map(self.letters.__getitem__, word.encode("utf-8", "replace")))
-            found = tuple(self.automaton.encode(symbols, self.end))
-            if len(word) <= LONGEST:
-                if len(self.known) >= MOST_CHUNKS:
-                    self.known.clear()
-                self.known[word] = found
+            found = self.known.keep(word, tuple(self.automaton.encode(symbols, self.end)))
         return found
 
     def chunk_ids(self, chunk: str) -> list[int]:
@@ -181,11 +202,8 @@ class WordBpe:
         found = self.chunks.get(chunk)
         if found is None:
             ids = self.chunk_ids(chunk)
-            found = "".join(f" {i}" for i in ids), "".join(f" {t}" for t in self.automaton.decode(ids))
-            if len(chunk) <= LONGEST:
-                if len(self.chunks) >= MOST_CHUNKS:
-                    self.chunks.clear()
-                self.chunks[chunk] = found
+            labels = map(self.automaton.labels.__getitem__, ids)
+            found = self.chunks.keep(chunk, (" " + " ".join(map(str, ids)), " " + " ".join(labels)) if ids else ("", ""))
         return found
 
     def text(self, text: str) -> tuple[str, str]:
@@ -196,7 +214,7 @@ class WordBpe:
                 parts.append((f" {self.special[part]}", f" {part}") if part in self.special else self.text(part))
         else:
             chunks = [c for c in WHITE.split(text) if c] if ODD.search(text) else text.split()
-            get, both = self.chunks.get, self._both
+            get, both = self.chunks.now.get, self._both
             parts = [get(c) or both(c) for c in chunks]
         if not parts:
             return "", ""

@@ -41,8 +41,8 @@ FILE_S, PAIR_S = 2e-6, 4e-9
 PARTITIONS = (2, 3, 4, 6, 8, 12)
 #: Values of a MinHash sketch, of a byte each, and the shingle length of near-copies.
 SKETCH, NEAR_WORDS, NEAR = 128, 5, 0.8
-#: The stage's threshold: five-word similarity of 0.8 moves a three-word fingerprint by up to 11 bits in trials.
-STAGE_TAU = 12
+#: The stage's threshold, for fingerprints of distinct words: near-copies change few of those.
+STAGE_TAU = 6
 
 
 # -- fingerprints -----------------------------------------------------------------------------------------------------
@@ -100,13 +100,14 @@ def _sketch_of(hashes: np.ndarray) -> bytes:
 
 
 def near_signature(column: str | Column) -> Column:
-    """A struct of each whole text's three-word fingerprint and its sketch of five-word shingles."""
+    """A struct of the fingerprint of each whole text's distinct words and of its sketch of five-word shingles."""
 
     @F.pandas_udf("fp long, sketch binary")
     def of(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
-            rows.append((fingerprint_of(shingle_hashes(text or "", 3)), _sketch_of(shingle_hashes(text or "", NEAR_WORDS))))
+            words = np.unique(shingle_hashes(text or "", 1))
+            rows.append((fingerprint_of(words), _sketch_of(shingle_hashes(text or "", NEAR_WORDS))))
         return pd.DataFrame(rows, columns=["fp", "sketch"])
 
     return of(column)

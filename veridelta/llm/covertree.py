@@ -28,6 +28,8 @@ COSINE = 0.93
 BLOCK = 2048
 #: Links held in a task before they are contracted.
 MOST_HELD = 1 << 20
+#: Pairs of nodes opened at once.
+MOST_OPENED = 4096
 #: Rounding margin of distances.
 MARGIN = 1e-6
 TREE = "label long, dim int, blocks int, block int, ids binary, classes binary, copies binary, vectors binary, nodes binary"
@@ -80,6 +82,12 @@ def build(points: np.ndarray, least_radius: float = 0.02) -> tuple[np.ndarray, n
     return order, np.array(nodes, float).reshape(-1, 6)
 
 
+def _by_width(nodes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Nodes of a single point, and the others."""
+    single = nodes[at, HIGH] - nodes[at, LOW] == 1
+    return [part for part in (at[single], at[~single]) if len(part)]
+
+
 def _contracted(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     """The least member of each of n members' component over the pairs (i, j)."""
     label = np.arange(n)
@@ -124,43 +132,69 @@ def dual(a, b, cosine: float):
             held_j = [hub[label[own_a]], own_b]
             held = len(own_a) + len(own_b)
 
-    waiting = [(0, 0)] if len(na) and len(nb) else []
-    while waiting:
-        x, y = waiting.pop()
-        kids = []
-        for nodes, at in ((na, x), (nb, y)):
-            first, count = int(nodes[at, FIRST]), int(nodes[at, CHILDREN])
-            kids.append(np.arange(first, first + count) if count else np.array([at]))
-        xs, ys = kids
-        leaf_x, leaf_y = na[xs, CHILDREN] == 0, nb[ys, CHILDREN] == 0
-        if len(xs) == 1 and xs[0] == x and len(ys) == 1 and ys[0] == y:  # two leaves: their points
-            lx, hx, ly, hy = (int(v) for v in (*na[x, [LOW, HIGH]], *nb[y, [LOW, HIGH]]))
-            near = pa_[lx:hx] @ pb[ly:hy].T >= cosine
-            to_a[lx:hx] += near @ cb[ly:hy]
-            to_b[ly:hy] += ca[lx:hx] @ near
-            i, j = np.nonzero(near)
-            keep(i + lx, j + ly)
-            continue
-        similar = pa_[na[xs, CENTRE].astype(int)] @ pb[nb[ys, CENTRE].astype(int)].T
+    def compare(xs, ys, similar):
+        """Decide pairs of nodes: linked, apart, linked as a whole, or to be opened."""
+        alone = (na[xs, HIGH] - na[xs, LOW] == 1) & (nb[ys, HIGH] - nb[ys, LOW] == 1)
         # two single points are decided by their cosine
-        alone = ((na[xs, HIGH] - na[xs, LOW]) == 1)[:, None] & ((nb[ys, HIGH] - nb[ys, LOW]) == 1)[None, :]
-        i, j = np.nonzero(alone & (similar >= cosine))
-        if len(i):
-            i, j = na[xs[i], LOW].astype(int), nb[ys[j], LOW].astype(int)
-            np.add.at(to_a, i, cb[j])
-            np.add.at(to_b, j, ca[i])
-            keep(i, j)
-        apart = _distance(similar)
-        spread = na[xs, RADIUS][:, None] + nb[ys, RADIUS][None, :]
+        near = alone & (similar >= cosine)
+        i, j = na[xs[near], LOW].astype(int), nb[ys[near], LOW].astype(int)
+        np.add.at(to_a, i, cb[j])
+        np.add.at(to_b, j, ca[i])
+        keep(i, j)
+        apart, spread = _distance(similar), na[xs, RADIUS] + nb[ys, RADIUS]
         within = ~alone & (apart + spread <= reach - MARGIN)
-        for i, j in zip(*np.nonzero(within)):
-            lx, hx, ly, hy = (int(v) for v in (*na[xs[i], [LOW, HIGH]], *nb[ys[j], [LOW, HIGH]]))
+        for i, j in zip(xs[within], ys[within]):
+            lx, hx, ly, hy = (int(v) for v in (*na[i, [LOW, HIGH]], *nb[j, [LOW, HIGH]]))
             to_a[lx:hx] += cb[ly:hy].sum()
             to_b[ly:hy] += ca[lx:hx].sum()
             keep(np.arange(lx, hx), np.full(hx - lx, ly))
             keep(np.full(hy - ly, lx), np.arange(ly, hy))
         open_ = ~alone & ~within & (apart - spread <= reach + MARGIN)
-        waiting += [(int(xs[i]), int(ys[j])) for i, j in zip(*np.nonzero(open_))]
+        if open_.any():
+            waiting.append((xs[open_], ys[open_]))
+
+    def opened(nodes, at):
+        """First and number of a node's children, or the node itself."""
+        first, count = nodes[at, FIRST].astype(int), nodes[at, CHILDREN].astype(int)
+        return np.where(count > 0, first, at), np.maximum(count, 1)
+
+    waiting = [(np.zeros(1, int), np.zeros(1, int))] if len(na) and len(nb) else []
+    while waiting:
+        xs, ys = waiting.pop()
+        if len(xs) > MOST_OPENED:
+            waiting.append((xs[MOST_OPENED:], ys[MOST_OPENED:]))
+            xs, ys = xs[:MOST_OPENED], ys[:MOST_OPENED]
+        leaves = (na[xs, CHILDREN] == 0) & (nb[ys, CHILDREN] == 0)
+        for x, y in zip(xs[leaves], ys[leaves]):  # two leaves: their points
+            lx, hx, ly, hy = (int(v) for v in (*na[x, [LOW, HIGH]], *nb[y, [LOW, HIGH]]))
+            near = pa_[lx:hx] @ pb[ly:hy].T >= cosine
+            to_a[lx:hx] += near @ cb[ly:hy]
+            to_b[ly:hy] += ca[lx:hx] @ near
+            i, j = np.nonzero(near)
+            keep(i + lx, j + ly)
+        xs, ys = xs[~leaves], ys[~leaves]
+        (first_x, n_x), (first_y, n_y) = opened(na, xs), opened(nb, ys)
+        wide = n_x * n_y > 4096
+        for k in np.nonzero(wide)[0]:
+            # many children: one product; single points and wider nodes apart, as single points must be very similar
+            for some in _by_width(na, np.arange(first_x[k], first_x[k] + n_x[k])):
+                for others in _by_width(nb, np.arange(first_y[k], first_y[k] + n_y[k])):
+                    similar = pa_[na[some, CENTRE].astype(int)] @ pb[nb[others, CENTRE].astype(int)].T
+                    limit = reach + na[some, RADIUS].max() + nb[others, RADIUS].max() + MARGIN
+                    i, j = np.nonzero(similar >= (min(cosine, 1 - limit * limit / 2) if limit < 2 else -2))
+                    if len(i):
+                        compare(some[i], others[j], similar[i, j])
+        few = ~wide
+        first_x, n_x, first_y, n_y = first_x[few], n_x[few], first_y[few], n_y[few]
+        size = n_x * n_y
+        if size.sum():
+            pair = np.repeat(np.arange(len(size)), size)
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            xs, ys = first_x[pair] + place // n_y[pair], first_y[pair] + place % n_y[pair]
+            for at in range(0, len(xs), 1 << 16):
+                i, j = xs[at : at + (1 << 16)], ys[at : at + (1 << 16)]
+                a_i, b_j = pa_[na[i, CENTRE].astype(int)], pb[nb[j, CENTRE].astype(int)]
+                compare(i, j, np.einsum("ij,ij->i", a_i, b_j))
     i = np.concatenate(held_i) if held_i else np.zeros(0, int)
     j = np.concatenate(held_j) if held_j else np.zeros(0, int)
     return to_a, to_b, i, j

@@ -203,6 +203,48 @@ def test_near_duplicate_stage(spark, docs, no_docs):
     assert simhash.stage(spark, no_docs, "").count() == 0
 
 
+def altered(seed=3, each=12):
+    """Texts, and copies that end early, go on, or have single words changed."""
+    draw = random.Random(seed)
+    texts = []
+    for size in (7, 30, 120, 400):
+        for _ in range(each):
+            words = [f"w{draw.randrange(5000)}" for _ in range(size)]
+            part = draw.choice((0.82, 0.86, 0.9, 0.95))
+            edited = list(words)
+            for _ in range(max(1, size // 60)):
+                edited[draw.randrange(size)] = "else"
+            more = [f"v{draw.randrange(5000)}" for _ in range(round(size / part) - size)]
+            texts += [words, words[: math.ceil(size * part)], words + more, edited]
+    # a line that many texts hold, and texts of little else
+    line = [f"line{i}" for i in range(30)]
+    texts += [line + [f"u{draw.randrange(5000)}" for _ in range(draw.randrange(9))] for _ in range(40)]
+    return [" ".join(t) for t in texts]
+
+
+def similar_groups(texts, p=4, q=5):
+    """Each text's least similar one reachable, by an exact comparison of all pairs."""
+    sets = [set(simhash.shingle_hashes(t, simhash.NEAR_WORDS).tolist()) for t in texts]
+    label = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if q * len(sets[a] & sets[b]) >= p * len(sets[a] | sets[b]) and label[a] != label[b]:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("together", [4096, 8])
+def test_near_duplicates_reach_every_kind_of_copy(spark, monkeypatch, together):
+    monkeypatch.setattr(simhash, "MOST_TOGETHER", together)
+    texts = altered()
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    gone = {r.doc_id for r in simhash.duplicates(rows).collect()}
+    want = similar_groups(texts)
+    assert gone == {i for i, least in enumerate(want) if i != least}
+    assert len(gone) > 60
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(50)] + [(5, 5), (None, 3), (3, None)]
     rows = spark.createDataFrame(edges, "x long, y long")

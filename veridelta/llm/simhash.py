@@ -13,6 +13,10 @@ A value that holds very many fingerprints is not compared in one task: for small
 one of tau + 1 parts of their other bits, one of which must agree (exact, and bounded as fingerprints are distinct); what
 is still too large is dealt into blocks, and each pair of blocks meets in its own task.
 
+The pipeline's stage doesn't use fingerprints: near-copies that end early or have text added differ in too many bits. It
+finds all pairs of texts whose distinct five-word shingles are similar enough, by a prefix filter, and checks each pair on
+the whole sets.
+
 Null and empty texts have fingerprint zero, linked like any other. Rows with null ids are fingerprinted and link, but name
 no component unless no row of it has an id. Repeated rows share a fingerprint and a component.
 """
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -29,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridelta.llm.common import checkpointed, read, written
+from veridelta.llm.common import checkpointed, read, slices, written
 from veridelta.llm.graph import connected_components
 
 SEED = 42
@@ -39,10 +44,13 @@ MOST_TOGETHER = 4096
 FILE_S, PAIR_S = 2e-6, 4e-9
 #: Numbers of partitions that are tried.
 PARTITIONS = (2, 3, 4, 6, 8, 12)
-#: Values of a MinHash sketch, of a byte each, and the shingle length of near-copies.
-SKETCH, NEAR_WORDS, NEAR = 128, 5, 0.8
-#: The stage's threshold, for fingerprints of distinct words: near-copies change few of those.
-STAGE_TAU = 6
+#: Values of a MinHash sketch, of a byte each.
+SKETCH = 128
+#: The shingle length of near-copies, and the share of shingles that they have in common.
+NEAR_WORDS, NEAR = 5, 0.8
+#: Documents that are sampled for frequent shingles, or one in so many if that is more; what counts as frequent there, and
+#: how many of those every task knows.
+MOST_SAMPLED, LEAST_SHARE, LEAST_COMMON, MOST_COMMON = 20_000, 64, 3, 500_000
 
 
 # -- fingerprints -----------------------------------------------------------------------------------------------------
@@ -390,19 +398,235 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def duplicates(docs: DataFrame, tau: int = STAGE_TAU, near: float = NEAR) -> DataFrame:
-    """(doc_id): the documents whose group has a lesser doc_id.
+# -- near-copies ------------------------------------------------------------------------------------------------------
+
+
+def _ratio(near: float) -> tuple[int, int]:
+    """``near`` as a fraction p / q, so that sizes are compared in whole numbers."""
+    exact = Fraction(near).limit_denominator(10_000)
+    return exact.numerator, exact.denominator
+
+
+def _shingles(text: str | None) -> np.ndarray:
+    """The distinct five-word shingles of a text, sorted."""
+    return np.unique(shingle_hashes(text or "", NEAR_WORDS))
+
+
+def _class_of(shingles: np.ndarray) -> int:
+    """A number for a set of shingles."""
+    return _long(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a sample of ``docs``, sorted, and their counts there; ``MOST_COMMON`` at most.
 
-    Groups are components over fingerprints within tau bits whose five-word shingles are similar by ``near`` or more, as
-    sketches of ``SKETCH`` values estimate it. Rows without an id are in no group."""
-    signed = docs.where("doc_id is not null").select("doc_id", near_signature("text").alias("s"))
-    prints = written(signed.select("doc_id", "s.fp", "s.sketch"), "signatures")
-    classes = checkpointed(prints.groupBy("fp", "sketch").agg(F.min("doc_id").alias("node")))
-    found = connected_components(links(classes, tau, near), "a", "b")
-    rooted = classes.join(found, "node", "left").select(
-        F.col("fp"), F.col("sketch"), F.coalesce("component", "node").alias("kept")
+    They only put shingles in an order. Every order finds the same pairs, so a sample will do."""
+
+    def counts(batches):
+        for batch in batches:
+            for _, texts in slices(batch.column("text"), 2048):
+                found = np.concatenate([_shingles(t) for t in texts])
+                names, n = np.unique(found, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"key": names.view(np.int64), "n": n.astype(np.int64)})
+
+    every = min(LEAST_SHARE, max(1, docs.count() // MOST_SAMPLED))
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
+    counted = some.mapInArrow(counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    # at most MOST_COMMON rows: a proven bound
+    top = counted.where(F.col("n") >= LEAST_COMMON).orderBy(F.col("n").desc(), "key").limit(MOST_COMMON).toArrow()
+    names, n = top["key"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
+    order = np.argsort(names)
+    return names[order], n[order]
+
+
+def _prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], p: int, q: int) -> np.ndarray:
+    """The rarest of a sorted set of shingles, one of which every set similar by p / q or more has among its rarest."""
+    size = len(shingles)
+    if not size:
+        return shingles
+    names, counts = common
+    if len(names):
+        at = np.minimum(np.searchsorted(names, shingles), len(names) - 1)
+        known = np.where(names[at] == shingles, counts[at], 0)
+        if known.any():
+            shingles = shingles[np.argsort(known, kind="stable")]
+    return shingles[: size + (-p * size // q) + 1]
+
+
+def near_classes(docs: DataFrame, near: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, class) of ``docs``, and (class, node, n, prefix): a class of equal shingle sets, its least doc_id, its
+    number of shingles and the rarest of them."""
+    p, q = _ratio(near)
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
+
+    def signed(batches):
+        for batch in batches:
+            for at, texts in slices(batch.column("text")):
+                sets = [_shingles(t) for t in texts]
+                prefixes = [_prefix(s, common.value, p, q) for s in sets]
+                ends = np.cumsum([0, *map(len, prefixes)])
+                values = pa.array(np.concatenate(prefixes).view(np.int64))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": batch.column("doc_id").slice(at, len(texts)),
+                        "class": pa.array([_class_of(s) for s in sets], pa.int64()),
+                        "n": pa.array([len(s) for s in sets], pa.int32()),
+                        "prefix": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
+                    }
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = written(rows.mapInArrow(signed, "doc_id long, class long, n int, prefix array<long>"), "signatures")
+    classes = rows.groupBy("class").agg(
+        F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
     )
-    return prints.join(rooted, ["fp", "sketch"]).where("doc_id <> kept").select("doc_id").distinct()
+    return rows.select("doc_id", "class"), written(classes, "classes")
+
+
+def _met(p: int, q: int, most: int | None):
+    """Rows sorted by key, n and class to the pairs that may be similar; rows of a key with over ``most`` go through."""
+
+    def pairs(table: pa.Table, starts: np.ndarray):
+        classes = table["class"].to_numpy()
+        n, pos = (table[c].to_numpy().astype(np.int64) for c in ("n", "pos"))
+        ends = np.append(starts[1:], len(n))
+        end_of = np.repeat(ends, ends - starts)
+        left = n - pos  # shingles from the shared one on
+        live, d, held = np.nonzero(end_of - np.arange(len(n)) > 1)[0], 1, []
+        while len(live):
+            live = live[live + d < end_of[live]]
+            # sorted by n: what is too long stays so
+            live = live[n[live + d] * p <= n[live] * q]
+            need = -(-p * (n[live] + n[live + d]) // (p + q))
+            hit = live[np.minimum(left[live], left[live + d]) >= need]
+            if len(hit):
+                held.append(np.column_stack([classes[hit], classes[hit + d]]))
+            d += 1
+        found = np.unique(np.concatenate(held), axis=0) if held else np.zeros((0, 2), np.int64)
+        found = found[found[:, 0] != found[:, 1]]
+        for at in range(0, len(found), 100_000):
+            a, b = found[at : at + 100_000].T
+            none = {c: pa.nulls(len(a), t) for c, t in (("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()))}
+            yield pa.RecordBatch.from_pydict({"a": np.ascontiguousarray(a), "b": np.ascontiguousarray(b)} | none)
+
+    def through(table: pa.Table):
+        for batch in table.combine_chunks().to_batches():
+            own = {c: batch.column(c) for c in ("key", "n", "pos")}
+            yield pa.RecordBatch.from_pydict({"a": batch.column("class"), "b": pa.nulls(len(batch), pa.int64())} | own)
+
+    def groups(table: pa.Table):
+        new = np.ones(len(table), bool)
+        if len(new) > 1:
+            keys = [table[c].to_numpy() for c in ("key", "block")]
+            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        starts = np.nonzero(new)[0]
+        sizes = np.diff(np.append(starts, len(table)))
+        if most is not None and (sizes > most).any():
+            hot = np.repeat(sizes > most, sizes)
+            yield from through(table.filter(pa.array(hot)))
+            table, sizes = table.filter(pa.array(~hot)).combine_chunks(), sizes[sizes <= most]
+            starts = np.cumsum(sizes) - sizes
+        if len(table):
+            yield from pairs(table, starts)
+
+    def met(batches):
+        held, passing = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if passing is not None:
+                # the rest of a key that goes through
+                same = np.logical_and.reduce([table[c].to_numpy() == k for c, k in zip(("key", "block"), passing)])
+                own = int(same.sum())
+                yield from through(table.slice(0, own))
+                table = table.slice(own)
+                if not len(table):
+                    continue
+                passing = None
+            table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
+            last = [table[c].to_numpy() for c in ("key", "block")]
+            same = np.logical_and.reduce([k == k[-1] for k in last])
+            cut = int(np.nonzero(~same)[0].max(initial=-1)) + 1
+            if cut:
+                yield from groups(table.slice(0, cut).combine_chunks())
+            held = table.slice(cut)
+            if most is not None and len(held) > most:
+                passing = [k[-1] for k in last]
+                yield from through(held)
+                held = None
+        if held is not None:
+            yield from groups(held.combine_chunks())
+
+    return met
+
+
+MET = "a long, b long, key long, n int, pos int"
+
+
+def near_pairs(classes: DataFrame, near: float) -> DataFrame:
+    """(a, b): pairs of classes among which are all that are similar by ``near`` or more.
+
+    Sets that similar share one of their rarest shingles, and from the first shared one on both have enough left."""
+    p, q = _ratio(near)
+    rows = classes.select("class", "n", F.posexplode("prefix").alias("pos", "key"), F.lit(0).cast("long").alias("block"))
+    order = ["key", "block", "n", "class"]
+    rows = rows.select("key", "block", "n", "class", "pos").repartition("key", "block").sortWithinPartitions(*order)
+    met = written(rows.mapInArrow(_met(p, q, MOST_TOGETHER), MET), "met")
+    # shingles of too many classes: dealt into blocks, each pair of which meets in its own task
+    hot = met.where("b is null").select("key", F.col("a").alias("class"), "n", "pos")
+    sized = hot.groupBy("key").agg(F.ceil(F.count("*") * 2 / MOST_TOGETHER).cast("int").alias("blocks"))
+    dealt = hot.join(sized, "key").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    block = F.least("own", "other") * F.lit(1 << 20).cast("long") + F.greatest("own", "other") + 1
+    dealt = dealt.select("key", block.alias("block"), "n", "class", "pos")
+    dealt = dealt.repartition("key", "block").sortWithinPartitions(*order)
+    more = dealt.mapInArrow(_met(p, q, None), MET)
+    return written(met.where("b is not null").select("a", "b").unionByName(more.select("a", "b")).distinct(), "pairs")
+
+
+def near_links(docs: DataFrame, classes: DataFrame, near: float) -> DataFrame:
+    """(a, b): the pairs of classes that are similar by ``near`` or more, by their whole shingle sets."""
+    p, q = _ratio(near)
+    pairs = near_pairs(classes, near)
+    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    wanted = classes.select("class", "node").join(ends, "class", "left_semi").select("node").distinct()
+
+    def sets(batches):
+        for batch in batches:
+            for _, texts in slices(batch.column("text")):
+                found = [_shingles(t) for t in texts]
+                ends = np.cumsum([0, *map(len, found)])
+                values = pa.array(np.concatenate(found).view(np.int64))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "class": pa.array([_class_of(s) for s in found], pa.int64()),
+                        "shingles": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
+                    }
+                )
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi")
+    found = texts.select("text").mapInArrow(sets, "class long, shingles array<long>")
+    found = written(found.join(ends, "class", "left_semi").dropDuplicates(["class"]), "shingles")
+    both = pairs.join(found.select(F.col("class").alias("a"), F.col("shingles").alias("of_a")), "a")
+    both = both.join(found.select(F.col("class").alias("b"), F.col("shingles").alias("of_b")), "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return both.where(shared * (p + q) >= (F.size("of_a") + F.size("of_b")) * p).select("a", "b")
+
+
+def duplicates(docs: DataFrame, near: float = NEAR) -> DataFrame:
+    """(doc_id): the documents whose group has a lesser doc_id.
+
+    Groups are components over all pairs of texts whose sets of distinct five-word shingles have a Jaccard similarity of
+    ``near`` or more. Rows without an id are in no group."""
+    docs = docs.where("doc_id is not null")
+    rows, classes = near_classes(docs, near)
+    found = connected_components(near_links(docs, classes, near), "a", "b")
+    members = classes.select("class", "node").join(found.withColumnRenamed("node", "class"), "class", "left")
+    members = members.select("class", "node", F.coalesce("component", "class").alias("component"))
+    least = members.groupBy("component").agg(F.min("node").alias("kept"))
+    kept = members.join(least, "component").select("class", "kept")
+    return rows.join(kept, "class").where("doc_id <> kept").select("doc_id").distinct()
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,6 +95,23 @@ def test_toxicity_on_held_out_texts(spark):
     assert all(0 <= r.s.expected_severity <= 2 for r in got)
 
 
+def test_toxicity_does_not_depend_on_the_cap(spark):
+    # "rude" is in 0.3 of the toxic texts and 0.1 of the others, which are nine times as many: 0.25 of its texts are toxic
+    draw = random.Random(4)
+    rows = []
+    for i in range(2000):
+        bad = i % 10 == 0
+        words = [f"w{draw.randrange(40)}" for _ in range(12)] + ["rude"] * (draw.random() < (0.3 if bad else 0.1))
+        rows.append((i, " ".join(words + ["vile"] * (bad and draw.random() < 0.5)), int(bad)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    texts = [Counter(f for w in t.split() for f in toxicity.features_of(w)) for _, t, _ in rows]
+    known = lambda m: [m.above({f: n for f, n in t.items() if f in m.weights})[0] for t in texts]
+    whole, capped = (np.array(known(toxicity.train(docs, labels, most))) for most in (10_000, 200))
+    assert abs(whole.mean() - 0.1) < 0.02 and abs(capped.mean() - 0.1) < 0.02
+    assert ((whole >= 0.5) == (capped >= 0.5)).mean() > 0.97
+
+
 def test_toxicity_without_labels(spark, docs):
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     got = docs.select(toxicity.severity(model, "text").alias("s")).collect()

@@ -5,7 +5,8 @@ P(grade > j) = sigmoid(w . x - theta_j), and the expected severity is the sum of
 text, lower-cased and stripped of punctuation, and their first 4 and 5 letters, each with weight log(1 + count).
 
 It is fitted on a bounded sample of labelled rows: at most ``MOST_ROWS`` of each label, those least by a hash of their
-id. Labels say toxic or not; among toxic samples, those whose share of telling words is above the median are severe. The
+id. A sampled row weighs as many as it stands for, all rows of its label by those sampled, so that what is learnt is the
+share of toxic texts in the whole labels table, whatever its size. Labels say toxic or not; among toxic samples, those whose share of telling words is above the median are severe. The
 weights are kept sparse by an L1 penalty, so what is sent to the executors is bounded by ``MOST_WEIGHTS``.
 
 Null and empty texts have no features and get the severity of a text without any; without labels of both kinds nothing
@@ -89,12 +90,16 @@ class Ordinal:
         return [float(1 / (1 + np.exp(-np.clip(score - t, -500, 500)))) for t in self.thresholds]
 
 
-def fit_ordinal(rows, cols, values, grades, n_features, l1=2e-5, steps=600, rate=1.0):
-    """Weights and thresholds by proximal gradient with momentum; numpy only, on bounded rows."""
+def fit_ordinal(rows, cols, values, grades, n_features, l1=2e-5, steps=600, rate=1.0, times=None):
+    """Weights and thresholds by proximal gradient with momentum; numpy only, on bounded rows.
+
+    A row counts as ``times`` rows, once by default."""
     n, k = len(grades), GRADES - 1
+    times = np.ones(n) if times is None else np.asarray(times, float)
+    share_of = times / times.sum()
     w, velocity = np.zeros(n_features), np.zeros(n_features)
-    theta = np.array([np.log(((grades <= j).sum() + 1) / ((grades > j).sum() + 1)) for j in range(k)])
-    share = np.bincount(cols, values**2, n_features) / n
+    theta = np.array([np.log((times[grades <= j].sum() + 1) / (times[grades > j].sum() + 1)) for j in range(k)])
+    share = np.bincount(cols, values**2 * share_of[rows], n_features)
     step = rate / np.sqrt(share + 1e-3)  # rare features move as fast as common ones
     for _ in range(steps):
         score = np.bincount(rows, values * w[cols], n)
@@ -103,10 +108,10 @@ def fit_ordinal(rows, cols, values, grades, n_features, l1=2e-5, steps=600, rate
         take = np.arange(n)
         mass = np.maximum(padded[take, grades] - padded[take, grades + 1], 1e-9)
         slope = padded * (1 - padded)
-        by_score = -(slope[take, grades] - slope[take, grades + 1]) / mass / n
+        by_score = -(slope[take, grades] - slope[take, grades + 1]) / mass * share_of
         by_theta = np.zeros(k)
         for j in range(k):
-            by_theta[j] = ((slope[:, j + 1] / mass * ((grades == j + 1).astype(float) - (grades == j))).sum()) / n
+            by_theta[j] = (slope[:, j + 1] / mass * ((grades == j + 1).astype(float) - (grades == j)) * share_of).sum()
         gradient = np.bincount(cols, values * by_score[rows], n_features)
         velocity = 0.9 * velocity - 0.1 * step * gradient
         w = w + velocity
@@ -118,6 +123,8 @@ def fit_ordinal(rows, cols, values, grades, n_features, l1=2e-5, steps=600, rate
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Ordinal:
     """The model fitted on at most ``most_rows`` labelled texts of each label."""
     ids = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").distinct()
+    # two rows at most
+    of_label = {r.toxic: r["count"] for r in ids.groupBy(F.col("toxic").cast("long").alias("toxic")).count().collect()}
     by_hash = F.xxhash64("doc_id")
     picked = [ids.where(F.col("toxic") == v).orderBy(by_hash, "doc_id").limit(most_rows) for v in (0, 1)]
     # at most 2 * most_rows ids: a proven bound
@@ -130,6 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Ord
     toxic = np.array([r.toxic for r in got], int)
     if len(set(toxic.tolist())) < 2:
         return Ordinal({}, (30.0,) * (GRADES - 1))
+    stands_for = [max(1.0, of_label.get(v, 0) / most_rows) for v in (0, 1)]
+    times = np.array(stands_for)[toxic]
     sizes = [len(r.features) // 4 for r in got]
     rows_at = np.repeat(np.arange(len(got)), sizes)
     hashes = np.concatenate([np.frombuffer(r.features, np.uint32) for r in got])
@@ -137,16 +146,16 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Ord
     names, cols = np.unique(hashes, return_inverse=True)
     # features seen in one or two texts tell nothing
     seen = np.bincount(cols, minlength=len(names))
-    bad = np.bincount(cols, toxic[rows_at], len(names))
+    bad = np.bincount(cols, (toxic * times)[rows_at], len(names)) / np.bincount(cols, times[rows_at], len(names))
     keep = seen >= 3
-    keep &= (np.abs(bad / np.maximum(seen, 1) - toxic.mean()) * np.sqrt(seen)) >= 1.0
+    keep &= (np.abs(bad - np.average(toxic, weights=times)) * np.sqrt(seen)) >= 1.0
     index = np.cumsum(keep) - 1
     use = keep[cols]
     rows_at, cols, counts, names = rows_at[use], index[cols[use]], counts[use], names[keep]
-    telling = (bad[keep] / seen[keep]) > 0.9
+    telling = bad[keep] > 0.9
     density = np.bincount(rows_at, counts * telling[cols], len(got)) / np.maximum([r.n_words for r in got], 1)
     grades = np.where(toxic == 1, 1 + (density > np.median(density[toxic == 1])), 0)
-    w, theta = fit_ordinal(rows_at, cols, np.log1p(counts), grades, len(names))
+    w, theta = fit_ordinal(rows_at, cols, np.log1p(counts), grades, len(names), times=times)
     strongest = np.argsort(-np.abs(w), kind="stable")[:MOST_WEIGHTS]
     weights = {int(names[i]): float(w[i]) for i in sorted(strongest) if w[i]}
     return Ordinal(weights, tuple(float(t) for t in theta))

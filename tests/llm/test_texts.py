@@ -262,6 +262,18 @@ def test_near_duplicates_reach_every_kind_of_copy(spark, monkeypatch, together):
     assert len(gone) > 60
 
 
+def test_near_duplicates_are_exact_at_the_threshold(spark):
+    # of a text's 100 shingles, a copy that ends early has 80, 79, 75 or 81
+    rows, want = [], set()
+    for i in range(40):
+        words = [f"w{i}x{j}" for j in range(104)]
+        left = (80, 79, 75, 81)[i % 4]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: left + 4]))]
+        want |= {2 * i + 1} if left >= 80 else set()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.duplicates(docs).collect()} == want
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(50)] + [(5, 5), (None, 3), (3, None)]
     rows = spark.createDataFrame(edges, "x long, y long")

@@ -44,8 +44,6 @@ MOST_TOGETHER = 4096
 FILE_S, PAIR_S = 2e-6, 4e-9
 #: Numbers of partitions that are tried.
 PARTITIONS = (2, 3, 4, 6, 8, 12)
-#: Values of a MinHash sketch, of a byte each.
-SKETCH = 128
 #: The shingle length of near-copies, and the share of shingles that they have in common.
 NEAR_WORDS, NEAR = 5, 0.8
 #: Documents that are sampled for frequent shingles, or one in so many if that is more; what counts as frequent there, and
@@ -91,36 +89,6 @@ def fingerprint(column: str | Column, words: int = 3) -> Column:
     return of(column)
 
 
-def _sketch_of(hashes: np.ndarray) -> bytes:
-    """The lowest bytes of the least values of ``SKETCH`` hash functions; empty without shingles."""
-    if not len(hashes):
-        return b""
-    draw = np.random.default_rng(SEED)
-    odd = draw.integers(0, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    distinct = np.unique(hashes)
-    for at in range(0, len(distinct), 512):
-        part = distinct[at : at + 512, None]
-        mixed = (part ^ (part >> np.uint64(31))) * odd
-        least = np.minimum(least, mixed.min(0))
-    # the least value's lower bits aren't spread evenly: mix them once more
-    return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
-
-
-def near_signature(column: str | Column) -> Column:
-    """A struct of the fingerprint of each whole text's distinct words and of its sketch of five-word shingles."""
-
-    @F.pandas_udf("fp long, sketch binary")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            words = np.unique(shingle_hashes(text or "", 1))
-            rows.append((fingerprint_of(words), _sketch_of(shingle_hashes(text or "", NEAR_WORDS))))
-        return pd.DataFrame(rows, columns=["fp", "sketch"])
-
-    return of(column)
-
-
 # -- partitions and thresholds ----------------------------------------------------------------------------------------
 
 
@@ -262,26 +230,7 @@ def _near(fps: np.ndarray, starts: np.ndarray, tau: int):
     return np.concatenate(found_i or [np.zeros(0, int)]), np.concatenate(found_j or [np.zeros(0, int)])
 
 
-def _alike(sketches: list[bytes], i: np.ndarray, j: np.ndarray, near: float) -> np.ndarray:
-    """Whether pairs of sketches estimate a similarity of ``near`` or more; two empty ones are alike."""
-    sizes = np.array([len(s) for s in sketches])
-    table = np.zeros((len(sketches), SKETCH), np.uint8)
-    for r, s in enumerate(sketches):
-        if s:
-            table[r] = np.frombuffer(s, np.uint8)
-    out = np.zeros(len(i), bool)
-    for at in range(0, len(i), 1 << 16):
-        a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-        equal = (table[a] == table[b]).mean(1)
-        # bytes of unlike values agree once in 256
-        similar = (equal - 1 / 256) / (1 - 1 / 256)
-        # one standard error of the estimate below: pairs at the threshold count
-        slack = math.sqrt(near * (1 - near) / SKETCH)
-        out[at : at + len(a)] = (similar >= near - slack) & (sizes[a] == sizes[b]) | (sizes[a] == 0) & (sizes[b] == 0)
-    return out
-
-
-def _verify(tau: int, near: float | None):
+def _verify(tau: int):
     """Rows sorted by key to the spanning links of each key's members; a key is held whole, no more."""
 
     def links(table: pa.Table):
@@ -291,9 +240,6 @@ def _verify(tau: int, near: float | None):
         if len(fps) > 1:
             new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
         i, j = _near(fps, np.nonzero(new)[0], tau)
-        if near is not None and len(i):
-            alike = _alike(table["sketch"].to_pylist(), i, j, near)
-            i, j = i[alike], j[alike]
         label = _labels(len(fps), i, j)
         other = np.nonzero((label != np.arange(len(fps))) & (nodes[label] != nodes))[0]
         return pa.RecordBatch.from_pydict(
@@ -319,12 +265,10 @@ def _verify(tau: int, near: float | None):
     return verify
 
 
-def links(codes: DataFrame, tau: int, near: float | None = None) -> DataFrame:
-    """(a, b): links that connect what all pairs of ``codes`` (node long, fp long) within tau bits connect.
-
-    With ``near``, codes have a sketch too, and a link needs an estimated similarity of at least ``near``."""
+def links(codes: DataFrame, tau: int) -> DataFrame:
+    """(a, b): links that connect what all pairs of ``codes`` (node long, fp long) within tau bits connect."""
     parts = plan(codes, tau)
-    columns = ["node", "fp"] + ["sketch"] * (near is not None)
+    columns = ["node", "fp"]
     filed = F.explode(
         F.array(*[F.struct(F.lit(m).alias("mask"), F.lit(f).alias("flip")) for m, flips in parts for f in flips])
     )
@@ -373,7 +317,7 @@ def links(codes: DataFrame, tau: int, near: float | None = None) -> DataFrame:
         part = part.select(*columns, *key, "block")
         whole = part if whole is None else whole.unionByName(part)
     sorted_rows = whole.repartition(*key, "block").sortWithinPartitions(*key, "block", "fp", "node")
-    return sorted_rows.mapInArrow(_verify(tau, near), "a long, b long").distinct()
+    return sorted_rows.mapInArrow(_verify(tau), "a long, b long").distinct()
 
 
 def components(prints: DataFrame, tau: int = 2) -> DataFrame:

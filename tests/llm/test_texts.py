@@ -251,9 +251,11 @@ def similar_groups(texts, p=4, q=5):
     return label
 
 
-@pytest.mark.parametrize("together", [4096, 8])
-def test_near_duplicates_reach_every_kind_of_copy(spark, monkeypatch, together):
-    monkeypatch.setattr(simhash, "MOST_TOGETHER", together)
+@pytest.mark.parametrize("paired, compared, ids", [(32, 1024, 500_000), (4, 8, 0), (0, 1024, 0)])
+def test_near_duplicates_reach_every_kind_of_copy(spark, monkeypatch, paired, compared, ids):
+    monkeypatch.setattr(simhash, "MOST_PAIRED", paired)
+    monkeypatch.setattr(simhash, "MOST_COMPARED", compared)
+    monkeypatch.setattr(simhash, "MOST_BROADCAST", ids)
     texts = altered()
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     gone = {r.doc_id for r in simhash.duplicates(rows).collect()}
@@ -262,6 +264,29 @@ def test_near_duplicates_reach_every_kind_of_copy(spark, monkeypatch, together):
     assert len(gone) > 60
 
 
+def test_near_duplicates_drop_no_pair_of_a_drifting_group(spark, monkeypatch):
+    # each text changes a few words of one before it: most pairs lie below the threshold, chains join them
+    monkeypatch.setattr(simhash, "MOST_COMPARED", 32)
+    draw = random.Random(8)
+    texts = [[f"w{draw.randrange(9000)}" for _ in range(90)]]
+    for _ in range(150):
+        words = list(draw.choice(texts))
+        for _ in range(draw.randrange(1, 4)):
+            words[draw.randrange(len(words))] = f"x{draw.randrange(9000)}"
+        texts.append(words)
+    texts = [" ".join(t) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    gone = {r.doc_id for r in simhash.duplicates(rows).collect()}
+    assert gone == {i for i, least in enumerate(similar_groups(texts)) if i != least}
+
+
+def test_overlaps_are_the_shared_elements():
+    draw = np.random.default_rng(3)
+    sets = [np.unique(draw.integers(0, 9000, n)).astype(np.uint64) for n in (0, 1, 50, 4000, 6000, 6000)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert (simhash.overlaps(sets) == np.array(want)).all()
+
+
 def test_near_duplicates_are_exact_at_the_threshold(spark):
     # of a text's 100 shingles, a copy that ends early has 80, 79, 75 or 81
     rows, want = [], set()

@@ -14,8 +14,10 @@ one of tau + 1 parts of their other bits, one of which must agree (exact, and bo
 is still too large is dealt into blocks, and each pair of blocks meets in its own task.
 
 The pipeline's stage doesn't use fingerprints: near-copies that end early or have text added differ in too many bits. It
-finds all pairs of texts whose distinct five-word shingles are similar enough, by a prefix filter, and checks each pair on
-the whole sets.
+finds all pairs of texts whose distinct five-word shingles are similar enough, by a prefix filter: a similar pair shares
+one of its rarest shingles. The few pairs that meet at a shingle are first held against their histograms (an upper bound
+of what two sets share), then compared on the whole sets; a shingle that many texts hold brings their sets together in
+blocks, and spanning links leave each block. No pair at the threshold is lost.
 
 Null and empty texts have fingerprint zero, linked like any other. Rows with null ids are fingerprinted and link, but name
 no component unless no row of it has an id. Repeated rows share a fingerprint and a component.
@@ -31,6 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +47,13 @@ MOST_TOGETHER = 4096
 FILE_S, PAIR_S = 2e-6, 4e-9
 #: Numbers of partitions that are tried.
 PARTITIONS = (2, 3, 4, 6, 8, 12)
+#: Classes of a rare shingle whose pairs are looked at one by one, and classes with whole sets in one task.
+MOST_PAIRED, MOST_COMPARED = 32, 1024
+#: Bins of a set's histogram.
+BIN_BITS = 8
+BINS = 1 << BIN_BITS
+#: Ids that are broadcast at most; more are joined.
+MOST_BROADCAST = 500_000
 #: The shingle length of near-copies, and the share of shingles that they have in common.
 NEAR_WORDS, NEAR = 5, 0.8
 #: Documents that are sampled for frequent shingles, or one in so many if that is more; what counts as frequent there, and
@@ -330,6 +340,8 @@ def components(prints: DataFrame, tau: int = 2) -> DataFrame:
     rooted = distinct.join(moved, "fp", "left").select(
         F.col("fp").alias("own_fp"), F.coalesce("least", "rep").alias("component_id")
     )
+    # kept by itself, so that a fingerprint with very many copies can be split in the join
+    rooted = checkpointed(rooted)
     return prints.join(rooted, prints.fp == rooted.own_fp).select("doc_id", "fp", "component_id")
 
 
@@ -361,6 +373,11 @@ def _class_of(shingles: np.ndarray) -> int:
     return _long(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
 
 
+def _histogram(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each of ``BINS`` bins. Two sets share at most the sum of the lesser counts."""
+    return np.bincount((shingles >> np.uint64(64 - BIN_BITS)).astype(np.int64), minlength=BINS).astype("<u2").tobytes()
+
+
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are frequent in a sample of ``docs``, sorted, and their counts there; ``MOST_COMMON`` at most.
 
@@ -397,13 +414,17 @@ def _prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], p: int,
     return shingles[: size + (-p * size // q) + 1]
 
 
-def near_classes(docs: DataFrame, near: float) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, class) of ``docs``, and (class, node, n, prefix): a class of equal shingle sets, its least doc_id, its
-    number of shingles and the rarest of them."""
+SIGNATURES = "row long, doc_id long, class long, n int, prefix array<long>, histogram binary"
+
+
+def signatures(docs: DataFrame, near: float) -> DataFrame:
+    """For each of ``docs`` its row number, its class (of equal shingle sets), its number of shingles, the rarest of them
+    and the histogram of all, written."""
     p, q = _ratio(near)
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def signed(batches):
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at, texts in slices(batch.column("text")):
                 sets = [_shingles(t) for t in texts]
@@ -412,27 +433,30 @@ def near_classes(docs: DataFrame, near: float) -> tuple[DataFrame, DataFrame]:
                 values = pa.array(np.concatenate(prefixes).view(np.int64))
                 yield pa.RecordBatch.from_pydict(
                     {
+                        "row": np.arange(row, row + len(texts)),
                         "doc_id": batch.column("doc_id").slice(at, len(texts)),
                         "class": pa.array([_class_of(s) for s in sets], pa.int64()),
                         "n": pa.array([len(s) for s in sets], pa.int32()),
                         "prefix": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
+                        # where a count needs more than 16 bits, there is none
+                        "histogram": pa.array([_histogram(s) if len(s) < 1 << 16 else None for s in sets], pa.binary()),
                     }
                 )
+                row += len(texts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(rows.mapInArrow(signed, "doc_id long, class long, n int, prefix array<long>"), "signatures")
-    classes = rows.groupBy("class").agg(
-        F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
-    )
-    return rows.select("doc_id", "class"), written(classes, "classes")
+    return written(rows.mapInArrow(signed, SIGNATURES), "signatures")
 
 
-def _met(p: int, q: int, most: int | None):
-    """Rows sorted by key, n and class to the pairs that may be similar; rows of a key with over ``most`` go through."""
+MET = "a long, b long, key long"
+
+
+def _met(p: int, q: int):
+    """Rows sorted by key and n to the pairs of classes that may be similar; the rows of a key with over ``MOST_PAIRED``
+    classes go through, with no b."""
 
     def pairs(table: pa.Table, starts: np.ndarray):
-        classes = table["class"].to_numpy()
-        n, pos = (table[c].to_numpy().astype(np.int64) for c in ("n", "pos"))
+        classes, n, pos = (table[c].to_numpy() for c in ("class", "n", "pos"))
         ends = np.append(starts[1:], len(n))
         end_of = np.repeat(ends, ends - starts)
         left = n - pos  # shingles from the shared one on
@@ -444,31 +468,27 @@ def _met(p: int, q: int, most: int | None):
             need = -(-p * (n[live] + n[live + d]) // (p + q))
             hit = live[np.minimum(left[live], left[live + d]) >= need]
             if len(hit):
-                held.append(np.column_stack([classes[hit], classes[hit + d]]))
+                held.append(np.sort(np.column_stack([classes[hit], classes[hit + d]]), axis=1))
             d += 1
         found = np.unique(np.concatenate(held), axis=0) if held else np.zeros((0, 2), np.int64)
-        found = found[found[:, 0] != found[:, 1]]
         for at in range(0, len(found), 100_000):
             a, b = found[at : at + 100_000].T
-            none = {c: pa.nulls(len(a), t) for c, t in (("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()))}
-            yield pa.RecordBatch.from_pydict({"a": np.ascontiguousarray(a), "b": np.ascontiguousarray(b)} | none)
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_pydict({"a": np.ascontiguousarray(a), "b": np.ascontiguousarray(b), "key": none})
 
     def through(table: pa.Table):
         for batch in table.combine_chunks().to_batches():
-            own = {c: batch.column(c) for c in ("key", "n", "pos")}
-            yield pa.RecordBatch.from_pydict({"a": batch.column("class"), "b": pa.nulls(len(batch), pa.int64())} | own)
+            none = pa.nulls(len(batch), pa.int64())
+            yield pa.RecordBatch.from_pydict({"a": batch.column("class"), "b": none, "key": batch.column("key")})
 
     def groups(table: pa.Table):
-        new = np.ones(len(table), bool)
-        if len(new) > 1:
-            keys = [table[c].to_numpy() for c in ("key", "block")]
-            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-        starts = np.nonzero(new)[0]
-        sizes = np.diff(np.append(starts, len(table)))
-        if most is not None and (sizes > most).any():
-            hot = np.repeat(sizes > most, sizes)
+        keys = table["key"].to_numpy()
+        starts = np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0]
+        sizes = np.diff(np.append(starts, len(keys)))
+        if (sizes > MOST_PAIRED).any():
+            hot = np.repeat(sizes > MOST_PAIRED, sizes)
             yield from through(table.filter(pa.array(hot)))
-            table, sizes = table.filter(pa.array(~hot)).combine_chunks(), sizes[sizes <= most]
+            table, sizes = table.filter(pa.array(~hot)).combine_chunks(), sizes[sizes <= MOST_PAIRED]
             starts = np.cumsum(sizes) - sizes
         if len(table):
             yield from pairs(table, starts)
@@ -476,27 +496,22 @@ def _met(p: int, q: int, most: int | None):
     def met(batches):
         held, passing = None, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
             table = pa.Table.from_batches([batch])
-            if passing is not None:
-                # the rest of a key that goes through
-                same = np.logical_and.reduce([table[c].to_numpy() == k for c, k in zip(("key", "block"), passing)])
-                own = int(same.sum())
+            if passing is not None:  # the rest of a key that goes through
+                own = int((table["key"].to_numpy() == passing).sum())
                 yield from through(table.slice(0, own))
                 table = table.slice(own)
-                if not len(table):
-                    continue
-                passing = None
+            if not len(table):
+                continue
+            passing = None
             table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
-            last = [table[c].to_numpy() for c in ("key", "block")]
-            same = np.logical_and.reduce([k == k[-1] for k in last])
-            cut = int(np.nonzero(~same)[0].max(initial=-1)) + 1
+            keys = table["key"].to_numpy()
+            cut = int(np.nonzero(keys != keys[-1])[0].max(initial=-1)) + 1
             if cut:
                 yield from groups(table.slice(0, cut).combine_chunks())
             held = table.slice(cut)
-            if most is not None and len(held) > most:
-                passing = [k[-1] for k in last]
+            if len(held) > MOST_PAIRED:
+                passing = keys[-1]
                 yield from through(held)
                 held = None
         if held is not None:
@@ -505,57 +520,136 @@ def _met(p: int, q: int, most: int | None):
     return met
 
 
-MET = "a long, b long, key long, n int, pos int"
+def _may_be_similar(p: int, q: int) -> Column:
+    """Whether two sets can be similar by their histograms; true where one has none."""
 
+    @F.pandas_udf("boolean")
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.ones(len(a), bool)
+        known = np.nonzero((a.notna() & b.notna()).to_numpy())[0]
+        for at in range(0, len(known), 1024):
+            own = known[at : at + 1024]
+            x, y = (
+                np.frombuffer(b"".join(s.iloc[own]), "<u2").astype(np.int64).reshape(-1, BINS) for s in (a, b)
+            )
+            out[own] = np.minimum(x, y).sum(1) * (p + q) >= (x.sum(1) + y.sum(1)) * p
+        return pd.Series(out)
 
-def near_pairs(classes: DataFrame, near: float) -> DataFrame:
-    """(a, b): pairs of classes among which are all that are similar by ``near`` or more.
-
-    Sets that similar share one of their rarest shingles, and from the first shared one on both have enough left."""
-    p, q = _ratio(near)
-    rows = classes.select("class", "n", F.posexplode("prefix").alias("pos", "key"), F.lit(0).cast("long").alias("block"))
-    order = ["key", "block", "n", "class"]
-    rows = rows.select("key", "block", "n", "class", "pos").repartition("key", "block").sortWithinPartitions(*order)
-    met = written(rows.mapInArrow(_met(p, q, MOST_TOGETHER), MET), "met")
-    # shingles of too many classes: dealt into blocks, each pair of which meets in its own task
-    hot = met.where("b is null").select("key", F.col("a").alias("class"), "n", "pos")
-    sized = hot.groupBy("key").agg(F.ceil(F.count("*") * 2 / MOST_TOGETHER).cast("int").alias("blocks"))
-    dealt = hot.join(sized, "key").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    block = F.least("own", "other") * F.lit(1 << 20).cast("long") + F.greatest("own", "other") + 1
-    dealt = dealt.select("key", block.alias("block"), "n", "class", "pos")
-    dealt = dealt.repartition("key", "block").sortWithinPartitions(*order)
-    more = dealt.mapInArrow(_met(p, q, None), MET)
-    return written(met.where("b is not null").select("a", "b").unionByName(more.select("a", "b")).distinct(), "pairs")
+    return of("of_a", "of_b")
 
 
-def near_links(docs: DataFrame, classes: DataFrame, near: float) -> DataFrame:
-    """(a, b): the pairs of classes that are similar by ``near`` or more, by their whole shingle sets."""
-    p, q = _ratio(near)
-    pairs = near_pairs(classes, near)
-    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = classes.select("class", "node").join(ends, "class", "left_semi").select("node").distinct()
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, shingles) of the texts whose doc_id is a ``node`` of ``wanted``, written."""
 
     def sets(batches):
         for batch in batches:
             for _, texts in slices(batch.column("text")):
                 found = [_shingles(t) for t in texts]
-                ends = np.cumsum([0, *map(len, found)])
-                values = pa.array(np.concatenate(found).view(np.int64))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "class": pa.array([_class_of(s) for s in found], pa.int64()),
-                        "shingles": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
+                        "shingles": pa.array([s.tobytes() for s in found], pa.binary()),
                     }
                 )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi")
-    found = texts.select("text").mapInArrow(sets, "class long, shingles array<long>")
-    found = written(found.join(ends, "class", "left_semi").dropDuplicates(["class"]), "shingles")
+    nodes = checkpointed(wanted.select("node").distinct())
+    if nodes.count() <= MOST_BROADCAST:  # else a join that shuffles both sides
+        nodes = F.broadcast(nodes)
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
+    found = texts.select("text").mapInArrow(sets, "class long, shingles binary")
+    # rows that share an id may be of a class that nobody asked for, or repeat one
+    found = found.join(wanted.select("class"), "class", "left_semi")
+    return written(found.groupBy("class").agg(F.max("shingles").alias("shingles")), "shingles")
+
+
+def _similar(p: int, q: int) -> Column:
+    """Whether two sets of shingles are similar, by their sorted bytes."""
+
+    @F.pandas_udf("boolean")
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            shared = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+            out.append(shared * (p + q) >= (len(x) + len(y)) * p)
+        return pd.Series(out, dtype=bool)
+
+    return of("of_a", "of_b")
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The number of elements that each two sets share, by products of 0/1 matrices of bounded width."""
+    sizes = [len(s) for s in sets]
+    names, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, twice = np.repeat(np.arange(len(sets)), sizes), seen > 1
+    place = np.cumsum(twice) - 1
+    use = twice[column]
+    row, column = row[use], place[column[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    width = 4096
+    for at in range(0, int(twice.sum()), width):
+        low, high = np.searchsorted(column, [at, at + width])
+        holds = np.zeros((len(sets), width), np.float32)
+        holds[row[low:high], column[low:high] - at] = 1
+        out += holds @ holds.T
+    out[np.arange(len(sets)), np.arange(len(sets))] = sizes
+    return out.astype(np.int64)
+
+
+def _hot_links(p: int, q: int):
+    """The members of one key, or of a pair of its blocks, to links that connect what all its similar pairs connect."""
+
+    def links(table: pa.Table) -> pa.Table:
+        classes = table["class"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        similar = overlaps(sets) * (p + q) >= (sizes[:, None] + sizes) * p
+        label = _labels(len(sets), *np.nonzero(np.triu(similar, 1)))
+        other = np.nonzero(label != np.arange(len(sets)))[0]
+        return pa.table({"a": pa.array(classes[other], pa.int64()), "b": pa.array(classes[label[other]], pa.int64())})
+
+    return links
+
+
+def near_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, near: float) -> DataFrame:
+    """(a, b): links that connect what all pairs of classes that are similar by ``near`` or more connect.
+
+    Sets that similar share one of their rarest shingles, and from the first shared one on both have enough left. Where a
+    shingle has few classes, their pairs are looked at by size, place and histogram, then on the whole sets. Where it has
+    many, its classes meet with their sets, in blocks of ``MOST_COMPARED`` at most, and only spanning links leave a task."""
+    p, q = _ratio(near)
+    prefixes = rows.select("row", "class", "n", "prefix").join(classes.select("row"), "row")
+    keyed = prefixes.select("class", "n", F.posexplode("prefix").alias("pos", "key"))
+    keyed = keyed.select("key", "class", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"))
+    keyed = keyed.repartition("key").sortWithinPartitions("key", "n")
+    met = written(keyed.mapInArrow(_met(p, q), MET), "met")
+
+    pairs = checkpointed(met.where("b is not null and a <> b").select("a", "b").distinct())
+    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    known = classes.select("class", "row").join(ends, "class", "left_semi").select("class", "row")
+    known = written(known.join(rows.select("row", "histogram"), "row").select("class", "histogram"), "histograms")
+    both = pairs.join(known.select(F.col("class").alias("a"), F.col("histogram").alias("of_a")), "a")
+    both = both.join(known.select(F.col("class").alias("b"), F.col("histogram").alias("of_b")), "b")
+    pairs = checkpointed(both.where(_may_be_similar(p, q)).select("a", "b"))
+
+    hot = met.where("b is null").select("key", F.col("a").alias("class")).distinct()
+    sized = hot.groupBy("key").agg(F.ceil(F.count("*") * 2 / MOST_COMPARED).cast("int").alias("blocks"))
+    dealt = hot.join(sized, "key").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = checkpointed(
+        dealt.select("key", "class", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+    )
+
+    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
+    ends = ends.unionByName(dealt.select("class")).distinct()
+    found = _sets(docs, classes.select("class", "node").join(ends, "class", "left_semi"))
     both = pairs.join(found.select(F.col("class").alias("a"), F.col("shingles").alias("of_a")), "a")
     both = both.join(found.select(F.col("class").alias("b"), F.col("shingles").alias("of_b")), "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(shared * (p + q) >= (F.size("of_a") + F.size("of_b")) * p).select("a", "b")
+    cold = both.where(_similar(p, q)).select("a", "b")
+    met_whole = dealt.join(found, "class").groupBy("key", "one", "two")
+    return written(cold.unionByName(met_whole.applyInArrow(_hot_links(p, q), "a long, b long")), "links")
 
 
 def duplicates(docs: DataFrame, near: float = NEAR) -> DataFrame:
@@ -564,13 +658,14 @@ def duplicates(docs: DataFrame, near: float = NEAR) -> DataFrame:
     Groups are components over all pairs of texts whose sets of distinct five-word shingles have a Jaccard similarity of
     ``near`` or more. Rows without an id are in no group."""
     docs = docs.where("doc_id is not null")
-    rows, classes = near_classes(docs, near)
-    found = connected_components(near_links(docs, classes, near), "a", "b")
-    members = classes.select("class", "node").join(found.withColumnRenamed("node", "class"), "class", "left")
+    rows = signatures(docs, near)
+    classes = written(rows.groupBy("class").agg(F.min("row").alias("row"), F.min("doc_id").alias("node")), "classes")
+    found = connected_components(near_links(docs, rows, classes, near), "a", "b")
+    members = classes.select("class", "node").join(found.withColumnRenamed("node", "member"), F.col("class") == F.col("member"), "left")
     members = members.select("class", "node", F.coalesce("component", "class").alias("component"))
     least = members.groupBy("component").agg(F.min("node").alias("kept"))
-    kept = members.join(least, "component").select("class", "kept")
-    return rows.join(kept, "class").where("doc_id <> kept").select("doc_id").distinct()
+    kept = written(members.join(least, "component").select("class", "kept"), "kept")
+    return rows.select("doc_id", "class").join(kept, "class").where("doc_id <> kept").select("doc_id").distinct()
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

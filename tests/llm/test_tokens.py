@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -41,6 +42,38 @@ def test_word_bpe_is_the_library(docs):
         assert decoded[1:] == theirs.decode(want, skip_special_tokens=False)
 
 
+def test_long_words_are_the_library():
+    ours, theirs = bpe.word_bpe(byteids.vocabulary("word_bpe_49k.json")), library("word_bpe_49k.json")
+    draw = random.Random(2)
+    for n in (31, 32, 33, 200, 5000):
+        for letters in ("a", "ab", "etaoins", "éß中a"):
+            word = "".join(draw.choice(letters) for _ in range(n))
+            assert ours.text(word)[0][1:] == " ".join(map(str, theirs.encode(word, add_special_tokens=False).ids))
+
+
+def test_a_word_of_a_million_letters():
+    ours, draw = bpe.word_bpe(byteids.vocabulary("word_bpe_49k.json")), random.Random(9)
+    word = "".join(draw.choice("thequickbrown") for _ in range(1_000_000))
+    began = time.process_time()
+    ids, decoded = ours.text(word)
+    assert time.process_time() - began < 60
+    assert decoded.replace(" ", "") == word + "</w>" and ids.count(" ") == decoded.count(" ")
+
+
+def test_bpe_table_is_deterministic_and_reads_one_symbol_at_a_time():
+    tokens = {t: i for i, t in enumerate(["a", "b", "a.", "b.", "ab", "ab."])}
+    found = bpe.Automaton(tokens, [("a", "b"), ("a", "b.")], end=".")
+    assert found.decode(found.encode("ab", ".")) == ["ab."]
+    assert found.decode(found.encode("aba", ".")) == ["ab", "a."]
+    assert all(isinstance(to, int) for row in found.steps for to in row.values())
+
+
+def test_bpe_of_nothing(no_docs):
+    path = byteids.vocabulary("word_bpe_49k.json")
+    out = no_docs.withColumn("d", bpe.digest(path, "text"))
+    assert out.count() == 0 and out.columns == [*no_docs.columns, "d"]
+
+
 def test_automaton_follows_merge_order():
     tokens = {t: i for i, t in enumerate(["a", "b", "aa", "ab", "aab"])}
     found = bpe.Automaton(tokens, [("a", "a"), ("a", "b"), ("aa", "b")])

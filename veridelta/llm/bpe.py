@@ -5,13 +5,15 @@ every symbol loops. The gadget of a merge u v -> w makes a copy of the state tha
 u lead to the copy, lets w lead where v led, and gives w's arc to every state that has one for u. Accepted paths are then
 exactly the outputs of the merges in their order. A copy is kept as its difference from the state it copies: the arc it
 lacks, and since which merge. Whether a state has an arc for a token follows from the token's left parts and the arcs
-lacked along the copies; each answer is entered in the transition table, which is all that encoding reads.
+lacked along the copies; each answer is entered in a table.
 
-Encoding goes through a pre-split word once, from left to right. Each prefix has one accepted path, so it keeps the last
-token of each prefix and extends the one it can. Decoding emits the labels of the arcs.
+The arcs' labels are compiled into a second table, state x symbol -> state, over the tokens' letters: its state is the
+longest end of what was read that begins a token, and carries the tokens that end there. Encoding reads a pre-split word
+once from left to right, one lookup a symbol; each prefix has one accepted path, of which the last arc is kept. The work
+and memory are linear in the word. Decoding emits the labels of the arcs.
 
-A null or empty text has no tokens and decodes to the empty string; texts of any length are encoded whole; repeated rows
-are encoded alike.
+A null or empty text has no tokens and decodes to the empty string; texts and words of any length are encoded whole;
+repeated rows are encoded alike; an empty table gives no rows; other columns are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from veridelta.llm.byteids import vocabulary
 from veridelta.llm.common import read
 
 #: Chunks between white space, and words, kept per worker, and the longest kept.
-MOST_CHUNKS, LONGEST = 400_000, 48
-#: Answers kept in a transition table.
+MOST_CHUNKS, LONGEST = 600_000, 48
+#: Entries that each of the automaton's two tables is filled with at most while words are read.
 MOST_MOVES = 1_000_000
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 WHITE = regex.compile(r"\p{White_Space}+")
@@ -51,10 +53,9 @@ class Automaton:
     ``state_of`` is where each token leads; ``copied``, ``lacks`` and ``since`` say what each state copies, the arc it
     lacks and from which merge on; ``left`` and ``made`` are each token's left part and the merge that made it."""
 
-    def __init__(self, tokens: dict[str, int], merges: list[tuple[str, str]]):
+    def __init__(self, tokens: dict[str, int], merges: list[tuple[str, str]], end: str = ""):
         self.ids = tokens
         self.labels = {i: t for t, i in tokens.items()}
-        self.longest = max(map(len, tokens), default=1)
         self.copied, self.lacks, self.since = [-1], [-1], [-1]
         self.state_of = dict.fromkeys(tokens.values(), 0)
         self.left: dict[int, int] = {}
@@ -65,6 +66,49 @@ class Automaton:
         for rank, (u, v) in enumerate(merges):
             self._gadget(rank, tokens[u], tokens[v], tokens[u + v])
         self._lacked.clear()
+        self._read_by(end)
+
+    def _read_by(self, end: str) -> None:
+        """Compile the labels: ``steps`` from state and symbol to state, and ``ending``, the tokens that end at a state with
+        their lengths, longest first. A symbol that ends a word is its letter with ``end``."""
+        self.steps: list[dict[str, int]] = [{}]
+        self.ending: list[tuple[tuple[int, int], ...]] = [()]
+        for token, label in self.labels.items():
+            body = label.removesuffix(end) if end else label
+            if token in self.dead or not body:
+                continue
+            symbols = [*body[:-1], body[-1] + label[len(body) :]]
+            state = 0
+            for c in symbols:
+                if c not in self.steps[state]:
+                    self.steps[state][c] = len(self.steps)
+                    self.steps.append({})
+                    self.ending.append(())
+                state = self.steps[state][c]
+            self.ending[state] = ((token, len(symbols)),)
+        # where a state has no arc, that of the longest shorter end is taken
+        self.shorter = [0] * len(self.steps)
+        waiting = list(self.steps[0].values())
+        for state in waiting:
+            for c, to in self.steps[state].items():
+                self.shorter[to] = self._step(self.shorter[state], c)
+                waiting.append(to)
+            self.ending[state] += self.ending[self.shorter[state]]
+        self.filled = 0
+
+    def _step(self, state: int, symbol: str) -> int:
+        """Where a symbol leads; an entry that has to be found is entered in the table."""
+        to = self.steps[state].get(symbol)
+        if to is None:
+            at = state
+            while to is None and at:
+                at = self.shorter[at]
+                to = self.steps[at].get(symbol)
+            to = to or 0
+            if getattr(self, "filled", MOST_MOVES) < MOST_MOVES:
+                self.filled += 1
+                self.steps[state][symbol] = to
+        return to
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         state = self.state_of[u]
@@ -117,26 +161,28 @@ class Automaton:
 
     def encode(self, symbols: str, end: str = "") -> list[int]:
         """The tokens of a word of symbols, the last of which carries ``end``."""
-        n, find, moves, longest = len(symbols), self.ids.get, self.moves.get, self.longest
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            upto = symbols[:i] + end if i == n else symbols[:i]
-            for j in range(i - longest if i > longest else 0, i):
-                token = find(upto[j:])
-                if token is None or token in self.dead:
-                    continue
-                if j == 0:
-                    last[i] = token
+        steps, ending, moves = self.steps, self.ending, self.moves.get
+        state, n, last, sizes = 0, 0, [-1], [0]
+        for c in [*symbols[:-1], symbols[-1] + end] if symbols else ():
+            to = steps[state].get(c)
+            state = self._step(state, c) if to is None else to
+            n += 1
+            own, size = -1, 1
+            for token, length in ending[state]:
+                if n == length:
+                    own, size = token, length
                     break
-                if (before := last[j]) >= 0:
+                if (before := last[-length]) >= 0:
                     goes = moves(before << 32 | token)
                     if self.moves_on(before, token) if goes is None else goes:
-                        last[i], back[i] = token, j
+                        own, size = token, length
                         break
+            last.append(own)
+            sizes.append(size)
         out = []
         while n:
             out.append(last[n])
-            n = back[n]
+            n -= sizes[n]
         return out[::-1]
 
     def decode(self, ids: list[int]) -> list[str]:
@@ -174,36 +220,47 @@ class WordBpe:
         model = file["model"]
         self.end = model["end_of_word_suffix"] or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
-        self.automaton = Automaton(dict(model["vocab"]), merges)
+        self.automaton = Automaton(dict(model["vocab"]), merges, self.end)
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.marks = regex.compile("|".join(f"({regex.escape(s)})" for s in sorted(self.special, key=len, reverse=True)))
         split = next(p for p in file["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         self.letters = byte_letters()
         self.chunks, self.known = Recent(), Recent()
-
-    def word(self, word: str) -> tuple[int, ...]:
-        """The tokens of one pre-split word."""
-        found = self.known.get(word)
+        # each token's id and label after a space
+        self.shown = {i: (f" {i}", f" {t}") for i, t in self.automaton.labels.items()}
+        # whether a run of ASCII letters is one word, and a sign after it another, so that no pattern is asked
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        self.ends = {c for c in ".,;:!?)(*-" if self.words.findall(f"{letters}{c}") == [letters, c]}
+
+    def word(self, word: str) -> tuple[str, str]:
+        """The ids and the labels of one pre-split word, each after a space."""
+        found = self.known.now.get(word) or self.known.get(word)
         if found is None:
-            symbols = "".join(map(self.letters.__getitem__, word.encode("utf-8", "replace")))
-            found = self.known.keep(word, tuple(self.automaton.encode(symbols, self.end)))
+            plain = word.isascii() and word.isprintable()  # its bytes' letters are the letters themselves
+            symbols = word if plain else "".join(map(self.letters.__getitem__, word.encode("utf-8", "replace")))
+            shown = [self.shown[i] for i in self.automaton.encode(symbols, self.end)]
+            found = self.known.keep(word, ("".join([i for i, _ in shown]), "".join([t for _, t in shown])))
         return found
 
-    def chunk_ids(self, chunk: str) -> list[int]:
-        """The tokens of a stretch without white space."""
-        chunk = unicodedata.normalize("NFC", chunk)
-        # letter by letter: a word's last sigma is no exception
-        chunk = "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()
-        return [i for m in self.words.finditer(chunk) for i in self.word(m.group())]
-
     def _both(self, chunk: str) -> tuple[str, str]:
-        """The ids and the labels of a chunk, each after a space."""
+        """The ids and the labels of a stretch without white space, each after a space."""
         found = self.chunks.get(chunk)
         if found is None:
-            ids = self.chunk_ids(chunk)
-            labels = map(self.automaton.labels.__getitem__, ids)
-            found = self.chunks.keep(chunk, (" " + " ".join(map(str, ids)), " " + " ".join(labels)) if ids else ("", ""))
+            low = chunk
+            if not low.isascii():
+                low = unicodedata.normalize("NFC", low)
+            # letter by letter: a word's last sigma is no exception
+            low = "".join(c.lower() for c in low) if "Σ" in low else low.lower()
+            if low.isascii() and self.ends and low.isalpha():
+                found = self.word(low)
+            elif low.isascii() and low[-1:] in self.ends and low[:-1].isalpha():
+                (ids, labels), (more, other) = self.word(low[:-1]), self.word(low[-1])
+                found = ids + more, labels + other
+            else:
+                words = [self.word(m.group()) for m in self.words.finditer(low)]
+                found = "".join([i for i, _ in words]), "".join([t for _, t in words])
+            self.chunks.keep(chunk, found)
         return found
 
     def text(self, text: str) -> tuple[str, str]:
@@ -216,10 +273,7 @@ class WordBpe:
             chunks = [c for c in WHITE.split(text) if c] if ODD.search(text) else text.split()
             get, both = self.chunks.now.get, self._both
             parts = [get(c) or both(c) for c in chunks]
-        if not parts:
-            return "", ""
-        ids, labels = zip(*parts)
-        return "".join(ids), "".join(labels)
+        return "".join([i for i, _ in parts]), "".join([t for _, t in parts])
 
 
 _HELD: dict[str, WordBpe] = {}

@@ -5,8 +5,12 @@ from a small labelled table and decoded by Viterbi over numpy batches; it adds s
 patterns don't know (national telephone numbers, spelled-out addresses, unusual grouping). Base spans always stay, and
 an added span never overlaps one. Positions are code points, the end exclusive.
 
-Null texts are taken as empty and have no spans; a repeated row gets the same spans. All of a text is read: the field
-sees every stretch that holds a digit or an address sign, and no span of these kinds can lie elsewhere.
+The field reads the stretches of a text that hold a digit, an address sign or a bracketed ``at``; no span of these kinds
+can lie elsewhere. A stretch reaches ``AROUND`` characters to both sides, then to white space, and is read again twice as
+wide for as long as its first or last token is part of a span: a span of any length is seen whole.
+
+Null and empty texts have no spans; texts of any length are read whole; a repeated row gets the same spans; an empty table
+gives no rows. Only the text's column is read; other columns are left as they are.
 """
 
 from __future__ import annotations
@@ -37,7 +41,8 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 HINT = re.compile(r"[0-9@]|[\[(] ?at ?[\])]")
 WORD = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|\w")
-#: Characters on each side of a hint that the field sees.
+WHITE = re.compile(r"\s")
+#: Characters on each side of a hint that the field sees at first.
 AROUND = 48
 
 #: The labelled table: lines with {kind|text} marks.
@@ -45,6 +50,11 @@ LABELLED = [
     "please write to {email|jo.doe@mail.example.org} soon",
     "contact {email|anna_b@example.com} or wait",
     "{email|k.lee77@host3.example.net}",
+    "ask {email|office.of.the.third.floor [at] building.north.campus [dot] example [dot] org} first",
+    "send {email|a.rather.long.name.with.many.parts (at) mail.of.some.department.example.com} this",
+    "say {email|kim [at] one [dot] two [dot] three [dot] example [dot] net} hello",
+    "see one.two.three.four.five.six and seven.eight.nine today",
+    "meet [at] noon or (at) dusk , dot by dot",
     "mail me , {email|sam@dept.example.edu} , today",
     "reach {email|maria [at] example [dot] com} for that",
     "write {email|peter (at) example (dot) org} please",
@@ -72,6 +82,10 @@ LABELLED = [
     "no {phone|415-555-0132}.",
     "it was {phone|(415) 555-0132}, she said.",
     "the card {card|4111.1111.1111.1111}.",
+    "by card {card|3714.496353.98431} again",
+    "held {card|3714/496353/98431}, then gone",
+    "or {phone|0161 496 0345} at night",
+    "reach me on {phone|040 4960 3456} before",
     "version 2.0 of the license",
     "Version 3 , 29 June 2007",
     "on 2021-03-04 we met",
@@ -195,19 +209,38 @@ def _tokens(text: str, start: int, end: int):
     return found, words, spaced
 
 
-def _stretches(text: str):
-    """The stretches of a text around its hints, cut at white space; no two overlap."""
-    start = end = -1
+def _to_white(text: str, start: int, end: int) -> tuple[int, int]:
+    """The stretch on to white space, or the text's ends."""
+    while start > 0 and not text[start - 1].isspace():
+        start -= 1
+    if end < len(text):
+        found = WHITE.search(text, end)
+        end = found.start() if found else len(text)
+    return max(0, start), min(end, len(text))
+
+
+def _apart(stretches) -> list[tuple[int, int]]:
+    """Stretches in order; those that touch are one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(stretches):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
+    return out
+
+
+def _stretches(text: str) -> list[tuple[int, int]]:
+    """The stretches of a text around its hints, on to white space; no two overlap."""
+    out: list[tuple[int, int]] = []
     for m in HINT.finditer(text):
-        a, b = max(0, m.start() - AROUND), m.end() + AROUND
-        if end >= 0 and a <= end:
-            end = b
-            continue
-        if end >= 0:
-            yield start, min(end, len(text))
-        start, end = a, b
-    if end >= 0:
-        yield start, min(end, len(text))
+        start, end = max(0, m.start() - AROUND), min(m.end() + AROUND, len(text))
+        if out and start <= out[-1][1]:
+            if end > out[-1][1]:
+                out[-1] = out[-1][0], _to_white(text, end, end)[1]
+        else:
+            out.append(_to_white(text, start, end))
+    return _apart(out)
 
 
 @dataclass(frozen=True)
@@ -267,6 +300,34 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+def likelihood(w: np.ndarray, trans: np.ndarray, ids: np.ndarray, tags: np.ndarray, mask: np.ndarray):
+    """The negative log-likelihood of a batch and its gradients, by forward-backward.
+
+    ``ids`` (n, most, features), ``tags`` and ``mask`` (n, most) are padded at the end; ``trans`` holds all moves' weights."""
+    (n, most, per), k = ids.shape, len(trans)
+    emit = w[ids].sum(2)
+    emit[:, 0, [i for i, x in enumerate(LABELS) if x[0] == "I"]] -= 1e4
+    ahead, back = np.zeros((n, most, k)), np.zeros((n, most, k))
+    ahead[:, 0] = emit[:, 0]
+    for t in range(1, most):
+        ahead[:, t] = np.where(
+            mask[:, t, None], _log_sum(ahead[:, t - 1, :, None] + trans, 1) + emit[:, t], ahead[:, t - 1]
+        )
+    for t in range(most - 2, -1, -1):
+        later = _log_sum(trans[None] + (emit[:, t + 1] + back[:, t + 1])[:, None, :], 2)
+        back[:, t] = np.where(mask[:, t + 1, None], later, 0)
+    total = _log_sum(ahead[:, -1], 1)
+    hot = np.eye(k)[tags] * mask[..., None]
+    gap = (np.exp(ahead + back - total[:, None, None]) * mask[..., None] - hot)[mask]
+    flat, by_w = ids[mask].ravel(), np.zeros_like(w)
+    for j in range(k):
+        by_w[:, j] = np.bincount(flat, np.repeat(gap[:, j], per), len(by_w))
+    pair = ahead[:, :-1, :, None] + trans + (emit[:, 1:] + back[:, 1:])[:, :, None, :] - total[:, None, None, None]
+    seen, given = (np.exp(pair) * mask[:, 1:, None, None]).sum((0, 1)), np.einsum("nti,ntj->ij", hot[:, :-1], hot[:, 1:])
+    own = (emit * hot).sum() + (given * trans).sum()
+    return float(total.sum() - own), by_w, seen - given
+
+
 def fit(lines: list[str], copies: int = 4, steps: int = 80, rate: float = 0.1, l2: float = 1e-3) -> Field:
     """The field that maximises the penalised likelihood of the labelled lines; forward-backward over one batch."""
     names: dict[str, int] = {}
@@ -286,32 +347,11 @@ def fit(lines: list[str], copies: int = 4, steps: int = 80, rate: float = 0.1, l
     ids, tags, mask = np.zeros((n, most, per), int), np.zeros((n, most), int), np.zeros((n, most), bool)
     for i, (fs, ts) in enumerate(rows):
         ids[i, : len(ts)], tags[i, : len(ts)], mask[i, : len(ts)] = fs, ts, True
-    fixed, flat = _allowed(), ids[mask].ravel()
+    fixed = _allowed()
     w, moves = np.zeros((max(1, len(names)), k)), np.zeros((k, k))
     moment = [np.zeros_like(w), np.zeros_like(moves), np.zeros_like(w), np.zeros_like(moves)]
-    hot = np.eye(k)[tags] * mask[..., None]
     for step in range(1, steps + 1):
-        emit = w[ids].sum(2)
-        emit[:, 0, [i for i, x in enumerate(LABELS) if x[0] == "I"]] -= 1e4
-        trans = moves + fixed
-        ahead, back = np.zeros((n, most, k)), np.zeros((n, most, k))
-        ahead[:, 0] = emit[:, 0]
-        for t in range(1, most):
-            ahead[:, t] = np.where(
-                mask[:, t, None], _log_sum(ahead[:, t - 1, :, None] + trans, 1) + emit[:, t], ahead[:, t - 1]
-            )
-        for t in range(most - 2, -1, -1):
-            later = _log_sum(trans[None] + (emit[:, t + 1] + back[:, t + 1])[:, None, :], 2)
-            back[:, t] = np.where(mask[:, t + 1, None], later, 0)
-        total = _log_sum(ahead[:, -1], 1)
-        seen = np.exp(ahead + back - total[:, None, None]) * mask[..., None]
-        by_w = np.zeros_like(w)
-        gap = (seen - hot)[mask]
-        for j in range(k):
-            by_w[:, j] = np.bincount(flat, np.repeat(gap[:, j], per), len(by_w))
-        pair = ahead[:, :-1, :, None] + trans + (emit[:, 1:] + back[:, 1:])[:, :, None, :] - total[:, None, None, None]
-        by_moves = (np.exp(pair) * mask[:, 1:, None, None]).sum((0, 1))
-        by_moves -= np.einsum("nti,ntj->ij", hot[:, :-1], hot[:, 1:])
+        _, by_w, by_moves = likelihood(w, moves + fixed, ids, tags, mask)
         for x, g, i in ((w, by_w / n + l2 * w, 0), (moves, by_moves / n + l2 * moves, 1)):
             moment[i] = 0.9 * moment[i] + 0.1 * g
             moment[i + 2] = 0.99 * moment[i + 2] + 0.01 * g * g
@@ -370,30 +410,48 @@ def _plausible(kind: str, text: str) -> bool:
     return bool(re.fullmatch(r"[(]?[0-9]{2,4}[)]?(?:[ .-]{1,2}[0-9]{2,4}){2,4}", text)) and 10 <= len(digits) <= 15
 
 
+def _labelled(field: Field, texts: list[str]):
+    """For each text its stretches' tokens and labels; a stretch that ends within a span is read again, wider."""
+    out: list[dict] = [{} for _ in texts]
+    waiting = [(i, a, b) for i, text in enumerate(texts) for a, b in _stretches(text)]
+    while waiting:
+        parts = [_tokens(texts[i], a, b) for i, a, b in waiting]
+        found = viterbi(field, [_features(words, spaced) for _, words, spaced in parts])
+        wider: dict[int, list[tuple[int, int]]] = {}
+        for (i, a, b), (spans, _, _), labels in zip(waiting, parts, found):
+            out[i][a, b] = spans, labels
+            if not len(labels) or not ((labels[0] and a > 0) or (labels[-1] and b < len(texts[i]))):
+                continue
+            more = max(b - a, AROUND)
+            new = a - more if labels[0] else a, b + more if labels[-1] else b
+            wider.setdefault(i, []).append(_to_white(texts[i], max(0, new[0]), min(new[1], len(texts[i]))))
+        waiting = []
+        for i, own in wider.items():
+            whole = _apart([*out[i], *own])
+            waiting += [(i, a, b) for a, b in whole if (a, b) not in out[i]]
+            out[i] = {k: v for k, v in out[i].items() if k in whole}
+    return out
+
+
 def added_spans(field: Field, texts: list[str], bases: list[list[tuple[str, int, int]]]):
     """For each text the spans that the field finds beside the base spans, by kind, then start."""
-    sequences, where = [], []
-    for i, text in enumerate(texts):
-        for start, end in _stretches(text):
-            found, words, spaced = _tokens(text, start, end)
-            sequences.append(_features(words, spaced))
-            where.append((i, found))
-    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for (i, found), labels in zip(where, viterbi(field, sequences)):
-        t = 0
-        while t < len(labels):
-            if not labels[t]:
-                t += 1
-                continue
-            kind, start = LABELS[labels[t]][2:], t
-            t += 1
-            while t < len(labels) and LABELS[labels[t]] == f"I-{kind}":
+    out: list[list[tuple[str, int, int]]] = []
+    for text, base, stretches in zip(texts, bases, _labelled(field, texts)):
+        spans = []
+        for found, labels in stretches.values():
+            t = 0
+            while t < len(labels):
+                if not labels[t]:
+                    t += 1
+                    continue
+                kind, start = LABELS[labels[t]][2:], t
                 t += 1
-            a, b = found[start][0], found[t - 1][1]
-            if not any(a < e and s < b for _, s, e in bases[i]) and _plausible(kind, texts[i][a:b]):
-                out[i].append((kind, a, b))
-    for spans in out:
-        spans.sort(key=lambda x: (KINDS.index(x[0]), x[1]))
+                while t < len(labels) and LABELS[labels[t]] == f"I-{kind}":
+                    t += 1
+                a, b = found[start][0], found[t - 1][1]
+                if not any(a < e and s < b for _, s, e in base) and _plausible(kind, text[a:b]):
+                    spans.append((kind, a, b))
+        out.append(sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1])))
     return out
 
 

@@ -216,6 +216,7 @@ def test_ordinal_gradient_separates_grades():
 
 def test_language_model_scores(spark, docs, no_docs, monkeypatch):
     monkeypatch.setattr(suffixtree, "MOST_HOT", 5)
+    monkeypatch.setattr(suffixtree, "MOST_HOT_GRAMS", 5)
     got = suffixtree.score(docs).collect()
     low = {i: i + 32 for i in range(65, 91)}
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
@@ -232,20 +233,82 @@ def test_language_model_scores(spark, docs, no_docs, monkeypatch):
     assert suffixtree.score(no_docs).count() == 0
 
 
-def test_suffix_tree_is_a_distribution(spark):
-    texts = ["abracadabra", "abrasive cadavers", "bravado", "a"] * 20
-    grams, table = suffixtree._Grams(), suffixtree.letter_table()
-    grams.add(suffixtree.grams_of(table, texts)[0])
-    codes, counts = grams.merged()
-    rows = spark.createDataFrame([(int(c), int(k)) for c, k in zip(codes, counts)], "gram long, n long")
-    scorer = suffixtree.Scorer(suffixtree.grow(rows), {})
-    assert max(len(c) for c in scorer.contexts[1:]) > 0
-    spread = lambda x: suffixtree.SPREAD.get(x, 1)
-    for context in set((codes // suffixtree.SIZE).tolist()[:40]):
-        total = sum(10 ** scorer.step(context * suffixtree.SIZE + x) * spread(x) for x in range(suffixtree.OTHER + 1))
-        assert abs(total - 1) < 1e-9
-    likely, odd = scorer.scores(["abracadabra", "zzqxzzqxzzq"])
-    assert likely > odd
+def plain_tree(texts):
+    """Counts of every context up to DEPTH bytes, and those retained, by plain dictionaries."""
+    nodes: dict[bytes, Counter] = {}
+    for t in texts:
+        padded = suffixtree.EDGE * suffixtree.DEPTH + t + suffixtree.EDGE
+        for i in range(suffixtree.DEPTH, len(padded)):
+            for d in range(suffixtree.DEPTH + 1):
+                nodes.setdefault(padded[i - d : i], Counter())[padded[i]] += 1
+    kept = set()
+    for context, own in nodes.items():
+        if context:
+            above, total = nodes[context[1:]], sum(own.values())
+            of_above = sum(above.values())
+            gain = sum(n * math.log((n / total) / (above[x] / of_above)) for x, n in own.items())
+            kept |= {context} if gain > len(own) else set()
+    return nodes, kept
+
+
+def plain_step(nodes, kept, context, byte):
+    p = 1 / suffixtree.SIZE
+    for d in range(suffixtree.DEPTH + 1):
+        at = context[len(context) - d :]
+        own = nodes.get(at) if not d or at in kept else None
+        if own:
+            p = (own[byte] + len(own) * p) / (sum(own.values()) + len(own))
+    return p
+
+
+def plain_score(nodes, kept, text):
+    padded = suffixtree.EDGE * suffixtree.DEPTH + text + suffixtree.EDGE
+    places = range(suffixtree.DEPTH, len(padded))
+    return sum(math.log10(plain_step(nodes, kept, padded[i - suffixtree.DEPTH : i], padded[i])) for i in places)
+
+
+@pytest.mark.parametrize("hot", [1_500_000, 60, 0])
+def test_suffix_tree_scores_by_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixtree, "MOST_HOT_GRAMS", hot)
+    monkeypatch.setattr(suffixtree, "MOST_BROADCAST", hot)
+    draw = random.Random(6)
+    words = ["abracadabra", "abrasive", "cadaver", "bravado", "привет", "мир", "中文字", "Été", "a", ""]
+    rows = [(i, " ".join(draw.choice(words) for _ in range(draw.randrange(30)))) for i in range(80)] + [(900, None)]
+    rows = with_clashes(spark.createDataFrame(rows, "doc_id long, text string")).repartition(3)
+    got = {r.doc_id: (r.held_out, r.score) for r in suffixtree.score(rows).collect()}
+    texts = {r.doc_id: suffixtree.bytes_of(r.text) for r in rows.collect()}
+    nodes, kept = plain_tree([t for i, t in texts.items() if not got[i][0]])
+    assert len(kept) > 30 and any(got[i][0] for i in got)
+    for i, (_, score) in got.items():
+        assert abs(score - plain_score(nodes, kept, texts[i])) < 1e-6
+    grams = suffixtree.counts(rows).where("gram is not null").select("gram", "n", "times")
+    assert suffixtree.grow(grams)[1] == len(kept)
+
+
+def test_suffix_tree_is_a_distribution():
+    nodes, kept = plain_tree([b"abracadabra", b"abrasive cadavers", b"bravado", b"a"] * 20)
+    for context in list(nodes)[:60]:
+        if len(context) == suffixtree.DEPTH:
+            assert abs(sum(plain_step(nodes, kept, context, x) for x in range(256)) - 1) < 1e-9
+
+
+def test_suffix_tree_gains_on_held_out_texts(spark):
+    # each letter is followed by one of two others: against a model without contexts, whatever the script
+    draw = random.Random(11)
+    for alphabet in ("abcdefgh", "бвгдежзи", "中文字典书本人口"):
+        def word():
+            at, out = draw.randrange(8), ""
+            for _ in range(9):
+                out, at = out + alphabet[at], (at * 3 + draw.randrange(2)) % 8
+            return out
+
+        rows = [(i, " ".join(word() for _ in range(60))) for i in range(120)]
+        got = {r.doc_id: r for r in suffixtree.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        texts = {i: suffixtree.bytes_of(t) + suffixtree.EDGE for i, t in rows}
+        alone = Counter(x for i, t in texts.items() if not got[i].held_out for x in t)
+        n = sum(alone.values())
+        flat = sum(math.log10(alone[x] / n) for i, t in texts.items() if got[i].held_out for x in t)
+        assert sum(r.score for r in got.values() if r.held_out) > 0.65 * flat
 
 
 def slow_print(text, k=3):

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -468,12 +469,23 @@ PAGES = [
     (9, "http://shop.com/a", '<link rel="canonical" href="http://mid.org/2">'),
     (9, "http://shop.com/a", '<link rel="canonical" href="http://mid.org/2">'),
     (10, "HTTP://UP.Example.COM/EN/", None),
+    # one url in many forms, and links of every kind
+    (11, "http://forms.org/a/b/one", '<link rel="alternate canonical" href="../c/./two#part">'),
+    (12, "HTTP://Forms.ORG:80/a/c/two", '<link data-href="http://no.org/" rel=canonical href="http://b.example.net/fr/">'),
+    (13, "http://forms.org/q?x=1", "<meta http-equiv=refresh content=\"0;url='?y=2&amp;z'\">"),
+    (14, "http://forms.org/q?y=2&z#top", '<link rel="canonical" href="//FORMS.org/a/c/two">'),
+    (15, "http://root.org", '<link rel="canonical" href="HTTP://b.example.net/es">'),
+    (16, "http://root.org/", '<link rel="canonical" href="http://b.example.net/es/">'),
+    (17, "https://root.org:443/x/..", '<link rel="canonical" href="mailto:a@b.net">'),
+    (18, "http://alone.org/x", '<link rel="not-canonical" href="http://b.example.net/es/">'),
+    (19, "http://alone.org/y", "<p>" * 200_000 + '<link rel="canonical" href="#here">'),
+    (None, "http://b.example.net/fr/x", None),
 ]
 
 
 def test_url_rules_and_aliases(spark):
     pages = spark.createDataFrame([(*p, "clash") for p in PAGES], "page_id long, url string, html string, alias_url string")
-    got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages).fillna("").collect())
+    got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages).fillna("").fillna(-1).collect())
     assert got == sorted(
         [
             (1, "a.example.com", "/en/x", "example.com/en/", "block"),
@@ -487,8 +499,22 @@ def test_url_rules_and_aliases(spark):
             (9, "shop.com", "/a", "com/", "allow"),
             (9, "shop.com", "/a", "com/", "allow"),
             (10, "up.example.com", "/EN/", "com/", "allow"),
+            (11, "forms.org", "/a/b/one", "", "block"),
+            (12, "forms.org:80", "/a/c/two", "", "block"),
+            (13, "forms.org", "/q", "", "block"),
+            (14, "forms.org", "/q", "", "block"),
+            (15, "root.org", "", "", "block"),
+            (16, "root.org", "/", "", "block"),
+            (17, "root.org:443", "/x/..", "", "allow"),
+            (18, "alone.org", "/x", "", "allow"),
+            (19, "alone.org", "/y", "", "allow"),
+            (-1, "b.example.net", "/fr/x", "net/fr/", "block"),
         ]
     )
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    rows = con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({urls.SQL})").fetchall()
+    assert got == sorted((-1 if i is None else i, h, p, r or "", v) for i, h, p, r, v in rows)
     assert urls.judge(pages.limit(0)).count() == 0
 
 

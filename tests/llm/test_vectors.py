@@ -90,6 +90,25 @@ def test_cover_tree_components(spark, rows, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_far_cells_never_meet(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "BLOCK", 20)
+    monkeypatch.setattr(covertree, "DEALT", 50)
+    draw = np.random.default_rng(5)
+    points = draw.normal(size=(8, 16))[np.arange(400) % 8] + draw.normal(size=(400, 16)) * 0.05
+    rows = [(i, [float(np.float32(v)) for v in x], i % 2) for i, x in enumerate(points)]
+    rows += [(400 + i, [2.0 * v for v in x], k) for i, x, k in rows[:30]] + ODD
+    vectors = table(spark, rows)
+    got = covertree.near_duplicates(vectors).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(rows, 0.93)
+    usable = vectors.where("vec_id < 430").groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
+    classes = usable.select(F.col("label").cast("long"), "embedding", "node", "copies")
+    classes = classes.withColumn("class", F.xxhash64("label", "embedding")).withColumn("dim", F.size("embedding"))
+    met = covertree.meetings(classes, 0.93).select("label", "block", "one", "two")
+    blocks = {r.label: r.n for r in met.groupBy("label").agg(F.count_distinct("block").alias("n")).collect()}
+    pairs = met.select("label", "one", "two").distinct().count()
+    assert sum(blocks.values()) > 20 and pairs < 0.6 * sum(n * (n + 1) / 2 for n in blocks.values())
+
+
 def test_cover_tree_of_nothing(spark):
     assert covertree.near_duplicates(table(spark, [])).count() == 0
 

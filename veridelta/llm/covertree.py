@@ -1,22 +1,26 @@
 """Operator 10: embedding near-duplicates by dual traversal of cover trees.
 
-Vectors of one label are compared by cosine. Equal vectors are one class first, so copies cost nothing. Each label's
-classes are dealt into blocks of bounded size by a hash, and each block becomes a cover tree: nested levels of centres
-whose radii halve, every point within its centre's radius. Each pair of a label's blocks meets in one task, which walks
-both trees together: a pair of nodes is dropped when its centres are farther apart than the threshold and both covering
-radii, taken whole when all its points must link, and opened otherwise. A task returns, for each class, how many vectors
-it links with and the least class it is connected to there; pairs are never returned. Exact: bounds are on distances
-between unit vectors, with a margin for rounding, and single pairs are decided by their cosine in double precision.
+Vectors of one label are compared by cosine. Equal vectors are one class first, so copies cost nothing. The top of each
+large label's cover tree is a set of centres, a bounded sample; every class goes to the cell of its nearest centre, and a
+cell's covering radius is the distance of its farthest class. Two cells whose centres are farther apart than the threshold
+and both radii never meet. A cell is one block, or several by a hash if it is large, and each block becomes a cover tree:
+nested levels of centres whose radii halve, every point within its centre's radius. Each pair of blocks that may hold a
+link meets in one task, which walks both trees together: a pair of nodes is dropped when its centres are farther apart than
+the threshold and both covering radii, taken whole when all its points must link, and opened otherwise. A task returns, for
+each class, how many vectors it links with and the least class it is connected to there; pairs are never returned. Exact:
+bounds are on distances between unit vectors, with a margin for rounding, and single pairs are decided by their cosine in
+double precision.
 
 Vectors that are null, zero or hold null or non-finite components, rows without a label, and rows without an id link with
-nothing. Vectors of different lengths don't link. Rows that share an id share its component.
+nothing. Vectors of different lengths don't link. Rows that share an id share its component. An empty table gives no rows;
+only the three columns named are read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridelta.llm.common import read, written
@@ -26,13 +30,17 @@ from veridelta.llm.topk import usable
 COSINE = 0.93
 #: Classes of a block, on average.
 BLOCK = 2048
+#: Cells of a label at most, and classes that are dealt to their cells together.
+MOST_CELLS, DEALT = 256, 8192
 #: Links held in a task before they are contracted.
 MOST_HELD = 1 << 20
 #: Pairs of nodes opened at once.
 MOST_OPENED = 4096
 #: Rounding margin of distances.
 MARGIN = 1e-6
-TREE = "label long, dim int, blocks int, block int, ids binary, classes binary, copies binary, vectors binary, nodes binary"
+CELLS = "label long, dim int, node long, class long, copies long, embedding {}, cell int, far double"
+PARTNERS = "label long, dim int, cell int, first int, parts int, others array<int>"
+TREE = "label long, dim int, cell int, block int, ids binary, classes binary, copies binary, vectors binary, nodes binary"
 FOUND = "node long, class long, links long, low long"
 #: Columns of a tree's node table.
 CENTRE, LOW, HIGH, FIRST, CHILDREN, RADIUS = range(6)
@@ -200,21 +208,69 @@ def dual(a, b, cosine: float):
     return to_a, to_b, i, j
 
 
-def _tree(key, table):
-    label, dim, blocks, block = (k.as_py() for k in key)
+def _unit(table: pa.Table, dim: int) -> np.ndarray:
     raw = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+    scaled = raw / np.abs(raw).max(1, keepdims=True)  # squares neither overflow nor vanish
+    return scaled / np.sqrt((scaled**2).sum(1, keepdims=True))
+
+
+def _celled(key, rows, centres):
+    """Some classes of a label with the number of the nearest of its centres, and the distance."""
+    dim = key[1].as_py()
+    centres = centres.sort_by([("rank", "ascending")])
+    points, tops = _unit(rows, dim), _unit(centres, dim)
+    similar = points @ tops.T
+    cell = similar.argmax(1)
+    far = _distance(similar[np.arange(len(points)), cell])
+    is_top = dict(zip(zip(centres["node"].to_pylist(), centres["class"].to_pylist()), range(len(tops))))
+    for i, name in enumerate(zip(rows["node"].to_pylist(), rows["class"].to_pylist())):
+        if name in is_top:  # equal to a centre but for rounding: its own cell
+            cell[i], far[i] = is_top[name], 0.0
+    return pa.table(
+        {n: rows[n] for n in ("label", "dim", "node", "class", "copies", "embedding")}
+        | {"cell": pa.array(cell, pa.int32()), "far": far}
+    )
+
+
+def _partners(cosine: float):
+    """The cells of a label to the blocks of each, and the blocks that it may link with."""
+
+    def partners(key, table):
+        label, dim = (k.as_py() for k in key)
+        table = table.sort_by([("cell", "ascending")])
+        parts = np.maximum(1, -(-table["n"].to_numpy() // BLOCK))
+        first = np.cumsum(parts) - parts
+        tops, radius = _unit(table, dim), table["radius"].to_numpy()
+        limit = float(np.sqrt(2 - 2 * cosine)) + radius[:, None] + radius + MARGIN
+        near = (_distance(tops @ tops.T) <= limit) | np.eye(len(tops), dtype=bool)
+        others = [np.concatenate([np.arange(first[j], first[j] + parts[j]) for j in np.nonzero(row)[0]]) for row in near]
+        return pa.table(
+            {
+                "label": pa.array([label] * len(tops), pa.int64()),
+                "dim": pa.array([dim] * len(tops), pa.int32()),
+                "cell": table["cell"],
+                "first": pa.array(first, pa.int32()),
+                "parts": pa.array(parts, pa.int32()),
+                "others": pa.array(others, pa.list_(pa.int32())),
+            }
+        )
+
+    return partners
+
+
+def _tree(key, table):
+    label, dim, cell, block = (k.as_py() for k in key)
     ids = table["node"].to_numpy()
     # by id, so that a block's tree is the same however its rows arrive
     by_id = np.lexsort((table["class"].to_numpy(), ids))
-    scaled = raw / np.abs(raw).max(1, keepdims=True)  # squares neither overflow nor vanish
-    points = (scaled / np.sqrt((scaled**2).sum(1, keepdims=True)))[by_id]
+    points = _unit(table, dim)[by_id]
     order, nodes = build(points)
     by_id = by_id[order]
     return pa.table(
         {
             "label": pa.array([label], pa.int64()),
             "dim": pa.array([dim], pa.int32()),
-            "blocks": pa.array([blocks], pa.int32()),
+            "cell": pa.array([cell], pa.int32()),
             "block": pa.array([block], pa.int32()),
             "ids": [ids[by_id].astype(np.int64).tobytes()],
             "classes": [table["class"].to_numpy()[by_id].astype(np.int64).tobytes()],
@@ -262,6 +318,35 @@ def _meets_itself(points: np.ndarray, cosine: float) -> np.ndarray:
     return np.full(len(points), int(cosine < 1 - 1e-9), np.int64)
 
 
+def meetings(classes: DataFrame, cosine: float) -> DataFrame:
+    """The trees of all blocks, each once for every block that it meets: (one, two) are the two blocks' numbers."""
+    label = ["label", "dim"]
+    sizes = classes.groupBy(*label).agg(F.count("*").alias("size"))
+    cells = F.when(F.col("size") <= BLOCK, 1).otherwise(F.least(F.lit(MOST_CELLS), F.ceil(F.col("size") * 2 / BLOCK)))
+    sized = classes.join(sizes.withColumn("cells", cells), label)
+    # at most MOST_CELLS rows of a label
+    by_hash = Window.partitionBy(*label).orderBy(F.xxhash64("class", F.lit(1)), "node")
+    centres = sized.withColumn("rank", F.row_number().over(by_hash)).where("rank <= cells and rank <= %d" % MOST_CELLS)
+    centres = written(centres.select(*label, "node", "class", "embedding", "rank", "size"), "centres")
+    deals = F.ceil(F.col("size") / DEALT).cast("int")
+    dealt = sized.withColumn("deal", F.pmod(F.xxhash64("class", "node"), deals).cast("int"))
+    shown = centres.withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1)))
+    schema = CELLS.format(classes.schema["embedding"].dataType.simpleString())
+    placed = dealt.groupBy(*label, "deal").cogroup(shown.groupBy(*label, "deal")).applyInArrow(_celled, schema)
+    placed = written(placed, "cells")
+    by_cell = placed.groupBy(*label, "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
+    tops = centres.select(*label, (F.col("rank") - 1).alias("cell"), "embedding")
+    # a centre's cell holds the centre at least
+    partners = by_cell.join(tops, [*label, "cell"]).groupBy(*label).applyInArrow(_partners(cosine), PARTNERS)
+    partners = written(partners, "partners")
+    blocked = placed.join(partners.select(*label, "cell", "first", "parts"), [*label, "cell"])
+    own = F.pmod(F.xxhash64("node", "class"), F.col("parts")).cast("int")
+    trees = blocked.withColumn("block", F.col("first") + own).groupBy(*label, "cell", "block").applyInArrow(_tree, TREE)
+    met = trees.join(partners.select(*label, "cell", "others"), [*label, "cell"])
+    met = met.withColumn("other", F.explode("others")).drop("others")
+    return met.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
+
+
 def near_duplicates(
     vectors: DataFrame,
     cosine: float = COSINE,
@@ -282,15 +367,7 @@ def near_duplicates(
     )
     classes = classes.withColumn("class", F.xxhash64("label", "embedding")).withColumn("dim", F.size("embedding"))
     classes = written(classes, "classes")
-    sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = classes.join(sizes, ["label", "dim"]).withColumn(
-        "block", F.pmod(F.xxhash64("node", "class"), F.col("blocks")).cast("int")
-    )
-    trees = dealt.groupBy("label", "dim", "blocks", "block").applyInArrow(_tree, TREE)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = trees.select("*", other).withColumns(
-        {"one": F.least("block", "other"), "two": F.greatest("block", "other")}
-    )
+    met = meetings(classes, cosine)
     found = written(met.groupBy("label", "dim", "one", "two").applyInArrow(_meet(cosine), FOUND), "links")
     sums = found.groupBy("node", "class").agg(F.sum("links").alias("links"))
     edges = found.where("low is not null").select("node", "low")
@@ -302,13 +379,20 @@ def near_duplicates(
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "node").alias("component"),
     )
-    joined = rows.join(known, (rows.label == known.k_label) & (rows.embedding == known.k_embedding), "left")
-    component = F.coalesce("component", "vec_id")
-    return joined.select(
+    # rows that link with nothing pass by: without keys they would all meet in one task
+    usable_rows = rows.where("embedding is not null")
+    joined = usable_rows.join(known, (rows.label == known.k_label) & (rows.embedding == known.k_embedding))
+    joined = joined.select(
         "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
+        F.col("n_links").cast("long").alias("n_links"),
+        F.col("component").alias("component_id"),
+        (F.col("vec_id") == F.col("component")).alias("kept"),
+    )
+    alone = rows.where("embedding is null")
+    return joined.unionByName(
+        alone.select(
+            "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
+        )
     )
 
 

@@ -205,6 +205,58 @@ def test_toxicity_without_labels(spark, docs):
     assert len(got) == len(ROWS) and all(r.s.grade == 0 for r in got)
 
 
+def test_severity_on_held_out_texts(spark):
+    # how many vile words a text has is its severity; the labels only say toxic or not
+    draw = random.Random(12)
+    vile = [f"vile{i}" for i in range(12)]
+    rows, many = [], {}
+    for i in range(900):
+        bad = i % 3 == 0
+        many[i] = draw.choice((1, 2, 7, 9)) if bad else 0
+        words = [f"w{draw.randrange(60)}" for _ in range(30)] + [draw.choice(vile) for _ in range(many[i])]
+        rows.append((i, " ".join(words), int(bad)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] < 600], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = docs.where("doc_id >= 600").select("doc_id", toxicity.severity(model, "text").alias("s")).collect()
+    means = {n: np.mean([r.s.expected_severity for r in got if many[r.doc_id] == n]) for n in (0, 1, 2, 7, 9)}
+    assert means[0] < 0.2 < means[1] < means[7] and means[2] < means[9] and means[9] > 1.5
+
+
+def test_ordinal_gradient_by_differences():
+    # one step of the fit moves weights and thresholds down the likelihood's gradient
+    draw = np.random.default_rng(2)
+    x, grades, times = draw.normal(size=(20, 3)), draw.integers(0, 3, 20), draw.integers(1, 5, 20).astype(float)
+    rows, cols = np.repeat(np.arange(20), 3), np.tile(np.arange(3), 20)
+
+    def loss(w, theta):
+        above = 1 / (1 + np.exp(-((x @ w)[:, None] - theta)))
+        mass = np.column_stack([np.ones(20), above])[np.arange(20), grades] - np.column_stack([above, np.zeros(20)])[np.arange(20), grades]
+        return -(np.log(mass) * times).sum() / times.sum()
+
+    theta0 = np.array([np.log((times[grades <= j].sum() + 1) / (times[grades > j].sum() + 1)) for j in range(2)])
+    w1, theta1 = toxicity.fit_ordinal(rows, cols, x.ravel(), grades, 3, l1=0, steps=1, times=times)
+    step = 0.1 / np.sqrt(np.bincount(cols, x.ravel() ** 2 * (times / times.sum())[rows], 3) + 1e-3)
+    for i in range(3):
+        e = np.eye(3)[i] * 1e-5
+        assert abs(-w1[i] / step[i] - (loss(e, theta0) - loss(-e, theta0)) / 2e-5) < 1e-6
+    for j in range(2):
+        e = np.eye(2)[j] * 1e-5
+        assert abs((theta0 - theta1)[j] / 2 - (loss(np.zeros(3), theta0 + e) - loss(np.zeros(3), theta0 - e)) / 2e-5) < 1e-6
+
+
+def test_toxicity_of_nothing_and_of_double_labels(spark, docs, no_docs):
+    _, labels = labelled(spark)
+    nothing = toxicity.train(no_docs, labels)
+    assert no_docs.select(toxicity.severity(nothing, "text")).count() == 0 and not nothing.weights
+    assert toxicity.stage_of(no_docs, nothing).count() == 0
+    some, labels = labelled(spark)
+    twice = labels.unionByName(labels.where("doc_id % 4 = 0").select("doc_id", F.lit(0).alias("toxic"))).unionByName(labels)
+    assert toxicity.train(some.unionByName(some), twice) == toxicity.train(some, labels)
+    got = docs.select("doc_id", toxicity.severity(toxicity.train(some, labels), "text").alias("s")).collect()
+    assert len(got) == len(ROWS) and len({r.s for r in got if r.doc_id == 8}) == 1
+
+
 def test_ordinal_gradient_separates_grades():
     rows = np.arange(90)
     grades = rows % 3

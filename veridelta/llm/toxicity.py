@@ -37,8 +37,10 @@ from veridelta.llm.common import read, slices, written
 MOST_ROWS, MOST_WEIGHTS = 3000, 20_000
 #: Features that are looked at in the fit at most, and the least number of sampled texts that hold each.
 MOST_FEATURES, LEAST_SEEN = 60_000, 3
-#: A text is rejected where it is more likely toxic than not.
-REJECT_AT = 0.5
+#: A toxic text that stays costs as much as this many clean ones that go; so a text is rejected, and counts as of a grade,
+#: where its chance of that grade or more is at least one in this and one.
+COST = 4
+REJECT_AT = 1 / (1 + COST)
 GRADES = 3
 #: Feature hashes kept per worker.
 CACHE = 300_000
@@ -232,7 +234,7 @@ def severity(model: Ordinal, column: str | Column) -> Column:
             for fs in filter(None, map(active.__getitem__, (text or "").split())):
                 counts.update(fs)
             above = model.above(counts)
-            out.append((sum(above), above[0], sum(p >= 0.5 for p in above)))
+            out.append((sum(above), above[0], sum(p >= REJECT_AT for p in above)))
         return pd.DataFrame(out, columns=["expected_severity", "p_toxic", "grade"])
 
     return scored(column)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from veridelta.llm.common import read, slices, written
 
 #: Bytes of context; grams and words that every task knows at most.
-DEPTH, MOST_HOT_GRAMS, MOST_HOT = 6, 1_500_000, 100_000
+DEPTH, MOST_HOT_GRAMS, MOST_HOT = 5, 1_000_000, 100_000
 #: Distinct words that a task counts before it hands them on.
 MOST_COUNTED = 300_000
 #: Rows of short contexts that are broadcast at most; more are joined.
@@ -88,7 +88,7 @@ class _Grams:
         names, n = np.unique(codes, return_counts=True)
         self.held.append((names, n * training, n))
         self.size += len(names)
-        if self.size > 3_000_000:
+        if self.size > 1_500_000:
             self.held = [self.merged()]
             self.size = len(self.held[0][0])
 
@@ -140,7 +140,7 @@ def _counted(batches):
                     grams.add(grams_of(own)[0], training)
             if len(words) + len(held_words) > MOST_COUNTED:
                 yield from word_rows()
-            if grams.size > 2_000_000 and len(grams.held) == 1:
+            if grams.size > 1_000_000 and len(grams.held) == 1:
                 yield from gram_rows()
     yield from word_rows()
     if grams.held:
@@ -151,6 +151,8 @@ def counts(docs: DataFrame) -> DataFrame:
     """(word, gram, n, times), one of word and gram being null: its number in training texts and in all. The empty word is
     the end."""
     rows = docs.select(is_held_out().alias("held_out"), "text").mapInArrow(_counted, COUNTED)
+    # a task has counted its own already: what is left is to bring equal keys together
+    rows = rows.repartition("word", "gram")
     return rows.groupBy("word", "gram").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from veridelta.functions import layout, metrics, text
+from veridelta.functions import align, layout, metrics, text
 
 
 @pytest.fixture(scope="module")
@@ -46,34 +46,97 @@ def test_claims(value):
         "Another long sentence",
     ]
     assert value(text.claims(L(""))) == []
+    assert value(text.claims(L('{"claims": []}'))) == [] and value(text.claims(L('say ["a", " b "] now'))) == ["a", "b"]
+    # an item that is no string: not taken as it is
+    assert value(text.claims(L('{"claims": ["a", 3]}'))) == ["a", "3"]
+    assert value(text.claims(L('{"claims": "a claim that is a long string"}'))) == ['{"claims": "a claim that is a long string"}']
+    assert value(text.standalone_claims(L("short"), L("its text"))) == ["its text"]
+    assert value(text.standalone_claims(L('{"claims": ["a"]}'), L("  "))) == []
+
+
+@pytest.mark.parametrize("token, want", [("River", True), (" the", False), ("x", False), ("?!", False), ("42", True), ("", False), ("\n", False)])
+def test_key_tokens(value, token, want):
+    assert value(text.is_key_token(L(token))) == want
+
+
+@pytest.mark.parametrize("token, want", [("▁Owl", " Owl"), ("ĠOwl", " Owl"), ("aĊ", "a\n"), ("</s>", ""), ("<|end|>", ""), ("[INST]", ""), ("<b>", "<b>")])
+def test_display_form(value, token, want):
+    assert value(text.display_decoded(L(token))) == want
+
+
+@pytest.mark.parametrize(
+    "said, pieces, want, kept",
+    [
+        ("It rains. It pours.", ["It", " rains", ". It", " pours", "."], "It rains.", ["It", " rains", "."]),
+        ("It rains.", ["It", " rains."], "It rains.", ["It", " rains."]),
+        ('He said "no." Then', ['He said "', 'no."', " Then"], 'He said "no."', ['He said "', 'no."']),
+        ("3.5 is a number", ["3.5", " is a number"], "3.5 is a number", ["3.5", " is a number"]),
+        ("no end", ["no", " end"], "no end", ["no", " end"]),
+        ("", [], "", []),
+    ],
+)
+def test_first_sentence(value, said, pieces, want, kept):
+    own = F.array(*map(L, pieces)).cast("array<string>")
+    assert value(text.first_sentence(L(said))) == want and value(text.first_sentence_pieces(L(said), own)) == kept
+
+
+def test_alignment_by_text():
+    assert align.by_text("a bc", [" a", " b", "c "]) == (["a", " b", "c"], True)
+    assert align.by_text("", []) == ([], True) and align.by_text("x", []) == ([], False)
+    pieces, exact = align.by_text("owls hunt", ["ow", "lz", "hunt!"])
+    assert not exact and "".join(pieces) == "owls hunt" and len(pieces) == 3
+    assert align.by_text("x", ["", ""]) == (["", "x"], False)
+
+
+def test_alignment_by_bytes(spark):
+    raw = "né 🙂".encode()
+    tokens, values = ["<s>", *["t"] * len(raw), "</s>"], [None, *[[b] for b in raw], None]
+    pieces, exact = align.by_bytes("né 🙂", tokens, values)
+    assert exact and "".join(pieces) == "né 🙂" and pieces[2] == "" and pieces[3] == "é"
+    assert align.by_bytes("x", ["t"], [None]) == ([""], False) and align.by_bytes("x", ["t"], [[121]]) == ([""], False)
+    rows = spark.createDataFrame([("né", ["t", "t", "t"], [[110], [195], [169]]), (None, None, None)], "x string, t array<string>, v array<array<int>>")
+    got = [r.a for r in rows.select(align.aligned_to_bytes(F.col("x"), F.col("t"), F.col("v")).alias("a")).collect()]
+    assert got[0].pieces == ["n", "", "é"] and got[0].exact and got[1].exact
+    got = rows.select(align.aligned_to_text(F.col("x"), F.col("t")).alias("a")).first().a
+    assert not got.exact and len(got.pieces) == 3
 
 
 def test_final_answer(value):
-    assert value(text.final_answer(L('Reason. The final answer is: "Sam Bankman-Fried"'))) == "Sam Bankman-Fried"
+    assert value(text.final_answer(L('We add both. The final answer is: "Lake Vesna"'))) == "Lake Vesna"
     assert value(text.final_answer(L("no end"))) is None
 
 
 def test_exact_match_and_containment(value):
-    assert value(metrics.exact_match(L("the Eiffel Tower"), texts("Eiffel Tower")))
-    assert value(metrics.exact_match(L("NYC"), texts("New York City", "NYC", "New York")))
+    assert value(metrics.exact_match(L("the old Mill"), texts("Old mill")))
+    assert value(metrics.exact_match(L("B. Oak"), texts("Birch", "b oak", "Beech")))
     assert not value(metrics.exact_match(L("x"), F.array().cast("array<string>")))
-    assert value(metrics.containment(L("It is Paris, France"), texts("paris")))
+    assert value(metrics.containment(L("Near Vesna, in the hills"), texts("vesna")))
 
 
 def test_token_f1(value):
-    assert 0.5 < value(metrics.token_f1(L("Paris is the capital"), texts("Paris is the capital of France"))) < 1
+    assert value(metrics.token_f1(L("grey owls hunt mice"), texts("none", "owls hunt at night"))) == 0.5
     assert value(metrics.token_f1(L(""), texts("x"))) == 0
     assert value(metrics.token_f1_single(L("the"), L("a"))) == 1
+    assert value(metrics.token_f1(L("the-cat"), texts("dog", "cat"))) == 1 and value(metrics.token_f1_single(L("the-cat"), L("cat"))) == 0
 
 
 def test_numeric_match(value):
     assert value(metrics.numeric_match(L("50%"), texts("0.5")))
-    assert value(metrics.numeric_match(L("The answer is 42 million"), texts("42")))
-    assert not value(metrics.numeric_match(L("41"), texts("42")))
+    assert value(metrics.numeric_match(L("some 1700 boats"), texts("1700")))
+    assert not value(metrics.numeric_match(L("16"), texts("17")))
 
 
 def test_rouge(value):
-    assert 0.3 < value(metrics.rouge_l(L("the brown fox"), L("the quick brown fox jumps"))) < 1
+    assert value(metrics.rouge_l(L("grey owls hunt"), texts("x", "big grey owls never hunt"))) == pytest.approx(2 * 3 / (3 + 5))
+    assert value(metrics.rouge_l(L(""), texts("x"))) == 0 and value(metrics.rouge_l(L("the-cat"), texts("cat"))) == 1
+    assert value(metrics.rouge_l(L("x"), F.array().cast("array<string>"))) == 0
+
+
+def test_suite(value):
+    chosen = metrics.suite(("token_f1", "numeric"), L("17"), texts("17"))
+    assert list(chosen) == ["token_f1", "numeric"] and value(chosen["numeric"]) == 1
+    with pytest.raises(ValueError):
+        metrics.suite(("other",), L("x"), texts("x"))
 
 
 def test_common_length_is_the_dynamic_programme():
@@ -97,3 +160,49 @@ def test_layouts(value):
     assert value(layout.image_label(L("A red car"))) == "[Image: A red car]"
     assert value(layout.image_label(L(None).cast("string"))) == "[Image]"
     assert value(layout.mime_type(L("x/y.PNG"))) == "image/png" and value(layout.mime_type(L("z"))) == "image/jpeg"
+
+
+CHUNK = "array<struct<modality: string, text: string, caption: string, image: string, mime: string, headers: array<string>, rows: array<array<string>>>>"
+
+
+def test_table_and_image_contexts(spark):
+    chunks = [("table", None, None, None, None, ["h"], [["1"]]), ("text", "plain", None, None, None, None, None), ("table", "as it is", None, None, None, None, None)]
+    rows = spark.createDataFrame([(chunks,), ([],)], f"c {CHUNK}")
+    got = [r.x for r in rows.select(layout.table_context(F.col("c")).alias("x")).collect()]
+    assert got[0] == "Context:\n\n[TABLE 1]\n| h |\n| --- |\n| 1 |\n\n[TEXT 2] plain\n\n[TABLE 3]\nas it is\n" and got[1] == layout.NO_CONTEXT
+    assert "[TABLE 1]\nh: 1\n" in rows.select(layout.table_context(F.col("c"), "linear").alias("x")).first().x
+    chunks = [("image", None, "a hill", "http://x/y.png", None, None, None), ("image", None, None, "QUJD", "image/png", None, None), ("text", "t", None, None, None, None, None)]
+    rows = spark.createDataFrame([(chunks,), ([],)], f"c {CHUNK}")
+    got = [r.x for r in rows.select(layout.image_context(F.col("c")).alias("x")).collect()]
+    assert [b.text or b.url for b in got[0]] == ["Context:\n", "[Image 1] Caption: a hill", "http://x/y.png", "[Image 2]", "data:image/png;base64,QUJD", "[Text 3] t\n"]
+    assert [b.text for b in got[1]] == [layout.NO_CONTEXT]
+    said = rows.select(layout.prompt_messages(L("why"), layout.image_context(F.col("c")), L("be brief")).alias("m")).collect()
+    assert [m.role for m in said[0].m] == ["system", "user"] and said[0].m[1].content[-1].text == "\nQuestion: why\nAnswer:"
+    said = rows.select(layout.prompt_messages(L("why"), layout.image_context(F.col("c"))).alias("m")).first().m
+    assert [m.role for m in said] == ["user"]
+    labels = rows.select(F.explode("c").alias("c")).select(layout.chunk_label(*[F.col(f"c.{n}") for n in ("modality", "text", "caption", "headers", "rows")]).alias("x"))
+    assert [r.x for r in labels.collect()] == ["[Image: a hill]", "[Image]", "t"]
+
+
+def test_listed_tables_and_base64(value):
+    cells = F.array(texts("h", "k"), texts("1"))
+    assert value(layout.listed_table(cells)) == "| h | k |\n| --- | --- |\n| 1 |  |"
+    assert value(layout.image_base64(L("abc" * 40).cast("binary"))) == "YWJj" * 40
+
+
+def test_prompts(spark, value):
+    rows = spark.createDataFrame([("Some-Alpha-7", "why", "p")], "model string, q string, p string")
+    templates = spark.createDataFrame([("alpha", "{q}? {p}"), ("beta", "-")], "kind string, chat string")
+    assert layout.prompts(rows, templates, "model", "chat", q=F.col("q"), p=F.col("p")).first().prompt == "why? p"
+    with pytest.raises(Exception, match="no template"):
+        layout.prompts(rows.withColumn("model", L("gamma")), templates, "model", "chat", q=F.col("q"), p=F.col("p")).collect()
+    docs = F.array(F.struct(L("T").alias("title"), L(None).cast("string").alias("source"), L("d").alias("published_at"), L("x").alias("text"), L(1).alias("id"), L("u").alias("url"), L(0.5).alias("score")))
+    assert value(layout.document_block(docs)) == "[1] T\nSource: ; Date: d\nx"
+    assert value(layout.compact_documents(docs))[0].asDict() == {"id": 1, "title": "T", "url": "u", "score": 0.5}
+
+
+def test_truth_prompts(value):
+    shot = value(layout.truth_shot(L("q"), L("a "), texts("b"), L(True)))
+    assert shot == "Question: q\nBrainstormed Answers: a \nb \nPossible answer: a \n" + layout.CHOICES + " A"
+    own = value(layout.truth_prompt(L("q"), L("a"), texts("b"), layout.shot_block(texts("one", "two"))))
+    assert own == "one\ntwo\nQuestion: q\nBrainstormed Answers: b\na\nPossible answer: a\n" + layout.CHOICES

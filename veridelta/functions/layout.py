@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # File endings and their types.
@@ -30,6 +30,11 @@ def table_markdown(headers: Column, rows: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
+def listed_table(cells: Column) -> Column:
+    """A table as a list of rows, the first of which holds the headers, in Markdown."""
+    return F.when(F.size(cells) > 0, table_markdown(F.get(cells, F.lit(0)), F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0))))).otherwise("")
+
+
 def table_linear(headers: Column, rows: Column) -> Column:
     """``header: cell`` pairs; a missing header is named by its place."""
     pair = lambda c, j: F.concat(F.coalesce(F.get(headers, j), F.concat(F.lit("col"), j)), F.lit(": "), c)
@@ -65,3 +70,129 @@ def query_of_claims(claims: Column) -> Column:
 def guidance(claims: Column, most: int = 5) -> Column:
     """The leading concept's first claims as a hint for the final answer."""
     return F.array_join(F.slice(claims, 1, most), "; ")
+
+
+NO_CONTEXT = "[No context provided]"
+
+
+def table_context(chunks: Column, form: str = "markdown") -> Column:
+    """Numbered tables and texts under a heading. ``chunks``: structs of modality, text, headers and rows; a table without
+    headers and rows is its text."""
+
+    def block(c: Column, i: Column) -> Column:
+        shown = table_markdown(c["headers"], c["rows"]) if form == "markdown" else table_linear(c["headers"], c["rows"])
+        table = F.concat(F.lit("[TABLE "), i + 1, F.lit("]\n"), F.coalesce(shown, c["text"]), F.lit("\n"))
+        return F.when(c["modality"] == "table", table).otherwise(F.concat(F.lit("[TEXT "), i + 1, F.lit("] "), c["text"], F.lit("\n")))
+
+    blocks = F.concat(F.array(F.lit("Context:\n")), F.transform(chunks, block))
+    return F.when(F.size(chunks) > 0, F.array_join(blocks, "\n")).otherwise(NO_CONTEXT)
+
+
+def _block(kind: str, text=None, url=None, detail=None) -> Column:
+    none = F.lit(None).cast("string")
+    own = [(kind, "type"), (text, "text"), (url, "url"), (detail, "detail")]
+    return F.struct(*[(none if v is None else F.lit(v) if isinstance(v, str) else v).cast("string").alias(n) for v, n in own])
+
+
+def image_context(chunks: Column, detail: str = "high") -> Column:
+    """Content blocks (type, text, url, detail) of texts and images. ``chunks``: structs of modality, text, caption and image,
+    which is a url or base64, with its type in ``mime`` where it was read from a file."""
+
+    def blocks(c: Column, i: Column) -> Column:
+        label = F.concat(F.lit("[Image "), i + 1, F.lit("]"))
+        label = F.when(F.coalesce(c["caption"], F.lit("")) != "", F.concat(label, F.lit(" Caption: "), c["caption"])).otherwise(label)
+        is_url = c["image"].startswith("http://") | c["image"].startswith("https://")
+        inline = F.concat(F.lit("data:"), F.coalesce(c["mime"], F.lit("image/jpeg")), F.lit(";base64,"), c["image"])
+        image = F.array(_block("text", label), _block("image_url", url=F.when(is_url, c["image"]).otherwise(inline), detail=detail))
+        text = F.array(_block("text", F.concat(F.lit("[Text "), i + 1, F.lit("] "), c["text"], F.lit("\n"))))
+        return F.when(c["modality"] == "image", image).otherwise(text)
+
+    return F.when(
+        F.size(chunks) > 0, F.concat(F.array(_block("text", "Context:\n")), F.flatten(F.transform(chunks, blocks)))
+    ).otherwise(F.array(_block("text", NO_CONTEXT)))
+
+
+def image_base64(content: Column) -> Column:
+    """A file's bytes in base64, in one line."""
+    return F.regexp_replace(F.base64(content), r"\s", "")
+
+
+def chunk_label(modality: Column, text: Column, caption: Column, headers: Column, rows: Column) -> Column:
+    """What stands for a chunk in a text: a table in one line, an image's caption, or the text itself."""
+    return F.when(modality == "table", F.coalesce(table_linear(headers, rows), text)).when(
+        modality == "image", image_label(caption)
+    ).otherwise(text)
+
+
+def prompt_messages(question: Column, blocks: Column, system: Column | None = None) -> Column:
+    """Messages (role, content): the system's if there is one, and the user's with context and question."""
+    asked = _block("text", F.concat(F.lit("\nQuestion: "), question, F.lit("\nAnswer:")))
+    user = F.struct(F.lit("user").alias("role"), F.concat(blocks, F.array(asked)).alias("content"))
+    if system is None:
+        return F.array(user)
+    own = F.struct(F.lit("system").alias("role"), F.array(_block("text", system)).alias("content"))
+    return F.when(F.coalesce(system, F.lit("")) != "", F.array(own, user)).otherwise(F.array(user))
+
+
+def filled(template: Column, **values: Column) -> Column:
+    """A template with each ``{name}`` replaced by its value."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
+    return template
+
+
+def prompts(rows: DataFrame, templates: DataFrame, model: str, template: str, **values: Column) -> DataFrame:
+    """``rows`` with ``prompt``: the template of their model's kind, filled. ``templates`` (kind, template) holds a row for each
+    kind of model; a model whose name holds none of the kinds is an error."""
+    kinds = templates.select(F.col("kind").alias("__kind"), F.col(template).alias("__t"))
+    # a few kinds of model
+    joined = rows.join(F.broadcast(kinds), F.lower(F.col(model)).contains(F.lower("__kind")), "left")
+    known = F.coalesce("__t", F.raise_error(F.concat(F.lit("no template for model "), F.col(model))).cast("string"))
+    return joined.withColumn("prompt", filled(known, **values)).drop("__kind", "__t")
+
+
+def document_block(documents: Column) -> Column:
+    """Numbered documents (title, source, published_at, text) with where and when they appeared."""
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    lines = F.transform(
+        documents,
+        lambda d, i: F.concat(
+            F.lit("["), i + 1, F.lit("] "), d["title"], F.lit("\nSource: "), empty(d["source"]), F.lit("; Date: "),
+            empty(d["published_at"]), F.lit("\n"), d["text"],
+        ),
+    )
+    return F.array_join(lines, "\n\n")
+
+
+def compact_documents(documents: Column) -> Column:
+    """Documents with id, title, url and score alone."""
+    return F.transform(documents, lambda d: F.struct(*[d[c].alias(c) for c in ("id", "title", "url", "score")]))
+
+
+# How a question, its answers and the two choices are laid out.
+CHOICES = "Is the possible answer:\nA) True\nB) False\nThe possible answer is:"
+
+
+def truth_shot(question: Column, answer: Column, samples: Column, correct: Column) -> Column:
+    """A worked example: the answer itself stands before the samples, and the choice after them."""
+    lines = F.transform(F.concat(F.array(answer), samples), lambda a: F.concat(F.trim(a), F.lit(" \n")))
+    label = F.when(correct, " A").otherwise(" B")
+    return F.concat(
+        F.lit("Question: "), question, F.lit("\nBrainstormed Answers: "), F.array_join(lines, ""), F.lit("Possible answer: "),
+        answer, F.lit("\n" + CHOICES), label,
+    )
+
+
+def truth_prompt(question: Column, answer: Column, samples: Column, shots: Column | None = None) -> Column:
+    """A question whose choice is open: the answer itself stands after the samples."""
+    lines = F.transform(F.concat(samples, F.array(answer)), lambda a: F.concat(F.trim(a), F.lit("\n")))
+    own = F.concat(
+        F.lit("Question: "), question, F.lit("\nBrainstormed Answers: "), F.array_join(lines, ""), F.lit("Possible answer: "),
+        answer, F.lit("\n" + CHOICES),
+    )
+    return own if shots is None else F.concat(F.when(F.coalesce(shots, F.lit("")) != "", F.concat(shots, F.lit("\n"))).otherwise(""), own)
+
+
+def shot_block(shots: Column) -> Column:
+    """Worked examples, one after another."""
+    return F.array_join(shots, "\n")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veridelta.functions.text import articles_first, numbers, plain_tokens, punctuation_first
+from veridelta.functions.text import articles_first, bound, numbers, plain_tokens, punctuation_first, words
 
 
 def exact_match(prediction: Column, golds: Column, form=articles_first) -> Column:
@@ -21,12 +21,6 @@ def containment(prediction: Column, golds: Column) -> Column:
     return F.coalesce(F.exists(golds, lambda g: own.contains(punctuation_first(g))), F.lit(False))
 
 
-def bound(f, **columns: Column) -> Column:
-    """``f`` of some columns, each computed once however often ``f`` uses it."""
-    once = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
-    return F.transform(once, lambda s: f(*(s[n] for n in columns)))[0]
-
-
 def overlap(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two arrays."""
     count = lambda xs, t: F.size(F.filter(xs, lambda x: x == t))
@@ -38,14 +32,19 @@ def f1_of(common: Column, n_prediction: Column, n_gold: Column) -> Column:
     return F.when(common > 0, F.lit(2.0) * common / (n_prediction + n_gold)).otherwise(F.lit(0.0))
 
 
+def form_tokens(text: Column) -> Column:
+    """The words of the articles-first form."""
+    return words(articles_first(F.coalesce(text, F.lit(""))))
+
+
 def token_f1(prediction: Column, golds: Column) -> Column:
-    """Token F1 with the best gold; 0 for an empty prediction, empty golds are skipped."""
+    """Token F1 with the best gold, in the articles-first form; 0 for an empty prediction, empty golds are skipped."""
 
     def best(own: Column, others: Column) -> Column:
         scores = F.transform(others, lambda g: f1_of(overlap(own, g), F.size(own), F.size(g)))
         return F.coalesce(F.array_max(scores), F.lit(0.0))
 
-    return bound(best, own=plain_tokens(prediction), others=F.transform(golds, lambda g: plain_tokens(g)))
+    return bound(best, own=form_tokens(prediction), others=F.transform(golds, lambda g: form_tokens(g)))
 
 
 def token_f1_single(prediction: Column, gold: Column) -> Column:
@@ -81,10 +80,22 @@ def common_subsequence(left: Column, right: Column) -> Column:
     return lengths(left, right)
 
 
-def rouge_l(prediction: Column, gold: Column) -> Column:
-    """F1 of the longest common subsequence of the plain tokens."""
-    a, b = plain_tokens(prediction), plain_tokens(gold)
-    return f1_of(common_subsequence(a, b), F.size(a), F.size(b))
+def rouge_l(prediction: Column, golds: Column) -> Column:
+    """F1 of the longest common subsequence in the articles-first form, with the best gold; 0 for an empty prediction."""
+
+    @F.pandas_udf("array<int>")
+    def lengths(own: pd.Series, others: pd.Series) -> pd.Series:
+        return pd.Series([[] if gs is None else [_common_length(list(x), list(g)) for g in gs] for x, gs in zip(own, others)])
+
+    own = form_tokens(prediction)
+    others = F.transform(golds, lambda g: form_tokens(g))
+    scores = lambda own, others, common: F.zip_with(
+        others, common, lambda g, n: f1_of(n, F.size(own), F.size(g))
+    )
+    best = bound(
+        lambda own, others, common: F.array_max(scores(own, others, common)), own=own, others=others, common=lengths(own, others)
+    )
+    return F.coalesce(best, F.lit(0.0))
 
 
 def numeric_match(prediction: Column, golds: Column, tolerance: float = 1e-6) -> Column:
@@ -98,3 +109,14 @@ def numeric_match(prediction: Column, golds: Column, tolerance: float = 1e-6) ->
 def mean_or_zero(value: Column) -> Column:
     """Mean of a group, 0 if it is empty."""
     return F.coalesce(F.avg(value), F.lit(0.0))
+
+
+METRICS = {"exact_match": exact_match, "token_f1": token_f1, "numeric": numeric_match, "rouge_l": rouge_l}
+
+
+def suite(names: tuple[str, ...], prediction: Column, golds: Column) -> dict[str, Column]:
+    """The named metrics of an answer, as numbers; an unknown name is an error."""
+    unknown = sorted(set(names) - set(METRICS))
+    if unknown:
+        raise ValueError(f"unknown metrics: {', '.join(unknown)}")
+    return {n: METRICS[n](prediction, golds).cast("double") for n in names}

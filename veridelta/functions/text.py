@@ -13,6 +13,19 @@ ARTICLES = ("a", "an", "the")
 TOKEN = "([A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*)"
 NUMBER = r"(-?\d+\.?\d*%?)"
 SPACE = "[ \\t\\n\\r\\f\\x0B]+"
+ANSWER_PREFIX = r"(?i)^(?:so\s+)?(?:the\s+)?(?:final\s+)?answer\s+is\s*[:\-]?\s*"
+SENTENCE_END = r"[.!?][\"']?(?=\s|$)"
+SPECIAL_TOKEN = r"^(?:</?s>|<\|[^>]+\|>|\[(?:INST|/INST)\])$"
+#: Signs of which a token without content consists.
+SIGNS = ".,;:!?()-[]{}\"'`\n\t /\\|"
+#: Words that carry no content.
+STOP_WORDS = """
+the a an is are was were be been being have has had do does did will would could should may might shall can need dare ought
+to of in for on with at by from as into through during before after above below between out off over under again further
+then once here there when where why how all each every both few more most other some such no not only own same so than too
+very just because but and or if while although this that these those it its i me my we our you your he him his she her
+they them their what which who whom whose
+""".split()
 
 
 def _collapsed(text: Column) -> Column:
@@ -42,6 +55,23 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def bound(f, **columns: Column) -> Column:
+    """``f`` of some columns, each computed once however often ``f`` uses it."""
+    once = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return F.transform(once, lambda s: f(*(s[n] for n in columns)))[0]
+
+
+def word_runs(text: Column, n: int) -> Column:
+    """Every run of n words."""
+
+    def runs(own: Column) -> Column:
+        last = F.size(own) - n
+        starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(own, i + 1, n), " "))
+
+    return bound(runs, own=words(text))
+
+
 def tokens(text: Column) -> Column:
     """ASCII word tokens with inner quotes and hyphens, lower-cased afterwards."""
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(1)), lambda t: F.lower(t))
@@ -58,13 +88,17 @@ def numbers(text: Column) -> Column:
 
 def chunks(text: Column, size: int = 256, overlap: int = 32) -> Column:
     """Overlapping windows of words; the last is the first that reaches the end."""
-    step, own = size - overlap, words(text)
-    n = F.size(own)
-    last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / F.lit(step))).cast("int")
-    starts = F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: i * step)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda s: F.array_join(F.slice(own, s + 1, size), " "))
+    step = size - overlap
+
+    def windows(own: Column) -> Column:
+        n = F.size(own)
+        last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / F.lit(step))).cast("int")
+        starts = F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: i * step)).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.transform(starts, lambda s: F.array_join(F.slice(own, s + 1, size), " "))
+
+    return bound(windows, own=words(text))
 
 
 def sentence_claims(text: Column, least: int = 10) -> Column:
@@ -74,12 +108,60 @@ def sentence_claims(text: Column, least: int = 10) -> Column:
     )
 
 
+def _strings_or_null(text: Column, path: str) -> Column:
+    """A JSON list at a path, if all its items are strings, trimmed and without blank ones; else null."""
+    items = F.from_json(F.get_json_object(text, path), "array<string>")
+    # as JSON again: a string's item is quoted, whatever its content
+    strict = F.from_json(F.get_json_object(text, path), "array<variant>")
+    all_strings = F.forall(strict, lambda v: F.schema_of_variant(v) == "STRING")
+    kept = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(all_strings, kept)
+
+
 def claims(text: Column) -> Column:
-    """Claims of a model's answer: ``{"claims": [...]}``, else the first list in it, else its sentences."""
-    parsed = F.from_json(text, "claims array<string>")["claims"]
+    """Claims of a model's answer: ``{"claims": [...]}`` if all are strings, else the first list in it, else its sentences."""
     listed = F.from_json(F.regexp_extract(text, r"(?s)(\[.*?\])", 1), "array<string>")
-    kept = lambda c: F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
-    return F.coalesce(kept(parsed), kept(listed), sentence_claims(text))
+    kept = F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    return F.coalesce(_strings_or_null(text, "$.claims"), kept, sentence_claims(text))
+
+
+def standalone_claims(answer: Column, text: Column) -> Column:
+    """Claims of a model's answer about ``text``, which is the claim itself where the answer has none; none if it is blank."""
+    found = claims(answer)
+    return F.when(F.trim(text) == "", F.array().cast("array<string>")).otherwise(
+        F.when(F.size(found) > 0, found).otherwise(F.array(text))
+    )
+
+
+def is_key_token(token: Column) -> Column:
+    """Whether a token carries content: more than one character, not all signs, no stop word."""
+    bare = F.lower(F.trim(F.regexp_replace(token, r"^\s+|\s+$", "")))
+    return (F.length(bare) > 1) & (F.translate(bare, SIGNS, "") != "") & ~bare.isin(STOP_WORDS)
+
+
+def display_decoded(token: Column) -> Column:
+    """A token's text from the form that tokenizers show; special tokens have none."""
+    shown = F.replace(F.replace(F.replace(token, F.lit("▁"), F.lit(" ")), F.lit("Ġ"), F.lit(" ")), F.lit("Ċ"), F.lit("\n"))
+    return F.when(F.regexp_like(token, F.lit(SPECIAL_TOKEN)), "").otherwise(shown)
+
+
+def first_sentence(text: Column) -> Column:
+    """The text up to its first sentence's end, trimmed; whole if no sentence ends before its own end."""
+    upto = F.regexp_extract(text, rf"(?s)^(.*?{SENTENCE_END})", 1)
+    cut = (upto != "") & (F.length(upto) < F.length(text))
+    return F.when(cut, F.regexp_replace(upto, r"^\s+|\s+$", "")).otherwise(text)
+
+
+def first_sentence_pieces(text: Column, pieces: Column) -> Column:
+    """The pieces of a text, which they make up in order, that its first sentence takes; the last one is cut at its end."""
+    upto = F.regexp_extract(text, rf"(?s)^(.*?{SENTENCE_END})", 1)
+    end = F.when((upto != "") & (F.length(upto) < F.length(text)), F.length(upto))
+    before = lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda n, p: n + F.length(p))
+    left = F.transform(pieces, lambda p, i: F.struct(p.alias("p"), (end - before(i)).alias("left")))
+    kept = F.filter(left, lambda x: x["left"] > 0)
+    return F.when(end.isNull(), pieces).otherwise(
+        F.transform(kept, lambda x: F.substring(x["p"], F.lit(1), F.least(x["left"], F.length(x["p"]))))
+    )
 
 
 def final_answer(text: Column) -> Column:

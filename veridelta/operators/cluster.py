@@ -2,24 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _roots(n: int, pairs) -> list[int]:
-    root = list(range(n))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in pairs:
-        x, y = find(a), find(b)
-        root[max(x, y)] = min(x, y)
-    return [find(x) for x in range(n)]
+from veridelta.operators.components import connected_components
 
 
 def both_ways(scores: DataFrame, query: str, threshold: float = 0.5) -> DataFrame:
@@ -29,51 +15,62 @@ def both_ways(scores: DataFrame, query: str, threshold: float = 0.5) -> DataFram
     return held.where("i <> j").select(query, low, high).groupBy(query, "i", "j").count().where("count >= 2").drop("count")
 
 
-def concepts(samples: DataFrame, edges: DataFrame, query: str, sample: str) -> DataFrame:
-    """(query, concept, samples, probability): transitive classes of a question's samples.
+def contradicts(score: Column, threshold: float = 0.5) -> Column:
+    """Whether a statement contradicts another, in the direction given."""
+    return score >= threshold
+
 
-    Concepts are numbered by falling size, ties by their first sample. A question has a few tens of samples, so its
-    classes are found in one task; questions are spread over all of them."""
-    linked = edges.groupBy(query).agg(F.collect_list(F.struct("i", "j")).alias("pairs"))
-    own = samples.groupBy(query).agg(F.array_sort(F.collect_set(sample)).alias("members")).join(linked, query, "left")
+def equivalent(forward: Column, backward: Column, strict: bool = True) -> Column:
+    """Whether two answers mean the same by their labels (entailment, neutral, contradiction) in both directions: strictly,
+    if both entail; loosely, if neither contradicts and not both are neutral."""
+    if strict:
+        return (forward == "entailment") & (backward == "entailment")
+    none = (forward != "contradiction") & (backward != "contradiction")
+    return none & ~((forward == "neutral") & (backward == "neutral"))
 
-    @F.pandas_udf("array<array<long>>")
-    def classes(members: pd.Series, pairs: pd.Series) -> pd.Series:
-        out = []
-        for ids, edges_ in zip(members, pairs):
-            place = {int(s): k for k, s in enumerate(ids)}
-            found = [] if edges_ is None else [(place[int(e["i"])], place[int(e["j"])]) for e in edges_]
-            groups: dict[int, list[int]] = {}
-            for s, r in zip(ids, _roots(len(ids), found)):
-                groups.setdefault(r, []).append(int(s))
-            out.append(sorted(groups.values(), key=lambda g: (-len(g), g[0])))
-        return pd.Series(out)
 
-    named = own.select(query, F.size("members").alias("n"), F.posexplode(classes("members", "pairs")).alias("concept", "samples"))
-    return named.select(query, "concept", "samples", (F.size("samples") / F.col("n")).alias("probability"))
+def concepts(samples: DataFrame, edges: DataFrame, query: str, sample: str) -> DataFrame:
+    """(query, sample, concept, size, probability): transitive classes of a question's samples.
+
+    ``edges`` (query, i, j) link samples. Concepts are numbered by falling size, ties by their first sample. Components are
+    found over all questions together, so a question with very many samples is no single task's."""
+    own = samples.select(F.col(query).alias("q"), F.col(sample).alias("s")).distinct()
+    node = lambda s: F.struct(F.col(query).alias("q"), F.col(s).cast("long").alias("s"))
+    found = connected_components(edges.select(node("i").alias("a"), node("j").alias("b")), "a", "b")
+    found = found.select(F.col("node.q").alias("l_q"), F.col("node.s").alias("l_s"), F.col("component.s").alias("least"))
+    joined = own.join(found, F.col("q").eqNullSafe(F.col("l_q")) & (F.col("s") == F.col("l_s")), "left")
+    joined = joined.select("q", "s", F.coalesce("least", F.col("s").cast("long")).alias("first"))
+    # one row for each class, not for each sample
+    sizes = joined.groupBy(F.col("q").alias("c_q"), F.col("first").alias("c_first")).agg(F.count("*").alias("size"))
+    by_size = Window.partitionBy("c_q").orderBy(F.col("size").desc(), "c_first")
+    sizes = sizes.withColumn("concept", F.row_number().over(by_size) - 1)
+    sizes = sizes.withColumn("probability", F.col("size") / F.sum("size").over(Window.partitionBy("c_q")))
+    both = joined.join(sizes, F.col("q").eqNullSafe(F.col("c_q")) & (F.col("first") == F.col("c_first")))
+    return both.select(F.col("q").alias(query), F.col("s").alias(sample), "concept", "size", "probability")
 
 
 def greedy_classes(pairs: DataFrame, query: str, n_samples: str) -> DataFrame:
-    """(query, classes): each sample in turn opens a class and takes every later one that it equals.
-
-    ``pairs`` (query, n, i, j, equal): comparisons only with a class's first sample, so the result depends on the order
-    and isn't transitive; a later first sample may take one that was taken before."""
-
-    def assign(key, rows: pd.DataFrame) -> pd.DataFrame:
-        n = int(rows[n_samples].max())
-        equal = {(int(i), int(j)) for i, j, e in zip(rows["i"], rows["j"], rows["equal"]) if e}
-        ids, last = [-1] * n, 0
-        for i in range(n):
-            if ids[i] == -1:
-                ids[i] = last
-                for j in range(i + 1, n):
-                    if (i, j) in equal:
-                        ids[j] = last
-                last += 1
-        return pd.DataFrame({query: [key[0]], "classes": [ids]})
-
-    kind = dict(pairs.dtypes)[query]
-    return pairs.groupBy(query).applyInPandas(assign, f"{query} {kind}, classes array<int>")
+    """(query, classes): the class of each of a question's samples when only first samples are compared with.
+
+    ``pairs`` (query, n, i, j, equal). A sample is the first of a class if it equals no earlier first sample; every other one
+    belongs to the latest first sample before it that it equals, so the result depends on the order and isn't transitive. A
+    question has as many samples as were drawn for it, a few tens."""
+    equal = F.when(F.col("equal") & (F.col("i") < F.col("j")), F.struct(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")))
+    own = pairs.groupBy(query).agg(F.max(n_samples).cast("int").alias("n"), F.collect_set(equal).alias("e"))
+    is_equal = lambda i, j: F.array_contains(F.col("e"), F.struct(i.alias("i"), j.alias("j")))
+    places = F.sequence(F.lit(0), F.col("n") - 1)
+    firsts = F.aggregate(
+        places,
+        F.lit([]).cast("array<int>"),
+        lambda done, j: F.when(F.exists(done, lambda i: is_equal(i, j)), done).otherwise(F.concat(done, F.array(j))),
+    )
+    own = own.withColumn("firsts", firsts)
+    leader = lambda j: F.coalesce(
+        F.when(F.array_contains("firsts", j), j),
+        F.array_max(F.filter("firsts", lambda i: (i < j) & is_equal(i, j))),
+    )
+    classes = F.transform(places, lambda j: (F.array_position("firsts", leader(j)) - 1).cast("int"))
+    return own.select(query, classes.alias("classes"))
 
 
 def first_by(df: DataFrame, by: str, order: list) -> DataFrame:

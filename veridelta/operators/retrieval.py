@@ -2,63 +2,99 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridelta.functions.text import tokens, uniform
+from veridelta.functions.layout import query_of_claims
+from veridelta.functions.text import bound, tokens, uniform
+from veridelta.session import written
 
 # The usual saturation and length constants, and the share of the mean idf that negative ones get.
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
-def term_index(chunks: DataFrame, chunk: str, doc: str, text: str) -> DataFrame:
-    """(doc, chunk, term, tf, dl): how often each term occurs in each chunk, and the chunk's length."""
-    own = chunks.select(F.col(doc).alias("doc"), F.col(chunk).alias("chunk"), tokens(F.col(text)).alias("__t"))
-    own = own.select("doc", "chunk", F.size("__t").alias("dl"), F.explode("__t").alias("term"))
-    return own.groupBy("doc", "chunk", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+#: Rows of a side that are broadcast at most; beyond it the join is a shuffled one.
+MOST_BROADCAST = 300_000
+#: Queries and items that meet in one task.
+TILE_QUERIES, TILE_ITEMS = 1024, 4096
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, marked for a broadcast if it is no larger than ``MOST_BROADCAST`` rows."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
+def _postings(terms: Column) -> Column:
+    """Each term of an array with its number, by runs of the sorted array: nothing leaves the row."""
+    ordered, n = F.array_sort(terms), F.size(terms)
+
+    def runs(own: Column, n: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(own, i) != F.get(own, i - 1)))
+        ends = F.slice(F.concat(places, F.array(n)), F.lit(2), F.size(places))
+        return F.zip_with(places, ends, lambda a, b: F.struct(F.get(own, a).alias("term"), (b - a).alias("tf")))
+
+    none = F.lit([]).cast("array<struct<term:string,tf:int>>")
+    return F.when(n > 0, bound(runs, own=ordered, n=n)).otherwise(none)
+
+
+def term_index(chunks: DataFrame, chunk: str, doc: str, text: str, title: str | None = None) -> DataFrame:
+    """(doc, chunk, dl, postings): each chunk's length and its terms with their numbers. A title counts as text before it."""
+    body = F.concat_ws(" ", F.col(title), F.col(text)) if title else F.col(text)
+    own = chunks.select(F.col(doc).alias("doc"), F.col(chunk).alias("chunk"), tokens(body).alias("__t"))
+    return own.select("doc", "chunk", F.size("__t").alias("dl"), _postings(F.col("__t")).alias("postings"))
+
+
+def contiguous(chunks: DataFrame, chunk: str, doc: str) -> DataFrame:
+    """``chunks`` if each document's are numbered from 0 without a gap."""
+    own = chunks.groupBy(doc).agg(F.count("*").alias("n"), F.count_distinct(chunk).alias("m"), F.min(chunk).alias("a"), F.max(chunk).alias("b"))
+    if not own.where("n <> m or a <> 0 or b <> n - 1").isEmpty():
+        raise ValueError("a document's chunks aren't numbered from 0 without a gap")
+    return chunks
 
 
 def bm25(
-    queries: DataFrame, chunks: DataFrame, query: str, query_text: str, doc: str, chunk: str, text: str, k: int
+    queries: DataFrame, chunks: DataFrame, query: str, query_text: str, doc: str, chunk: str, text: str, k: int, title: str | None = None
 ) -> DataFrame:
     """(query, rank, doc, chunk, score): each query's k best documents, a document by its best chunk.
 
     Chunks are numbered within their document; the best is the lowest one of the largest score. Scores are rounded to 6
     digits before they are ranked; ties go to the lesser document. Documents without a common term follow, least first,
-    where fewer than k have one; a query without terms has no rows. Only terms of some query are joined and scored."""
-    index = term_index(chunks, chunk, doc, text)
-    sizes = chunks.select(F.size(tokens(F.col(text))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
+    where fewer than k have one; a query without terms has no rows. Texts are cut into terms once, and the index is written;
+    only terms of some query are weighed, and a chunk's share of a query is summed before anything is shuffled."""
+    index = written(term_index(chunks, chunk, doc, text, title), "index")
+    sizes = index.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+    exploded = index.select("doc", "chunk", "dl", F.explode("postings").alias("p"))
+    frequency = exploded.groupBy(F.col("p.term").alias("term")).agg(F.count("*").alias("df"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     # one row of corpus figures
-    idf = frequency.crossJoin(F.broadcast(sizes)).withColumn("raw", raw)
+    idf = frequency.crossJoin(F.broadcast(sizes)).withColumn("raw", raw).select("term", "mean", "raw")
+    idf = written(idf, "idf")
     floor = idf.agg((F.avg("raw") * FLOOR).alias("floor"))
     asked = queries.select(F.col(query).alias("query"), F.explode(tokens(F.col(query_text))).alias("term"))
     asked = asked.groupBy("query", "term").agg(F.count("*").alias("qf"))
     wanted = idf.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(floor))
     wanted = wanted.select("term", "mean", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    asked = written(asked.join(wanted, "term").select("query", "term", "mean", (F.col("qf") * F.col("idf")).alias("weight")), "asked")
     length = 1 - B + B * F.col("dl") / F.col("mean")
-    weighed = index.join(wanted, "term").select(
-        "term",
-        "doc",
-        "chunk",
-        (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)).alias("w"),
-    )
-    scored = asked.join(weighed, "term").groupBy("query", "doc", "chunk")
-    scored = scored.agg(F.round(F.sum(F.col("qf") * F.col("w")), 6).alias("score"))
+    met = exploded.select("doc", "chunk", "dl", F.col("p.term").alias("term"), F.col("p.tf").alias("tf")).join(small(asked), "term")
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
+    scored = met.groupBy("query", "doc", "chunk").agg(F.round(F.sum(part), 6).alias("score"))
     # a document's best chunk: largest score, then lowest number; partial on the map side
     best = scored.groupBy("query", "doc").agg(F.max(F.struct("score", (-F.col("chunk")).alias("c"))).alias("b"))
     best = best.select("query", "doc", (-F.col("b.c")).alias("chunk"), F.col("b.score").alias("score"))
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "doc")
     top = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    top = written(top.select("query", "rank", "doc", "chunk", "score"), "top")
     few = asked.select("query").distinct().join(top.groupBy("query").agg(F.count("*").alias("found")), "query", "left")
     few = few.select("query", F.coalesce("found", F.lit(0)).alias("found")).where(F.col("found") < k)
     # the first 2k documents hold enough that have no common term: at most k of them are found already
-    spare = chunks.groupBy(F.col(doc).alias("doc")).agg(F.min(chunk).alias("chunk")).orderBy("doc").limit(2 * k)
+    spare = index.groupBy("doc").agg(F.min("chunk").alias("chunk")).orderBy("doc").limit(2 * k)
     rest = few.crossJoin(F.broadcast(spare)).join(top.select("query", "doc"), ["query", "doc"], "left_anti")
     rest = rest.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("doc")) + F.col("found"))
-    rest = rest.where(F.col("place") <= k).select("query", "doc", "chunk", F.lit(0.0).alias("score"), F.col("place").alias("rank"))
-    return top.select("query", "rank", "doc", "chunk", "score").unionByName(rest)
+    rest = rest.where(F.col("place") <= k).select("query", F.col("place").alias("rank"), "doc", "chunk", F.lit(0.0).alias("score"))
+    return top.unionByName(rest)
 
 
 def unit(vector: Column) -> Column:
@@ -71,32 +107,79 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _tile_top(k: int, near: float):
+    """A tile of queries and one of items to each query's k best items there."""
+
+    def top(_, queries: pa.Table, items: pa.Table) -> pa.Table:
+        asked, ids = queries["query"].to_pylist(), items["item"].to_numpy()
+        matrix = lambda t, c: np.array(t[c].to_pylist(), float).reshape(len(t), -1)
+        out = {"query": [], "item": [], "score": []}
+        if len(asked) and len(ids):
+            own = matrix(items, "v")
+            scores = np.round(matrix(queries, "q") @ own.T, 6)
+            for i, had in enumerate(queries["had"].to_pylist()):
+                row = scores[i]
+                if had:
+                    row[np.isin(ids, [h["i"] for h in had])] = -np.inf
+                    row[(own @ np.array([h["v"] for h in had], float).T >= near).any(1)] = -np.inf
+                best = np.lexsort((ids, -row))[:k]
+                best = best[row[best] > -np.inf]
+                out["query"] += [asked[i]] * len(best)
+                out["item"] += ids[best].tolist()
+                out["score"] += row[best].tolist()
+        kinds = {"query": queries.schema.field("query").type, "item": items.schema.field("item").type, "score": pa.float64()}
+        return pa.table({n: pa.array(out[n], kind) for n, kind in kinds.items()})
+
+    return top
+
+
 def dense_top_k(
-    queries: DataFrame, items: DataFrame, existing: DataFrame, query: str, item: str, vector: str, k: int,
-    near: float = 0.95, blocks: int = 8,
+    queries: DataFrame, items: DataFrame, existing: DataFrame, query: str, item: str, vector: str, k: int, near: float = 0.95
 ) -> DataFrame:
     """(query, rank, item, score): each query's k most similar items by rounded cosine, ties to the lesser item.
 
     ``existing`` (query, item, vector) are items that a query has: they and what is as similar as ``near`` to one of them
-    are skipped. Items are dealt into blocks; every query goes to each block once, and each block keeps its own k best."""
-    asked = queries.select(F.col(query).alias("query"), unit(F.col(vector).cast("array<double>")).alias("q"))
-    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    own = items.select(F.col(item).alias("item"), unit(F.col(vector).cast("array<double>")).alias("v"))
-    own = own.withColumn("block", F.pmod(F.hash("item"), F.lit(blocks)))
+    are skipped. Queries and items are dealt into tiles of bounded size by their numbers; each pair of tiles is one matrix
+    product in one task, which keeps each query's k best."""
+    as_unit = lambda c: unit(F.col(c).cast("array<double>"))
+    n_asked, n_items = (max(1, -(-df.count() // size)) for df, size in ((queries, TILE_QUERIES), (items, TILE_ITEMS)))
     had = existing.select(
-        F.col(query).alias("query"), F.struct(F.col(item).alias("i"), unit(F.col(vector).cast("array<double>")).alias("v")).alias("h")
+        F.col(query).alias("query"), F.struct(F.col(item).alias("i"), as_unit(vector).alias("v")).alias("h")
     )
     had = had.groupBy("query").agg(F.collect_list("h").alias("had"))  # a query's context: a few items
-    asked = asked.join(had, "query", "left")
-    met = asked.join(own, "block").withColumn("score", F.round(dot(F.col("q"), F.col("v")), 6))
-    skip = F.exists("had", lambda h: (h["i"] == F.col("item")) | (dot(h["v"], F.col("v")) >= near))
-    met = met.where(~F.coalesce(skip, F.lit(False))).select("query", "block", "item", "score")
-    order = [F.col("score").desc(), F.col("item")]
-    part = met.withColumn("r", F.row_number().over(Window.partitionBy("query", "block").orderBy(*order))).where(F.col("r") <= k)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(*order))
+    asked = queries.select(F.col(query).alias("query"), as_unit(vector).alias("q")).join(had, "query", "left")
+    own = items.select(F.col(item).alias("item"), as_unit(vector).alias("v"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.withColumn("one", F.pmod(F.xxhash64("query"), F.lit(n_asked)).cast("int")).withColumn("two", every(n_items))
+    own = own.withColumn("two", F.pmod(F.xxhash64("item"), F.lit(n_items)).cast("int")).withColumn("one", every(n_asked))
+    kinds = f"query {dict(asked.dtypes)['query']}, item {dict(own.dtypes)['item']}, score double"
+    part = asked.groupBy("one", "two").cogroup(own.groupBy("one", "two")).applyInArrow(_tile_top(k, near), kinds)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "item"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "item", "score")
 
 
+def claim_queries(claims: DataFrame, query: str, column: str) -> DataFrame:
+    """(query, text): the search text of each question's claims; without claims there is none, and nothing is searched."""
+    return claims.where(F.size(column) > 0).select(query, query_of_claims(F.col(column)).alias("text"))
+
+
+def evidence(runs: DataFrame, query: str, gold: str, initial: str, retrieved: str) -> DataFrame:
+    """(query, initial_recall, recall, precision, all_found) of arrays of urls, as sets; null where there is no gold.
+
+    What was retrieved counts together with what was there at first."""
+    once = lambda c: F.array_distinct(F.coalesce(F.col(c), F.lit([]).cast("array<string>")))
+    rows = runs.select(query, once(gold).alias("g"), once(initial).alias("i"), F.array_union(once(retrieved), once(initial)).alias("r"))
+    shared = lambda a: F.size(F.array_intersect("g", a)).cast("double")
+    known = F.size("g") > 0
+    return rows.select(
+        query,
+        F.when(known, shared("i") / F.size("g")).alias("initial_recall"),
+        F.when(known, shared("r") / F.size("g")).alias("recall"),
+        F.when(known, F.when(F.size("r") > 0, shared("r") / F.size("r")).otherwise(0.0)).alias("precision"),
+        F.when(known, (F.size(F.array_except("g", "r")) == 0).cast("double")).alias("all_found"),
+    )
+
+
 def retrieval_quality(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     """One row: mean recall and success at each k, and the mean reciprocal rank at the largest.
 

@@ -4,18 +4,40 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridelta.session import written
+
+
+def running_totals(counts: DataFrame, by: list[str], value: str, sums: list[str]) -> DataFrame:
+    """``counts`` (by, value, sums), one row for each value, with ``upto_<sum>``: the sum over values no greater in the group.
+
+    Rows are dealt out by ranges of value, summed within their range, and shifted by the sums of the ranges before: a group of
+    any size is no single task's."""
+    dealt = counts.repartitionByRange(*by, value).withColumn("__range", F.spark_partition_id())
+    dealt = written(dealt, "ranges")
+    whole = dealt.groupBy("__range", *by).agg(*[F.sum(s).alias(f"__{s}") for s in sums])
+    # a row for each range that a group has values in
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = whole.select("__range", *by, *[F.coalesce(F.sum(f"__{s}").over(before), F.lit(0)).alias(f"__{s}") for s in sums])
+    within = Window.partitionBy("__range", *by).orderBy(value)
+    own = dealt.withColumns({f"upto_{s}": F.sum(s).over(within) for s in sums})
+    condition = F.col("l.__range") == F.col("r.__range")
+    for c in by:
+        condition &= F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    joined = own.alias("l").join(shifts.alias("r"), condition)
+    upto = [(F.col(f"l.upto_{s}") + F.col(f"r.__{s}")).alias(f"upto_{s}") for s in sums]
+    return joined.select(*[F.col(f"l.{c}").alias(c) for c in counts.columns], *upto)
+
 
 def midranks(df: DataFrame, value: str, by: list[str], name: str = "midrank") -> DataFrame:
     """Ranks with ties at their mean, within each group.
 
-    Ranked through the counts of distinct values, so that rows that tie never meet and the ordered window runs over
-    distinct values only; null values have no rank."""
+    Ranked through the counts of distinct values, so that rows that tie never meet; null values have no rank."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    upto = F.sum("__n").over(Window.partitionBy(*by).orderBy(value))
-    ranks = counts.withColumn(name, upto - (F.col("__n") - 1) / 2.0).drop("__n")
+    totals = running_totals(counts, by, value, ["__n"])
+    ranks = totals.withColumn(name, F.col("upto___n") - (F.col("__n") - 1) / 2.0).select(*by, value, name)
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] + [F.col(f"l.{value}") == F.col(f"r.{value}")]
     condition = same[0]
     for more in same[1:]:
@@ -32,8 +54,8 @@ def auroc(df: DataFrame, score: str, positive: str, by: list[str]) -> DataFrame:
         F.sum(F.when(F.col(positive), 1).otherwise(0)).alias("__p"),
         F.sum(F.when(F.col(positive), 0).otherwise(1)).alias("__q"),
     )
-    below = F.sum("__q").over(Window.partitionBy(*by).orderBy(score)) - F.col("__q")
-    wins = counts.withColumn("__w", F.col("__p") * (below + F.col("__q") / 2.0))
+    totals = running_totals(counts, by, score, ["__q"])
+    wins = totals.withColumn("__w", F.col("__p") * (F.col("upto___q") - F.col("__q") / 2.0))
     return wins.groupBy(*by).agg(
         F.when((p > 0) & (n > 0), F.sum("__w") / (p * n)).alias("auroc"), p.alias("n_positive"), n.alias("n_negative")
     )
@@ -68,11 +90,29 @@ def delong(df: DataFrame, first: str, second: str, positive: str) -> DataFrame:
     row = row.withColumn("difference", F.col("auc_a") - F.col("auc_b"))
     row = row.withColumn("z", F.when(F.col("__v") > 0, F.col("difference") / F.sqrt("__v"))).drop("__v")
 
-    @F.udf("double")
-    def two_sided(z):
-        return None if z is None else math.erfc(abs(z) / math.sqrt(2))
+    return row.withColumn("p_value", two_sided(F.abs("z")))
 
-    return row.withColumn("p_value", two_sided("z"))
+
+def two_sided(z: Column) -> Column:
+    """The chance that a standard normal number lies farther from 0 than ``z`` >= 0: by the series of its integral below 3, by
+    the continued fraction above."""
+    half = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    step = lambda a, i: a["t"] * z * z / (2 * i + 1)
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(60)),
+        F.struct(z.alias("t"), z.alias("s")),
+        lambda a, i: F.struct(step(a, i).alias("t"), (a["s"] + step(a, i)).alias("s")),
+    )["s"]
+    tail = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), z, lambda t, i: z + i / t)
+    return F.when(z < 3, 1 - 2 * half * series).otherwise(2 * half / tail)
+
+
+def conclusion(p_value: Column, difference: Column, level: float = 0.05) -> Column:
+    """What the test says."""
+    better = F.when(difference > 0, "the first score ranks better").otherwise("the second score ranks better")
+    return F.when(p_value.isNull(), "the variance isn't positive: no test").when(p_value < level, better).otherwise(
+        "no difference can be told"
+    )
 
 
 def calibration_bins(df: DataFrame, confidence: str, correct: str, bins: int = 10) -> DataFrame:

@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridelta.functions.text import is_key_token
+from veridelta.operators.stats import running_totals
+
 
 def entropy(df: DataFrame, by: list[str], kind: str, log=F.log2, name: str = "entropy") -> DataFrame:
     """Entropy of ``kind``'s frequencies within each group; null kinds don't count."""
@@ -25,12 +28,84 @@ def normalised(entropy_bits: Column, n: Column) -> Column:
     return F.when(n > 1, entropy_bits / F.log2(n)).otherwise(F.lit(0.0))
 
 
-def token_uncertainty(tokens: DataFrame, query: str, sample: str, logprob: str, legacy: bool = False) -> DataFrame:
-    """Mean over samples of the mean bits of their key tokens above -100; ``legacy`` divides by log2(e) instead of ln 2."""
+def token_uncertainty(
+    tokens: DataFrame, query: str, sample: str, logprob: str, legacy: bool = False, token: str | None = None, questions: DataFrame | None = None
+) -> DataFrame:
+    """Mean over samples of the mean bits of their key tokens above -100; ``legacy`` divides by log2(e) instead of ln 2.
+
+    With ``token``, a column of tokens, only those that carry content count. A sample without any is left out; a question of
+    ``questions`` without any has 0."""
     unit = math.log2(math.e) if legacy else math.log(2)
     kept = tokens.where(F.col(logprob) > -100)
+    if token is not None:
+        kept = kept.where(is_key_token(F.col(token)))
     by_sample = kept.groupBy(query, sample).agg(F.avg(-F.col(logprob) / unit).alias("__u"))
-    return by_sample.groupBy(query).agg(F.avg("__u").alias("u_token"))
+    out = by_sample.groupBy(query).agg(F.avg("__u").alias("u_token"))
+    if questions is None:
+        return out
+    all_ = questions.select(query).distinct().join(out, query, "left")
+    return all_.select(query, F.coalesce("u_token", F.lit(0.0)).alias("u_token"))
+
+
+def profile(samples: DataFrame, tokens: DataFrame, query: str, sample: str, concept: str, logprob: str, token: str | None = None) -> DataFrame:
+    """(query, se, u_token, n_samples, n_kinds, distribution): both signals of each question, and its concepts' shares."""
+    h = entropy(samples, [query], concept).withColumnRenamed("entropy", "se")
+    shares = samples.where(F.col(concept).isNotNull()).groupBy(query, concept).agg(F.count("*").alias("__n"))
+    # a row for each concept: as many as a question has samples at most
+    shares = shares.groupBy(query).agg(F.array_sort(F.collect_list(F.struct(concept, "__n"))).alias("__s"), F.sum("__n").alias("__t"))
+    share = F.transform("__s", lambda x: F.struct(x[concept].alias(concept), (x["__n"] / F.col("__t")).alias("probability")))
+    shares = shares.select(query, share.alias("distribution"))
+    u = token_uncertainty(tokens, query, sample, logprob, token=token, questions=samples)
+    return h.join(u, query).join(shares, query)
+
+
+def regular_entropy(tokens: DataFrame, query: str, response: str, logprob: str) -> DataFrame:
+    """(query, regular_entropy): the mean over responses of the negative mean of their log-probabilities."""
+    own = tokens.groupBy(query, response).agg(F.avg(logprob).alias("__l"))
+    return own.groupBy(query).agg((-F.avg("__l")).alias("regular_entropy"))
+
+
+def response_entropies(responses: DataFrame, query: str, response: str, logprobs: str, kind: str) -> DataFrame:
+    """(query, regular_entropy, semantic_entropy, cluster_assignment_entropy) of responses with their classes.
+
+    A question with fewer than two responses, or a response without log-probabilities, is an error."""
+    if not responses.where(F.coalesce(F.size(logprobs), F.lit(0)) <= 0).isEmpty():
+        raise ValueError("every response needs a log-probability")
+    if not responses.groupBy(query).agg(F.count("*").alias("n")).where("n < 2").isEmpty():
+        raise ValueError("every question needs two responses")
+    mean = F.aggregate(logprobs, F.lit(0.0), lambda s, x: s + x) / F.size(logprobs)
+    own = responses.select(query, response, kind, mean.alias("__l"))
+    regular = own.groupBy(query).agg((-F.avg("__l")).alias("regular_entropy"))
+    semantic = weighted_entropy(cluster_mass(own, query, kind, "__l"), query)
+    assigned = entropy(own, [query], kind, F.log, "cluster_assignment_entropy").select(query, "cluster_assignment_entropy")
+    return regular.join(semantic, query).join(assigned, query)
+
+
+def affirmative_logprob(top: Column) -> Column:
+    """The log-probability of the token A in a map of tokens, the one with a space before it first, else the least of those
+    that are A but for white space; an error if there is none."""
+    bare = lambda t: F.trim(F.replace(t, F.lit("▁"), F.lit(" ")))
+    found = F.map_filter(top, lambda t, _: bare(t) == "A")
+    spaced = F.map_filter(found, lambda t, _: t.isin(" A", "▁A"))
+    first = lambda m: F.get(F.map_values(m), F.lit(0))
+    return F.coalesce(first(spaced), first(found), F.raise_error(F.lit("the token A isn't among the tokens")).cast("double"))
+
+
+def few_shots(train: DataFrame, order: str, answers: str, share: float, count: int, seed: int) -> DataFrame:
+    """``count`` answerable rows of the first ``share`` of a table in its order, by a seeded hash; an error if there are fewer.
+
+    The same rows come whatever the table's partitioning."""
+    if not 0 < share <= 1:
+        raise ValueError("share must be above 0 and at most 1")
+    n = int(train.count() * share)
+    # the prefix by running counts over ranges of the order, so that no task takes the whole table
+    places = train.where(F.col(order).isNotNull()).groupBy(order).agg(F.count("*").alias("n"))
+    within = running_totals(places, [], order, ["n"]).where(F.col("upto_n") <= n).select(F.col(order).alias("__o"))
+    some = train.join(within, F.col(order) == F.col("__o"), "left_semi").where(F.size(answers) > 0)
+    picked = some.orderBy(F.xxhash64(F.col(order).cast("string"), F.lit(seed)), order).limit(count)
+    if picked.count() < count:
+        raise ValueError("there are too few answerable rows")
+    return picked
 
 
 def perplexity(tokens: DataFrame, by: list[str], logprob: str) -> DataFrame:

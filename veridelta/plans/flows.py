@@ -6,17 +6,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veridelta.operators import cluster
-from veridelta.plans import loops
 from veridelta.plans.registry import query, table
+from veridelta.session import shared_dir
 from veridelta.sources import records
 from veridelta.streaming.append import append_once
 
 
 @query(
     "concepts",
-    """WITH g AS (SELECT conv_id, role, min(turn) AS first, list(turn ORDER BY turn) AS t, count(*) AS k FROM conversations GROUP BY ALL),
+    """WITH g AS (SELECT conv_id, role, min(turn) AS first, count(DISTINCT turn) AS k FROM conversations GROUP BY ALL),
     n AS (SELECT *, sum(k) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY k DESC, first) - 1 AS c FROM g)
-    SELECT conv_id, CAST(c AS INTEGER) AS concept, array_to_string(t, ',') AS samples, round(k / n, 6) AS probability FROM n""",
+    SELECT DISTINCT v.conv_id, v.turn, CAST(c AS INTEGER) AS concept, round(k / n, 6) AS probability
+    FROM conversations v JOIN n ON n.conv_id = v.conv_id AND n.role = v.role""",
 )
 def concepts(spark, sf_dir):
     """Classes of every conversation's turns, linked where they share a role."""
@@ -25,15 +26,22 @@ def concepts(spark, sf_dir):
     after = F.lead("turn").over(Window.partitionBy("conv_id", "role").orderBy("turn"))
     edges = turns.select("conv_id", F.col("turn").alias("i"), after.alias("j")).where("j is not null")
     found = cluster.concepts(turns, edges, "conv_id", "turn")
-    return found.select(
-        "conv_id", "concept", F.array_join(F.transform("samples", lambda x: x.cast("string")), ",").alias("samples"),
-        F.round("probability", 6).alias("probability"),
-    )
+    return found.select("conv_id", "turn", "concept", F.round("probability", 6).alias("probability"))
 
 
-@query("greedy_classes")
+@query(
+    "greedy_classes",
+    """WITH v AS (SELECT user_id, event_type, round(avg(value), 2) AS v FROM events GROUP BY ALL),
+    p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_type) - 1 AS i, v FROM v),
+    q AS (SELECT user_id, list(v ORDER BY i) AS v FROM p GROUP BY user_id HAVING count(*) > 1),
+    f AS (SELECT *, list_reduce(range(0, len(v)), lambda a, j: CASE WHEN len(list_filter(a, lambda i: abs(v[i + 1] - v[j + 1]) < 2)) > 0
+      THEN a ELSE list_append(a, j) END, CAST([] AS BIGINT[])) AS first FROM (SELECT user_id, v FROM q)),
+    l AS (SELECT user_id, first, list_transform(range(0, len(v)), lambda j: CASE WHEN list_contains(first, j) THEN j
+      ELSE list_max(list_filter(first, lambda i: i < j AND abs(v[i + 1] - v[j + 1]) < 2)) END) AS own FROM f)
+    SELECT user_id, array_to_string(list_transform(own, lambda x: list_position(first, x) - 1), ',') AS classes FROM l""",
+)
 def greedy_classes(spark, sf_dir):
-    """Order-dependent classes of every user's events by value; tests hold it against the rule."""
+    """Order-dependent classes of every user's kinds of event by their mean value."""
     own = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 2).alias("v"))
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_type")) - 1
     own = own.select("user_id", place.alias("i"), "v")
@@ -87,7 +95,7 @@ def merge_scores(spark, sf_dir):
 def stream_append(spark, sf_dir):
     """Events through an append-once stream, run twice over; each is counted once."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _temporary()) + f"/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = events.schema
     for run in ("one", "two"):
         source = spark.readStream.schema(table(spark, sf_dir, "events").schema)
@@ -95,23 +103,3 @@ def stream_append(spark, sf_dir):
         append_once(source.select("event_id", "user_id", "value"), ["event_id"], f"{folder}/out", f"{folder}/{run}", schema)
     out = spark.read.schema(schema).parquet(f"{folder}/out")
     return out.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
-
-
-def _temporary() -> str:
-    import tempfile
-
-    return "file://" + tempfile.mkdtemp(prefix="spark-")
-
-
-@query("iterative_loop")
-def iterative_loop(spark, sf_dir):
-    """The iterative question loop over every conversation, with the offline stand-in for a model."""
-    questions = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query")).distinct()
-    return loops.iterate(questions, loops.HashedSampler())
-
-
-@query("active_retrieval_loop")
-def active_retrieval_loop(spark, sf_dir):
-    """The active-retrieval loop over every benchmark item, with the offline stand-in for a model."""
-    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"))
-    return loops.active_retrieval(questions, loops.HashedSampler())

@@ -42,7 +42,10 @@ def bm25_topk(spark, sf_dir):
 
 @query(
     "retrieval_quality",
-    f"""WITH {BM25}, gold AS (SELECT DISTINCT item_id AS query, doc_id AS doc FROM benchmark JOIN documents ON doc_id % 40 = item_id % 40),
+    f"""WITH {BM25}, dg AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 7, 1)), lambda i: array_to_string(w[i : i + 7], ' '))) AS gram FROM w),
+    bw AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+    bg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 7, 1)), lambda i: array_to_string(w[i : i + 7], ' '))) AS gram FROM bw),
+    gold AS (SELECT DISTINCT item_id AS query, doc_id AS doc FROM dg JOIN bg USING (gram)),
     g AS (SELECT query, count(*) AS n FROM gold GROUP BY query),
     h AS (SELECT query, {', '.join(f'count(*) FILTER (WHERE rank <= {k}) AS h{k}' for k in (1, 2, 4, 10))}, min(rank) AS first
       FROM top JOIN gold USING (query, doc) GROUP BY query),
@@ -51,10 +54,10 @@ def bm25_topk(spark, sf_dir):
       round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM x""",
 )
 def retrieval_quality(spark, sf_dir):
-    """Recall, success and reciprocal rank of the lexical search; stand-in gold by ids."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), (F.col("doc_id") % 40).alias("key"))
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), (F.col("item_id") % 40).alias("key"))
-    gold = asked.join(docs, "key").select("query", "doc")
+    """Recall, success and reciprocal rank of the lexical search; a document that shares eight words in a row is gold."""
+    runs = lambda name, key: table(spark, sf_dir, name).select(key, F.explode(text.word_runs(F.col("text"), 8)).alias("run"))
+    asked = runs("benchmark", "item_id").distinct()
+    gold = runs("documents", "doc_id").join(retrieval.small(asked), "run").select(F.col("item_id").alias("query"), F.col("doc_id").alias("doc"))
     return retrieval.retrieval_quality(_ranked(spark, sf_dir), gold, (1, 2, 4, 10))
 
 

@@ -305,13 +305,16 @@ def auroc(spark, sf_dir):
     v AS (SELECT bad, CASE WHEN bad THEN (za - xa) / n ELSE 1 - (za - xa) / p END AS va,
       CASE WHEN bad THEN (zb - xb) / n ELSE 1 - (zb - xb) / p END AS vb, p, n FROM r, k),
     t AS (SELECT avg(va) FILTER (WHERE bad) AS aa, avg(vb) FILTER (WHERE bad) AS ab,
-      var_samp(va - vb) FILTER (WHERE bad) / max(p) + var_samp(va - vb) FILTER (WHERE NOT bad) / max(n) AS var FROM v)
-    SELECT round(aa, 6) AS auc_a, round(ab, 6) AS auc_b, round(aa - ab, 6) AS difference, round((aa - ab) / sqrt(var), 4) AS z FROM t""",
+      var_samp(va - vb) FILTER (WHERE bad) / max(p) + var_samp(va - vb) FILTER (WHERE NOT bad) / max(n) AS var FROM v),
+    u AS (SELECT *, (aa - ab) / sqrt(var) AS z, abs((aa - ab) / sqrt(var)) AS y FROM t)
+    SELECT round(aa, 6) AS auc_a, round(ab, 6) AS auc_b, round(aa - ab, 6) AS difference, round(z, 4) AS z,
+      round(1 - 2 * exp(-y * y / 2) / sqrt(2 * pi()) * list_reduce(range(1, 300),
+        lambda a, i: [a[1] * y * y / (2 * i + 1), a[2] + a[1] * y * y / (2 * i + 1)], [y, y])[2], 6) AS p_value FROM u""",
 )
 def delong(spark, sf_dir):
     """Paired test of two scores over all labelled documents."""
     own = stats.delong(_scored(spark, sf_dir), "a", "b", "bad")
-    return own.select(*[R(c).alias(c) for c in ("auc_a", "auc_b", "difference")], F.round("z", 4).alias("z"))
+    return own.select(*[R(c).alias(c) for c in ("auc_a", "auc_b", "difference")], F.round("z", 4).alias("z"), R("p_value").alias("p_value"))
 
 
 BINS = f"""{SCORED}, y AS (SELECT round(b / 1008, 4) AS c, CAST(NOT bad AS DOUBLE) AS y FROM x),

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def read_json_list(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """A file that is one JSON list of objects; anything else is an error when it is read."""
+    """Files that are one JSON list of objects each; another one is an error here, malformed content when it is read."""
+    firsts = spark.read.option("wholetext", True).text(path).select(F.regexp_extract("value", r"^\s*(\S)", 1).alias("c"))
+    if not firsts.where("c <> '['").isEmpty():
+        raise ValueError(f"{path} isn't a JSON list")
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
@@ -34,8 +38,12 @@ def not_empty(df: DataFrame) -> DataFrame:
 
 
 def record_chunks(records: DataFrame, k: int) -> DataFrame:
-    """(q_id, rank, id, text, score): each record's first k passages in stored order, the title on a line before the text."""
-    own = records.select("q_id", F.posexplode(F.slice("ctxs", 1, k)).alias("rank", "c"))
+    """(q_id, rank, id, text, score): each record's first k passages in stored order, the title on a line before the text.
+
+    A record without passages is an error when it is read."""
+    lacking = F.raise_error(F.concat(F.lit("no passages for "), F.col("q_id").cast("string"))).cast(records.schema["ctxs"].dataType)
+    passages = F.when(F.coalesce(F.size("ctxs"), F.lit(0)) > 0, F.col("ctxs")).otherwise(lacking)
+    own = records.select("q_id", F.posexplode(F.slice(passages, 1, k)).alias("rank", "c"))
     title = F.coalesce(F.col("c.title"), F.lit(""))
     text = F.when(title != "", F.concat(title, F.lit("\n"), F.col("c.text"))).otherwise(F.col("c.text"))
     return own.select("q_id", "rank", F.col("c.id").alias("id"), text.alias("text"), F.col("c.score").alias("score"))
@@ -45,12 +53,19 @@ def _query_id(prefix: str, *columns: str):
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.concat_ws("|", *columns), 256), 1, 16))
 
 
+def _listed(rows: DataFrame, column: str):
+    """A column as an array of strings: itself, or its one value."""
+    kind = rows.select(column).schema[0].dataType
+    return F.col(column).cast("array<string>") if isinstance(kind, T.ArrayType) else F.array(F.col(column).cast("string"))
+
+
 EXAMPLE = ("query_id", "query", "gold_answers")
 
 
 def open_questions(rows: DataFrame) -> DataFrame:
-    """Questions with a list of answers."""
-    return rows.select(_query_id("nq", "question").alias("query_id"), F.col("question").alias("query"), F.col("answer").alias("gold_answers"))
+    """Questions with a list of answers, or one."""
+    golds = _listed(rows, "answer")
+    return rows.select(_query_id("nq", "question").alias("query_id"), F.col("question").alias("query"), golds.alias("gold_answers"))
 
 
 def aliased_questions(rows: DataFrame) -> DataFrame:
@@ -134,3 +149,82 @@ def merged(base: DataFrame, more: DataFrame, key: str) -> DataFrame:
 def append_json(df: DataFrame, path: str) -> None:
     """Rows appended as JSON lines."""
     df.write.mode("append").json(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines, in place of what was there."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """A table of one row as one JSON file, null figures included; more rows are an error."""
+    if summary.limit(2).count() > 1:
+        raise ValueError("a summary has one row")
+    summary.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def predictions(answers: DataFrame, query: str, answer: str, scale: str) -> DataFrame:
+    """(value): for each question one line of JSON, its id to the answer and its scale."""
+    pair = F.array(F.coalesce(answer, F.lit("")), F.coalesce(scale, F.lit("")))
+    return answers.select(F.to_json(F.create_map(F.col(query).cast("string"), pair)).alias("value"))
+
+
+def iteration_log(steps: DataFrame, query: str, order: str) -> DataFrame:
+    """``steps`` with ``iteration``, the place of each step in its question, from 0."""
+    return steps.withColumn("iteration", F.row_number().over(Window.partitionBy(query).orderBy(order)) - 1)
+
+
+def split_errors(rows: DataFrame, error: str) -> tuple[DataFrame, DataFrame]:
+    """The rows without an error, and those with one."""
+    return rows.where(F.col(error).isNull()).drop(error), rows.where(F.col(error).isNotNull())
+
+
+def raise_failures(failed: DataFrame, key: str, error: str, show: int = 5) -> None:
+    """An error that names the number of failed rows and the first of them, if there are any."""
+    n = failed.count()
+    if n:
+        first = failed.orderBy(key).limit(show).collect()  # a few rows for the message
+        raise RuntimeError(f"{n} rows failed: " + "; ".join(f"{r[key]}: {r[error]}" for r in first))
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``table``; a key that it lacks is an error."""
+    missing = rows.join(table, keys, "left_anti").select(*keys).limit(5).collect()  # a few for the message
+    if missing:
+        raise KeyError(f"keys are missing: {[tuple(r) for r in missing]}")
+    return rows.join(table, keys)
+
+
+def setup_problems(spark: SparkSession, tables: dict[str, tuple[str, ...]]) -> list[str]:
+    """What is wrong with the tables that a run needs: those that can't be read, are empty or lack columns."""
+    out = []
+    for path, columns in sorted(tables.items()):
+        try:
+            df = spark.read.parquet(path)
+        except AnalysisException:
+            out.append(f"{path}: can't be read")
+            continue
+        missing = sorted(set(columns) - set(df.columns))
+        if missing:
+            out.append(f"{path}: lacks {', '.join(missing)}")
+        elif df.isEmpty():
+            out.append(f"{path}: has no rows")
+    return out
+
+
+#: Each dataset's layout, kind of content, and metrics.
+DATASETS = {
+    "nq": (open_questions, "text", ("exact_match", "token_f1")),
+    "triviaqa": (aliased_questions, "text", ("exact_match", "token_f1")),
+    "hotpotqa": (multihop_questions, "text", ("exact_match", "token_f1")),
+    "popqa": (popularity_questions, "text", ("exact_match", "token_f1")),
+    "tatqa": (table_questions, "table", ("exact_match", "token_f1", "numeric")),
+    "webqa": (multimodal_questions, "image", ("exact_match", "token_f1", "rouge_l")),
+}
+
+
+def dataset(name: str):
+    """The layout, modality and metrics of a dataset."""
+    if name not in DATASETS:
+        raise ValueError(f"unknown dataset {name!r}; known: {', '.join(sorted(DATASETS))}")
+    return DATASETS[name]

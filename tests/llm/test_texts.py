@@ -393,6 +393,14 @@ def test_fingerprints_and_components(docs):
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
 
 
+def test_components_of_nothing_and_of_one_fingerprint(spark, no_docs):
+    nothing = no_docs.select("doc_id", simhash.fingerprint("text").alias("fp"))
+    assert simhash.components(nothing).count() == 0
+    rows = spark.createDataFrame([(i, 7) for i in range(500, 0, -1)] + [(None, 7), (900, 6)], "doc_id long, fp long")
+    got = simhash.components(rows).collect()
+    assert len(got) == 502 and {r.component_id for r in got} == {1}
+
+
 @pytest.mark.parametrize("tau, together", [(2, 4096), (2, 8), (5, 4096), (5, 8)])
 def test_pigeonhole_loses_no_link(spark, monkeypatch, tau, together):
     monkeypatch.setattr(simhash, "MOST_TOGETHER", together)
@@ -593,3 +601,12 @@ def test_pipeline_stages(spark, tmp_path):
     assert not before.where(F.col("text").contains("example.com")).count()
     packed = corpus_pipeline.run(spark, path)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in before.collect()}
+
+
+def test_pipeline_of_nothing(spark, no_docs, tmp_path):
+    import corpus_pipeline
+
+    path = f"file://{tmp_path}"
+    no_docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    assert corpus_pipeline.run(spark, path).count() == 0

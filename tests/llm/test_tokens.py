@@ -140,12 +140,13 @@ def test_token_files(spark, docs, byte_library, tmp_path, monkeypatch):
     some = [0, 17, at - 1, at // 2]
     found = {r.position: r.token for r in dac.tokens_at(spark, folder, some).collect()}
     assert found == {p: flat[p] for p in some}
+    assert dac.tokens_at(spark, folder, [at, at + 5, -1]).count() == 0 and dac.tokens_at(spark, folder, []).count() == 0
 
 
 def test_token_files_of_nothing(spark, no_docs, tmp_path):
     folder = f"file://{tmp_path}/none"
     dac.write(no_docs, folder, byteids.vocabulary("byte_bpe_50k.json"))
-    assert dac.blocks(spark, folder).count() == 0
+    assert dac.blocks(spark, folder).count() == 0 and dac.tokens_at(spark, folder, [0]).count() == 0
 
 
 def packed_right(rows, ids_of, limits=packing.Limits()):

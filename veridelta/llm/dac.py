@@ -8,7 +8,7 @@ n_tokens, payload. A manifest beside them has the number of ids before each shar
 
 Ids are in ascending doc_id order: null ids first, rows with one id by their text. A null text is empty: it has its end
 id alone. A document is never cut, so a block is as large as ``BLOCK`` ids or its one longer document. An empty table
-gives empty files.
+gives empty files. Only doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -155,21 +155,33 @@ def blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tokens_at(spark: SparkSession, folder: str, positions: list[int]) -> DataFrame:
-    """(position, token) for a list of places in the whole file; only the blocks that hold them are read."""
-    first = F.col("shard_start") + F.col("start")
-    wanted = F.array(*[F.lit(int(p)).cast("long") for p in positions]).cast("array<long>")
-    inside = F.filter(wanted, lambda p: (p >= first) & (p < first + F.col("n_tokens")))
-    rows = blocks(spark, folder).select(first.alias("first"), "payload", inside.alias("wanted"))
+    """(position, token) for a list of places in the whole file.
+
+    The manifest says which shard holds a place, and its number there: only those shards' files are read, and of them the
+    parts whose blocks begin no later than the last place asked for. A place outside the file has no row."""
+    rows = spark.read.schema("shard long, shard_start long").parquet(f"{folder}/manifest").orderBy("shard").collect()
+    if not rows or not positions:
+        return spark.createDataFrame([], "position long, token long")
+    starts = np.array([r.shard_start for r in rows])
+    at = np.searchsorted(starts, np.array(positions), "right") - 1
+    asked = [(rows[i].shard, p - rows[i].shard_start, p) for i, p in zip(at.tolist(), positions) if i >= 0]
+    last: dict[int, int] = {}
+    for shard, local, _ in asked:
+        last[shard] = max(last.get(shard, 0), local)
+    kept = F.col("shard").isin(sorted(last)) & (F.col("start") <= max(last.values(), default=-1))
+    wanted = spark.createDataFrame(asked, "in_shard long, local long, position long")
+    inside = (F.col("in_shard") == F.col("shard")) & (F.col("local") >= F.col("start"))
+    inside &= F.col("local") < F.col("start") + F.col("n_tokens")
+    blocks_ = spark.read.schema(FILE).parquet(f"{folder}/blocks").where(kept).select("shard", "start", "n_tokens", "payload")
+    # as many rows as places are asked for
+    found = blocks_.join(F.broadcast(wanted), inside).select("payload", (F.col("local") - F.col("start")).alias("place"), "position")
 
     def look(batches):
         for batch in batches:
-            for first, payload, wanted in zip(*(batch.column(n).to_pylist() for n in ("first", "payload", "wanted"))):
-                found = Codes(payload).at([p - first for p in wanted])
-                yield pa.RecordBatch.from_pydict(
-                    {"position": pa.array(wanted, pa.int64()), "token": pa.array(found, pa.int64())}
-                )
+            tokens = [int(Codes(p).at([i])[0]) for p, i in zip(*(batch.column(n).to_pylist() for n in ("payload", "place")))]
+            yield pa.RecordBatch.from_pydict({"position": batch.column("position"), "token": pa.array(tokens, pa.int64())})
 
-    return rows.where(F.size("wanted") > 0).mapInArrow(look, "position long, token long")
+    return found.mapInArrow(look, "position long, token long")
 
 
 def _digests(batches):

@@ -7,7 +7,8 @@ is packed by one task; examples of equal sizes are interchangeable, so a pool is
 
 For documents, a text's ids with an end id are cut into pieces of the sequence length; a full piece is a sequence by
 itself, the rest is packed. A null or empty text is its end id alone. Rows that repeat are packed each for itself. An
-example that is larger than a limit is an error in ``pack`` and can't arise from documents.
+example that is larger than a limit is an error in ``pack`` and can't arise from documents. An empty table gives no rows;
+only doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ of what two sets share), then compared on the whole sets; a shingle that many te
 blocks, and spanning links leave each block. No pair at the threshold is lost.
 
 Null and empty texts have fingerprint zero, linked like any other. Rows with null ids are fingerprinted and link, but name
-no component unless no row of it has an id. Repeated rows share a fingerprint and a component.
+no component unless no row of it has an id. Repeated rows share a fingerprint and a component. Texts of any length are read
+whole; an empty table gives no rows; only doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations

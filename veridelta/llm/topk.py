@@ -6,7 +6,8 @@ of tiles, keeps the k best of each query and drops the products. The lists of a
 
 Rows whose id or vector is null, or whose vector holds a null or non-finite component, take no part. Vectors of
 different lengths don't meet. Several rows with one id: none is a candidate for that id's queries; a query id with
-several vectors is asked once for each distinct one. Scores beyond a long are held at its ends.
+several vectors is asked once for each distinct one. Scores beyond a long are held at its ends. An empty table gives no
+rows; only the id and the vector are read, whatever other columns there are.
 """
 
 from __future__ import annotations

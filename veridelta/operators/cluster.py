@@ -20,6 +20,22 @@ def contradicts(score: Column, threshold: float = 0.5) -> Column:
     return score >= threshold
 
 
+def directed_pairs(samples: DataFrame, query: str, sample: str, text: str, question: str) -> DataFrame:
+    """(query, i, j, premise, hypothesis) of every two different samples of a question, each way, the question before each text.
+
+    A question has the few samples that were drawn for it."""
+    own = samples.select(F.col(query).alias("query"), F.col(sample).alias("i"), F.concat_ws(" ", question, text).alias("premise"))
+    other = own.select("query", F.col("i").alias("j"), F.col("premise").alias("hypothesis"))
+    return own.join(other, "query").where("i <> j")
+
+
+def both_entail(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(query, i, j, equal) of directed pairs (query, i, j, entailment): equal where both ways hold."""
+    back = scores.select("query", F.col("i").alias("j"), F.col("j").alias("i"), F.col("entailment").alias("back"))
+    held = (F.col("entailment") >= threshold) & (F.col("back") >= threshold)
+    return scores.join(back, ["query", "i", "j"], "left").select("query", "i", "j", F.coalesce(held, F.lit(False)).alias("equal"))
+
+
 def equivalent(forward: Column, backward: Column, strict: bool = True) -> Column:
     """Whether two answers mean the same by their labels (entailment, neutral, contradiction) in both directions: strictly,
     if both entail; loosely, if neither contradicts and not both are neutral."""

@@ -164,6 +164,18 @@ def masked_query(pieces: Column, logprobs: Column, beta: float, fallback: Column
     return F.when(found != "", found).otherwise(fallback)
 
 
+def low_token_query(tokens: Column, logprobs: Column, least: float = -1.0, most: int = 10) -> Column:
+    """The first few tokens below a log-probability, as a search text; empty where there is none."""
+    rows = F.arrays_zip(tokens.alias("token"), logprobs.alias("logprob"))
+    low = F.transform(F.filter(rows, lambda r: r["logprob"] < least), lambda r: F.trim(r["token"]))
+    return F.array_join(F.slice(low, 1, most), " ")
+
+
+def answerable(questions: DataFrame, kind: str = "question_type") -> DataFrame:
+    """The questions that aren't null queries."""
+    return questions.where(~F.col(kind).eqNullSafe(F.lit("null_query")))
+
+
 def probability_trace(tokens: Column, pieces: Column, logprobs: Column) -> Column:
     """Each token as it is shown, its text and its probability."""
     rows = F.arrays_zip(tokens.alias("token"), pieces.alias("piece"), logprobs.alias("logprob"))

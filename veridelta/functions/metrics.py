@@ -22,9 +22,13 @@ def containment(prediction: Column, golds: Column) -> Column:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    count = lambda xs, t: F.size(F.filter(xs, lambda x: x == t))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(count(a, t), count(b, t)))
+    """Size of the multiset intersection of two arrays of strings: each element with its number among its equals is unique."""
+
+    def numbered(xs: Column) -> Column:
+        own = lambda s: F.transform(s, lambda x, i: F.concat((i - F.array_position(s, x)).cast("string"), F.lit(" "), x))
+        return bound(own, s=F.array_sort(xs))
+
+    return F.size(F.array_intersect(numbered(a), numbered(b)))
 
 
 def f1_of(common: Column, n_prediction: Column, n_gold: Column) -> Column:

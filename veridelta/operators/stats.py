@@ -7,16 +7,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridelta.session import written
 
 
 def running_totals(counts: DataFrame, by: list[str], value: str, sums: list[str]) -> DataFrame:
     """``counts`` (by, value, sums), one row for each value, with ``upto_<sum>``: the sum over values no greater in the group.
 
     Rows are dealt out by ranges of value, summed within their range, and shifted by the sums of the ranges before: a group of
-    any size is no single task's."""
-    dealt = counts.repartitionByRange(*by, value).withColumn("__range", F.spark_partition_id())
-    dealt = written(dealt, "ranges")
+    any size is no single task's. The ranges' bounds are approximate quantiles, one for each shuffle partition."""
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(counts.approxQuantile(value, [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
+    known = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
+    dealt = counts.withColumn("__range", F.size(F.filter(known, lambda b: b < F.col(value))))
     whole = dealt.groupBy("__range", *by).agg(*[F.sum(s).alias(f"__{s}") for s in sums])
     # a row for each range that a group has values in
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,20 +66,28 @@ def delong(df: DataFrame, first: str, second: str, positive: str) -> DataFrame:
     """One row: both AUROCs, their difference, its z and two-sided p by the fast paired DeLong test.
 
     p is null where the variance isn't positive."""
-    base = df.select(first, second, F.col(positive).cast("int").alias("__y"), F.lit(0).alias("__all"))
-    base = base.where(F.col(first).isNotNull() & F.col(second).isNotNull() & F.col("__y").isNotNull())
-    for s, k in ((first, "a"), (second, "b")):
-        base = midranks(base, s, ["__all"], f"__z{k}")
-        base = midranks(base, s, ["__all", "__y"], f"__x{k}")
+    base = df.select(F.col(first).cast("double").alias("__a"), F.col(second).cast("double").alias("__b"), F.col(positive).cast("int").alias("__y"))
+    base = base.where(F.col("__a").isNotNull() & F.col("__b").isNotNull() & F.col("__y").isNotNull())
     sizes = base.groupBy("__y").count().collect()
     m = {r["__y"]: r["count"] for r in sizes}
     if not m.get(1) or not m.get(0):
         return base.sparkSession.range(1).select(
             *[F.lit(None).cast("double").alias(c) for c in ("auc_a", "auc_b", "difference", "z", "p_value")]
         )
-    place = lambda k: F.when(
-        F.col("__y") == 1, (F.col(f"__z{k}") - F.col(f"__x{k}")) / m[0]
-    ).otherwise(1 - (F.col(f"__z{k}") - F.col(f"__x{k}")) / m[1])
+    # both scores' values at once: how many of each class there are, and how many up to each value
+    scores = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"__{k}").alias("v")) for k in "ab"]))
+    counts = base.select("__y", scores.alias("s")).groupBy(F.col("s.k").alias("k"), F.col("s.v").alias("v"))
+    counts = counts.agg(F.sum("__y").alias("p"), F.sum(1 - F.col("__y")).alias("q"))
+    totals = running_totals(counts, ["k"], "v", ["p", "q"])
+    # a positive's placement: the share of negatives below it, ties half; a negative's: of positives above it
+    for k in "ab":
+        own = totals.where(F.col("k") == k).select(
+            F.col("v").alias(f"__v{k}"),
+            ((F.col("upto_q") - F.col("q") / 2) / m[0]).alias(f"__n{k}"),
+            (1 - (F.col("upto_p") - F.col("p") / 2) / m[1]).alias(f"__p{k}"),
+        )
+        base = base.join(own, F.col(f"__{k}") == F.col(f"__v{k}"))
+    place = lambda k: F.when(F.col("__y") == 1, F.col(f"__n{k}")).otherwise(F.col(f"__p{k}"))
     placed = base.select("__y", place("a").alias("__va"), place("b").alias("__vb"))
     gap = F.col("__va") - F.col("__vb")
     of = lambda y, c: F.when(F.col("__y") == y, c)

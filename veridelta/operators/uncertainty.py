@@ -94,7 +94,7 @@ def affirmative_logprob(top: Column) -> Column:
 def few_shots(train: DataFrame, order: str, answers: str, share: float, count: int, seed: int) -> DataFrame:
     """``count`` answerable rows of the first ``share`` of a table in its order, by a seeded hash; an error if there are fewer.
 
-    The same rows come whatever the table's partitioning."""
+    ``order`` is a number. The same rows come whatever the table's partitioning."""
     if not 0 < share <= 1:
         raise ValueError("share must be above 0 and at most 1")
     n = int(train.count() * share)

@@ -381,6 +381,28 @@ def test_more_loaders(spark):
         records.dataset("other")
 
 
+def test_table_and_image_loaders(spark):
+    schema = """id long, table array<array<string>>, paragraphs array<struct<text: string>>,
+      questions array<struct<uid: string, question: string, answer: string, answer_type: string, scale: string>>"""
+    rows = spark.createDataFrame([(5, [["a"]], [("one",), ("two",)], [("u", "q", '["x", "y"]', "span", None), (None, "r", "7", None, "%")])], schema)
+    questions, chunks = records.table_questions(rows, "id")
+    got = questions.orderBy("query").collect()
+    assert [(r.query_id, r.gold_answers, r.scale, r.derivation) for r in got] == [("u", ["x", "y"], "", ""), ("tatqa_5_1", ["7"], "%", "")]
+    assert [(r.pos, r.modality, r.text) for r in chunks.orderBy("pos").collect()] == [(0, "table", None), (1, "text", "one"), (2, "text", "two")]
+    plain = rows.withColumn("paragraphs", F.array(F.lit("p"))).withColumn("questions", F.array(F.struct(F.lit("q").alias("question"), F.array(F.lit("z")).alias("answer"))))
+    questions, chunks = records.table_questions(plain, "id")
+    assert questions.first().gold_answers == ["z"] and chunks.where("pos = 1").first().text == "p"
+    fact = "array<struct<fact: string, snippet: string, caption: string, image_url: string>>"
+    rows = spark.createDataFrame(
+        [("g", "q", ["a"], "c", [(None, None, "cap", "http://i")], [("f", None, None, None)], [], [(None, "s", None, None)])],
+        f"qid string, Q string, A array<string>, Qcate string, img_posFacts {fact}, txt_posFacts {fact}, img_negFacts {fact}, txt_negFacts {fact}",
+    )
+    questions, chunks = records.multimodal_questions(rows)
+    got = {(r.modality, r.text, r.image, r.is_positive) for r in chunks.collect()}
+    assert got == {("image", "cap", "http://i", True), ("text", "f", None, True), ("text", "s", None, False)}
+    assert questions.first().category == "c"
+
+
 def test_sinks_and_checks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", None), (2, "b", "boom")], "k long, v string, error string")
     good, bad = records.split_errors(rows, "error")

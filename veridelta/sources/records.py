@@ -92,16 +92,32 @@ def popularity_questions(rows: DataFrame) -> DataFrame:
 
 
 def table_questions(rows: DataFrame, entry: str) -> tuple[DataFrame, DataFrame]:
-    """Questions of entries with a table and paragraphs, and the chunks that all questions of an entry share."""
-    questions = rows.select(F.col(entry).alias("entry_id"), F.explode("questions").alias("q")).select(
-        "entry_id", F.col("q.uid").alias("query_id"), F.col("q.question").alias("query"), F.col("q.answer").alias("gold_answers"),
-        F.col("q.answer_type").alias("answer_type"), F.col("q.scale").alias("scale"),
-    )
+    """Questions of entries with a table and paragraphs, and the chunks that all questions of an entry share.
+
+    An answer is a list, a value, or text that holds a JSON list; a question without an id is named by its entry and place.
+    Paragraphs are structs with a text, or texts."""
+    fields = {f.name: f.dataType for f in rows.schema["questions"].dataType.elementType}
+    has = lambda n: F.coalesce(F.col(f"q.{n}"), F.lit("")) if n in fields else F.lit("")
+    answer = F.col("q.answer")
+    if isinstance(fields["answer"], T.ArrayType):
+        golds = answer.cast("array<string>")
+    else:
+        listed = F.when(answer.cast("string").startswith("["), F.from_json(answer.cast("string"), "array<string>"))
+        golds = F.coalesce(listed, F.array(F.coalesce(answer.cast("string"), F.lit(""))))
+    questions = rows.select(F.col(entry).alias("entry_id"), F.posexplode("questions").alias("n", "q"))
+    own_id = F.concat_ws("_", F.lit("tatqa"), F.col("entry_id").cast("string"), F.col("n").cast("string"))
+    questions = questions.select(
+        "entry_id", F.coalesce(F.col("q.uid"), own_id).alias("query_id") if "uid" in fields else own_id.alias("query_id"),
+        F.col("q.question").alias("query"), golds.alias("gold_answers"),
+        *[has(n).alias(n) for n in ("answer_type", "scale", "derivation")],
+    )
     tables = rows.where(F.col("table").isNotNull()).select(
         F.col(entry).alias("entry_id"), F.lit(0).alias("pos"), F.lit("table").alias("modality"), F.lit(None).cast("string").alias("text"), "table"
     )
-    texts = rows.select(F.col(entry).alias("entry_id"), F.posexplode("paragraphs").alias("pos", "p"), "table")
-    texts = texts.select("entry_id", (F.col("pos") + 1).alias("pos"), F.lit("text").alias("modality"), F.col("p.text").alias("text"))
+    structs = isinstance(rows.schema["paragraphs"].dataType.elementType, T.StructType)
+    texts = rows.select(F.col(entry).alias("entry_id"), F.posexplode("paragraphs").alias("pos", "p"))
+    text = F.col("p.text") if structs else F.col("p").cast("string")
+    texts = texts.select("entry_id", (F.col("pos") + 1).alias("pos"), F.lit("text").alias("modality"), text.alias("text"))
     return questions, tables.unionByName(texts, allowMissingColumns=True)
 
 

@@ -335,7 +335,7 @@ WITH words AS (
 totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
 counts AS (
     SELECT lang, k, phrase, count(*) AS f FROM (
-        SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), i -> array_to_string(w[i:i + k - 1], ' '))) AS phrase
+        SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
         FROM words, (VALUES (1), (2), (3), (4)) AS sizes(k))
     GROUP BY lang, k, phrase HAVING count(*) >= 30),
 candidates AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM counts WHERE k > 1),
@@ -348,7 +348,7 @@ scored AS (
 lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
 longer AS (
     SELECT lang, phrase, max(f) AS f FROM (
-        SELECT lang, f, unnest(list_transform(range(1, k - s + 2), i -> array_to_string(w[i:i + s - 1], ' '))) AS phrase
+        SELECT lang, f, unnest(list_transform(range(1, k - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))) AS phrase
         FROM candidates, (VALUES (2), (3)) AS sizes(s) WHERE s < k)
     GROUP BY lang, phrase)
 SELECT lang, rank, phrase, a, l, r, n, score FROM (

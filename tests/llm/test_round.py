@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,10 +202,14 @@ def test_chunks_overlap_and_assign_every_word_once(monkeypatch):
     monkeypatch.setattr(collocations, "APART", 3)
     draw = random.Random(5)
     for size in (1, 3, 4, 5, 200):
-        tokens = [str(draw.randrange(30)).encode() for _ in range(size)]
-        chunks = [c.split() for _, c in collocations.chunks_of(tokens)]
-        assert [last for last, _ in collocations.chunks_of(tokens)] == [False] * (len(chunks) - 1) + [True]
+        tokens = [str(draw.randrange(30)) for _ in range(size)]
+        found = collocations.chunks_of(pa.array(["", " ".join(tokens), " \t", "other , words"]))
+        rows = list(zip(found["text"].tolist(), found["last"].tolist(), found["begins"].tolist(), found["chunk"].to_pylist()))
+        assert rows[-1] == (3, True, 2, "other . words")
+        chunks = [c.split() for text, *_, c in rows if text == 1]
+        assert [last for text, last, *_ in rows if text == 1] == [False] * (len(chunks) - 1) + [True]
         assert [w for c in chunks[:-1] for w in c[: -collocations.WINDOW]] + chunks[-1] == tokens
+        assert sum(begins for text, _, begins, _ in rows if text == 1) == size
 
 
 def test_copies_share_their_chunks(spark, monkeypatch):

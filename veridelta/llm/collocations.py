@@ -6,8 +6,8 @@ each occurs, are the dictionary: what repeats is cut alike wherever it stands, a
 distinct chunks, weighted. Each belongs to the chunk that holds its first word before the closing window (a text's last chunk
 has none), so that overlaps are assigned once, and up to four words always lie in one chunk.
 
-Phrases that are too rare to be candidates are sieved level by level: hashes of n-grams are counted only where both of their
-(n-1)-grams passed, and those with counts of ``least`` or more are set in a bitmap of fixed size, which is broadcast. A hash
+Phrases that are too rare to be candidates are sieved level by level: hashes of n-grams are counted only where the
+shorter ones inside them passed, and those with counts of ``least`` or more are set in a bitmap of fixed size, which is broadcast. A hash
 that others share only lets more pass. Last, the phrases that pass are counted by their own words, so counts are exact.
 
 A null lang is ``und``; null and empty texts have no words. Rows that repeat count each for itself, rows without a doc_id too.
@@ -17,10 +17,9 @@ other columns there are.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,31 +33,34 @@ WINDOW = LONGEST - 1
 APART = 48
 #: Occurrences of a candidate; a longer one with this many per cent of its occurrences replaces a phrase; rows of a language.
 LEAST, COVERED, BEST = 30, 80, 2000
-#: Bits of a level's bitmap (16 MB), in pages of 8 KB.
+#: Bits of a bitmap (16 MB), in pages of 8 KB.
 SIEVE_BITS, PAGE_BITS = 27, 16
-#: Entries that a task holds before it sends them on, and words whose hashes a worker keeps.
-HELD, MOST_WORDS = 300_000, 1_000_000
-BREAK = b"."
-SIGNS = re.compile(rb"[.,;:!?\x0A-\x0D]+")
+#: Texts and chunks that are cut and counted at a time.
+TEXTS, CHUNKS = 512, 8192
+#: Stands for the break between two pieces; no word holds it.
+BREAK = "."
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes:
-    """64-bit hashes of words, kept by the worker up to a bound."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
+def _hashes(strings: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(s) for s in strings], np.uint64)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > MOST_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.array(list(map(known.__getitem__, words)), np.uint64)
 
+class _Tokens:
+    """The tokens of a column of lists: their strings, numbers, hashes, and the list that each is in."""
 
-_HASHES = _Hashes()
+    def __init__(self, lists: pa.ListArray):
+        self.flat = lists.flatten()
+        coded = self.flat.dictionary_encode()
+        self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.words = coded.dictionary.to_pylist()
+        hashes = _hashes(self.words)
+        self.hashes = hashes[self.codes]
+        self.real = self.hashes != _hashes([BREAK])[0]
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.ends = np.cumsum(lengths)
+        self.starts = self.ends - lengths
+        self.of = np.repeat(np.arange(len(lengths)), lengths)
 
 
 def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -69,126 +71,120 @@ def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
-def tokens_of(text: str) -> list[bytes]:
-    """The words of a text, A-Z in lower case, and a break between its pieces."""
-    return SIGNS.sub(b" . ", text.encode().lower()).split()
-
-
-def chunks_of(tokens: list[bytes]) -> list[tuple[bool, bytes]]:
-    """(whether it is the last, the chunk) for one text."""
-    if not tokens:
-        return []
-    starts, ends = [0], []
-    if len(tokens) > LONGEST:
-        h = _HASHES.of(tokens)
-        windows = _joined(_joined(h[:-2], h[1:-1]), h[2:])
-        # a chunk is longer than a window, so that it has a word of its own
-        triggers = np.flatnonzero(windows % np.uint64(APART) == 0)
-        for at in triggers[(triggers > 0) & (triggers < len(windows) - 1)].tolist():
-            ends.append(at + WINDOW)
-            starts.append(at)
-    ends.append(len(tokens))
-    final = len(ends) - 1
-    return [(k == final, b" ".join(tokens[a:b])) for k, (a, b) in enumerate(zip(starts, ends))]
-
-
-def _counted(names: tuple[str, ...], types: tuple[pa.DataType, ...], held: dict) -> pa.RecordBatch:
-    columns = list(zip(*held)) if held else [[]] * (len(names) - 1)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip([*columns, list(held.values())], types)], names=list(names)
-    )
+def tokens_of(texts: pa.Array) -> pa.Array:
+    """The words of each text, A-Z in lower case, and a break between its pieces."""
+    spaced = pc.replace_substring_regex(pc.ascii_lower(texts), r"[.,;:!?\x0A-\x0D]+", f" {BREAK} ")
+    return pc.ascii_split_whitespace(pc.ascii_trim_whitespace(spaced))
+
+
+def chunks_of(texts: pa.Array) -> dict[str, pa.Array | np.ndarray]:
+    """The chunks of some texts: of which text, whether its last, how many words begin in it, and the chunk."""
+    lists = tokens_of(texts)
+    lists = lists.filter(kept := pc.not_equal(pc.ascii_trim_whitespace(texts), ""))
+    numbers = np.flatnonzero(kept.to_numpy(zero_copy_only=False))
+    t = _Tokens(lists)
+    h, place = t.hashes, np.arange(len(t.codes))
+    # a window that is a trigger begins a chunk, unless a text begins or ends with it
+    windows = np.ones(len(h), np.uint64)
+    windows[:-2] = _joined(_joined(h[:-2], h[1:-1]), h[2:]) if len(h) > 2 else windows[:-2]
+    cut = (windows % np.uint64(APART) == 0) & (place > t.starts[t.of]) & (place + WINDOW < t.ends[t.of])
+    cut[t.starts] = True
+    starts = np.flatnonzero(cut)
+    of = t.of[starts]
+    last = np.append(of[1:] != of[:-1], np.ones(min(len(of), 1), bool))
+    ends = np.where(last, t.ends[of], np.append(starts[1:], 0) + WINDOW) if len(of) else starts
+    before = np.append(0, np.cumsum(t.real))
+    begins = before[np.where(last, ends, ends - WINDOW)] - before[starts]
+    lengths = ends - starts
+    offsets = np.append(0, np.cumsum(lengths))
+    tokens = t.flat.take(pa.array(np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])))
+    chunks = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens), " ")
+    return {"text": numbers[of], "last": last, "begins": begins, "chunk": chunks}
 
 
 def _parse(batches):
-    """(lang, text) to chunks with their number within a stretch of the task."""
-    names, types = ("lang", "last", "chunk", "n"), (pa.string(), pa.bool_(), pa.string(), pa.int64())
-    held, size = {}, 0
+    """(lang, text) to chunks."""
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-            for last, chunk in chunks_of(tokens_of(text.as_py())):
-                key = (lang, last, chunk)
-                if key in held:
-                    held[key] += 1
-                else:
-                    held[key] = 1
-                    size += len(chunk) + 100
-            if size > 1 << 25:
-                yield _counted(names, types, held)
-                held, size = {}, 0
-    yield _counted(names, types, held)
+        for at in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(at, TEXTS)
+            found = chunks_of(part.column("text"))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "lang": part.column("lang").take(pa.array(found["text"])),
+                    "last": pa.array(found["last"]),
+                    "begins": pa.array(found["begins"], pa.int64()),
+                    "chunk": found["chunk"],
+                }
+            )
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
-    """(lang, last, chunk, n): the distinct chunks of each language and how often they occur."""
+    """(lang, last, begins, chunk, n): the distinct chunks of each language, how many words begin in them, how often they
+    occur."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole_text().alias("text"))
-    parsed = texts.mapInArrow(_parse, "lang string, last boolean, chunk string, n long")
-    return parsed.groupBy("lang", "last", "chunk").agg(F.sum("n").alias("n"))
+    parsed = texts.mapInArrow(_parse, "lang string, last boolean, begins long, chunk string")
+    return parsed.groupBy("lang", "last", "begins", "chunk").agg(F.count("*").alias("n"))
 
 
 class _Grams:
-    """The n-grams that a batch of chunks counts, as arrays over its tokens."""
-
-    def __init__(self, batch: pa.RecordBatch, sieves: list[np.ndarray]):
-        chunks = [c.encode().split(b" ") for c in batch.column("chunk").to_pylist()]
-        self.tokens = [t for c in chunks for t in c]
-        lengths = np.array([len(c) for c in chunks], np.int64)
-        last = batch.column("last").to_numpy(zero_copy_only=False)
-        langs = [xxhash.xxh64_intdigest(x) for x in batch.column("lang").to_pylist()]
-        of = np.repeat(np.arange(len(chunks)), lengths)
-        ends = np.cumsum(lengths)
-        self.weights = batch.column("n").to_numpy()[of]
-        self.of = of
-        words = _HASHES.of(self.tokens)
-        real = words != np.uint64(xxhash.xxh64_intdigest(BREAK))
-        place = np.arange(len(words))
-        #: whether a token begins n-grams of this chunk; where its chunk ends
-        self.begins = real & ((place < ends[of] - WINDOW) | last[of])
-        self.levels = [_joined(np.array(langs, np.uint64)[of], words)]
-        self.passed = [self.begins]
-        inner = [real]  # the same for any place, whether it begins n-grams here or not
-        for n in range(1, len(sieves) + 1):
-            through = inner[-1] & _in(sieves[n - 1], self.levels[-1])
-            self.passed[-1] = self.passed[-1] & through
-            if n == LONGEST:
-                break
-            both = np.zeros(len(words), bool)
-            both[:-1] = through[:-1] & through[1:] & (of[:-1] == of[1:])
-            # the last word of the n-gram lies in the same chunk, as both of its parts do
-            h = np.zeros(len(words), np.uint64)
-            h[: len(words) - n] = _joined(self.levels[-1][: len(words) - n], words[n:])
-            self.levels.append(h)
-            inner.append(both)
-            self.passed.append(self.begins & both)
-
-
-def _in(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = hashes >> np.uint64(64 - SIEVE_BITS)
-    return (sieve[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
-def _hash_counts(sieves):
-    """Chunks to (hash, n) of the n-grams one word longer than the sieves there are."""
-
-    def made(hashes, weights):
-        found, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-        sums = np.zeros(len(found), np.int64)
-        np.add.at(sums, inverse, np.concatenate(weights))
-        return pa.RecordBatch.from_pydict({"hash": pa.array(found.view(np.int64)), "n": pa.array(sums)})
+    """The n-grams up to ``longest`` words that a batch of chunks counts, as arrays over its tokens.
+
+    ``levels``: their hashes by the place of their first word; ``passed``: whether they pass the sieves that there are."""
+
+    def __init__(self, batch: pa.RecordBatch, sieves: list[np.ndarray], longest: int):
+        self.tokens = t = _Tokens(pc.split_pattern(batch.column("chunk"), " "))
+        place, end = np.arange(len(t.codes)), t.ends[t.of]
+        last = batch.column("last").to_numpy(zero_copy_only=False)[t.of]
+        self.weights = batch.column("n").to_numpy()[t.of]
+        langs = batch.column("lang").dictionary_encode()
+        begins = t.real & ((place < end - WINDOW) | last)
+        seeds = _hashes(langs.dictionary.to_pylist())[langs.indices.to_numpy()]
+        self.levels, self.passed = [_joined(seeds[t.of], t.hashes)], []
+        through = t.real
+        for n in range(1, longest + 1):
+            if n > 1:
+                # the words after the first, too, must pass; they lie in the same chunk
+                both = np.zeros(len(place), bool)
+                both[:-1] = through[:-1] & through[1:] & (t.of[:-1] == t.of[1:])
+                through = both
+                level = np.zeros(len(place), np.uint64)
+                level[: 1 - n] = _joined(self.levels[-1][: 1 - n], t.hashes[n - 1 :])
+                self.levels.append(level)
+            if n <= len(sieves):
+                through = through & _in(sieves[n - 1], self.levels[-1], through)
+            self.passed.append(begins & through)
+
+
+def _in(sieve: np.ndarray, hashes: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Whether the hashes are set in a bitmap; only those asked for are looked up."""
+    out = np.zeros(len(hashes), bool)
+    places = hashes[asked] >> np.uint64(64 - SIEVE_BITS)
+    out[asked] = sieve[(places >> np.uint64(3)).astype(np.int64)] >> (places & np.uint64(7)).astype(np.uint8) & 1
+    return out
+
+
+def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each distinct key's first copy in sorting order, and the sum of its weights."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return order[first], np.add.reduceat(weights[order], first) if len(first) else weights[:0]
+
+
+def _hash_counts(sieves, sizes: tuple[int, ...]):
+    """Chunks to (hash, n) of the n-grams of some sizes that pass the sieves; words are summed here, as they repeat most."""
 
     def counts(batches):
-        read_, hashes, weights, size = [s.value for s in sieves], [], [], 0
+        known = [s.value for s in sieves]
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                grams = _Grams(batch.slice(at, 4096), read_)
-                here = grams.passed[-1]
-                hashes.append(grams.levels[-1][here])
-                weights.append(grams.weights[here])
-                size += len(hashes[-1])
-                if size > 1 << 21:
-                    yield made(hashes, weights)
-                    hashes, weights, size = [], [], 0
-        if size:
-            yield made(hashes, weights)
+            for at in range(0, batch.num_rows, CHUNKS):
+                grams = _Grams(batch.slice(at, CHUNKS), known, max(sizes))
+                for n in sizes:
+                    hashes, weights = (x[grams.passed[n - 1]] for x in (grams.levels[n - 1], grams.weights))
+                    if n == 1:
+                        first, weights = _summed(hashes, weights)
+                        hashes = hashes[first]
+                    yield pa.RecordBatch.from_pydict({"hash": pa.array(hashes.view(np.int64)), "n": pa.array(weights)})
 
     return counts
 
@@ -223,50 +219,49 @@ def _sieve(counts: DataFrame, least: int) -> np.ndarray:
 
 
 def _phrases(sieves):
-    """Chunks to (lang, phrase, words, n) of all n-grams that pass the sieves, by their own words."""
-    names, types = ("lang", "words", "phrase", "n"), (pa.string(), pa.int32(), pa.string(), pa.int64())
+    """Chunks to (lang, words, phrase, n) of all n-grams that pass the sieves, told apart by their own words."""
 
     def phrases(batches):
-        read_, held = [s.value for s in sieves], {}
+        known = [s.value for s in sieves]
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                grams, langs = _Grams(part, read_), part.column("lang").to_pylist()
+            for at in range(0, batch.num_rows, CHUNKS):
+                part = batch.slice(at, CHUNKS)
+                grams = _Grams(part, known, LONGEST)
+                t, langs = grams.tokens, part.column("lang").dictionary_encode()
+                # an n-gram's number: that of its first words, the language included, and its last word's
+                size = len(t.words)
+                numbers = langs.indices.to_numpy().astype(np.int64)[t.of] * size + t.codes
                 for n, here in enumerate(grams.passed, 1):
+                    if n > 1:
+                        places = np.flatnonzero(grams.passed[n - 2])
+                        ranks = np.zeros(len(numbers), np.int64)
+                        ranks[places] = np.unique(numbers[places], return_inverse=True)[1]
+                        numbers = ranks * size
+                        numbers[: 1 - n] += t.codes[n - 1 :]
                     places = np.flatnonzero(here)
-                    for i, k, weight in zip(
-                        places.tolist(), grams.of[places].tolist(), grams.weights[places].tolist()
-                    ):
-                        key = (langs[k], n, b" ".join(grams.tokens[i : i + n]))
-                        held[key] = held.get(key, 0) + weight
-                if len(held) > HELD:
-                    yield _counted(names, types, held)
-                    held = {}
-        yield _counted(names, types, held)
+                    first, weights = _summed(numbers[places], grams.weights[places])
+                    places = places[first]
+                    words = [list(map(t.words.__getitem__, t.codes[places + k].tolist())) for k in range(n)]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "lang": part.column("lang").take(pa.array(t.of[places])),
+                            "words": pa.array(np.full(len(places), n, np.int32)),
+                            "phrase": pa.array(map(" ".join, zip(*words)), pa.string()),
+                            "n": pa.array(weights),
+                        }
+                    )
 
     return phrases
 
 
-def _n_words(batches):
-    """Chunks to (lang, n): the words that begin in them."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            grams = _Grams(part, [])
-            langs, sums = part.column("lang").to_pylist(), {}
-            for k, weight in zip(*(x[grams.begins].tolist() for x in (grams.of, grams.weights))):
-                sums[langs[k]] = sums.get(langs[k], 0) + weight
-            yield pa.RecordBatch.from_pydict(
-                {"lang": pa.array(list(sums), pa.string()), "n": pa.array(list(sums.values()), pa.int64())}
-            )
-
-
 def frequent_phrases(chunks: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, words, phrase, f): all phrases of up to four words with ``least`` or more occurrences."""
     context, sieves = chunks.sparkSession.sparkContext, []
-    for _ in range(LONGEST):
-        counts = chunks.mapInArrow(_hash_counts(sieves), "hash long, n long")
-        sieves.append(context.broadcast(_sieve(counts, least)))
+    # few n-grams of three words or more are left by then: they are sieved together
+    for sizes in ((1,), (2,), tuple(range(3, LONGEST + 1))):
+        counts = chunks.mapInArrow(_hash_counts(sieves, sizes), "hash long, n long")
+        sieve = context.broadcast(_sieve(counts, least))
+        sieves = [*sieves, *(sieve for _ in sizes)]
     found = chunks.mapInArrow(_phrases(sieves), "lang string, words int, phrase string, n long")
     sums = found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f"))
     return sums.where(F.col("f") >= least)
@@ -284,7 +279,7 @@ def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, be
     """lang, rank, phrase, a, l, r, n, score: each language's first ``best`` phrases of two to four words."""
     chunks = written(dictionary(docs), "chunks")
     phrases = written(frequent_phrases(chunks, least), "phrases")
-    totals = chunks.mapInArrow(_n_words, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = chunks.groupBy("lang").agg(F.sum(F.col("begins") * F.col("n")).alias("n"))
     candidates = phrases.where("words > 1").withColumn("w", F.split("phrase", " "))
     part = lambda start, size: F.array_join(F.slice("w", start, size), " ")
     k = F.col("k")

@@ -80,30 +80,76 @@ def test_first_sentence(value, said, pieces, want, kept):
     assert value(text.first_sentence(L(said))) == want and value(text.first_sentence_pieces(L(said), own)) == kept
 
 
-def test_alignment_by_text():
-    assert align.by_text("a bc", [" a", " b", "c "]) == (["a", " b", "c"], True)
-    assert align.by_text("", []) == ([], True) and align.by_text("x", []) == ([], False)
-    pieces, exact = align.by_text("owls hunt", ["ow", "lz", "hunt!"])
-    assert not exact and "".join(pieces) == "owls hunt" and len(pieces) == 3
-    assert align.by_text("x", ["", ""]) == (["", "x"], False)
+def test_alignment_by_text(spark):
+    cases = [
+        ("a bc", [" a", " b", "c "], (["a", " b", "c"], True)),
+        ("", [], ([], True)),
+        ("x", [], ([], False)),
+        ("x", ["", ""], (["", "x"], False)),
+        ("owls hunt", ["ow", "lz", "hunt!"], (["ow", "ls", " hunt"], False)),
+        ("é🙂", ["\u3000é", "🙂\x1c\n"], (["é", "🙂"], True)),
+        ("", ["\n", " \xa0"], (["", ""], True)),
+        ("abcde", ["xx", "yy"], (["ab", "cde"], False)),
+        (None, None, ([], True)),
+    ]
+    rows = spark.createDataFrame([(k, *c[:2]) for k, c in enumerate(cases)], "k int, x string, p array<string>")
+    got = rows.select("k", align.aligned_to_text(F.col("x"), F.col("p")).alias("a")).orderBy("k").collect()
+    assert [(list(r.a.pieces), r.a.exact) for r in got] == [c[2] for c in cases]
 
 
 def test_alignment_by_bytes(spark):
     raw = "né 🙂".encode()
-    tokens, values = ["<s>", *["t"] * len(raw), "</s>"], [None, *[[b] for b in raw], None]
-    pieces, exact = align.by_bytes("né 🙂", tokens, values)
-    assert exact and "".join(pieces) == "né 🙂" and pieces[2] == "" and pieces[3] == "é"
-    assert align.by_bytes("x", ["t"], [None]) == ([""], False) and align.by_bytes("x", ["t"], [[121]]) == ([""], False)
-    rows = spark.createDataFrame([("né", ["t", "t", "t"], [[110], [195], [169]]), (None, None, None)], "x string, t array<string>, v array<array<int>>")
-    got = [r.a for r in rows.select(align.aligned_to_bytes(F.col("x"), F.col("t"), F.col("v")).alias("a")).collect()]
-    assert got[0].pieces == ["n", "", "é"] and got[0].exact and got[1].exact
-    got = rows.select(align.aligned_to_text(F.col("x"), F.col("t")).alias("a")).first().a
-    assert not got.exact and len(got.pieces) == 3
-
-
-def test_final_answer(value):
-    assert value(text.final_answer(L('We add both. The final answer is: "Lake Vesna"'))) == "Lake Vesna"
-    assert value(text.final_answer(L("no end"))) is None
+    whole = ["<s>", *["t"] * len(raw), "</s>"]
+    cases = [
+        ("né 🙂", whole, [None, *[[b] for b in raw], None], (["", "n", "", "é", " ", "", "", "", "🙂", ""], True)),
+        ("x", ["t"], [None], ([""], False)),
+        ("x", ["t"], [[121]], ([""], False)),
+        ("x", ["t", "t"], [[120]], (["", ""], False)),
+        ("né", ["t", "t", "t"], [[32, 10, 110], [195], [169, 9]], (["n", "", "é"], True)),
+        ("éa", ["t", "t", "t"], [[195], [], [169, 97]], (["", "", "éa"], True)),
+        (None, None, None, ([], True)),
+        ("", ["<|x|>", "t"], [None, [32]], (["", ""], True)),
+    ]
+    schema = "k int, x string, t array<string>, v array<array<int>>"
+    rows = spark.createDataFrame([(k, *c[:3]) for k, c in enumerate(cases)], schema)
+    found = rows.select("k", align.aligned_to_bytes(F.col("x"), F.col("t"), F.col("v")).alias("a")).orderBy("k")
+    assert [(list(r.a.pieces), r.a.exact) for r in found.collect()] == [c[3] for c in cases]
+    assert "Python" not in found._jdf.queryExecution().toString()
+
+
+def test_unicode_white_space_parts_and_strips(value):
+    assert value(metrics.exact_match(L("New\xa0York"), texts("New York")))
+    assert value(metrics.token_f1_single(L("New\u3000York"), L("york new"))) == 1
+    assert value(text.words(L("a\xa0b\u3000c d\x1ce\u2028"))) == ["a", "b", "c", "d", "e"]
+    assert value(text.stripped(L("\x85\n a b\u2003\x1f"))) == "a b"
+    assert value(text.articles_first(L("éa the_a a"))) == "éa thea"
+
+
+def test_claims_lose_their_outer_white_space(value):
+    lines = "First sentence is long.\nSecond sentence is long."
+    assert value(text.claims(L(lines))) == ["First sentence is long", "Second sentence is long"]
+    assert value(text.claims(L('{"claims": ["\\n one claim\\t", " \\n"]}'))) == ["one claim"]
+    assert value(text.claims(L("[] This is a long sentence here..."))) == ["[] This is a long sentence here"]
+    assert value(text.claims(L('say ["\u3000a", null, true, 3] now'))) == ["a", "None", "True", "3"]
+    assert value(text.claims(L('{"facts": ["one", "two"]}'))) == []
+    assert value(text.standalone_claims(L("[ ]"), L("its text"))) == []
+    assert value(text.standalone_claims(L("x"), L("\n\xa0"))) == []
+
+
+@pytest.mark.parametrize(
+    "said, want",
+    [
+        ('We add both. The final answer is: "Lake Vesna"', "Lake Vesna"),
+        ("The answer is - Paris.", "Paris"),
+        ("So the answer is 'B'...", "B"),
+        ("The answer is A.\nMore text", None),
+        ("no end", None),
+        ("First.\nThe answer is A.\n", "A"),
+    ],
+)
+def test_final_answer(value, said, want):
+    assert value(text.final_answer(L(said))) == want
+    assert value(text.answer_of(L(said))) == (want or said.strip())
 
 
 def test_exact_match_and_containment(value):

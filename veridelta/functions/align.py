@@ -1,82 +1,112 @@
-"""Token pieces brought in line with the text that they make up.
+"""Token pieces brought in line with the text that they make up, as Column expressions over running lengths.
 
-A generated text and its tokens come separately: the tokens as shown by a tokenizer, or as bytes, in which one character
-may be spread over several. Each function takes arrays and gives, for every row, one piece of the text per token and
-whether the pieces are exact. Rows are small (a text's tokens); they are worked on in Arrow batches.
+A generated text and its tokens come separately: the tokens as shown by a tokenizer, or as bytes, in which one character may
+be spread over several. The result has one piece of the text per token, and whether the pieces are exact.
 """
 
 from __future__ import annotations
 
-import codecs
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veridelta.functions.text import SPECIAL_TOKEN
-
-ALIGNED = "pieces array<string>, exact boolean"
-SPECIAL = re.compile(SPECIAL_TOKEN)
-
-
-def _clipped(pieces: list, empty) -> list:
-    """The pieces without the white space that begins and ends their whole."""
-    whole = empty.join(pieces)
-    low, high = len(whole) - len(whole.lstrip()), len(whole.rstrip())
-    ends, at = [], 0
-    for p in pieces:
-        ends.append((max(at, low), min(at + len(p), high)))
-        at += len(p)
-    return [whole[a:b] if a < b else empty for a, b in ends]
-
-
-def by_text(text: str, pieces: list[str]) -> tuple[list[str], bool]:
-    """Pieces that are the text but for outer white space; else shares of the text in proportion to their lengths."""
-    own = _clipped(pieces, "")
-    if "".join(own) == text:
-        return own, True
-    total = sum(map(len, pieces))
-    if not total:
-        return [""] * (len(pieces) - 1) + [text] * bool(pieces), False
-    cuts, upto = [0], 0
-    for p in pieces:
-        upto += len(p)
-        cuts.append(round(len(text) * upto / total))
-    return [text[a:b] for a, b in zip(cuts, cuts[1:])], False
-
-
-def by_bytes(text: str, tokens: list[str], values: list) -> tuple[list[str], bool]:
-    """Characters given to the token that ends them; special tokens have none. Without all bytes, or where they aren't the
-    text's, every piece is empty."""
-    special = [bool(SPECIAL.match(t)) for t in tokens]
-    if len(tokens) != len(values) or any(v is None and not s for v, s in zip(values, special)):
-        return [""] * len(tokens), False
-    own = _clipped([b"" if s else bytes(int(x) for x in v) for v, s in zip(values, special)], b"")
-    if b"".join(own) != text.encode("utf-8"):
-        return [""] * len(tokens), False
-    decoder = codecs.getincrementaldecoder("utf-8")()
-    return [decoder.decode(p) for p in own], True
+from veridelta.functions.text import SPACE, SPECIAL_TOKEN, bound, running_sums
 
+#: Bytes of white space in pairs of hexadecimal digits.
+WHITE_BYTES = "(?:09|0A|0B|0C|0D|20)+"
 
-def aligned_to_text(text: Column, pieces: Column) -> Column:
-    """(pieces, exact) of decoded pieces."""
 
-    @F.pandas_udf(ALIGNED)
-    def of(texts: pd.Series, rows: pd.Series) -> pd.DataFrame:
-        out = [by_text(t or "", list(r) if r is not None else []) for t, r in zip(texts, rows)]
-        return pd.DataFrame(out, columns=["pieces", "exact"])
+def _between(text: Column, ends: Column) -> Column:
+    """The parts of a text between each two neighbours of an array of places."""
 
-    return of(text, pieces)
+    def of(text: Column, ends: Column) -> Column:
+        n = F.size(ends) - 1
+        pairs = F.arrays_zip(F.slice(ends, F.lit(1), n).alias("a"), F.slice(ends, F.lit(2), n).alias("b"))
+        return F.transform(pairs, lambda p: F.substring(text, p["a"] + 1, p["b"] - p["a"]))
 
+    return bound(of, text=text, ends=ends)
 
-def aligned_to_bytes(text: Column, tokens: Column, values: Column) -> Column:
-    """(pieces, exact) of tokens and their bytes (arrays of numbers, or null)."""
 
-    @F.pandas_udf(ALIGNED)
-    def of(texts: pd.Series, names: pd.Series, rows: pd.Series) -> pd.DataFrame:
-        parts = zip(texts, names, rows)
-        out = [by_bytes(t or "", list(n) if n is not None else [], list(r) if r is not None else []) for t, n, r in parts]
-        return pd.DataFrame(out, columns=["pieces", "exact"])
+def _result(pieces: Column, exact: Column) -> Column:
+    return F.struct(pieces.alias("pieces"), exact.alias("exact"))
+
 
-    return of(text, tokens, values)
+def aligned_to_text(text: Column, pieces: Column) -> Column:
+    """(pieces, exact) of decoded pieces.
+
+    Exact where the pieces make up the text but for white space around their whole, which the pieces then lose. Else the text
+    is dealt out in proportion to the pieces' lengths; to the last piece where all are empty."""
+
+    def of(text: Column, pieces: Column) -> Column:
+        def cut(text: Column, whole: Column, ends: Column, low: Column, high: Column, size: Column) -> Column:
+            own = _between(whole, F.transform(ends, lambda e: F.least(F.greatest(e, low), F.greatest(low, high))))
+            total = F.get(ends, F.size(ends) - 1)
+            last = F.size(ends) - 1
+            # without any length the last piece has it all
+            share = lambda e, i: F.when(total > 0, F.bround(size * e / total)).when(i == last, size).otherwise(0)
+            dealt = _between(text, F.transform(ends, lambda e, i: share(e, i).cast("int")))
+            exact = F.array_join(own, "") == text
+            return _result(F.when(exact, own).otherwise(dealt), exact)
+
+        def measured(text: Column, whole: Column, ends: Column) -> Column:
+            return bound(
+                cut,
+                text=text,
+                whole=whole,
+                ends=ends,
+                low=F.length(F.regexp_extract(whole, f"^{SPACE}", 0)),
+                high=F.length(F.regexp_replace(whole, rf"{SPACE}\z", "")),
+                size=F.length(text),
+            )
+
+        ends = running_sums(F.transform(pieces, F.length))
+        return bound(measured, text=text, whole=F.array_join(pieces, ""), ends=ends)
+
+    none = F.array().cast("array<string>")
+    return bound(of, text=F.coalesce(text, F.lit("")), pieces=F.coalesce(pieces, none))
+
+
+def aligned_to_bytes(text: Column, tokens: Column, values: Column) -> Column:
+    """(pieces, exact) of tokens and their bytes (arrays of numbers, or null).
+
+    A character belongs to the token that has its last byte; special tokens have none. White space around the whole is cut.
+    Without all bytes, or where they aren't the text's, every piece is empty."""
+
+    def of(text: Column, tokens: Column, values: Column) -> Column:
+        both = F.arrays_zip(tokens.alias("t"), values.alias("v"))
+        special = lambda x: F.regexp_like(x["t"], F.lit(SPECIAL_TOKEN))
+        complete = (F.size(tokens) == F.size(values)) & F.forall(both, lambda x: special(x) | x["v"].isNotNull())
+        none = F.array().cast("array<int>")
+        own = F.transform(both, lambda x: F.when(special(x) | x["v"].isNull(), none).otherwise(x["v"].cast("array<int>")))
+        follows = lambda b: b.bitwiseAND(F.lit(0xC0)) == 0x80  # a byte that goes on with a character
+        begun = F.transform(own, lambda v: F.size(F.filter(v, lambda b: ~follows(b))))
+        raw = F.array_join(F.transform(F.flatten(own), lambda b: F.lpad(F.hex(b), 2, "0")), "")
+
+        def cut(flat: Column, exact: Column, ends: Column, begun: Column, head: Column, size: Column) -> Column:
+            # characters that have ended at a place: those begun, but for one that the next byte goes on with
+            open_ = lambda e: F.coalesce(follows(F.get(flat, e)), F.lit(False)).cast("int")
+            ended = F.zip_with(ends, begun, lambda e, n: n - open_(e))
+            # the white space before the text is of one byte a character
+            inside = F.transform(ended, lambda n: F.least(F.greatest(n - head, F.lit(0)), size).cast("int"))
+            empty = F.transform(tokens, lambda _: F.lit(""))
+            return _result(F.when(exact, _between(text, inside)).otherwise(empty), exact)
+
+        def measured(raw: Column) -> Column:
+            bare = F.regexp_replace(raw, rf"^{WHITE_BYTES}|{WHITE_BYTES}\z", "")
+            return bound(
+                cut,
+                flat=F.flatten(own),
+                exact=F.coalesce(complete & (bare == F.hex(F.encode(text, "UTF-8"))), F.lit(False)),
+                ends=running_sums(F.transform(own, F.size)),
+                begun=running_sums(begun),
+                head=(F.length(F.regexp_extract(raw, f"^{WHITE_BYTES}", 0)) / 2).cast("int"),
+                size=F.length(text),
+            )
+
+        return bound(measured, raw=raw)
+
+    return bound(
+        of,
+        text=F.coalesce(text, F.lit("")),
+        tokens=F.coalesce(tokens, F.array().cast("array<string>")),
+        values=F.coalesce(values, F.array().cast("array<array<int>>")),
+    )

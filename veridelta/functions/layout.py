@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veridelta.functions.text import stripped
+
 # File endings and their types.
 MIME = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp"}
 
@@ -175,7 +177,7 @@ CHOICES = "Is the possible answer:\nA) True\nB) False\nThe possible answer is:"
 
 def truth_shot(question: Column, answer: Column, samples: Column, correct: Column) -> Column:
     """A worked example: the answer itself stands before the samples, and the choice after them."""
-    lines = F.transform(F.concat(F.array(answer), samples), lambda a: F.concat(F.trim(a), F.lit(" \n")))
+    lines = F.transform(F.concat(F.array(answer), samples), lambda a: F.concat(stripped(a), F.lit(" \n")))
     label = F.when(correct, " A").otherwise(" B")
     return F.concat(
         F.lit("Question: "), question, F.lit("\nBrainstormed Answers: "), F.array_join(lines, ""), F.lit("Possible answer: "),
@@ -185,7 +187,7 @@ def truth_shot(question: Column, answer: Column, samples: Column, correct: Colum
 
 def truth_prompt(question: Column, answer: Column, samples: Column, shots: Column | None = None) -> Column:
     """A question whose choice is open: the answer itself stands after the samples."""
-    lines = F.transform(F.concat(samples, F.array(answer)), lambda a: F.concat(F.trim(a), F.lit("\n")))
+    lines = F.transform(F.concat(samples, F.array(answer)), lambda a: F.concat(stripped(a), F.lit("\n")))
     own = F.concat(
         F.lit("Question: "), question, F.lit("\nBrainstormed Answers: "), F.array_join(lines, ""), F.lit("Possible answer: "),
         answer, F.lit("\n" + CHOICES),

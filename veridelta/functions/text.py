@@ -12,13 +12,16 @@ PUNCTUATION = string.punctuation
 ARTICLES = ("a", "an", "the")
 TOKEN = "([A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*)"
 NUMBER = r"(-?\d+\.?\d*%?)"
-SPACE = "[ \\t\\n\\r\\f\\x0B]+"
-ANSWER_PREFIX = r"(?i)^(?:so\s+)?(?:the\s+)?(?:final\s+)?answer\s+is\s*[:\-]?\s*"
-SENTENCE_END = r"[.!?][\"']?(?=\s|$)"
+#: Unicode white space.
+WHITE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACE = WHITE + "+"
+ANSWER_IS = rf"(?:so{WHITE}+)?(?:the{WHITE}+)?(?:final{WHITE}+)?answer{WHITE}+is{WHITE}*[:\-]?{WHITE}*"
+ANSWER_PREFIX = rf"(?iu)^{ANSWER_IS}"
+SENTENCE_END = rf"[.!?][\"']?(?={WHITE}|\z)"
 SPECIAL_TOKEN = r"^(?:</?s>|<\|[^>]+\|>|\[(?:INST|/INST)\])$"
 #: Signs of which a token without content consists.
 SIGNS = ".,;:!?()-[]{}\"'`\n\t /\\|"
-#: Words that carry no content.
+# Words that carry no content.
 STOP_WORDS = """
 the a an is are was were be been being have has had do does did will would could should may might shall can need dare ought
 to of in for on with at by from as into through during before after above below between out off over under again further
@@ -28,20 +31,29 @@ they them their what which who whom whose
 """.split()
 
 
+#: An article that no letter, digit or underscore touches.
+ARTICLE = r"(?<![\p{L}\p{N}_])(?:a|an|the)(?![\p{L}\p{N}_])"
+
+
+def stripped(text: Column) -> Column:
+    """The text without the Unicode white space that it begins and ends with."""
+    return F.regexp_replace(text, rf"^{SPACE}|{SPACE}\z", "")
+
+
 def _collapsed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
 def articles_first(text: Column) -> Column:
     """Lower case, articles to spaces, punctuation removed, white space collapsed."""
-    text = F.regexp_replace(F.lower(text), r"\b(a|an|the)\b", " ")
+    text = F.regexp_replace(F.lower(text), ARTICLE, " ")
     return _collapsed(F.translate(text, PUNCTUATION, ""))
 
 
 def punctuation_first(text: Column) -> Column:
     """Lower case, punctuation removed, articles to spaces, white space collapsed."""
     text = F.translate(F.lower(text), PUNCTUATION, "")
-    return _collapsed(F.regexp_replace(text, r"\b(a|an|the)\b", " "))
+    return _collapsed(F.regexp_replace(text, ARTICLE, " "))
 
 
 def plain_tokens(text: Column) -> Column:
@@ -61,6 +73,34 @@ def bound(f, **columns: Column) -> Column:
     return F.transform(once, lambda s: f(*(s[n] for n in columns)))[0]
 
 
+def running_sums(sizes: Column, block: int = 64) -> Column:
+    """Zero and the sums of an array of numbers up to each place: within blocks first, then over the blocks, so that the
+    arrays which grow by one stay short."""
+
+    def inclusive(xs: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("sums"))
+
+        def step(s: Column, n: Column) -> Column:
+            at = (s["at"] + n).cast("int")
+            return F.struct(at.alias("at"), F.concat(s["sums"], F.array(at)).alias("sums"))
+
+        return F.aggregate(xs, start, step, lambda s: s["sums"])
+
+    def over_blocks(inner: Column) -> Column:
+        totals = inclusive(F.transform(inner, lambda xs: F.get(xs, F.size(xs) - 1)))
+        before = F.slice(F.concat(F.array(F.lit(0)), totals), F.lit(1), F.size(inner))
+        shifted = F.zip_with(inner, before, lambda xs, b: F.transform(xs, lambda x: x + b))
+        return F.concat(F.array(F.lit(0)), F.flatten(shifted))
+
+    def split(own: Column) -> Column:
+        blocks = F.when(F.size(own) > 0, F.sequence(F.lit(1), F.size(own), F.lit(block))).otherwise(
+            F.array().cast("array<int>")
+        )
+        return bound(over_blocks, inner=F.transform(blocks, lambda b: inclusive(F.slice(own, b, block))))
+
+    return bound(split, own=sizes)
+
+
 def word_runs(text: Column, n: int) -> Column:
     """Every run of n words."""
 
@@ -102,40 +142,60 @@ def chunks(text: Column, size: int = 256, overlap: int = 32) -> Column:
 
 
 def sentence_claims(text: Column, least: int = 10) -> Column:
-    """Claims without a model: sentences longer than ``least`` characters."""
+    """Claims without a model: sentences longer than ``least`` characters, without outer white space."""
     return F.filter(
-        F.transform(F.split(F.coalesce(text, F.lit("")), "[.!?]+"), lambda s: F.trim(s)), lambda s: F.length(s) > least
+        F.transform(F.split(F.coalesce(text, F.lit("")), "[.!?]+"), stripped), lambda s: F.length(s) > least
     )
 
 
-def _strings_or_null(text: Column, path: str) -> Column:
-    """A JSON list at a path, if all its items are strings, trimmed and without blank ones; else null."""
-    items = F.from_json(F.get_json_object(text, path), "array<string>")
+def _kept(items: Column) -> Column:
+    return F.filter(F.transform(items, stripped), lambda x: x.isNotNull() & (x != ""))
+
+
+def _claims_of_object(text: Column) -> Column:
+    """The claims of a JSON object, if all are strings: none where it has no such key; null for anything else."""
+    listed = F.get_json_object(text, "$.claims")
     # as JSON again: a string's item is quoted, whatever its content
-    strict = F.from_json(F.get_json_object(text, path), "array<variant>")
+    strict = F.from_json(listed, "array<variant>")
     all_strings = F.forall(strict, lambda v: F.schema_of_variant(v) == "STRING")
-    kept = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
-    return F.when(all_strings, kept)
+    whole = F.try_parse_json(text)
+    no_key = F.schema_of_variant(whole).startswith("OBJECT<") & F.try_variant_get(whole, "$.claims", "variant").isNull()
+    none = F.array().cast("array<string>")
+    return F.when(all_strings, _kept(F.from_json(listed, "array<string>"))).when(no_key, none)
+
+
+def _claims_of_list(text: Column) -> Column:
+    """The items of the first brackets that hold anything, as a JSON list of any values; null where they aren't one."""
+    found = F.from_json(F.regexp_extract(text, r"\[[^\]]+\]", 0), "array<variant>")
+    kind = lambda v: F.schema_of_variant(v)
+    said = F.transform(
+        found,
+        lambda v: F.when(v.isNull() | (kind(v) == "VOID"), "None")
+        .when(kind(v) == "BOOLEAN", F.initcap(F.try_variant_get(v, "$", "string")))
+        .otherwise(F.try_variant_get(v, "$", "string")),
+    )
+    return _kept(said)
 
 
 def claims(text: Column) -> Column:
     """Claims of a model's answer: ``{"claims": [...]}`` if all are strings, else the first list in it, else its sentences."""
-    listed = F.from_json(F.regexp_extract(text, r"(?s)(\[.*?\])", 1), "array<string>")
-    kept = F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
-    return F.coalesce(_strings_or_null(text, "$.claims"), kept, sentence_claims(text))
+    return F.coalesce(_claims_of_object(text), _claims_of_list(text), sentence_claims(text))
 
 
 def standalone_claims(answer: Column, text: Column) -> Column:
-    """Claims of a model's answer about ``text``, which is the claim itself where the answer has none; none if it is blank."""
-    found = claims(answer)
-    return F.when(F.trim(text) == "", F.array().cast("array<string>")).otherwise(
-        F.when(F.size(found) > 0, found).otherwise(F.array(text))
+    """Claims of a model's answer about ``text``, which is the claim itself where sentences were looked for and none found;
+    none if it is blank."""
+    none = F.array().cast("array<string>")
+    sentences = sentence_claims(answer)
+    own = F.when(F.size(sentences) > 0, sentences).otherwise(F.array(text))
+    return F.when(stripped(text) == "", none).otherwise(
+        F.coalesce(_claims_of_object(answer), _claims_of_list(answer), own)
     )
 
 
 def is_key_token(token: Column) -> Column:
     """Whether a token carries content: more than one character, not all signs, no stop word."""
-    bare = F.lower(F.trim(F.regexp_replace(token, r"^\s+|\s+$", "")))
+    bare = F.lower(stripped(token))
     return (F.length(bare) > 1) & (F.translate(bare, SIGNS, "") != "") & ~bare.isin(STOP_WORDS)
 
 
@@ -149,15 +209,16 @@ def first_sentence(text: Column) -> Column:
     """The text up to its first sentence's end, trimmed; whole if no sentence ends before its own end."""
     upto = F.regexp_extract(text, rf"(?s)^(.*?{SENTENCE_END})", 1)
     cut = (upto != "") & (F.length(upto) < F.length(text))
-    return F.when(cut, F.regexp_replace(upto, r"^\s+|\s+$", "")).otherwise(text)
+    return F.when(cut, stripped(upto)).otherwise(text)
 
 
 def first_sentence_pieces(text: Column, pieces: Column) -> Column:
     """The pieces of a text, which they make up in order, that its first sentence takes; the last one is cut at its end."""
     upto = F.regexp_extract(text, rf"(?s)^(.*?{SENTENCE_END})", 1)
     end = F.when((upto != "") & (F.length(upto) < F.length(text)), F.length(upto))
-    before = lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda n, p: n + F.length(p))
-    left = F.transform(pieces, lambda p, i: F.struct(p.alias("p"), (end - before(i)).alias("left")))
+    # a piece begins where the letters of all before it end
+    places = F.slice(running_sums(F.transform(pieces, F.length)), F.lit(1), F.size(pieces))
+    left = F.zip_with(pieces, places, lambda p, at: F.struct(p.alias("p"), (end - at).alias("left")))
     kept = F.filter(left, lambda x: x["left"] > 0)
     return F.when(end.isNull(), pieces).otherwise(
         F.transform(kept, lambda x: F.substring(x["p"], F.lit(1), F.least(x["left"], F.length(x["p"]))))
@@ -165,10 +226,16 @@ def first_sentence_pieces(text: Column, pieces: Column) -> Column:
 
 
 def final_answer(text: Column) -> Column:
-    """What follows ``answer is``, without quotes and the last full stop; null if it isn't there."""
-    found = F.regexp_extract(text, r"(?is)(?:final\s+)?answer\s+is\s*:?\s*(.+?)\s*$", 1)
-    bare = F.regexp_replace(F.trim(found), r"^[\"']+|[\"'.]+$", "")
-    return F.when(bare != "", bare)
+    """What follows ``answer is`` up to the text's end in the same line, without quotes around it and the last full stops;
+    null if it isn't there."""
+    bare = F.regexp_replace(stripped(text), r"\.+\z", "")
+    found = F.regexp_extract(bare, rf"(?iu){ANSWER_IS}[\"']?([^\n]+?)[\"']?{WHITE}*\z", 1)
+    return F.when(found != "", F.regexp_replace(stripped(found), r"^[\"']+|[\"']+\z", ""))
+
+
+def answer_of(text: Column) -> Column:
+    """The final answer, or the whole text without outer white space where none is given."""
+    return F.coalesce(final_answer(text), stripped(text))
 
 
 def stable_seed(seed: int, key: Column) -> Column:

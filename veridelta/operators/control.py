@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridelta.functions.text import ANSWER_PREFIX
+from veridelta.functions.text import ANSWER_PREFIX, SPACE, stripped
 
 
 def route(se: Column, u: Column, tau_semantic: Column, tau_token: Column) -> Column:
@@ -149,7 +149,7 @@ def triggers(logprobs: Column, pieces: Column, theta: float) -> Column:
     if theta <= 0:
         return F.lit(False)
     both = F.arrays_zip(pieces.alias("p"), logprobs.alias("l"))
-    return F.exists(both, lambda x: (F.trim(x["p"]) != "") & (x["l"] <= F.log(F.lit(theta))))
+    return F.exists(both, lambda x: (stripped(x["p"]) != "") & (x["l"] <= F.log(F.lit(theta))))
 
 
 def masked_query(pieces: Column, logprobs: Column, beta: float, fallback: Column) -> Column:
@@ -158,16 +158,16 @@ def masked_query(pieces: Column, logprobs: Column, beta: float, fallback: Column
     least = F.log(F.lit(beta)) if beta > 0 else F.lit(float("-inf"))
     # a token of probability 0 isn't above it either
     kept = F.zip_with(pieces, logprobs, lambda p, l: F.when(l > least, p).otherwise(F.lit(" ")))
-    found = F.trim(F.regexp_replace(F.array_join(kept, ""), r"\s+", " "))
+    found = F.trim(F.regexp_replace(F.array_join(kept, ""), SPACE, " "))
     found = F.trim(F.regexp_replace(found, ANSWER_PREFIX, ""))
-    found = F.regexp_replace(found, r"^[.\"']+|[.\"']+$", "")
+    found = F.regexp_replace(found, r"^[.\"']+|[.\"']+\z", "")
     return F.when(found != "", found).otherwise(fallback)
 
 
 def low_token_query(tokens: Column, logprobs: Column, least: float = -1.0, most: int = 10) -> Column:
     """The first few tokens below a log-probability, as a search text; empty where there is none."""
     rows = F.arrays_zip(tokens.alias("token"), logprobs.alias("logprob"))
-    low = F.transform(F.filter(rows, lambda r: r["logprob"] < least), lambda r: F.trim(r["token"]))
+    low = F.transform(F.filter(rows, lambda r: r["logprob"] < least), lambda r: stripped(r["token"]))
     return F.array_join(F.slice(low, 1, most), " ")
 
 

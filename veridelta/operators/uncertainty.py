@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridelta.functions.text import is_key_token
+from veridelta.functions.text import is_key_token, stripped
 from veridelta.operators.stats import running_totals
 
 
@@ -84,7 +84,7 @@ def response_entropies(responses: DataFrame, query: str, response: str, logprobs
 def affirmative_logprob(top: Column) -> Column:
     """The log-probability of the token A in a map of tokens, the one with a space before it first, else the least of those
     that are A but for white space; an error if there is none."""
-    bare = lambda t: F.trim(F.replace(t, F.lit("▁"), F.lit(" ")))
+    bare = lambda t: stripped(F.replace(t, F.lit("▁"), F.lit(" ")))
     found = F.map_filter(top, lambda t, _: bare(t) == "A")
     spaced = F.map_filter(found, lambda t, _: t.isin(" A", "▁A"))
     first = lambda m: F.get(F.map_values(m), F.lit(0))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from veridelta.functions import align, layout, text
 from veridelta.operators import control, uncertainty
 from veridelta.plans.registry import query, table
-from veridelta.plans.texts import SPLIT
+from veridelta.plans.texts import SPLIT, stripped
 
 STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 SIGNS = text.SIGNS.replace("'", "''")
@@ -46,7 +46,7 @@ def key_tokens(spark, sf_dir):
 @query(
     "key_token_uncertainty",
     f"""WITH {PIECES}, x AS (SELECT conv_id, turn, unnest(p) AS piece FROM p),
-    b AS (SELECT conv_id, turn, lower(trim(regexp_replace(piece, '^\\s+|\\s+$', '', 'g'), ' ')) AS b, {LOGPROB.format(x='piece')} AS l FROM x),
+    b AS (SELECT conv_id, turn, lower({stripped('piece')}) AS b, {LOGPROB.format(x='piece')} AS l FROM x),
     s AS (SELECT conv_id, turn, avg(-l / ln(2)) AS u FROM b WHERE {key('b')} GROUP BY ALL),
     u AS (SELECT conv_id, avg(u) AS u FROM s GROUP BY conv_id)
     SELECT q.conv_id, round(coalesce(u, 0), 6) AS u_token FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN u USING (conv_id)""",
@@ -83,26 +83,43 @@ def first_sentences(spark, sf_dir):
     )
 
 
+#: Of every third turn, the pieces lack their last one, and a byte is wrong.
+SPOILT = "(conv_id + turn) % 3 = 0"
+
+
 @query(
     "piece_alignment",
-    rf"""WITH {PIECES}, a AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS bare FROM p)
-    SELECT conv_id, turn, true AS exact, md5(bare) AS joined_md5, CAST(len(p) AS INTEGER) AS n_pieces, true AS bytes_exact,
-      md5(bare) AS bytes_md5 FROM a""",
+    rf"""WITH {PIECES}, o AS (SELECT conv_id, turn, {stripped('text')} AS bare, {SPOILT} AS spoilt,
+      CASE WHEN {SPOILT} THEN p[1 : len(p) - 1] ELSE p END AS p FROM p),
+    w AS (SELECT *, array_to_string(p, '') AS whole FROM o),
+    m AS (SELECT *, {stripped('whole')} = bare AS exact, len(whole) AS total,
+      list_transform(range(0, len(p) + 1), lambda i: CAST(coalesce(list_sum(list_transform(p[1:i], lambda x: len(x))), 0) AS BIGINT)) AS ends FROM w),
+    s AS (SELECT *, len(whole) - len(regexp_replace(whole, '^{text.SPACE}', '')) AS low FROM m),
+    c AS (SELECT *, CASE WHEN exact THEN list_transform(ends, lambda e: least(greatest(e - low, 0), len(bare)))
+      WHEN total = 0 THEN list_transform(range(0, len(p) + 1), lambda i: CASE WHEN i = len(p) THEN len(bare) ELSE 0 END)
+      ELSE list_transform(ends, lambda e: CAST(round_even(len(bare) * e / total, 0) AS BIGINT)) END AS cuts FROM s),
+    d AS (SELECT *, list_transform(range(1, len(p) + 1), lambda i: substr(bare, cuts[i] + 1, cuts[i + 1] - cuts[i])) AS pieces FROM c)
+    SELECT conv_id, turn, exact, md5(array_to_string(pieces, '|')) AS pieces_md5, CAST(len(p) AS INTEGER) AS n_pieces,
+      NOT spoilt OR len(bare) = 0 AS bytes_exact,
+      md5(CASE WHEN spoilt THEN '' ELSE array_to_string(regexp_extract_all(bare, '(?s).'), '') END) AS bytes_md5 FROM d""",
 )
 def piece_alignment(spark, sf_dir):
-    """The pieces of every turn against its text without outer white space, by characters and by bytes."""
-    bare = F.regexp_replace("text", r"^\s+|\s+$", "")
-    rows = _pieces(spark, sf_dir).withColumn("bare", bare)
+    """The pieces of every turn against its text without outer white space, by characters and by bytes; those of every third
+    turn don't fit."""
+    spoilt = F.expr(SPOILT)
+    rows = _pieces(spark, sf_dir).withColumn("bare", text.stripped(F.col("text")))
+    p = F.when(spoilt, F.slice("p", F.lit(1), F.greatest(F.size("p") - 1, F.lit(0)))).otherwise(F.col("p"))
     # each byte of a text as a token of its own: characters of several bytes are spread over tokens
     raw = F.hex(F.encode("text", "UTF-8"))
-    places = F.filter(F.sequence(F.lit(0), F.length(raw)), lambda i: (i % 2 == 1))
-    values = F.transform(places, lambda i: F.array(F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("int")))
-    rows = rows.withColumn("by_text", align.aligned_to_text(F.col("bare"), F.col("p")))
+    places = F.when(F.length(raw) > 0, F.sequence(F.lit(1), F.length(raw), F.lit(2))).otherwise(F.array().cast("array<int>"))
+    byte = F.transform(places, lambda i: F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("int"))
+    values = F.transform(byte, lambda b: F.array(F.when(spoilt, b.bitwiseXOR(F.lit(1))).otherwise(b)))
+    rows = rows.withColumn("by_text", align.aligned_to_text(F.col("bare"), p))
     rows = rows.withColumn("by_bytes", align.aligned_to_bytes(F.col("bare"), F.transform(places, lambda _: F.lit("x")), values))
-    joined = lambda c: F.md5(F.array_join(F.col(f"{c}.pieces"), ""))
+    joined = lambda c, by: F.md5(F.array_join(F.col(f"{c}.pieces"), by))
     return rows.select(
-        "conv_id", "turn", F.col("by_text.exact").alias("exact"), joined("by_text").alias("joined_md5"),
-        F.size("by_text.pieces").alias("n_pieces"), F.col("by_bytes.exact").alias("bytes_exact"), joined("by_bytes").alias("bytes_md5"),
+        "conv_id", "turn", F.col("by_text.exact").alias("exact"), joined("by_text", "|").alias("pieces_md5"),
+        F.size("by_text.pieces").alias("n_pieces"), F.col("by_bytes.exact").alias("bytes_exact"), joined("by_bytes", "").alias("bytes_md5"),
     )
 
 
@@ -110,12 +127,12 @@ def piece_alignment(spark, sf_dir):
     "masked_queries",
     rf"""WITH {PIECES}, m AS (SELECT conv_id, turn, p, array_to_string(list_transform(p, lambda x:
         CASE WHEN {LOGPROB.format(x='x')} > ln(0.4) THEN x ELSE ' ' END), '') AS m FROM p),
-    q AS (SELECT *, trim(regexp_replace(m, '\s+', ' ', 'g'), ' ') AS q FROM m),
+    q AS (SELECT *, trim(regexp_replace(m, {SPLIT}, ' ', 'g'), ' ') AS q FROM m),
     r AS (SELECT *, regexp_replace(trim(regexp_replace(q, '(?i)^(?:so\s+)?(?:the\s+)?(?:final\s+)?answer\s+is\s*[:\-]?\s*', ''), ' '),
       '^[."'']+|[."'']+$', '', 'g') AS r FROM q)
     SELECT conv_id, turn, md5(CASE WHEN r <> '' THEN r ELSE 'question ' || conv_id END) AS query_md5,
       round(list_min(list_transform(p, lambda x: (len(x) % 7 + 1) / 8.0)), 6) AS least,
-      len(list_filter(p, lambda x: trim(x, ' ') <> '' AND (len(x) % 7 + 1) / 8.0 <= 0.2)) > 0 AS triggered FROM r""",
+      len(list_filter(p, lambda x: {stripped('x')} <> '' AND (len(x) % 7 + 1) / 8.0 <= 0.2)) > 0 AS triggered FROM r""",
 )
 def masked_queries(spark, sf_dir):
     """The search text that is left of every turn without its uncertain pieces, its least probability and its trigger."""
@@ -134,8 +151,8 @@ def masked_queries(spark, sf_dir):
     "truth_prompts",
     f"""WITH {TURNS}, a AS (SELECT conv_id, list(text ORDER BY turn, text) AS t FROM v GROUP BY conv_id),
     b AS (SELECT conv_id, t[1] AS q, t[len(t)] AS y, t[2 : len(t) - 1] AS s FROM a),
-    c AS (SELECT *, list_transform(list_append(s, y), lambda x: trim(x, ' ') || chr(10)) AS l,
-      list_transform(list_prepend(y, s), lambda x: trim(x, ' ') || ' ' || chr(10)) AS k FROM b)
+    c AS (SELECT *, list_transform(list_append(s, y), lambda x: {stripped('x')} || chr(10)) AS l,
+      list_transform(list_prepend(y, s), lambda x: {stripped('x')} || ' ' || chr(10)) AS k FROM b)
     SELECT conv_id, md5('Question: ' || q || chr(10) || 'Brainstormed Answers: ' || array_to_string(l, '') || 'Possible answer: ' || y
       || chr(10) || 'Is the possible answer:' || chr(10) || 'A) True' || chr(10) || 'B) False' || chr(10) || 'The possible answer is:') AS prompt_md5,
       md5('Question: ' || q || chr(10) || 'Brainstormed Answers: ' || array_to_string(k, '') || 'Possible answer: ' || y

@@ -8,7 +8,15 @@ from veridelta.plans.registry import query, table
 
 # Pieces of SQL that several queries share.
 PUNCT = text.PUNCTUATION.replace("'", "''")
-SPLIT = "'[ \\t\\n\\r\\f\\x0B]+'"
+#: White space as the rule has it: every sign that Unicode calls so.
+SPLIT = f"'{text.SPACE}'"
+
+
+def stripped(column: str) -> str:
+    """The SQL of a text without its outer white space."""
+    return f"regexp_replace({column}, '^{text.SPACE}|{text.SPACE}$', '', 'g')"
+
+
 WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), {SPLIT}), lambda w: w <> '')"
 
 
@@ -89,7 +97,7 @@ def _articles(column: str) -> str:
 
 
 def _collapsed(column: str) -> str:
-    return rf"trim(regexp_replace({column}, '\s+', ' ', 'g'), ' ')"
+    return f"trim(regexp_replace({column}, {SPLIT}, ' ', 'g'), ' ')"
 
 
 def form_one(column: str) -> str:
@@ -194,8 +202,8 @@ def metric_suite(spark, sf_dir):
 
 @query(
     "claims_split",
-    r"""WITH s AS (SELECT conv_id, turn, list_filter(list_transform(
-      regexp_split_to_array(coalesce(text, ''), '[.!?]+'), lambda x: trim(x, ' ')), lambda x: len(x) > 10) AS c
+    rf"""WITH s AS (SELECT conv_id, turn, list_filter(list_transform(
+      regexp_split_to_array(coalesce(text, ''), '[.!?]+'), lambda x: {stripped('x')}), lambda x: len(x) > 10) AS c
       FROM conversations)
     SELECT conv_id, turn, CAST(len(c) AS INTEGER) AS n_claims, md5(array_to_string(c, '; ')) AS claims_md5 FROM s""",
 )

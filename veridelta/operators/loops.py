@@ -13,8 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridelta.functions.text import final_answer
+from veridelta.functions.text import final_answer, first_sentence, first_sentence_pieces, stripped
 from veridelta.operators import control, uncertainty
+from veridelta.operators.rounds import Progress
 from veridelta.session import written
 
 CONTEXT = ["query", "chunk", "text"]
@@ -48,17 +49,28 @@ def iterate(
     retrieve: Callable[[DataFrame], DataFrame],
     prune: Callable[[DataFrame, DataFrame], DataFrame],
     policy: Policy = Policy(),
+    progress: Progress | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The steps (query, iteration, se, u, tau_semantic, tau_token, decision) of all questions, and their last contexts.
 
     ``draw(open, context)`` gives samples (query, sample, concept) and their tokens (query, sample, token, logprob);
     ``retrieve(asked)`` gives chunks (query, chunk, text) for questions; ``prune(asked, context)`` gives the chunks that stay.
     A question ends with STOP where it is certain, with CONVERGED where its entropy no longer falls, else with MAX_ROUNDS after
-    the last round. A question without samples has entropy 0."""
-    open_ = written(questions.select("query").distinct(), "open")
-    context = written(context.select(*CONTEXT), "context")
+    the last round. A question without samples has entropy 0. With ``progress`` each round is committed, and a run goes on after
+    the last committed one."""
     steps: DataFrame | None = None
-    for i in range(policy.rounds):
+    first = 0 if progress is None else progress.last + 1
+    if first:
+        for i in range(first):
+            step = progress.table(i, "step")
+            steps = step if steps is None else steps.unionByName(step)
+        open_, context = progress.table(first - 1, "open"), progress.table(first - 1, "context")
+        if open_.isEmpty():
+            return steps, context
+    else:
+        open_ = written(questions.select("query").distinct(), "open")
+        context = written(context.select(*CONTEXT), "context")
+    for i in range(first, policy.rounds):
         samples, tokens = draw(open_, context)
         se = uncertainty.entropy(samples, ["query"], "concept").select("query", F.col("entropy").alias("se"))
         u = uncertainty.token_uncertainty(tokens, "query", "sample", "logprob", token="token")
@@ -76,13 +88,19 @@ def iterate(
         steps = now if steps is None else steps.unionByName(now)
         going = now.where(F.col("decision").isin("RETRIEVE", "PRUNE"))
         if going.isEmpty():
+            if progress is not None:
+                progress.commit(i, step=now, open=going.select("query"), context=context)
             break
         pruned = going.where("decision = 'PRUNE'").select("query")
         kept = prune(pruned, context.join(pruned, "query", "left_semi")).select(*CONTEXT)
         rest = context.join(pruned, "query", "left_anti").select(*CONTEXT)
         found = retrieve(going.where("decision = 'RETRIEVE'").select("query"))
-        context = written(concatenated(rest, found).unionByName(kept), "context")
-        open_ = going.select("query")
+        context = concatenated(rest, found).unionByName(kept)
+        if progress is None:
+            context, open_ = written(context, "context"), going.select("query")
+        else:
+            kept_tables = progress.commit(i, step=now, open=going.select("query"), context=context)
+            open_, context = kept_tables["open"], kept_tables["context"]
     return steps, context
 
 
@@ -99,18 +117,32 @@ def active_retrieval(
     theta: float = 0.4,
     beta: float = 0.4,
     rounds: int = 8,
+    finish: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    progress: Progress | None = None,
 ) -> DataFrame:
     """(query, answer, steps, retrievals, reason): answers made sentence by sentence, with a look ahead.
 
     ``questions`` (query, question). ``retrieve(asked)`` (query, text) gives chunks (query, chunk, text);
-    ``generate(open, context)`` (query, question, answer so far) gives drafts (query, text, pieces, logprobs). A draft with an
-    uncertain piece is thrown away: what is certain of it is searched for, the found chunks replace the context, and the
-    sentence is made again. A question ends where a sentence gives its final answer, is blank, or the rounds are over."""
-    state = questions.select("query", "question", F.lit("").alias("answer"), F.lit(0).alias("steps"), F.lit(1).alias("retrievals"))
-    state = written(state, "state")
-    context = written(retrieve(state.select("query", F.col("question").alias("text"))).select(*CONTEXT), "context")
-    done = []
-    for i in range(rounds):
+    ``generate(open, context)`` (query, question, answer so far) gives drafts (query, text, pieces, logprobs), of which the first
+    sentence counts. A draft with an uncertain piece is thrown away: what is certain of it is searched for, the found chunks
+    replace the context, and the sentence is made again. A question ends where a sentence gives its final answer, is blank, or
+    the rounds are over. For those that end without a final answer ``finish(ended, context)`` (query, question, answer so far)
+    gives one more text (query, text), which is added. With ``progress`` each round is committed, and a run goes on after the
+    last committed one."""
+    first = 0 if progress is None else progress.last + 1
+    if first:
+        done = [progress.table(i, "done") for i in range(first)]
+        state, context = progress.table(first - 1, "state"), progress.table(first - 1, "context")
+    else:
+        done = []
+        state = questions.select(
+            "query", "question", F.lit("").alias("answer"), F.lit(0).alias("steps"), F.lit(1).alias("retrievals")
+        )
+        state = written(state, "state")
+        context = written(retrieve(state.select("query", F.col("question").alias("text"))).select(*CONTEXT), "context")
+    for i in range(first, rounds):
+        if first and i == first and state.isEmpty():
+            break
         drafts = written(_drafts(generate(state.select("query", "question", "answer"), context)), "drafts")
         asked = drafts.join(state.select("query", "question"), "query").where(
             control.triggers(F.col("logprobs"), F.col("pieces"), theta)
@@ -118,11 +150,12 @@ def active_retrieval(
         masked = control.masked_query(F.col("pieces"), F.col("logprobs"), beta, F.col("question"))
         asked = written(asked.select("query", masked.alias("text")), "asked")
         found = retrieve(asked).select(*CONTEXT)
-        context = written(context.join(asked, "query", "left_anti").select(*CONTEXT).unionByName(found), "context")
+        context = context.join(asked, "query", "left_anti").select(*CONTEXT).unionByName(found)
+        context = written(context, "context")
         again = state.join(asked.select("query"), "query", "left_semi").select("query", "question", "answer")
         second = _drafts(generate(again, context)).select("query", F.col("text").alias("better"))
         sentence = drafts.select("query", "text").join(second, "query", "left")
-        sentence = sentence.select("query", F.trim(F.coalesce("better", "text")).alias("sentence"))
+        sentence = sentence.select("query", stripped(F.coalesce("better", "text")).alias("sentence"))
         counted = asked.groupBy("query").agg(F.count("*").alias("more"))
         new = state.join(sentence, "query", "left").join(counted, "query", "left")
         said = F.coalesce("sentence", F.lit(""))
@@ -131,14 +164,20 @@ def active_retrieval(
         new = new.select(
             "query",
             "question",
-            F.trim(F.concat_ws(" ", "answer", said)).alias("answer"),
+            stripped(F.concat_ws(" ", "answer", said)).alias("answer"),
             (F.col("steps") + 1).alias("steps"),
             (F.col("retrievals") + F.coalesce("more", F.lit(0))).cast("int").alias("retrievals"),
             reason.alias("reason"),
         )
         new = written(new, "state")
-        done.append(new.where("reason is not null").drop("question"))
-        state = new.where("reason is null").drop("reason")
+        ended = new.where("reason is not null")
+        if finish is not None:
+            ended = _finished(ended, context, finish)
+        ended, state = ended.drop("question"), new.where("reason is null").drop("reason")
+        if progress is not None:
+            tables = progress.commit(i, done=ended, state=state, context=context)
+            ended, state, context = tables["done"], tables["state"], tables["context"]
+        done.append(ended)
         if state.isEmpty():
             break
     out = done[0]
@@ -147,10 +186,22 @@ def active_retrieval(
     return out
 
 
+def _finished(ended: DataFrame, context: DataFrame, finish) -> DataFrame:
+    """The ended questions, those without a final answer with one more text."""
+    short = ended.where(final_answer(F.col("answer")).isNull()).select("query", "question", "answer")
+    more = finish(short, context.join(short, "query", "left_semi")).select("query", F.col("text").alias("more"))
+    rows = ended.join(more.dropDuplicates(["query"]), "query", "left")
+    answer = stripped(F.concat_ws(" ", "answer", stripped(F.col("more"))))
+    return written(rows.withColumn("answer", answer).select(*ended.columns), "finished")
+
+
 def _drafts(df: DataFrame) -> DataFrame:
-    """One draft of a question."""
+    """One draft of a question, cut to its first sentence; its pieces and their log-probabilities are cut with it."""
     first = Window.partitionBy("query").orderBy("text")
-    return df.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("query", "text", "pieces", "logprobs")
+    rows = df.withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    rows = rows.withColumn("__p", first_sentence_pieces(F.col("text"), F.col("pieces")))
+    logprobs = F.slice("logprobs", F.lit(1), F.size("__p")).alias("logprobs")
+    return rows.select("query", first_sentence(F.col("text")).alias("text"), F.col("__p").alias("pieces"), logprobs)
 
 
 def answer_rounds(
@@ -164,10 +215,10 @@ def answer_rounds(
     state = questions.select("query", "question", F.lit("").alias("answer"))
     context = written(retrieve(state.select("query", F.col("question").alias("text"))).select(*CONTEXT), "context")
     for i in range(rounds + 1):
-        said = _drafts(generate(state, context)).select("query", F.col("text").alias("said"))
+        said = generate(state, context).groupBy("query").agg(F.min("text").alias("said"))
         state = state.select("query", "question").join(said, "query", "left")
         state = written(state.select("query", "question", F.coalesce("said", F.lit("")).alias("answer")), "answers")
         if i < rounds:
-            asked = state.select("query", F.trim(F.concat_ws(" ", "question", "answer")).alias("text"))
+            asked = state.select("query", stripped(F.concat_ws(" ", "question", "answer")).alias("text"))
             context = written(concatenated(context, retrieve(asked)), "context")
     return state.select("query", "answer")

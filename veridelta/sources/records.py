@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veridelta.session import written
+
 
 def read_json_list(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """Files that are one JSON list of objects each; another one is an error here, malformed content when it is read."""
@@ -22,6 +24,41 @@ def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType,
     return with_columns(rows, required)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files with their numbers from 1.
+
+    Files stay splittable: lines are numbered within a split, and shifted by the lines of the splits before it."""
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("id"),
+        "value",
+    )
+    # written once: a split's lines have consecutive ids within its task
+    raw = written(raw, "lines")
+    splits = raw.groupBy("file", "split").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a split
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    line = (F.col("id") - F.col("first") + F.col("before") + 1).alias("line")
+    return raw.join(splits, ["file", "split"]).select("file", line, "value")
+
+
+def read_numbered_json(spark: SparkSession, path: str, schema: str | T.StructType, show: int = 5) -> DataFrame:
+    """Files of JSON objects by line as rows with ``file`` and ``line``; blank lines are skipped. A line that isn't a JSON
+    object, or whose values don't fit the schema, is an error that names its file and number, before anything is read."""
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    lines = written(numbered_lines(spark, path).where(F.trim(F.regexp_replace("value", r"\s+", " ")) != ""), "numbered")
+    known = T.StructType([*kind, T.StructField("__malformed", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__malformed"}
+    parsed = lines.select("file", "line", F.from_json("value", known, options).alias("r"))
+    bad = parsed.where(F.col("r").isNull() | F.col("r.__malformed").isNotNull())
+    if first := bad.select("file", "line").orderBy("file", "line").limit(show).collect():
+        places = ", ".join(f"{r.file.rpartition('/')[2]}:{r.line}" for r in first)
+        raise ValueError(f"{bad.count()} malformed lines, of them {places}")
+    return parsed.select("file", "line", *(F.col("r")[f.name].alias(f.name) for f in kind))
+
+
 def with_columns(df: DataFrame, required: tuple[str, ...]) -> DataFrame:
     """``df`` if it has the required columns."""
     missing = sorted(set(required) - set(df.columns))

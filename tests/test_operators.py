@@ -459,3 +459,10 @@ def test_entry_and_registry(spark):
     plans, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(plans)
     assert entry.entry(spark).columns == ["query", "rank", "doc", "chunk", "score"]
+
+
+def test_bm25_refuses_chunks_with_gaps(spark):
+    docs = spark.createDataFrame([(1, 0, "owl"), (1, 2, "mice")], "d long, c int, t string")
+    asked = spark.createDataFrame([(1, "owl")], "q long, t string")
+    with pytest.raises(ValueError, match="numbered from 0"):
+        retrieval.bm25(asked, docs, "q", "t", "d", "c", "t", 3)

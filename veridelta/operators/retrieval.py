@@ -76,11 +76,12 @@ def bm25(
 ) -> DataFrame:
     """(query, rank, doc, chunk, score): each query's k best documents, a document by its best chunk.
 
-    Chunks are numbered within their document; the best is the lowest one of the largest score. Scores are rounded to 6
-    digits before they are ranked; ties go to the lesser document. Documents without a common term follow, least first,
+    Chunks are numbered within their document from 0 without a gap, or it is an error; the best is the lowest one of the largest
+    score. Scores are rounded to 6 digits before they are ranked; ties go to the lesser document. Documents without a common term follow, least first,
     where fewer than k have one; a query without terms has no rows. Texts are cut into terms once, and the index is written;
     only terms of some query are weighed, and a chunk's share of a query is summed before anything is shuffled."""
     index = written(term_index(chunks, chunk, doc, text, title), "index")
+    contiguous(index, "chunk", "doc")
     sizes = index.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
     exploded = index.select("doc", "chunk", "dl", F.explode("postings").alias("p"))
     frequency = exploded.groupBy(F.col("p.term").alias("term")).agg(F.count("*").alias("df"))

@@ -252,6 +252,22 @@ def test_evidence_and_run_metrics(spark):
     assert got["x"].all_evidence_success == 0 and reports.versions(spark.createDataFrame(rows, schema), "kind").count() == 2
 
 
+def test_run_metrics_tell_what_is_not_recorded(spark):
+    schema = """run long, answer string, gold_answer string, gold_urls array<string>, initial_urls array<string>, retrieved_urls array<string>,
+      steps array<struct<triggered: boolean, min_probability: double, retrieved: array<string>>>, retrieval_calls int, active_calls int,
+      finished boolean, forced boolean, final_triggered boolean, clean boolean, exact boolean, matched boolean, stop_reason string,
+      end_reason string, generation string"""
+    rest = (1, None, True, None, None, None, True, None, None, None)
+    rows = [
+        (1, "a", "a", ["u", "v"], None, ["w"], [(True, 0.5, ["u"]), (False, 0.5, ["v"])], *rest, "plain"),
+        (2, "a", "a", ["u"], None, [], None, *rest, "a ▁sign"),
+        (3, "a", "a", ["u"], ["x"], [], [(True, 0.5, ["u"])], *rest, None),
+    ]
+    got = reports.run_metrics(spark.createDataFrame(rows, schema)).first()
+    assert got.clean_output_rate == 2 / 3 and got.answer_extraction_pattern_match_rate == 1
+    assert got.initial_evidence_recall == 0.5 / 3
+
+
 def test_summaries_of_nothing(spark):
     rows = spark.createDataFrame([], "correct boolean, a double, b double")
     got = reports.answer_summary(rows, "correct", "a", "b").first()

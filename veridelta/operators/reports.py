@@ -18,13 +18,26 @@ def _share(condition: Column) -> Column:
     return mean_or_zero(F.coalesce(condition, F.lit(False)).cast("double"))
 
 
+def _told(runs: DataFrame) -> dict[str, Column]:
+    """What a run doesn't record itself."""
+    generation = F.coalesce(F.col("generation"), F.lit("")) if "generation" in runs.columns else F.lit("")
+    signs = generation.contains("▁") | generation.contains("</s>")
+    told = {"matched": F.coalesce("matched", "finished"), "clean": F.coalesce(F.col("clean"), ~signs)}
+    if "retrieved" in runs.schema["steps"].dataType.elementType.names:
+        told["initial_urls"] = F.coalesce(F.col("initial_urls"), F.get("steps", F.lit(0))["retrieved"])
+    return told
+
+
 def run_metrics(runs: DataFrame, by: str | None = None) -> DataFrame:
     """The figures of question-answering runs, overall, and with ``by`` for each of its values too (null: overall).
 
     ``runs``: run, answer, gold_answer, gold_urls, initial_urls, retrieved_urls, steps (structs of triggered and
     min_probability, in order), retrieval_calls, active_calls (null: counted from the steps), finished, forced,
-    final_triggered, clean, exact, matched, stop_reason and end_reason. Recalls count where there is a gold url; histograms
+    final_triggered, clean, exact, matched, stop_reason and end_reason. What a run doesn't record is told from the rest: ``matched``
+    from finished, ``clean`` from the signs of a tokenizer in ``generation`` (if there is such a column), ``initial_urls`` from
+    what the first step has ``retrieved`` (if steps have that). Recalls count where there is a gold url; histograms
     are maps from reason to number."""
+    runs = runs.withColumns(_told(runs))
     found = evidence(runs, "run", "gold_urls", "initial_urls", "retrieved_urls")
     hits = lambda steps: F.size(F.filter(steps, lambda s: F.coalesce(s["triggered"], F.lit(False))))
     share = lambda steps: F.when(F.size(steps) > 0, hits(steps) / F.size(steps)).otherwise(0.0)

@@ -29,8 +29,8 @@ RUNS = f"""w AS (SELECT conv_id, turn, role, coalesce(text, '') AS text,
 FIGURES = f"""count(*) AS examples, round(avg(CAST(em AS INT)), 6) AS answer_em,
   round(avg(CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1 ELSE {_f1('common', 'p', 'g')} END), 6) AS answer_token_f1,
   round(avg(CAST(n % 2 = 0 AS INT)), 6) AS final_answer_rate, round(avg(CAST(n > 6 AS INT)), 6) AS forced_finalization_rate,
-  0.0 AS finalization_active_retrieval_rate, round(avg(CAST(active < 3 AS INT)), 6) AS clean_output_rate,
-  1.0 AS all_token_alignments_exact_rate, round(avg(CAST(n % 3 = 0 AS INT)), 6) AS answer_extraction_pattern_match_rate,
+  0.0 AS finalization_active_retrieval_rate, round(avg(CAST(CASE WHEN conv_id % 4 = 1 THEN conv_id % 7 <> 1 ELSE active < 3 END AS INT)), 6) AS clean_output_rate,
+  1.0 AS all_token_alignments_exact_rate, round(avg(CAST(CASE WHEN conv_id % 5 = 2 THEN n % 2 = 0 ELSE n % 3 = 0 END AS INT)), 6) AS answer_extraction_pattern_match_rate,
   round(avg(n), 6) AS avg_generation_steps, round(coalesce(avg(ir), 0), 6) AS initial_evidence_recall,
   round(coalesce(avg(cr), 0), 6) AS cumulative_evidence_recall, round(coalesce(avg(cp), 0), 6) AS cumulative_evidence_precision,
   round(coalesce(avg(ae), 0), 6) AS all_evidence_success, round(avg(n + 1), 6) AS avg_retrieval_calls,
@@ -72,9 +72,11 @@ def _runs(spark, sf_dir):
         (n % 2 == 0).alias("finished"),
         (n > 6).alias("forced"),
         F.lit(None).cast("boolean").alias("final_triggered"),
-        (active < 3).alias("clean"),
+        # some runs don't record whether they are clean or matched
+        F.when(F.col("conv_id") % 4 != 1, active < 3).alias("clean"),
+        F.when(F.col("conv_id") % 7 == 1, "an </s> sign").otherwise("none").alias("generation"),
         F.lit(True).alias("exact"),
-        (n % 3 == 0).alias("matched"),
+        F.when(F.col("conv_id") % 5 != 2, n % 3 == 0).alias("matched"),
         F.when(n > 6, "long").alias("stop_reason"),
         F.lit("done").alias("end_reason"),
     )

@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -13,7 +14,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import ROWS, with_clashes
-from veridelta.llm import graph, pii, simhash, suffixtree, toxicity, urls
+from veridelta.llm import pii, simhash, suffixtree, toxicity, urls
+from veridelta.operators.components import connected_components
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -49,6 +51,7 @@ def field():
         ("then ask lou [at] sample [dot] org about it", "email"),
         ("debit 5105.1051.0510.5100 was his", "card"),
         ("or dial 646-555-0121.", "phone"),
+        ("MAIL TO LOU [AT] SAMPLE [DOT] ORG", "email"),
     ],
 )
 def test_field_adds_unknown_forms(field, text, kind):
@@ -75,6 +78,70 @@ def test_long_spans_are_masked_whole(field, span):
     assert pii.masked(text, spans) == "words before it , write [EMAIL] please , and words after it"
 
 
+def test_pieces_settle_the_labels_of_one_batch(field, monkeypatch):
+    draw = random.Random(6)
+    parts = ["call", "(415) 555-0132", "jo [at] example [dot] com", "4111.1111.1111.1111", "12", "at", "[", ".", ",", "x7", "é"]
+    scores = pii._scores(field)
+    for sep in (" ", ""):
+        text = sep.join(draw.choice(parts) for _ in range(800))
+        _, words, spaced = pii._tokens(text, 0, len(text))
+        (whole,) = pii.read_short(scores, [text], [(0, 0, len(text))])
+        for piece in (1, 2, 3, 64):
+            monkeypatch.setattr(pii, "PIECE", piece)
+            path = pii.read_long(scores, text, 0, len(text))
+            assert path.spans == whole.spans and (path.first, path.last) == (whole.first, whole.last)
+        assert whole.spans
+
+
+def test_path_is_exact_for_any_weights():
+    draw = np.random.default_rng(8)
+    k = len(pii.LABELS)
+    for _ in range(20):
+        moves, weights = draw.normal(size=(k, k)) * 3, draw.normal(size=(50, k))
+        (labels,) = pii.viterbi(moves, [weights])
+        places = np.stack([np.arange(50), np.arange(1, 51)], 1)
+        whole, parts = pii.Path(moves), pii.Path(moves)
+        whole._take(labels, places)
+        for a in range(0, 50, 3):
+            parts.add(weights[a : a + 3], places[a : a + 3])
+        parts.end()
+        assert parts.spans == whole.spans and parts.last == whole.last and not parts.waiting
+
+
+def test_stretches_find_what_whole_texts_do(spark, field):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").where("text is not null").collect()
+    texts, scores = [r.text for r in rows], pii._scores(field)
+    # labels may differ where what is labelled doesn't look like its kind: such spans are dropped either way
+    kept = lambda text, spans: [tuple(s) for s in spans if pii._plausible(s[0], text[s[1] : s[2]])]
+    whole = [kept(t, pii.read_long(scores, t, 0, len(t)).spans) for t in texts]
+    assert sum(map(len, whole)) and [kept(t, s) for t, s in zip(texts, pii._labelled(scores, texts))] == whole
+
+
+def test_memory_does_not_grow_with_a_dense_text(field):
+    draw = random.Random(2)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    unit = "".join(draw.choices(alphabet, k=10_000))
+    scores = pii._scores(field)
+
+    def peak(text):
+        tracemalloc.start()
+        path = pii.read_long(scores, text, 0, len(text))
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top, path.waiting
+
+    (small, _), (large, waiting) = peak(unit * 5), peak(unit * 50)
+    assert large < small + 4_000_000 and not waiting
+
+
+def test_five_megabytes_without_white_space(field):
+    draw = random.Random(3)
+    blob = "".join(draw.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=5_000_000))
+    text = "call (303) 555-0177 now " + blob + " or 646-555-0121."
+    _, (spans,) = pii.find(field, [text])
+    assert ("phone", 5, 19) in spans and ("phone", len(text) - 13, len(text) - 1) in spans
+
+
 #: Lines that the field has not been trained on.
 HELD_OUT = [
     "you reach us on {phone|(718) 555-0143} until nine",
@@ -136,8 +203,7 @@ def test_viterbi_and_gradient_by_enumeration():
             sides.append(loss(w, moves, tags))
         x[at] = old
         assert abs((sides[0] - sides[1]) / 2e-5 - g[at]) < 1e-4
-    field = pii.Field({str(i): i for i in range(n_features)}, w, moves)
-    got = pii.viterbi(field, [[[str(f) for f in ids[i, t]] for t in range(n)] for i, n in enumerate(lengths)])
+    got = pii.viterbi(moves, [w[ids[i, :n]].sum(1) for i, n in enumerate(lengths)])
     for i, n in enumerate(lengths):
         best = max(itertools.product(range(k), repeat=n), key=lambda p: score(i, p, w, moves))
         assert tuple(got[i]) == best
@@ -512,9 +578,9 @@ def test_near_duplicates_are_exact_at_the_threshold(spark):
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(50)] + [(5, 5), (None, 3), (3, None)]
     rows = spark.createDataFrame(edges, "x long, y long")
-    got = {r.node: r.component for r in graph.connected_components(rows, "x", "y").collect()}
+    got = {r.node: r.component for r in connected_components(rows, "x", "y").collect()}
     assert got == {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(50)}
-    assert graph.connected_components(rows.limit(0), "x", "y").count() == 0
+    assert connected_components(rows.limit(0), "x", "y").count() == 0
 
 
 PAGES = [

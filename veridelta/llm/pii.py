@@ -7,7 +7,9 @@ an added span never overlaps one. Positions are code points, the end exclusive.
 
 The field reads the stretches of a text that hold a digit, an address sign or a bracketed ``at``; no span of these kinds
 can lie elsewhere. A stretch reaches ``AROUND`` characters to both sides, then to white space, and is read again twice as
-wide for as long as its first or last token is part of a span: a span of any length is seen whole.
+wide for as long as its first or last token is part of a span: a span of any length is seen whole. Short stretches are
+decoded in batches. A long one, such as a dense text without white space, is decoded ``PIECE`` tokens at a time: scores are
+carried from piece to piece, and labels are settled as far back as the best paths to all labels agree, which is exact.
 
 Null and empty texts have no spans; texts of any length are read whole; a repeated row gets the same spans; an empty table
 gives no rows. Only the text's column is read; other columns are left as they are.
@@ -17,7 +19,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,11 +43,15 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-HINT = re.compile(r"[0-9@]|[\[(] ?at ?[\])]")
+HINT = re.compile(r"[0-9@]|[\[(] ?[aA][tT] ?[\])]")
 WORD = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|\w")
 WHITE = re.compile(r"\s")
 #: Characters on each side of a hint that the field sees at first.
 AROUND = 48
+#: Tokens that are decoded at a time, in a batch of stretches or as a piece of a long one.
+PIECE = 4096
+#: Contexts whose scores a worker keeps.
+MOST_CONTEXTS = 50_000
 
 #: The labelled table: lines with {kind|text} marks.
 LABELLED = [
@@ -58,6 +66,8 @@ LABELLED = [
     "mail me , {email|sam@dept.example.edu} , today",
     "reach {email|maria [at] example [dot] com} for that",
     "write {email|peter (at) example (dot) org} please",
+    "to {email|BOB [AT] EXAMPLE [DOT] COM} again",
+    "ask {email|Rita [AT] example [DOT] net} , not him",
     "send it to {email|ina.k [at] mail.example.org} and go",
     "from {ip|10.20.30.40} came this",
     "the host {ip|192.168.1.77} was down",
@@ -174,32 +184,38 @@ def _shape(token: str) -> str:
     return token[0]
 
 
-def _features(tokens: list[str], spaced: list[bool]) -> list[list[str]]:
-    """Feature names of each token; ``spaced``: white space stands before it."""
+def _contexts(tokens: list[str], spaced: list[bool]) -> list[tuple]:
+    """What the field sees of each token: the shapes around it, what the words are, and where white space stands."""
     shapes = ["^", "^", *map(_shape, tokens), "$", "$"]
     low = ["", *(t.lower() if t in ("at", "dot", "AT", "DOT") else "" for t in tokens), ""]
     gaps = [True, *spaced, True, True]
-    out = []
-    for i in range(len(tokens)):
-        p2, p1, s, n1, n2 = shapes[i : i + 5]
-        before, after = "_" if gaps[i + 1] else "", "_" if gaps[i + 2] else ""
-        out.append(
-            [
-                f"s={s}",
-                f"p={p1}{before}",
-                f"n={after}{n1}",
-                f"ps={p1}{before}{s}",
-                f"sn={s}{after}{n1}",
-                f"psn={p1}{before}{s}{after}{n1}",
-                f"pps={p2},{p1}{before}{s}",
-                f"snn={s}{after}{n1},{n2}",
-                f"w={low[i + 1]}",
-                f"pw={low[i]}",
-                f"nw={low[i + 2]}",
-                "1",
-            ]
-        )
-    return out
+    by_place = (shapes, shapes[1:], shapes[2:], shapes[3:], shapes[4:], gaps[1:], gaps[2:], low, low[1:], low[2:])
+    return list(zip(*(x[: len(tokens)] for x in by_place)))
+
+
+def _named(context: tuple) -> list[str]:
+    """Feature names of a context."""
+    p2, p1, s, n1, n2, spaced, followed, before_low, own_low, after_low = context
+    before, after = "_" if spaced else "", "_" if followed else ""
+    return [
+        f"s={s}",
+        f"p={p1}{before}",
+        f"n={after}{n1}",
+        f"ps={p1}{before}{s}",
+        f"sn={s}{after}{n1}",
+        f"psn={p1}{before}{s}{after}{n1}",
+        f"pps={p2},{p1}{before}{s}",
+        f"snn={s}{after}{n1},{n2}",
+        f"w={own_low}",
+        f"pw={before_low}",
+        f"nw={after_low}",
+        "1",
+    ]
+
+
+def _features(tokens: list[str], spaced: list[bool]) -> list[list[str]]:
+    """Feature names of each token; ``spaced``: white space stands before it."""
+    return [_named(c) for c in _contexts(tokens, spaced)]
 
 
 def _tokens(text: str, start: int, end: int):
@@ -359,40 +375,147 @@ def fit(lines: list[str], copies: int = 4, steps: int = 80, rate: float = 0.1, l
     return Field(names, w, moves + fixed)
 
 
-def viterbi(field: Field, sequences: list[list[list[str]]]) -> list[np.ndarray]:
-    """The best labels of each sequence of token features, batched by length."""
-    out: list[np.ndarray] = [np.zeros(0, int)] * len(sequences)
-    order = sorted((i for i in range(len(sequences)) if sequences[i]), key=lambda i: len(sequences[i]))
-    k, unknown = len(LABELS), len(field.ids)
-    table = np.vstack([field.weights[: len(field.ids)], np.zeros(k)])
-    at = 0
-    while at < len(order):
-        longest, size = len(sequences[order[at]]), 1
-        while at + size < len(order) and (size + 1) * len(sequences[order[at + size]]) <= 20_000:
-            longest, size = len(sequences[order[at + size]]), size + 1
-        batch = order[at : at + size]
-        at += size
-        emit, lengths = np.zeros((size, longest, k)), np.zeros(size, int)
-        for r, i in enumerate(batch):
-            ids = [[field.ids.get(f, unknown) for f in fs] for fs in sequences[i]]
-            lengths[r] = len(ids)
-            for cut in range(0, len(ids), 4096):
-                part = ids[cut : cut + 4096]
-                emit[r, cut : cut + len(part)] = table[np.array(part)].sum(1)
-        emit[:, 0, [i for i, x in enumerate(LABELS) if x[0] == "I"]] -= 1e4
-        best, came = emit[:, 0].copy(), np.zeros((size, longest, k), np.int8)
-        for t in range(1, longest):
-            scores = best[:, :, None] + field.moves
-            came[:, t] = scores.argmax(1)
-            best = np.where((t < lengths)[:, None], scores.max(1) + emit[:, t], best)
-        last = best.argmax(1)
-        labels = np.zeros((size, longest), int)
-        for t in range(longest - 1, -1, -1):
-            live = t < lengths
-            labels[live, t] = last[live]
-            last = np.where(live, came[np.arange(size), t, last], last)
-        for r, i in enumerate(batch):
-            out[i] = labels[r, : lengths[r]]
+class Scores:
+    """The weights of tokens for each label, by their contexts; those met before are kept, ``MOST_CONTEXTS`` at most."""
+
+    def __init__(self, field: Field):
+        self.field, self.known = field, {}
+        self.table = np.vstack([field.weights[: len(field.ids)], np.zeros(len(LABELS))])
+
+    def of(self, contexts: list[tuple]) -> np.ndarray:
+        if len(self.known) > MOST_CONTEXTS:
+            self.known.clear()
+        new = list({c: None for c in contexts if c not in self.known})
+        if new:
+            unknown = len(self.field.ids)
+            ids = np.array([[self.field.ids.get(f, unknown) for f in _named(c)] for c in new])
+            self.known.update(zip(new, self.table[ids].sum(1)))
+        return np.array([self.known[c] for c in contexts]).reshape(len(contexts), len(LABELS))
+
+
+INNER = [i for i, x in enumerate(LABELS) if x[0] == "I"]
+
+
+def viterbi(moves: np.ndarray, weights: list[np.ndarray]) -> list[np.ndarray]:
+    """The best labels of each sequence of tokens' weights, all as one batch."""
+    size, longest, k = len(weights), max(map(len, weights), default=0), len(LABELS)
+    if not longest:
+        return [np.zeros(0, int) for _ in weights]
+    emit, lengths = np.zeros((size, longest, k)), np.array([len(w) for w in weights])
+    for r, own in enumerate(weights):
+        emit[r, : len(own)] = own
+    emit[:, 0, INNER] -= 1e4
+    best, came = emit[:, 0].copy(), np.zeros((size, longest, k), np.int8)
+    for t in range(1, longest):
+        scores = best[:, :, None] + moves
+        came[:, t] = scores.argmax(1)
+        best = np.where((t < lengths)[:, None], scores.max(1) + emit[:, t], best)
+    last = best.argmax(1)
+    labels = np.zeros((size, longest), int)
+    for t in range(longest - 1, -1, -1):
+        live = t < lengths
+        labels[live, t] = last[live]
+        last = np.where(live, came[np.arange(size), t, last], last)
+    return [labels[r, :n] for r, n in enumerate(lengths)]
+
+
+class Path:
+    """Labels of a sequence that is told piece by piece: only its spans and the tokens not yet settled are kept."""
+
+    def __init__(self, moves: np.ndarray):
+        self.moves, self.best, self.waiting, self.left = moves, None, 0, 0
+        self.came: list[np.ndarray] = []
+        self.places: list[np.ndarray] = []
+        self.spans: list[list] = []
+        self.first = self.last = 0
+        self.begun = False
+
+    def add(self, emit: np.ndarray, places: np.ndarray) -> None:
+        """The next tokens' weights and their (start, end) in the text."""
+        came = np.zeros(emit.shape, np.int8)
+        for t, own in enumerate(emit):
+            if self.best is None:
+                self.best = own.copy()
+                self.best[INNER] -= 1e4
+                continue
+            scores = self.best[:, None] + self.moves
+            came[t] = scores.argmax(0)
+            self.best = scores.max(0) + own
+        self.best -= self.best.max()
+        self.came.append(came)
+        self.places.append(places)
+        self.waiting += len(emit)
+        if self.waiting >= 2 * self.left:
+            self._settle(np.arange(len(LABELS)))
+
+    def end(self) -> None:
+        if self.waiting:
+            self._settle(np.array([self.best.argmax()]))
+
+    def _settle(self, ends: np.ndarray) -> None:
+        """Labels up to the last token where the paths to all of ``ends`` agree."""
+        came, places = np.concatenate(self.came), np.concatenate(self.places)
+        t = len(came) - 1
+        while t > 0 and (ends != ends[0]).any():
+            ends = came[t, ends]
+            t -= 1
+        if (ends == ends[0]).all():
+            labels = np.zeros(t + 1, int)
+            labels[t] = ends[0]
+            for i in range(t, 0, -1):
+                labels[i - 1] = came[i, labels[i]]
+            self._take(labels, places)
+            came, places = came[t + 1 :], places[t + 1 :]
+        # copies: a slice would keep the whole alive
+        self.came, self.places = [came.copy()], [places.copy()]
+        self.waiting = self.left = len(came)
+
+    def _take(self, labels: np.ndarray, places: np.ndarray) -> None:
+        if not self.begun:
+            self.begun, self.first = True, int(labels[0])
+        for t in np.flatnonzero(labels):
+            name, before = LABELS[labels[t]], LABELS[labels[t - 1] if t else self.last]
+            if name[0] == "I" and before[2:] == name[2:]:
+                self.spans[-1][2] = int(places[t, 1])
+            else:
+                self.spans.append([name[2:], int(places[t, 0]), int(places[t, 1])])
+        self.last = int(labels[-1])
+
+
+def _pieces(text: str, start: int, end: int):
+    """A stretch's tokens, ``PIECE`` at a time: places, words, spaces, each with up to two tokens before and after, and from
+    where to where the piece's own are."""
+    found, held, before = (m.span() for m in WORD.finditer(text, start, end)), [], 0
+    while True:
+        held += itertools.islice(found, before + PIECE + 2 - len(held))
+        upto = before + min(PIECE, len(held) - before)
+        if upto == before:
+            return
+        words = [text[a:b] for a, b in held]
+        yield held, words, [i == 0 or held[i - 1][1] < a for i, (a, _) in enumerate(held)], before, upto
+        held = held[max(0, upto - 2) :]
+        before = min(2, upto)
+
+
+def read_long(scores: Scores, text: str, start: int, end: int) -> Path:
+    """A stretch of any length, decoded piece by piece."""
+    path = Path(scores.field.moves)
+    for held, words, spaced, a, b in _pieces(text, start, end):
+        path.add(scores.of(_contexts(words, spaced)[a:b]), np.array(held[a:b]))
+    path.end()
+    return path
+
+
+def read_short(scores: Scores, texts: list[str], stretches: list[tuple[int, int, int]]) -> list[Path]:
+    """Stretches (text's place, start, end), decoded as one batch."""
+    parts = [_tokens(texts[i], a, b) for i, a, b in stretches]
+    found = viterbi(scores.field.moves, [scores.of(_contexts(words, spaced)) for _, words, spaced in parts])
+    out = []
+    for (places, _, _), labels in zip(parts, found):
+        path = Path(scores.field.moves)
+        if len(labels):
+            path._take(labels, np.array(places))
+        out.append(path)
     return out
 
 
@@ -400,7 +523,7 @@ def _plausible(kind: str, text: str) -> bool:
     """What the field finds must look like its kind: that keeps ordinary numbers alone."""
     digits = _digits(text)
     if kind == "email":
-        return bool(re.fullmatch(r"[\w.%+-]+ ?(?:@|[\[(] ?at ?[\])]) ?[\w-]+(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[\w-]+)+", text))
+        return bool(re.fullmatch(r"(?i:[\w.%+-]+ ?(?:@|[\[(] ?at ?[\])]) ?[\w-]+(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[\w-]+)+)", text))
     if kind == "ip":
         return bool(re.fullmatch(r"[0-9]{1,3}(?:[.:,][0-9]{1,3}){3}", text)) and all(
             int(x) <= 255 for x in re.findall(r"[0-9]+", text)
@@ -410,51 +533,64 @@ def _plausible(kind: str, text: str) -> bool:
     return bool(re.fullmatch(r"[(]?[0-9]{2,4}[)]?(?:[ .-]{1,2}[0-9]{2,4}){2,4}", text)) and 10 <= len(digits) <= 15
 
 
-def _labelled(field: Field, texts: list[str]):
-    """For each text its stretches' tokens and labels; a stretch that ends within a span is read again, wider."""
+def _read(scores: Scores, texts: list[str], stretches: list[tuple[int, int, int]]):
+    """(stretch, its path) of each stretch: those of like length as batches of ``PIECE`` characters or so, long ones alone."""
+    batch: list[tuple[int, int, int]] = []
+    for stretch in sorted(stretches, key=lambda x: x[2] - x[1]):
+        long = stretch[2] - stretch[1]
+        if batch and (len(batch) + 1) * long > PIECE:
+            yield from zip(batch, read_short(scores, texts, batch))
+            batch = []
+        if long > PIECE:
+            yield stretch, read_long(scores, texts[stretch[0]], stretch[1], stretch[2])
+        else:
+            batch.append(stretch)
+    if batch:
+        yield from zip(batch, read_short(scores, texts, batch))
+
+
+def _labelled(scores: Scores, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+    """For each text the spans in its stretches; a stretch that ends within a span is read again, wider."""
     out: list[dict] = [{} for _ in texts]
     waiting = [(i, a, b) for i, text in enumerate(texts) for a, b in _stretches(text)]
     while waiting:
-        parts = [_tokens(texts[i], a, b) for i, a, b in waiting]
-        found = viterbi(field, [_features(words, spaced) for _, words, spaced in parts])
         wider: dict[int, list[tuple[int, int]]] = {}
-        for (i, a, b), (spans, _, _), labels in zip(waiting, parts, found):
-            out[i][a, b] = spans, labels
-            if not len(labels) or not ((labels[0] and a > 0) or (labels[-1] and b < len(texts[i]))):
+        for (i, a, b), path in _read(scores, texts, waiting):
+            out[i][a, b] = path.spans
+            if not ((path.first and a > 0) or (path.last and b < len(texts[i]))):
                 continue
             more = max(b - a, AROUND)
-            new = a - more if labels[0] else a, b + more if labels[-1] else b
+            new = a - more if path.first else a, b + more if path.last else b
             wider.setdefault(i, []).append(_to_white(texts[i], max(0, new[0]), min(new[1], len(texts[i]))))
         waiting = []
         for i, own in wider.items():
             whole = _apart([*out[i], *own])
             waiting += [(i, a, b) for a, b in whole if (a, b) not in out[i]]
-            out[i] = {k: v for k, v in out[i].items() if k in whole}
-    return out
+            kept = set(whole)
+            out[i] = {k: v for k, v in out[i].items() if k in kept}
+    return [[tuple(s) for at in sorted(own) for s in own[at]] for own in out]
 
 
 def added_spans(field: Field, texts: list[str], bases: list[list[tuple[str, int, int]]]):
     """For each text the spans that the field finds beside the base spans, by kind, then start."""
     out: list[list[tuple[str, int, int]]] = []
-    for text, base, stretches in zip(texts, bases, _labelled(field, texts)):
+    for text, base, found in zip(texts, bases, _labelled(_scores(field), texts)):
+        order = sorted((a, b) for _, a, b in base)
+        starts, upto = [a for a, _ in order], list(itertools.accumulate((b for _, b in order), max))
         spans = []
-        for found, labels in stretches.values():
-            t = 0
-            while t < len(labels):
-                if not labels[t]:
-                    t += 1
-                    continue
-                kind, start = LABELS[labels[t]][2:], t
-                t += 1
-                while t < len(labels) and LABELS[labels[t]] == f"I-{kind}":
-                    t += 1
-                a, b = found[start][0], found[t - 1][1]
-                if not any(a < e and s < b for _, s, e in base) and _plausible(kind, text[a:b]):
-                    spans.append((kind, a, b))
+        for kind, a, b in found:
+            before = bisect_left(starts, b)
+            if not (before and upto[before - 1] > a) and _plausible(kind, text[a:b]):
+                spans.append((kind, a, b))
         out.append(sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1])))
     return out
 
 
+@functools.lru_cache(maxsize=2)
+def _scores(field: Field) -> Scores:
+    return Scores(field)
+
+
 @functools.lru_cache(maxsize=4)
 def _fitted(lines: tuple[str, ...]) -> Field:
     return fit(list(lines))

@@ -2,6 +2,7 @@
 
 import math
 import random
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import numpy as np
@@ -44,6 +45,40 @@ def test_auroc(spark):
     assert got == {1: 1.0, 2: None}
 
 
+def test_midranks_of_frequent_values_and_repeated_rows(spark):
+    draw = random.Random(5)
+    rows = [(draw.choice("xy"), None if i % 50 == 0 else float(draw.choice([0, 0, 0, 1, i])), i // 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, s double, i int")
+    got = Counter((r.g, r.s, r.i, r.midrank) for r in stats.midranks(df, "s", ["g"]).collect())
+    want = Counter()
+    for g in "xy":
+        values = sorted(s for h, s, _ in rows if h == g and s is not None)
+        rank = {v: (bisect_left(values, v) + 1 + bisect_right(values, v)) / 2 for v in set(values)}
+        want += Counter((g, s, i, rank[s]) for h, s, i in rows if h == g and s is not None)
+    assert got == want
+    assert stats.midranks(df.limit(0), "s", ["g"]).count() == 0
+
+
+def test_aurocs_of_many_scores_at_once(spark):
+    draw = random.Random(9)
+    rows = [(draw.random() < 0.3, draw.choice([None, 1.0, 2.0, draw.random()]), float(draw.randrange(5)), None) for _ in range(400)]
+    df = spark.createDataFrame(rows, "y boolean, a double, b double, c double")
+    got = {r.score: (r.auroc, r.n_positive, r.n_negative) for r in stats.aurocs(df, {"first": "a", "second": "b", "none": "c"}, "y", []).collect()}
+    for name, at in (("first", 1), ("second", 2)):
+        p, n = ([r[at] for r in rows if r[0] == y and r[at] is not None] for y in (True, False))
+        wins = sum((x > z) + (x == z) / 2 for x in p for z in n)
+        assert near(got[name][0], wins / (len(p) * len(n))) and got[name][1:] == (len(p), len(n))
+    assert set(got) == {"first", "second"}
+    assert stats.aurocs(df.limit(0), {"first": "a"}, "y", []).count() == 0
+
+
+def test_places_among_bounds(spark):
+    for m in (0, 1, 2, 3, 7, 8):
+        bounds = F.array(*[F.lit(float(b)) for b in range(m)]) if m else F.array().cast("array<double>")
+        got = spark.range(-1, 20).select((F.col("id") / 2).alias("v")).select("v", stats._place(bounds, F.col("v"), m + 1).alias("n"))
+        assert all(r.n == sum(b < r.v for b in range(m)) for r in got.collect())
+
+
 def test_auroc_with_ties(spark):
     rows = spark.createDataFrame([(1, 1.0, True), (1, 1.0, False), (1, 2.0, True), (1, 0.0, False)], "g long, s double, bad boolean")
     assert near(stats.auroc(rows, "s", "bad", ["g"]).first().auroc, 0.875)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridelta.functions import layout
-from veridelta.sources import images, logs
+from veridelta.sources import images, logs, records
 
 
 def png(color: int) -> bytes:
@@ -59,3 +59,30 @@ def test_logs_are_restarted_by_key(spark, tmp_path):
     assert logs.history(spark, folder, schema, "query").count() == 3
     plan = logs.history(spark, folder, schema, "query", "q2")._jdf.queryExecution().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*query#\d+ = q2", plan)
+
+
+def test_free_form_tables_of_one_file(spark, tmp_path):
+    tables = {
+        "a": ('{"headers":["h","k"],"rows":[["x",1.5],[true],[null,2,3]]}', "| h | k |\n| --- | --- |\n| x | 1.5 |\n| True |  |\n| None | 2 |", "h: x; k: 1.5 | h: True | h: None; k: 2; col2: 3"),
+        "b": ('[["h","k"],["x",3]]', "| h | k |\n| --- | --- |\n| x | 3 |", "h: x; k: 3"),
+        "c": ('"as it is"', "as it is", "as it is"),
+        "d": ("[]", "[]", "[]"),
+        "e": ('{"rows":[["x","y"]]}', '{"rows":[["x","y"]]}', "col0: x; col1: y"),
+        "f": ('{"other":1}', '{"other":1}', ""),
+        "g": ('["x","y"]', '["x","y"]', '["x","y"]'),
+    }
+    lines = [f'{{"id":"{k}","table":{t},"paragraphs":[{{"text":"p"}}],"questions":[{{"question":"q","answer":"z"}}]}}' for k, (t, _, _) in tables.items()]
+    lines.append('{"id":"n","paragraphs":[{"text":"p"}],"questions":[]}')
+    (tmp_path / "t.jsonl").write_text("\n".join(lines))
+    schema = "id string, table variant, paragraphs array<struct<text: string>>, questions array<struct<question: string, answer: string>>"
+    rows = records.read_json_lines(spark, str(tmp_path), schema)
+    questions, chunks = records.table_questions(rows, "id")
+    assert questions.count() == len(tables) and chunks.count() == 2 * len(tables) + 1
+    forms = [layout.free_layout(layout.free_table(F.col("table")), f).alias(f) for f in ("markdown", "linear", "text")]
+    got = {r.entry_id: r for r in chunks.where("modality = 'table'").select("entry_id", *forms).collect()}
+    assert {k: (r.markdown, r.linear) for k, r in got.items()} == {k: (m, n) for k, (_, m, n) in tables.items()}
+    assert got["b"].text == tables["b"][0] and got["c"].text == "as it is"
+    chunk = F.struct("modality", "text", "headers", "rows")
+    shown = chunks.where("pos = 0").select("entry_id", layout.table_context(F.array(chunk)).alias("x"))
+    assert {r.entry_id: r.x for r in shown.collect()} == {k: f"Context:\n\n[TABLE 1]\n{m}\n" for k, (_, m, _) in tables.items()}
+    assert rows.where("id = 'n'").select(forms[0]).first().markdown is None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridelta.functions.text import stripped
+from veridelta.functions.text import bound, stripped
 
 # File endings and their types.
 MIME = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp"}
@@ -37,6 +37,55 @@ def listed_table(cells: Column) -> Column:
     return F.when(F.size(cells) > 0, table_markdown(F.get(cells, F.lit(0)), F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0))))).otherwise("")
 
 
+def free_table(table: Column) -> Column:
+    """A struct of headers, rows and text of a table in free form, a VARIANT: an object with ``headers`` and ``rows``, a list of
+    rows of which the first holds the headers, or text.
+
+    Cells are texts, numbers as JSON writes them, ``True``, ``False`` or ``None``. What has no rows, as text, an empty list
+    or a list of texts, has null for them; what has no headers has null for those; ``text`` is the text itself, else the table's JSON."""
+    form = F.schema_of_variant(table)
+    is_object, is_text = form.startswith("OBJECT"), form == "STRING"
+    listed = F.try_variant_get(table, "$", "array<array<variant>>")
+    cells = lambda row: F.transform(row, _cell)
+
+    def parts(lists: Column, heads: Column, rows: Column) -> Column:
+        filled = F.when(F.size(lists) > 0, lists)
+        first = F.get(filled, F.lit(0))
+        heads = F.when(is_object, heads).otherwise(first)
+        rest = F.when(first.isNotNull(), F.slice(filled, F.lit(2), F.greatest(F.size(filled) - 1, F.lit(0))))
+        rows = F.when(is_object, F.coalesce(rows, F.array().cast("array<array<variant>>"))).otherwise(rest)
+        return F.struct(
+            F.when(F.size(heads) > 0, cells(heads)).alias("headers"),
+            F.transform(rows, cells).alias("rows"),
+            F.when(is_text, F.try_variant_get(table, "$", "string")).otherwise(F.to_json(table)).alias("text"),
+        )
+
+    return bound(
+        parts,
+        lists=listed,
+        heads=F.try_variant_get(table, "$.headers", "array<variant>"),
+        rows=F.try_variant_get(table, "$.rows", "array<array<variant>>"),
+    )
+
+
+def _cell(value: Column) -> Column:
+    """A cell's text; a list or an object within a cell is JSON."""
+    own = F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value))
+    flag = own.isin("true", "false") & (F.schema_of_variant(value) == "BOOLEAN")
+    return F.when(value.isNull() | F.is_variant_null(value), "None").when(flag, F.initcap(own)).otherwise(own)
+
+
+def free_layout(parts: Column, form: str = "markdown") -> Column:
+    """The parts of a table in free form as ``markdown``, in one line (``linear``), or as its ``text``; as text where it has no
+    headers or, in one line, no rows."""
+    shown = {
+        "markdown": F.when(parts["headers"].isNotNull(), table_markdown(parts["headers"], parts["rows"])),
+        "linear": F.when(parts["rows"].isNotNull(), table_linear(parts["headers"], parts["rows"])),
+        "text": parts["text"],
+    }[form]
+    return F.coalesce(shown, parts["text"])
+
+
 def table_linear(headers: Column, rows: Column) -> Column:
     """``header: cell`` pairs; a missing header is named by its place."""
     pair = lambda c, j: F.concat(F.coalesce(F.get(headers, j), F.concat(F.lit("col"), j)), F.lit(": "), c)
@@ -79,11 +128,10 @@ NO_CONTEXT = "[No context provided]"
 
 def table_context(chunks: Column, form: str = "markdown") -> Column:
     """Numbered tables and texts under a heading. ``chunks``: structs of modality, text, headers and rows; a table without
-    headers and rows is its text."""
+    headers and rows is its text, and with form ``text`` each is."""
 
     def block(c: Column, i: Column) -> Column:
-        shown = table_markdown(c["headers"], c["rows"]) if form == "markdown" else table_linear(c["headers"], c["rows"])
-        table = F.concat(F.lit("[TABLE "), i + 1, F.lit("]\n"), F.coalesce(shown, c["text"]), F.lit("\n"))
+        table = F.concat(F.lit("[TABLE "), i + 1, F.lit("]\n"), free_layout(c, form), F.lit("\n"))
         return F.when(c["modality"] == "table", table).otherwise(F.concat(F.lit("[TEXT "), i + 1, F.lit("] "), c["text"], F.lit("\n")))
 
     blocks = F.concat(F.array(F.lit("Context:\n")), F.transform(chunks, block))

@@ -22,13 +22,21 @@ def containment(prediction: Column, golds: Column) -> Column:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays of strings: each element with its number among its equals is unique."""
+    """Size of the multiset intersection of two arrays of strings: each element with its number among its equals is unique.
 
-    def numbered(xs: Column) -> Column:
-        own = lambda s: F.transform(s, lambda x, i: F.concat((i - F.array_position(s, x)).cast("string"), F.lit(" "), x))
-        return bound(own, s=F.array_sort(xs))
+    Equals are numbered by runs of the sorted array, in one pass."""
 
-    return F.size(F.array_intersect(numbered(a), numbered(b)))
+    def numbered(s: Column) -> Column:
+        starts = F.array_compact(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)))
+
+        def each(starts: Column) -> Column:
+            ends = F.slice(F.concat(F.slice(starts, F.lit(2), F.size(s)), F.array(F.size(s))), F.lit(1), F.size(starts))
+            run = lambda at, end: F.transform(F.sequence(F.lit(0), end - at - 1), lambda j: F.concat(j.cast("string"), F.lit(" "), F.get(s, at)))
+            return F.flatten(F.zip_with(starts, ends, run))
+
+        return bound(each, starts=starts)
+
+    return bound(lambda a, b: F.size(F.array_intersect(numbered(a), numbered(b))), a=F.array_sort(a), b=F.array_sort(b))
 
 
 def f1_of(common: Column, n_prediction: Column, n_gold: Column) -> Column:

@@ -9,7 +9,7 @@ from veridelta.functions.metrics import mean_or_zero, token_f1_single
 from veridelta.functions.metrics import exact_match as matches
 from veridelta.functions.text import punctuation_first
 from veridelta.operators.retrieval import evidence
-from veridelta.operators.stats import auroc
+from veridelta.operators.stats import aurocs
 
 UNKNOWN = "legacy_or_unknown"
 
@@ -114,10 +114,10 @@ def pipeline_stats(results: DataFrame, iterations: str, se: str, decision: str,
     )
 
 
-def _wrong_auroc(rows: DataFrame, score: str, correct: str, name: str) -> DataFrame:
-    """(name): how well a score tells wrong answers."""
-    wrong = rows.select(F.col(score).cast("double").alias("s"), (~F.col(correct)).alias("wrong"), F.lit(0).alias("all"))
-    return auroc(wrong, "s", "wrong", ["all"]).select(F.col("auroc").alias(name))
+def _wrong_aurocs(rows: DataFrame, scores: dict[str, str], correct: str) -> DataFrame:
+    """One row: how well each score tells wrong answers, by the score's name."""
+    every = aurocs(rows.withColumn("__wrong", ~F.col(correct)), scores, "__wrong", [])
+    return every.agg(*[F.max(F.when(F.col("score") == k, F.col("auroc"))).alias(k) for k in scores])
 
 
 def _one_row(first: DataFrame, *others: DataFrame) -> DataFrame:
@@ -130,11 +130,7 @@ def _one_row(first: DataFrame, *others: DataFrame) -> DataFrame:
 def answer_summary(results: DataFrame, correct: str, semantic: str, token: str) -> DataFrame:
     """One row: examples, em, and how well each score tells wrong answers; the token score where it isn't null."""
     head = results.agg(F.count("*").alias("examples"), mean_or_zero(F.col(correct).cast("double")).alias("em"))
-    return _one_row(
-        head,
-        _wrong_auroc(results, semantic, correct, "auroc_semantic_incorrect"),
-        _wrong_auroc(results.where(F.col(token).isNotNull()), token, correct, "auroc_token_incorrect"),
-    )
+    return _one_row(head, _wrong_aurocs(results, {"auroc_semantic_incorrect": semantic, "auroc_token_incorrect": token}, correct))
 
 
 POSTERIOR = ("anchor_risk", "total_entropy", "retrieval_mi", "generation_entropy")
@@ -151,9 +147,8 @@ def posterior_summary(scored: DataFrame, correct: str, context_sets: str, has_an
         *[F.bool_and(F.col(c).isNotNull()).alias(f"__{c}") for c in baselines],
     )
     contexts = scored.select(flat).agg(F.avg(F.col("h").cast("double")).alias("mean_context_hasanswer"))
-    parts = [_wrong_auroc(scored, c, correct, f"auroc_{c}_incorrect") for c in POSTERIOR]
-    parts += [_wrong_auroc(scored, c, correct, f"__a_{c}") for c in baselines]
-    out = _one_row(head, contexts, *parts)
+    scores = {**{f"auroc_{c}_incorrect": c for c in POSTERIOR}, **{f"__a_{c}": c for c in baselines}}
+    out = _one_row(head, contexts, _wrong_aurocs(scored, scores, correct))
     kept = [F.when(F.col(f"__{c}"), F.col(f"__a_{c}")).alias(name) for c, name in baselines.items()]
     return out.select("examples", "accuracy", *[f"auroc_{c}_incorrect" for c in POSTERIOR], "mean_unique_context_sets", "mean_context_hasanswer", *kept)
 

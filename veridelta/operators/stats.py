@@ -3,21 +3,43 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _bounds(counts: DataFrame, value: str, score: str | None, n: int) -> Column:
+    """The bounds of ``n`` ranges of value, for each score its own: approximate quantiles, from one job for all scores."""
+    shares = F.array(*[F.lit(i / n) for i in range(1, n)])
+    own = F.percentile_approx(F.col(value).cast("double"), shares, F.lit(10 * n)).alias("q")
+    found = counts.groupBy(F.col(score) if score else F.lit("").alias("k")).agg(own).collect()  # a row for each score
+    known = {r[0]: sorted(set(r["q"])) for r in found if r["q"]}
+    if not known:
+        return F.array().cast("array<double>")
+    bounds = [F.array(*[F.lit(b) for b in bs]) for bs in known.values()]
+    if not score:
+        return bounds[0]
+    return F.create_map(*[c for k, b in zip(known, bounds) for c in (F.lit(k), b)])[F.col(score)]
 
-def running_totals(counts: DataFrame, by: list[str], value: str, sums: list[str]) -> DataFrame:
+
+def _place(bounds: Column, value: Column, n: int) -> Column:
+    """How many of at most ``n`` sorted bounds lie below a value, by halving."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+    # past the last bound there is null, which isn't below
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) < value, at + step).otherwise(at))
+
+
+def running_totals(counts: DataFrame, by: list[str], value: str, sums: list[str], score: str | None = None) -> DataFrame:
     """``counts`` (by, value, sums), one row for each value, with ``upto_<sum>``: the sum over values no greater in the group.
 
     Rows are dealt out by ranges of value, summed within their range, and shifted by the sums of the ranges before: a group of
-    any size is no single task's. The ranges' bounds are approximate quantiles, one for each shuffle partition."""
+    any size is no single task's. There is a range for each shuffle partition; with ``score``, one of ``by`` that has few
+    values, each score has ranges of its own."""
     n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(counts.approxQuantile(value, [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
-    known = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
-    dealt = counts.withColumn("__range", F.size(F.filter(known, lambda b: b < F.col(value))))
+    place = _place(_bounds(counts, value, score, n), F.col(value), n) if n > 1 else F.lit(0)
+    dealt = counts.withColumn("__range", place)
     whole = dealt.groupBy("__range", *by).agg(*[F.sum(s).alias(f"__{s}") for s in sums])
     # a row for each range that a group has values in
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -32,36 +54,58 @@ def running_totals(counts: DataFrame, by: list[str], value: str, sums: list[str]
     return joined.select(*[F.col(f"l.{c}").alias(c) for c in counts.columns], *upto)
 
 
+#: A value is frequent if more than one row in so many has it: that bounds the number of frequent values.
+FREQUENT = 1000
+#: Parts that the rows of a frequent value are dealt into.
+PARTS = 64
+
+
 def midranks(df: DataFrame, value: str, by: list[str], name: str = "midrank") -> DataFrame:
     """Ranks with ties at their mean, within each group.
 
-    Ranked through the counts of distinct values, so that rows that tie never meet; null values have no rank."""
+    Ranked through the counts of distinct values, so that rows that tie never meet; null values have no rank. Ranks are joined
+    back by value; the rows of a frequent value are dealt into parts, each with a copy of its rank."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
     totals = running_totals(counts, by, value, ["__n"])
-    ranks = totals.withColumn(name, F.col("upto___n") - (F.col("__n") - 1) / 2.0).select(*by, value, name)
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] + [F.col(f"l.{value}") == F.col(f"r.{value}")]
-    condition = same[0]
-    for more in same[1:]:
-        condition &= more
-    return df.alias("l").join(ranks.alias("r"), condition).select("l.*", f"r.{name}")
-
-
-def auroc(df: DataFrame, score: str, positive: str, by: list[str]) -> DataFrame:
-    """Probability that a positive outranks a negative, ties half; null for a single class.
-
-    Only counts by distinct score are ordered."""
+    size = counts.agg(F.sum("__n").alias("__all"))
+    ranks = totals.crossJoin(F.broadcast(size)).select(
+        *by, value, (F.col("upto___n") - (F.col("__n") - 1) / 2.0).alias(name), (F.col("__n") * FREQUENT > F.col("__all")).alias("__frequent")
+    )
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by] + [F.col(f"{a}.{value}") == F.col(f"{b}.{value}")]
+    frequent = counts.crossJoin(F.broadcast(size)).where(F.col("__n") * FREQUENT > F.col("__all")).select(*by, value, F.lit(True).alias("__many"))
+    # fewer than FREQUENT rows
+    rows = df.alias("l").join(F.broadcast(frequent).alias("m"), reduce(and_, same("l", "m")), "left")
+    part = F.when(F.col("m.__many"), F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))).otherwise(F.lit(0).cast("long"))
+    rows = rows.select("l.*", part.alias("__part"))
+    parts = F.when(F.col("__frequent"), F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    ranks = ranks.withColumn("__part", F.explode(parts))
+    joined = rows.alias("l").join(ranks.alias("r"), reduce(and_, [*same("l", "r"), F.col("l.__part") == F.col("r.__part")]))
+    return joined.select(*[F.col(f"l.{c}").alias(c) for c in df.columns], f"r.{name}")
+
+
+def aurocs(df: DataFrame, scores: dict[str, str], positive: str, by: list[str]) -> DataFrame:
+    """(by, score, auroc, n_positive, n_negative) for each named score column: the probability that a positive outranks a
+    negative, ties half; null for a single class. A row counts for the scores that it has.
+
+    Only counts by distinct value are ordered, of all scores at once."""
     p, n = F.sum("__p"), F.sum("__q")
-    counts = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(
-        F.sum(F.when(F.col(positive), 1).otherwise(0)).alias("__p"),
-        F.sum(F.when(F.col(positive), 0).otherwise(1)).alias("__q"),
+    named = F.array(*[F.struct(F.lit(k).alias("score"), F.col(c).cast("double").alias("__v")) for k, c in scores.items()])
+    rows = df.select(*by, F.col(positive).alias("__y"), F.explode(named).alias("s")).where("s.__v is not null").select(*by, "__y", "s.*")
+    counts = rows.groupBy(*by, "score", "__v").agg(
+        F.sum(F.when(F.col("__y"), 1).otherwise(0)).alias("__p"), F.sum(F.when(F.col("__y"), 0).otherwise(1)).alias("__q")
     )
-    totals = running_totals(counts, by, score, ["__q"])
+    totals = running_totals(counts, [*by, "score"], "__v", ["__q"], "score")
     wins = totals.withColumn("__w", F.col("__p") * (F.col("upto___q") - F.col("__q") / 2.0))
-    return wins.groupBy(*by).agg(
+    return wins.groupBy(*by, "score").agg(
         F.when((p > 0) & (n > 0), F.sum("__w") / (p * n)).alias("auroc"), p.alias("n_positive"), n.alias("n_negative")
     )
 
 
+def auroc(df: DataFrame, score: str, positive: str, by: list[str]) -> DataFrame:
+    """(by, auroc, n_positive, n_negative) of one score."""
+    return aurocs(df, {"": score}, positive, by).drop("score")
+
+
 def delong(df: DataFrame, first: str, second: str, positive: str) -> DataFrame:
     """One row: both AUROCs, their difference, its z and two-sided p by the fast paired DeLong test.
 
@@ -78,7 +122,7 @@ def delong(df: DataFrame, first: str, second: str, positive: str) -> DataFrame:
     scores = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"__{k}").alias("v")) for k in "ab"]))
     counts = base.select("__y", scores.alias("s")).groupBy(F.col("s.k").alias("k"), F.col("s.v").alias("v"))
     counts = counts.agg(F.sum("__y").alias("p"), F.sum(1 - F.col("__y")).alias("q"))
-    totals = running_totals(counts, ["k"], "v", ["p", "q"])
+    totals = running_totals(counts, ["k"], "v", ["p", "q"], "k")
     # a positive's placement: the share of negatives below it, ties half; a negative's: of positives above it
     for k in "ab":
         own = totals.where(F.col("k") == k).select(

@@ -266,6 +266,33 @@ def table_layouts(spark, sf_dir):
     )
 
 
+@query(
+    "free_tables",
+    """WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS p, o_orderstatus AS s FROM orders)
+    SELECT k AS o_orderkey,
+      CASE k % 3 WHEN 0 THEN '| priority | urgent |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p || ' | '
+          || CASE WHEN p = '1-URGENT' THEN 'True' ELSE 'False' END || ' |'
+        WHEN 1 THEN '| key | status |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || k || ' |  |' || chr(10) || '| None | ' || s || ' |'
+        ELSE 'order ' || k END AS markdown,
+      CASE k % 3 WHEN 0 THEN 'priority: ' || p || '; urgent: ' || CASE WHEN p = '1-URGENT' THEN 'True' ELSE 'False' END
+        WHEN 1 THEN 'key: ' || k || ' | key: None; status: ' || s ELSE 'order ' || k END AS linear FROM o""",
+)
+def free_tables(spark, sf_dir):
+    """Each order as an object with headers and rows, a list of rows, or text: one column, laid out by one plan."""
+    text = lambda x: F.to_json(F.array(x))
+    one = lambda x: F.substring(text(x), F.lit(2), F.length(text(x)) - 2)
+    urgent = (F.col("o_orderpriority") == "1-URGENT").cast("string")
+    json = (
+        F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('{"headers":["priority","urgent"],"rows":[['), one(F.col("o_orderpriority")), F.lit(","), urgent, F.lit("]]}")))
+        .when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit('[["key","status"],['), F.col("o_orderkey"), F.lit("],[null,"), one(F.col("o_orderstatus")), F.lit("]]")))
+        .otherwise(one(F.concat(F.lit("order "), F.col("o_orderkey"))))
+    )
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.parse_json(json).alias("t"))
+    rows = rows.select("o_orderkey", layout.free_table(F.col("t")).alias("t"))
+    return rows.select("o_orderkey", *[layout.free_layout(F.col("t"), f).alias(f) for f in ("markdown", "linear")])
+
+
+
 @query(
     "numbered_slice",
     """SELECT doc_id, CAST(n AS INTEGER) AS place FROM (SELECT doc_id, lang,

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veridelta.functions.layout import free_table
 from veridelta.session import written
 
 
@@ -132,7 +133,8 @@ def table_questions(rows: DataFrame, entry: str) -> tuple[DataFrame, DataFrame]:
     """Questions of entries with a table and paragraphs, and the chunks that all questions of an entry share.
 
     An answer is a list, a value, or text that holds a JSON list; a question without an id is named by its entry and place.
-    Paragraphs are structs with a text, or texts."""
+    Paragraphs are structs with a text, or texts. Tables are of one type, or VARIANT: then they may differ in form from entry to
+    entry, and their chunks have text, headers and rows as ``table_context`` takes them."""
     fields = {f.name: f.dataType for f in rows.schema["questions"].dataType.elementType}
     has = lambda n: F.coalesce(F.col(f"q.{n}"), F.lit("")) if n in fields else F.lit("")
     answer = F.col("q.answer")
@@ -148,9 +150,14 @@ def table_questions(rows: DataFrame, entry: str) -> tuple[DataFrame, DataFrame]:
         F.col("q.question").alias("query"), golds.alias("gold_answers"),
         *[has(n).alias(n) for n in ("answer_type", "scale", "derivation")],
     )
+    # a table in free form has its layout's parts beside it
+    free = isinstance(rows.schema["table"].dataType, T.VariantType)
+    parts = [free_table(F.col("table")).alias("parts")] if free else []
     tables = rows.where(F.col("table").isNotNull()).select(
-        F.col(entry).alias("entry_id"), F.lit(0).alias("pos"), F.lit("table").alias("modality"), F.lit(None).cast("string").alias("text"), "table"
+        F.col(entry).alias("entry_id"), F.lit(0).alias("pos"), F.lit("table").alias("modality"), F.lit(None).cast("string").alias("text"), "table", *parts
     )
+    if free:
+        tables = tables.withColumns({"text": F.col("parts.text"), "headers": F.col("parts.headers"), "rows": F.col("parts.rows")}).drop("parts")
     structs = isinstance(rows.schema["paragraphs"].dataType.elementType, T.StructType)
     texts = rows.select(F.col(entry).alias("entry_id"), F.posexplode("paragraphs").alias("pos", "p"))
     text = F.col("p.text") if structs else F.col("p").cast("string")

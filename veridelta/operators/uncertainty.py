@@ -7,9 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridelta.functions.text import is_key_token, stripped
+from veridelta.functions.text import is_key_token, stable_seed, stripped
 from veridelta.operators.stats import running_totals
 
+#: Log-probabilities are summed together within spans of this size.
+SPAN = 256.0
+
 
 def entropy(df: DataFrame, by: list[str], kind: str, log=F.log2, name: str = "entropy") -> DataFrame:
     """Entropy of ``kind``'s frequencies within each group; null kinds don't count."""
@@ -92,7 +95,7 @@ def affirmative_logprob(top: Column) -> Column:
 
 
 def few_shots(train: DataFrame, order: str, answers: str, share: float, count: int, seed: int) -> DataFrame:
-    """``count`` answerable rows of the first ``share`` of a table in its order, by a seeded hash; an error if there are fewer.
+    """``count`` answerable rows of the first ``share`` of a table in its order, by their stable seeds; an error if there are fewer.
 
     ``order`` is a number. The same rows come whatever the table's partitioning."""
     if not 0 < share <= 1:
@@ -102,7 +105,7 @@ def few_shots(train: DataFrame, order: str, answers: str, share: float, count: i
     places = train.where(F.col(order).isNotNull()).groupBy(order).agg(F.count("*").alias("n"))
     within = running_totals(places, [], order, ["n"]).where(F.col("upto_n") <= n).select(F.col(order).alias("__o"))
     some = train.join(within, F.col(order) == F.col("__o"), "left_semi").where(F.size(answers) > 0)
-    picked = some.orderBy(F.xxhash64(F.col(order).cast("string"), F.lit(seed)), order).limit(count)
+    picked = some.orderBy(stable_seed(seed, F.col(order)), order).limit(count)
     if picked.count() < count:
         raise ValueError("there are too few answerable rows")
     return picked
@@ -121,9 +124,13 @@ def p_true_uncertainty(logprob: Column) -> Column:
 
 def cluster_mass(responses: DataFrame, query: str, cluster: str, loglik: str) -> DataFrame:
     """Normalised log mass of each cluster: log-sum-exp of its responses over that of all."""
-    top = F.max(loglik).over(Window.partitionBy(query))
-    shifted = responses.withColumn("__m", top)
-    parts = shifted.groupBy(query, cluster).agg(F.sum(F.exp(F.col(loglik) - F.col("__m"))).alias("__s"))
+    l = F.col(loglik)  # noqa: E741
+    step = F.when(l > float("-inf"), F.floor(l / SPAN))
+    # sums within a span can't overflow, so no response has to know its question's largest: a few rows for each cluster are left
+    parts = responses.withColumn("__b", step).groupBy(query, cluster, "__b").agg(F.sum(F.exp(l - F.col("__b") * SPAN)).alias("__s"))
+    top = F.max("__b").over(Window.partitionBy(query))
+    parts = parts.withColumn("__s", F.col("__s") * F.exp((F.col("__b") - top) * SPAN))
+    parts = parts.groupBy(query, cluster).agg(F.sum("__s").alias("__s"))
     total = F.sum("__s").over(Window.partitionBy(query))
     return parts.withColumn("log_mass", F.log(F.col("__s") / total)).drop("__s")
 

@@ -3,7 +3,7 @@
 import importlib
 
 #: The modules that register queries.
-MODULES = ("base", "texts", "scores", "retrieval", "flows", "generation", "reports", "models")
+MODULES = ("base", "texts", "scores", "retrieval", "flows", "generation", "reports", "models", "samples")
 
 
 def load():

@@ -272,6 +272,27 @@ def setup_problems(spark: SparkSession, tables: dict[str, tuple[str, ...]]) -> l
     return out
 
 
+def count_problems(tables: dict[str, tuple[DataFrame, int]]) -> list[str]:
+    """What is wrong with the sizes of tables: each with the number of rows that it should have."""
+    found = ((name, df.count(), expected) for name, (df, expected) in sorted(tables.items()))
+    return [f"{name}: {n} rows, {expected} expected" for name, n, expected in found if n != expected]
+
+
+def uncovered(questions: DataFrame, evidence: str, corpus: DataFrame, url: str, key: str) -> DataFrame:
+    """(key, url): what questions name as evidence (an array of urls) and the corpus lacks, repeats and nulls included."""
+    named = questions.select(key, F.explode(evidence).alias("url"))
+    return named.join(corpus.select(F.col(url).alias("__u")).distinct(), F.col("url") == F.col("__u"), "left_anti")
+
+
+def check_setup(questions: DataFrame, evidence: str, corpus: DataFrame, url: str, key: str, n_questions: int, n_corpus: int) -> None:
+    """An error if the numbers of questions and corpus rows aren't as expected, or the corpus lacks evidence."""
+    problems = count_problems({"questions": (questions, n_questions), "corpus": (corpus, n_corpus)})
+    if missing := uncovered(questions, evidence, corpus, url, key).count():
+        problems.append(f"corpus: lacks {missing} urls of evidence")
+    if problems:
+        raise ValueError("; ".join(problems))
+
+
 #: Each dataset's layout, kind of content, and metrics.
 DATASETS = {
     "nq": (open_questions, "text", ("exact_match", "token_f1")),

@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from veridelta.operators import samples, uncertainty
+from veridelta.operators import retrieval, samples, uncertainty
 from veridelta.sources import records
 
 TEMPLATES = {kind: kind + ": {text}" for kind in ("text", "table", "image")}
@@ -119,3 +119,16 @@ def test_masses_of_far_apart_log_probabilities(spark):
     assert got[2, "a"] == pytest.approx(0.0) and got[3, "a"] == pytest.approx(0.0) and got[3, "b"] is None
     # less than a double can hold beside the largest
     assert got[2, "b"] is None or got[2, "b"] == pytest.approx(-800.0)
+
+
+def test_probabilities_of_groups_equal_those_by_windows(spark):
+    rows = [(i % 3 if i % 3 < 2 else None, float(i * i % 17), i) for i in range(40)]
+    rows += [(7, 0.5, 100), (7, 0.5, 101), (8, 2.0, 102), (9, None, 103), (9, 1.0, 104), (9, 3.0, 105)]
+    df = spark.createDataFrame(rows, "g int, s double, i int")
+    plain = df.withColumn("l", retrieval.retrieval_logits("s", "g", 0.5)).withColumn("p", retrieval.softmax("l", "g"))
+    want = {r.i: (r.l, r.p) for r in plain.collect()}
+    got = {r.i: (r.logit, r.probability) for r in retrieval.retrieval_probabilities(df, "g", "s", 0.5).collect()}
+    assert len(got) == len(rows)
+    for i, (l, p) in got.items():
+        assert (l, p) == (None, None) if i == 103 else (l == pytest.approx(want[i][0]) and p == pytest.approx(want[i][1]))
+    assert got[100] == (0.0, 0.5) and got[102] == (0.0, 1.0)

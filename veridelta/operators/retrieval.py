@@ -232,6 +232,28 @@ def softmax(logit: str, by: str) -> Column:
     return shifted / F.sum(shifted).over(w)
 
 
+def retrieval_probabilities(df: DataFrame, by: str, score: str, temperature: float = 1.0) -> DataFrame:
+    """``df`` with ``logit`` and ``probability``: standard scores of each group over a temperature, and their softmax.
+
+    Groups are aggregated before they are shuffled and their figures joined back, so that a group may hold a large share of all
+    rows; the largest logit is that of the largest score. Rows without a group are one; a null score has neither."""
+    rows = df.select("*", F.col(by).alias("__by"))
+    spread = rows.groupBy(F.col("__by").alias("__g")).agg(
+        F.avg(score).alias("__mean"), F.stddev_pop(score).alias("__sd"), F.max(score).alias("__top")
+    )
+
+    def standard(value: Column) -> Column:
+        flat = F.when(value.isNotNull(), F.lit(0.0))
+        return F.when(F.col("__sd") < 1e-12, flat).otherwise((value - F.col("__mean")) / F.col("__sd") / temperature)
+
+    rows = rows.join(spread, F.col("__by").eqNullSafe(F.col("__g"))).drop("__g")
+    rows = rows.withColumn("logit", standard(F.col(score)))
+    rows = rows.withColumn("__e", F.exp(F.col("logit") - standard(F.col("__top"))))
+    total = rows.groupBy(F.col("__by").alias("__g")).agg(F.sum("__e").alias("__total"))
+    rows = rows.join(total, F.col("__by").eqNullSafe(F.col("__g")))
+    return rows.select(*df.columns, "logit", (F.col("__e") / F.col("__total")).alias("probability"))
+
+
 def gumbel_sets(df: DataFrame, by: str, item: str, logit: str, k: int, draws: int, seed: int) -> DataFrame:
     """(by, draw, items): sets of k items without replacement, by the largest perturbed logits, in item order."""
     own = df.select(by, item, logit, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))

@@ -92,9 +92,8 @@ EVENTS = "e AS (SELECT user_id, event_id, value FROM events)"
 def retrieval_softmax(spark, sf_dir):
     """Retrieval probabilities of every user's events."""
     own = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    own = own.withColumn("logit", retrieval.retrieval_logits("value", "user_id", 0.5))
-    own = own.withColumn("p", retrieval.softmax("logit", "user_id"))
-    return own.select("event_id", F.round("logit", 6).alias("logit"), F.round("p", 6).alias("probability"))
+    own = retrieval.retrieval_probabilities(own, "user_id", "value", 0.5)
+    return own.select("event_id", F.round("logit", 6).alias("logit"), F.round("probability", 6).alias("probability"))
 
 
 @query(

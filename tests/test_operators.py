@@ -6,6 +6,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +224,22 @@ def test_greedy_classes(spark):
     assert {r.q: r.classes for r in got.collect()} == want
 
 
+def test_greedy_classes_at_halves(spark, tmp_path):
+    """Means whose half is lost in binary are rounded as SQL rounds them."""
+    import duckdb
+
+    from veridelta.plans import load
+
+    plans, folder = load(), tmp_path / "sf"
+    folder.mkdir()
+    rows = [(u, e, v) for u, m in ((1, 1.005), (2, 8.345), (3, 2.675)) for e, v in (("a", m), ("b", round(m + 1.995, 2)), ("c", 50.0))]
+    pd.DataFrame(rows, columns=["user_id", "event_type", "value"]).to_parquet(folder / "events.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    got = {(r.user_id, r.classes) for r in plans.QUERIES["greedy_classes"](spark, str(folder)).collect()}
+    assert got == set(db.sql(plans.ORACLES["greedy_classes"]).fetchall())
+
+
 def test_equivalence_rules(spark):
     e, n, c = (F.lit(x) for x in ("entailment", "neutral", "contradiction"))
     row = spark.range(1).select(

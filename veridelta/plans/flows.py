@@ -42,7 +42,9 @@ def concepts(spark, sf_dir):
 )
 def greedy_classes(spark, sf_dir):
     """Order-dependent classes of every user's kinds of event by their mean value."""
-    own = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 2).alias("v"))
+    # as SQL rounds: the binary product, where Spark's round to two digits takes the number as it is shown (1.005 to 1.01)
+    mean = F.round(F.avg("value") * 100) / 100
+    own = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(mean.alias("v"))
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_type")) - 1
     own = own.select("user_id", place.alias("i"), "v")
     n = own.groupBy("user_id").agg(F.count("*").alias("n"))

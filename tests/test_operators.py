@@ -529,6 +529,26 @@ def test_entry_and_registry(spark):
     assert entry.entry(spark).columns == ["query", "rank", "doc", "chunk", "score"]
 
 
+def test_bm25_sends_few_rows(spark, monkeypatch):
+    """What leaves a task is each query's k best, however many tiles it takes; the same as by the join of all terms."""
+    draw = random.Random(7)
+    docs = [(d, c, " ".join(draw.choice("abcdefgh") for _ in range(draw.randrange(1, 9)))) for d in range(300) for c in range(1 + d % 3)]
+    docs += [(1000 + d, 0, "a b c") for d in range(200)]  # ties go to the lesser document
+    frame = spark.createDataFrame(docs, "d long, c int, t string").repartition(3, "d")
+    asked = spark.createDataFrame([(f"q{i}", " ".join(draw.choice("abcdefghz") for _ in range(3))) for i in range(20)], "q string, t string")
+    found = lambda: sorted(map(tuple, retrieval.bm25(asked, frame, "q", "t", "d", "c", "t", 4).collect()))
+    sent, weighed = [], retrieval._weighed
+    monkeypatch.setattr(retrieval, "_weighed", lambda *args: sent.append(weighed(*args)) or sent[-1])
+    got = [found()]
+    monkeypatch.setattr(retrieval, "MOST_MET", 50)
+    monkeypatch.setattr(retrieval, "MOST_SCORES", 100)
+    got.append(found())
+    assert all(df.count() <= 20 * 4 * df.rdd.getNumPartitions() for df in sent)
+    monkeypatch.setattr(retrieval, "MOST_BROADCAST", 0)
+    assert got[0] == got[1] == found()
+    assert sent[-1].count() > 20 * 4 * 3  # one row for every query and chunk
+
+
 def test_bm25_refuses_chunks_with_gaps(spark):
     docs = spark.createDataFrame([(1, 0, "owl"), (1, 2, "mice")], "d long, c int, t string")
     asked = spark.createDataFrame([(1, "owl")], "q long, t string")

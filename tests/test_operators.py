@@ -549,6 +549,15 @@ def test_bm25_sends_few_rows(spark, monkeypatch):
     assert sent[-1].count() > 20 * 4 * 3  # one row for every query and chunk
 
 
+def test_shared_runs(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a b\u2003c d e"), (2, None), (3, "b c d b c d"), (4, "c d"), (5, "")], "d long, t string")
+    wanted = spark.createDataFrame([("b c d",), ("d e f",), ("c d e",), ("b c d",)], "run string")
+    found = lambda: sorted(map(tuple, retrieval.shared_runs(rows, "d", "t", wanted, 3).collect()))
+    assert found() == [(1, "b c d"), (1, "c d e"), (3, "b c d")]
+    monkeypatch.setattr(retrieval, "MOST_BROADCAST", 0)
+    assert found() == [(1, "b c d"), (1, "c d e"), (3, "b c d")]
+
+
 def test_bm25_refuses_chunks_with_gaps(spark):
     docs = spark.createDataFrame([(1, 0, "owl"), (1, 2, "mice")], "d long, c int, t string")
     asked = spark.createDataFrame([(1, "owl")], "q long, t string")

@@ -32,6 +32,23 @@ def plain_spans(text):
     return [(k, *m.span()) for k, p, good in kinds for m in p.finditer(text) if good(m.group())]
 
 
+def test_near_duplicates_by_fingerprints(spark):
+    """What fingerprints find of near-copies is checked on the whole sets, and only other pairs are left to the exact way."""
+    draw = random.Random(8)
+    text = [f"w{draw.randrange(5000)}" for _ in range(900)]
+    rows = [(1, " ".join(text)), (2, " ".join([*text, "end"])), (3, " ".join(text[:800])), (4, "far off"), (5, "far off"), (6, "a b"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = simhash.signatures(docs, 0.8)
+    classes = signed.groupBy("class").agg(F.min("row").alias("row"), F.min("doc_id").alias("node"))
+    node = {r["class"]: r.node for r in classes.collect()}
+    pairs = lambda df: {tuple(sorted((node[r.a], node[r.b]))) for r in df.collect()}
+    known = simhash.fingerprint_links(docs, signed, classes, 0.8)
+    assert pairs(known) == {(1, 2)}
+    rest = pairs(simhash.near_links(docs, signed, classes, 0.8, known))
+    assert rest and rest <= {(1, 3), (2, 3)}
+    assert {r.doc_id for r in simhash.duplicates(docs).collect()} == {2, 3, 5}
+
+
 def test_base_spans_are_the_patterns():
     draw = random.Random(1)
     for _ in range(3000):

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridelta.session import checkpointed, shared_dir, written
 
-__all__ = ["checkpointed", "read", "shared_dir", "slices", "whole_text", "written"]
+__all__ = ["checkpointed", "given_back", "read", "shared_dir", "slices", "whole_text", "written"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,3 +28,24 @@ def slices(column, size: int = 256):
     """A long Arrow string column as lists of at most ``size`` Python strings."""
     for at in range(0, len(column), size):
         yield at, column.slice(at, size).to_pylist()
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library is another one
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def given_back(f):
+    """``f`` of batches, after which its worker gives free memory back to the system.
+
+    Workers live on for the tasks of later steps; what each step's batches once took would add up in an executor."""
+
+    @functools.wraps(f)
+    def of(batches):
+        try:
+            yield from f(batches)
+        finally:
+            _give_back()
+
+    return of

@@ -13,11 +13,12 @@ A value that holds very many fingerprints is not compared in one task: for small
 one of tau + 1 parts of their other bits, one of which must agree (exact, and bounded as fingerprints are distinct); what
 is still too large is dealt into blocks, and each pair of blocks meets in its own task.
 
-The pipeline's stage doesn't use fingerprints: near-copies that end early or have text added differ in too many bits. It
-finds all pairs of texts whose distinct five-word shingles are similar enough, by a prefix filter: a similar pair shares
-one of its rarest shingles. The few pairs that meet at a shingle are first held against their histograms (an upper bound
-of what two sets share), then compared on the whole sets; a shingle that many texts hold brings their sets together in
-blocks, and spanning links leave each block. No pair at the threshold is lost.
+The pipeline's stage links copies by fingerprints within two bits, each link checked on the whole sets of distinct five-word
+shingles. Near-copies that end early or have text added differ in more bits than can be probed for, so an exact way for the
+rest follows: a prefix filter over the pairs that aren't connected yet, as a similar pair shares one of its rarest shingles.
+The few pairs that meet at a shingle are first held against their histograms (an upper bound of what two sets share), then
+compared on the whole sets; a shingle that many texts hold brings their sets together in blocks, and spanning links leave
+each block. No pair at the threshold is lost.
 
 Null and empty texts have fingerprint zero, linked like any other. Rows with null ids are fingerprinted and link, but name
 no component unless no row of it has an id. Repeated rows share a fingerprint and a component. Texts of any length are read
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridelta.llm.common import checkpointed, read, slices, written
+from veridelta.llm.common import checkpointed, given_back, read, slices, written
 from veridelta.operators.components import connected_components
 
 SEED = 42
@@ -328,7 +329,7 @@ def links(codes: DataFrame, tau: int) -> DataFrame:
         part = part.select(*columns, *key, "block")
         whole = part if whole is None else whole.unionByName(part)
     sorted_rows = whole.repartition(*key, "block").sortWithinPartitions(*key, "block", "fp", "node")
-    return sorted_rows.mapInArrow(_verify(tau), "a long, b long").distinct()
+    return sorted_rows.mapInArrow(given_back(_verify(tau)), "a long, b long").distinct()
 
 
 def components(prints: DataFrame, tau: int = 2) -> DataFrame:
@@ -393,7 +394,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     every = min(LEAST_SHARE, max(1, docs.count() // MOST_SAMPLED))
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
-    counted = some.mapInArrow(counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = some.mapInArrow(given_back(counts), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     # at most MOST_COMMON rows: a proven bound
     top = counted.where(F.col("n") >= LEAST_COMMON).orderBy(F.col("n").desc(), "key").limit(MOST_COMMON).toArrow()
     names, n = top["key"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
@@ -415,12 +416,12 @@ def _prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], p: int,
     return shingles[: size + (-p * size // q) + 1]
 
 
-SIGNATURES = "row long, doc_id long, class long, n int, prefix array<long>, histogram binary"
+SIGNATURES = "row long, doc_id long, class long, n int, prefix array<long>, histogram binary, fp long"
 
 
 def signatures(docs: DataFrame, near: float) -> DataFrame:
-    """For each of ``docs`` its row number, its class (of equal shingle sets), its number of shingles, the rarest of them
-    and the histogram of all, written."""
+    """For each of ``docs`` its row number, its class (of equal shingle sets), its number of shingles, the rarest of them,
+    the histogram of all and the text's fingerprint, written."""
     p, q = _ratio(near)
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
@@ -441,12 +442,13 @@ def signatures(docs: DataFrame, near: float) -> DataFrame:
                         "prefix": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
                         # where a count needs more than 16 bits, there is none
                         "histogram": pa.array([_histogram(s) if len(s) < 1 << 16 else None for s in sets], pa.binary()),
+                        "fp": pa.array([fingerprint_of(shingle_hashes(t or "", 3)) for t in texts], pa.int64()),
                     }
                 )
                 row += len(texts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(rows.mapInArrow(signed, SIGNATURES), "signatures")
+    return written(rows.mapInArrow(given_back(signed), SIGNATURES), "signatures")
 
 
 MET = "a long, b long, key long"
@@ -557,7 +559,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     if nodes.count() <= MOST_BROADCAST:  # else a join that shuffles both sides
         nodes = F.broadcast(nodes)
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
-    found = texts.select("text").mapInArrow(sets, "class long, shingles binary")
+    found = texts.select("text").mapInArrow(given_back(sets), "class long, shingles binary")
     # rows that share an id may be of a class that nobody asked for, or repeat one
     found = found.join(wanted.select("class"), "class", "left_semi")
     return written(found.groupBy("class").agg(F.max("shingles").alias("shingles")), "shingles")
@@ -614,10 +616,33 @@ def _hot_links(p: int, q: int):
     return links
 
 
-def near_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, near: float) -> DataFrame:
-    """(a, b): links that connect what all pairs of classes that are similar by ``near`` or more connect.
+def _confirmed(pairs: DataFrame, found: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets, in ``found``, are similar."""
+    both = pairs.join(found.select(F.col("class").alias("a"), F.col("shingles").alias("of_a")), "a")
+    both = both.join(found.select(F.col("class").alias("b"), F.col("shingles").alias("of_b")), "b")
+    return both.where(_similar(p, q)).select("a", "b")
+
 
-    Sets that similar share one of their rarest shingles, and from the first shared one on both have enough left. Where a
+def fingerprint_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, near: float, tau: int = 2) -> DataFrame:
+    """(a, b): classes that fingerprints within ``tau`` bits bring together and whose sets are similar by ``near`` or more.
+
+    Distinct fingerprints are linked by the generalised pigeonhole principle; the classes of one meet its least class."""
+    prints = written(rows.select("class", "fp").distinct(), "prints")
+    heads = written(prints.groupBy("fp").agg(F.min("class").alias("head")), "heads")
+    of = lambda c: heads.select(F.col("fp").alias(f"fp_{c}"), F.col("head").alias(c))
+    linked = links(heads.select(F.col("fp").alias("node"), "fp"), tau).toDF("fp_a", "fp_b")
+    met = linked.join(of("a"), "fp_a").join(of("b"), "fp_b").select("a", "b")
+    met = met.unionByName(prints.join(heads, "fp").select(F.col("class").alias("a"), F.col("head").alias("b")))
+    pairs = checkpointed(met.where("a <> b").distinct())
+    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    found = _sets(docs, classes.select("class", "node").join(ends, "class", "left_semi"))
+    return checkpointed(_confirmed(pairs, found, *_ratio(near)))
+
+
+def near_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, near: float, known: DataFrame) -> DataFrame:
+    """(a, b): links that, with those ``known``, connect what all pairs of classes that are similar by ``near`` or more connect.
+
+    Pairs that known links connect already aren't looked at again. Sets that similar share one of their rarest shingles, and from the first shared one on both have enough left. Where a
     shingle has few classes, their pairs are looked at by size, place and histogram, then on the whole sets. Where it has
     many, its classes meet with their sets, in blocks of ``MOST_COMPARED`` at most, and only spanning links leave a task."""
     p, q = _ratio(near)
@@ -625,14 +650,18 @@ def near_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, near: float
     keyed = prefixes.select("class", "n", F.posexplode("prefix").alias("pos", "key"))
     keyed = keyed.select("key", "class", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"))
     keyed = keyed.repartition("key").sortWithinPartitions("key", "n")
-    met = written(keyed.mapInArrow(_met(p, q), MET), "met")
+    met = written(keyed.mapInArrow(given_back(_met(p, q)), MET), "met")
 
-    pairs = checkpointed(met.where("b is not null and a <> b").select("a", "b").distinct())
+    joined = connected_components(known, "a", "b")
+    of = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    pairs = met.where("b is not null and a <> b").select("a", "b").distinct()
+    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    pairs = checkpointed(pairs.where("of_a is null or of_b is null or of_a <> of_b").select("a", "b"))
     ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    known = classes.select("class", "row").join(ends, "class", "left_semi").select("class", "row")
-    known = written(known.join(rows.select("row", "histogram"), "row").select("class", "histogram"), "histograms")
-    both = pairs.join(known.select(F.col("class").alias("a"), F.col("histogram").alias("of_a")), "a")
-    both = both.join(known.select(F.col("class").alias("b"), F.col("histogram").alias("of_b")), "b")
+    held = classes.select("class", "row").join(ends, "class", "left_semi").select("class", "row")
+    held = written(held.join(rows.select("row", "histogram"), "row").select("class", "histogram"), "histograms")
+    both = pairs.join(held.select(F.col("class").alias("a"), F.col("histogram").alias("of_a")), "a")
+    both = both.join(held.select(F.col("class").alias("b"), F.col("histogram").alias("of_b")), "b")
     pairs = checkpointed(both.where(_may_be_similar(p, q)).select("a", "b"))
 
     hot = met.where("b is null").select("key", F.col("a").alias("class")).distinct()
@@ -646,9 +675,7 @@ def near_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, near: float
     ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
     ends = ends.unionByName(dealt.select("class")).distinct()
     found = _sets(docs, classes.select("class", "node").join(ends, "class", "left_semi"))
-    both = pairs.join(found.select(F.col("class").alias("a"), F.col("shingles").alias("of_a")), "a")
-    both = both.join(found.select(F.col("class").alias("b"), F.col("shingles").alias("of_b")), "b")
-    cold = both.where(_similar(p, q)).select("a", "b")
+    cold = _confirmed(pairs, found, p, q)
     met_whole = dealt.join(found, "class").groupBy("key", "one", "two")
     return written(cold.unionByName(met_whole.applyInArrow(_hot_links(p, q), "a long, b long")), "links")
 
@@ -657,11 +684,12 @@ def duplicates(docs: DataFrame, near: float = NEAR) -> DataFrame:
     """(doc_id): the documents whose group has a lesser doc_id.
 
     Groups are components over all pairs of texts whose sets of distinct five-word shingles have a Jaccard similarity of
-    ``near`` or more. Rows without an id are in no group."""
+    ``near`` or more: first those that fingerprints find, then all others. Rows without an id are in no group."""
     docs = docs.where("doc_id is not null")
     rows = signatures(docs, near)
     classes = written(rows.groupBy("class").agg(F.min("row").alias("row"), F.min("doc_id").alias("node")), "classes")
-    found = connected_components(near_links(docs, rows, classes, near), "a", "b")
+    known = fingerprint_links(docs, rows, classes, near)
+    found = connected_components(known.unionByName(near_links(docs, rows, classes, near, known)), "a", "b")
     members = classes.select("class", "node").join(found.withColumnRenamed("node", "member"), F.col("class") == F.col("member"), "left")
     members = members.select("class", "node", F.coalesce("component", "class").alias("component"))
     least = members.groupBy("component").agg(F.min("node").alias("kept"))

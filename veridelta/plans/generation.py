@@ -106,16 +106,17 @@ SPOILT = "(conv_id + turn) % 3 = 0"
 def piece_alignment(spark, sf_dir):
     """The pieces of every turn against its text without outer white space, by characters and by bytes; those of every third
     turn don't fit."""
-    spoilt = F.expr(SPOILT)
-    rows = _pieces(spark, sf_dir).withColumn("bare", text.stripped(F.col("text")))
+    spoilt, cores = F.expr(SPOILT), spark.sparkContext.defaultParallelism
+    rows = _pieces(spark, sf_dir)
+    # much work on little input: a few files would be a few tasks
+    rows = rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    rows = rows.withColumn("bare", text.stripped(F.col("text")))
     p = F.when(spoilt, F.slice("p", F.lit(1), F.greatest(F.size("p") - 1, F.lit(0)))).otherwise(F.col("p"))
     # each byte of a text as a token of its own: characters of several bytes are spread over tokens
-    raw = F.hex(F.encode("text", "UTF-8"))
-    places = F.when(F.length(raw) > 0, F.sequence(F.lit(1), F.length(raw), F.lit(2))).otherwise(F.array().cast("array<int>"))
-    byte = F.transform(places, lambda i: F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("int"))
-    values = F.transform(byte, lambda b: F.array(F.when(spoilt, b.bitwiseXOR(F.lit(1))).otherwise(b)))
+    byte = F.transform(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit(".."), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("int"))
+    rows = rows.withColumn("values", F.transform(byte, lambda b: F.array(F.when(spoilt, b.bitwiseXOR(F.lit(1))).otherwise(b))))
     rows = rows.withColumn("by_text", align.aligned_to_text(F.col("bare"), p))
-    rows = rows.withColumn("by_bytes", align.aligned_to_bytes(F.col("bare"), F.transform(places, lambda _: F.lit("x")), values))
+    rows = rows.withColumn("by_bytes", align.aligned_to_bytes(F.col("bare"), F.transform("values", lambda _: F.lit("x")), F.col("values")))
     joined = lambda c, by: F.md5(F.array_join(F.col(f"{c}.pieces"), by))
     return rows.select(
         "conv_id", "turn", F.col("by_text.exact").alias("exact"), joined("by_text", "|").alias("pieces_md5"),

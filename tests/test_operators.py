@@ -2,11 +2,13 @@
 
 import math
 import random
+import time
 from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -376,6 +378,60 @@ def test_dense_top_k_by_brute_force(spark, monkeypatch):
         assert [r.item for r in sorted((r for r in got if r.query == q), key=lambda r: r["rank"])] == want
 
 
+def plain_tile(asked, own, ids, had, k, near):
+    """Each query's k best by all scores, each sorted whole."""
+    found = []
+    for q, held in zip(range(len(asked)), had):
+        scores = np.round(own @ asked[q], 6)
+        for i, v in held:
+            scores[(ids == i) | (own @ np.array(v) >= near)] = -np.inf
+        order = np.lexsort((ids, -scores))[:k]
+        found += [(q, int(ids[i]), float(scores[i])) for i in order if scores[i] > -np.inf]
+    return found
+
+
+def tile_tables(asked, own, ids, had):
+    vectors, held = pa.list_(pa.float64()), pa.list_(pa.struct([("i", pa.int64()), ("v", pa.list_(pa.float64()))]))
+    some = [[{"i": int(i), "v": list(v)} for i, v in h] or None for h in had]
+    queries = {"query": pa.array(range(len(asked))), "q": pa.array(asked.tolist(), vectors), "had": pa.array(some, held)}
+    return pa.table(queries), pa.table({"item": pa.array(ids), "v": pa.array(own.tolist(), vectors)})
+
+
+def by_query(table):
+    return sorted(((r["query"], r["item"], r["score"]) for r in table.to_pylist()), key=lambda r: (r[0], -r[2], r[1]))
+
+
+@pytest.mark.parametrize("near", [-0.5, 0.6, 0.95, 2.0])
+def test_a_tile_passes_over_no_match(monkeypatch, near):
+    draw = np.random.default_rng(7)
+    for cell, n, k in ((3, 400, 5), (16, 300, 1), (64, 2, 4), (8, 250, 9)):
+        monkeypatch.setattr(retrieval, "CELL", cell)
+        monkeypatch.setattr(retrieval, "TOGETHER", 7)
+        # few distinct vectors with many copies and ties, some zero, one that isn't a number
+        whole = draw.integers(-1, 3, (n + 40, 3)).astype(float)
+        norms = np.linalg.norm(whole, axis=1, keepdims=True)
+        whole = whole / np.where(norms > 0, norms, 1)
+        asked, own, ids = whole[:40], whole[40:], draw.permutation(n) * 3
+        had = [[(ids[j], own[j]) for j in draw.integers(0, n, draw.integers(0, 4))] for _ in asked]
+        own[0] = own[0] if any(i == ids[0] for h in had for i, _ in h) else np.nan
+        assert by_query(retrieval._tile_top(k, near)(None, *tile_tables(asked, own, ids, had))) == plain_tile(asked, own, ids, had, k, near)
+
+
+def test_a_tile_sorts_and_multiplies_only_what_is_close():
+    draw = np.random.default_rng(8)
+    middles = draw.normal(size=(300, 12))
+    own = middles[draw.integers(0, 300, 60_000)] + 0.05 * draw.normal(size=(60_000, 12))
+    asked = middles[draw.integers(0, 300, 1000)] + 0.05 * draw.normal(size=(1000, 12))
+    own, asked = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (own, asked))
+    ids, had = np.arange(60_000), [[(0, own[0])]] * 1000
+    tables = tile_tables(asked, own, ids, had)
+    began = time.time()
+    want = plain_tile(asked, own, ids, had, 5, 0.985)
+    plain, began = time.time() - began, time.time()
+    got = retrieval._tile_top(5, 0.985)(None, *tables)
+    assert time.time() - began < plain / 3 and by_query(got) == want
+
+
 def test_claim_queries(spark):
     rows = spark.createDataFrame([(1, ["a b", "c"]), (2, []), (3, None)], "q long, c array<string>")
     assert [tuple(r) for r in retrieval.claim_queries(rows, "q", "c").collect()] == [(1, "a b c")]

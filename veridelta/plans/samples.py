@@ -10,6 +10,7 @@ from veridelta.plans.generation import LOGPROB, PIECES, TURNS, _pieces, _turns,
 from veridelta.plans.registry import query, table
 from veridelta.plans.scores import EVENTS, _events
 from veridelta.plans.texts import SPLIT, stripped
+from veridelta.session import written
 from veridelta.sources import records
 
 TEMPLATES = {kind: f"{kind} claims: {{text}}" for kind in ("text", "table", "image")}
@@ -234,8 +235,9 @@ def claim_search(spark, sf_dir):
     opened = _turns(spark, sf_dir).where("turn = 0")
     claims = opened.select("conv_id", text.sentence_claims(F.col("text")).alias("claims"))
     own = F.coalesce("text", F.lit(""))
-    counted = F.array(*((F.length(own) - F.length(F.replace(own, F.lit(c), F.lit("")))).cast("double") for c in LETTERS))
-    items = table(spark, sf_dir, "documents").select("doc_id", counted.alias("vector"))
+    counted = F.array(*((F.octet_length(own) - F.octet_length(F.replace(own, F.lit(c), F.lit("")))).cast("double") for c in LETTERS))
+    # counted once: the search goes over them several times
+    items = written(table(spark, sf_dir, "documents").select("doc_id", counted.alias("vector")), "letters")
     had = opened.select("conv_id", F.col("conv_id").alias("doc_id")).join(items, "doc_id")
     found = samples.claim_search(claims, items, had, "conv_id", "doc_id", "vector", _letter_counts, near=0.985)
     return found.select(F.col("query").alias("conv_id"), "rank", F.col("item").alias("doc_id"), "score")

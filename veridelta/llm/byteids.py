@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from veridelta.llm.common import kept
+
 #: White space as the library's pattern knows it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
@@ -139,14 +141,9 @@ class ByteIds:
         return out
 
 
-_HELD: dict[str, ByteIds] = {}
-
-
 def byte_ids(path: str) -> ByteIds:
     """This worker's encoder for the vocabulary file at ``path``."""
-    if path not in _HELD:
-        _HELD[path] = ByteIds(path)
-    return _HELD[path]
+    return kept(("byte ids", path), lambda: ByteIds(path))
 
 
 def vocabulary(name: str) -> str:

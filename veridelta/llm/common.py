@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+from collections.abc import Callable, Hashable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,10 @@ from pyspark.sql import functions as F
 
 from veridelta.session import checkpointed, shared_dir, written
 
-__all__ = ["checkpointed", "given_back", "read", "shared_dir", "slices", "whole_text", "written"]
+__all__ = ["checkpointed", "given_back", "kept", "read", "shared_dir", "slices", "small_batches", "whole_text", "written"]
+
+#: Bytes of rows that go to a worker at once, about; by default Spark sends up to 10,000 rows or 64 MB.
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,13 +40,46 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def given_back(f):
-    """``f`` of batches, after which its worker gives free memory back to the system.
+#: What this worker keeps between tasks: of one step at a time.
+_KEPT: dict[Hashable, object] = {}
+
+
+def kept(name: Hashable, make: Callable):
+    """What ``make`` gives, made once a worker and kept between tasks until another ``name`` is asked for.
+
+    Workers live on for the tasks of later steps; what several steps keep would add up in an executor."""
+    if name not in _KEPT:
+        let_go()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def let_go() -> None:
+    """Drops what this worker keeps for a step."""
+    if _KEPT:
+        _KEPT.clear()
+        _give_back()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to workers in batches of about ``BATCH_BYTES``, unless the session says otherwise.
+
+    A batch is held by the executor, outside its heap, and by the worker, with room to grow; rows may be whole texts or sets."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
+def given_back(f, keeps: bool = False):
+    """``f`` of batches, after which its worker gives free memory back to the system; before, what it keeps for other steps,
+    unless ``f`` itself ``keeps`` something.
 
     Workers live on for the tasks of later steps; what each step's batches once took would add up in an executor."""
 
     @functools.wraps(f)
     def of(batches):
+        if not keeps:
+            let_go()
         try:
             yield from f(batches)
         finally:

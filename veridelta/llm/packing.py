@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridelta.llm.byteids import byte_ids, vocabulary
-from veridelta.llm.common import given_back, read, slices, written
+from veridelta.llm.common import given_back, read, slices, small_batches, written
 
 END_ID = 1
 #: Examples of a pool, on average.
@@ -124,7 +124,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
     # written once: the pieces' numbers must stay as they are while they are counted and packed
     found = written(
         rows.mapInArrow(
-            given_back(_pieces(tokenizer, end_id, limits.tokens)),
+            given_back(_pieces(tokenizer, end_id, limits.tokens), keeps=True),
             "item long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long",
         ),
         "pieces",
@@ -148,4 +148,5 @@ def op9_packing(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences; the last stage of the pipeline."""
+    small_batches(spark)
     return pack_documents(docs, vocabulary("byte_bpe_50k.json"))

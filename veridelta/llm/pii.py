@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridelta.llm.common import read
+from veridelta.llm.common import kept, read, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -586,9 +586,8 @@ def added_spans(field: Field, texts: list[str], bases: list[list[tuple[str, int,
     return out
 
 
-@functools.lru_cache(maxsize=2)
 def _scores(field: Field) -> Scores:
-    return Scores(field)
+    return kept(("scores", field), lambda: Scores(field))
 
 
 @functools.lru_cache(maxsize=4)
@@ -669,6 +668,7 @@ def op3_pii(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with personal data masked and n_chars as the new text has it, columns as they were."""
+    small_batches(spark)
     out = docs.withColumn("text", redacted(train(), "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridelta.llm.common import checkpointed, given_back, read, slices, written
+from veridelta.llm.common import _give_back, checkpointed, given_back, read, slices, small_batches, written
 from veridelta.operators.components import connected_components
 
 SEED = 42
@@ -51,6 +51,10 @@ FILE_S, PAIR_S = 2e-6, 4e-9
 PARTITIONS = (2, 3, 4, 6, 8, 12)
 #: Classes of a rare shingle whose pairs are looked at one by one, and classes with whole sets in one task.
 MOST_PAIRED, MOST_COMPARED = 32, 1024
+#: Shingles, on average, of the classes with whole sets in one task; longer sets meet in more blocks.
+MOST_SHINGLES = 1 << 20
+#: Of those, the rows of their matrix of pairs that are looked at together.
+ROWS_AT_ONCE = 128
 #: Bins of a set's histogram.
 BIN_BITS = 8
 BINS = 1 << BIN_BITS
@@ -591,14 +595,14 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     out = np.zeros((len(sets), len(sets)), np.float32)
-    width = 4096
+    width = 1024
     for at in range(0, int(twice.sum()), width):
         low, high = np.searchsorted(column, [at, at + width])
         holds = np.zeros((len(sets), width), np.float32)
         holds[row[low:high], column[low:high] - at] = 1
         out += holds @ holds.T
     out[np.arange(len(sets)), np.arange(len(sets))] = sizes
-    return out.astype(np.int64)
+    return out.astype(np.int32)
 
 
 def _hot_links(p: int, q: int):
@@ -606,14 +610,25 @@ def _hot_links(p: int, q: int):
 
     def links(table: pa.Table) -> pa.Table:
         classes = table["class"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
         sizes = np.array([len(s) for s in sets])
-        similar = overlaps(sets) * (p + q) >= (sizes[:, None] + sizes) * p
-        label = _labels(len(sets), *np.nonzero(np.triu(similar, 1)))
-        other = np.nonzero(label != np.arange(len(sets)))[0]
+        shared, place = overlaps(sets), np.arange(len(sets))
+        other = label = np.zeros(0, np.int64)
+        for at in range(0, len(sets), ROWS_AT_ONCE):  # what is connected so far goes on as spanning links
+            own = slice(at, at + ROWS_AT_ONCE)
+            similar = shared[own].astype(np.int64) * (p + q) >= (sizes[own, None] + sizes) * p
+            i, j = np.nonzero(similar & (place > place[own, None]))
+            label = _labels(len(sets), np.concatenate([other, i + at]), np.concatenate([label[other], j]))
+            other = np.nonzero(label != place)[0]
         return pa.table({"a": pa.array(classes[other], pa.int64()), "b": pa.array(classes[label[other]], pa.int64())})
 
-    return links
+    def given(table: pa.Table) -> pa.Table:
+        try:
+            return links(table)
+        finally:
+            _give_back()
+
+    return given
 
 
 def _confirmed(pairs: DataFrame, found: DataFrame, p: int, q: int) -> DataFrame:
@@ -644,7 +659,8 @@ def near_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, near: float
 
     Pairs that known links connect already aren't looked at again. Sets that similar share one of their rarest shingles, and from the first shared one on both have enough left. Where a
     shingle has few classes, their pairs are looked at by size, place and histogram, then on the whole sets. Where it has
-    many, its classes meet with their sets, in blocks of ``MOST_COMPARED`` at most, and only spanning links leave a task."""
+    many, its classes meet with their sets, in blocks of about ``MOST_COMPARED`` sets and ``MOST_SHINGLES`` shingles at most,
+    and only spanning links leave a task."""
     p, q = _ratio(near)
     prefixes = rows.select("row", "class", "n", "prefix").join(classes.select("row"), "row")
     keyed = prefixes.select("class", "n", F.posexplode("prefix").alias("pos", "key"))
@@ -665,7 +681,10 @@ def near_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, near: float
     pairs = checkpointed(both.where(_may_be_similar(p, q)).select("a", "b"))
 
     hot = met.where("b is null").select("key", F.col("a").alias("class")).distinct()
-    sized = hot.groupBy("key").agg(F.ceil(F.count("*") * 2 / MOST_COMPARED).cast("int").alias("blocks"))
+    # pairs of blocks hold twice a block's sets
+    sized = hot.join(rows.select("row", "class", "n").join(classes.select("row"), "row").select("class", "n"), "class")
+    blocks = F.greatest(F.count("*") * 2 / MOST_COMPARED, F.sum(F.col("n").cast("long")) * 2 / MOST_SHINGLES)
+    sized = sized.groupBy("key").agg(F.ceil(blocks).cast("int").alias("blocks"))
     dealt = hot.join(sized, "key").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = checkpointed(
@@ -699,5 +718,6 @@ def duplicates(docs: DataFrame, near: float = NEAR) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies, the one of least id; columns as they were."""
+    small_batches(spark)
     gone = duplicates(docs).select(F.col("doc_id").alias("gone_id"))
     return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")

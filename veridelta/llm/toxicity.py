@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridelta.llm.common import read, slices, written
+from veridelta.llm.common import kept, read, slices, small_batches, written
 
 #: Labelled rows of each label that a model is fitted on at most, and weights it has at most.
 MOST_ROWS, MOST_WEIGHTS = 3000, 20_000
@@ -254,14 +254,12 @@ class _Active(dict):
         return found
 
 
-_ACTIVE: list[tuple[Ordinal, _Active]] = []
-
-
 def _active(model: Ordinal) -> _Active:
     """This worker's lookups for ``model``."""
-    if not _ACTIVE or (_ACTIVE[0][0] is not model and _ACTIVE[0][0] != model):
-        _ACTIVE[:] = [(model, _Active(model))]
-    return _ACTIVE[0][1]
+    held: list[tuple[Ordinal, _Active]] = kept("words' active features", list)
+    if not held or (held[0][0] is not model and held[0][0] != model):
+        held[:] = [(model, _Active(model))]
+    return held[0][1]
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -276,6 +274,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that aren't rejected, columns as they were.
 
     The model is fitted on the labelled rows of the whole ``documents`` table, which ``docs`` is at this stage."""
+    small_batches(spark)
     return stage_of(docs, train(docs, read(spark, sf_dir, "labels")))
 
 

@@ -1,6 +1,8 @@
 """What steps hold in a worker and in an executor."""
 
+import time
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,30 @@ def test_stages_hand_rows_to_workers_in_small_batches(spark, own_batches):
     assert spark.conf.get(BATCH) == "1m"
 
 
+def test_shuffle_files_go_with_their_query(spark, monkeypatch):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f for d in dirs for f in Path(d.getPath()).rglob("shuffle_*")}
+    before, made = files(), []
+    written = simhash.written
+
+    def counted(df, name):
+        out = written(df, name)
+        made.append(df)  # else Spark may collect it
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    docs = spark.createDataFrame([(k, f"a few words of text {k % 7} and more") for k in range(40)], "doc_id long, text string").repartition(3)
+    out = simhash.stage(spark, docs, "")
+    time.sleep(1)
+    assert made and not files() - before
+    assert out.count() == 7
+    spark.conf.set(name, False)  # what a session says itself stays
+    common.short_shuffles(spark)
+    assert spark.conf.get(name) == "false"
+    spark.conf.unset(name)
+
+
 def test_links_of_a_frequent_shingle_take_little_memory():
     # 1,000 sets in groups of ten with 95 of 100 in common, and one shingle in all
     draw = np.random.default_rng(5)

@@ -573,6 +573,37 @@ def test_near_duplicates_drop_no_pair_of_a_drifting_group(spark, monkeypatch):
     assert gone == {i for i, least in enumerate(similar_groups(texts)) if i != least}
 
 
+def test_near_copies_of_frequent_shingles_meet_by_pairs(spark, monkeypatch):
+    """Of a large group of near-copies whole sets travel for a few pairs of each, not for each of their shingles."""
+
+    def whole(p, q):
+        raise AssertionError("whole sets meet at a shingle")
+
+    monkeypatch.setattr(simhash, "MOST_PAIRED", 4)
+    monkeypatch.setattr(simhash, "_hot_links", whole)
+    draw = random.Random(4)
+    texts = []
+    for group in range(3):
+        words = [f"g{group}x{i}" for i in range(150)]
+        for _ in range(25):
+            own = list(words)
+            own[draw.randrange(len(own))] = f"x{draw.randrange(9000)}"
+            texts.append(" ".join(own))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    gone = {r.doc_id for r in simhash.duplicates(rows).collect()}
+    assert gone == {i for i, least in enumerate(similar_groups(texts)) if i != least} and len(gone) == 72
+
+
+@pytest.mark.parametrize("rounds, few", [(1, 0), (2, 1)])
+def test_near_duplicates_left_by_the_rounds_meet_whole(spark, monkeypatch, rounds, few):
+    for name, value in (("MOST_PAIRED", 4), ("MOST_COMPARED", 32), ("ROUNDS", rounds), ("PROPOSED", 1), ("FEW", 0), ("FEW_LAST", few)):
+        monkeypatch.setattr(simhash, name, value)
+    texts = altered(seed=5, each=6)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    gone = {r.doc_id for r in simhash.duplicates(rows).collect()}
+    assert gone == {i for i, least in enumerate(similar_groups(texts)) if i != least}
+
+
 def test_overlaps_are_the_shared_elements():
     draw = np.random.default_rng(3)
     sets = [np.unique(draw.integers(0, 9000, n)).astype(np.uint64) for n in (0, 1, 50, 4000, 6000, 6000)]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veridelta.session import checkpointed, shared_dir, written
 
-__all__ = ["checkpointed", "given_back", "kept", "read", "shared_dir", "slices", "small_batches", "whole_text", "written"]
+__all__ = ["checkpointed", "given_back", "kept", "read", "shared_dir", "short_shuffles", "slices", "small_batches", "whole_text", "written"]
 
 #: Bytes of rows that go to a worker at once, about; by default Spark sends up to 10,000 rows or 64 MB.
 BATCH_BYTES = 4 << 20
@@ -70,6 +70,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
+def short_shuffles(spark: SparkSession) -> None:
+    """A query's shuffle files go when it ends, unless the session says otherwise.
+
+    By default they stay until the driver happens to collect its garbage; a stage of many queries would leave several times its
+    input on the executors' disks, the more the larger the driver's memory."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, True)
+
+
 def given_back(f, keeps: bool = False):
     """``f`` of batches, after which its worker gives free memory back to the system; before, what it keeps for other steps,
     unless ``f`` itself ``keeps`` something.

@@ -17,8 +17,10 @@ The pipeline's stage links copies by fingerprints within two bits, each link che
 shingles. Near-copies that end early or have text added differ in more bits than can be probed for, so an exact way for the
 rest follows: a prefix filter over the pairs that aren't connected yet, as a similar pair shares one of its rarest shingles.
 The few pairs that meet at a shingle are first held against their histograms (an upper bound of what two sets share), then
-compared on the whole sets; a shingle that many texts hold brings their sets together in blocks, and spanning links leave
-each block. No pair at the threshold is lost.
+compared on the whole sets. Where many texts hold a shingle, their sizes, places and histograms meet in blocks, in rounds: each
+text that may be similar to one of another component proposes a few such pairs, which are compared on the whole sets and
+connect components for the next round. Whole sets meet in blocks only where very many pairs are left after the last round, and
+spanning links leave each block. No pair at the threshold is lost.
 
 Null and empty texts have fingerprint zero, linked like any other. Rows with null ids are fingerprinted and link, but name
 no component unless no row of it has an id. Repeated rows share a fingerprint and a component. Texts of any length are read
@@ -39,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridelta.llm.common import _give_back, checkpointed, given_back, read, slices, small_batches, written
+from veridelta.llm.common import _give_back, checkpointed, given_back, read, short_shuffles, slices, small_batches, written
 from veridelta.operators.components import connected_components
 
 SEED = 42
@@ -55,6 +57,9 @@ MOST_PAIRED, MOST_COMPARED = 32, 1024
 MOST_SHINGLES = 1 << 20
 #: Of those, the rows of their matrix of pairs that are looked at together.
 ROWS_AT_ONCE = 128
+#: Rounds in which the classes of a frequent shingle propose pairs, and how many each proposes. A task with at most so many
+#: pairs for each of its classes hands them all out, and after the last round with at most so many.
+ROUNDS, PROPOSED, FEW, FEW_LAST = 4, 4, 4, 16
 #: Bins of a set's histogram.
 BIN_BITS = 8
 BINS = 1 << BIN_BITS
@@ -455,12 +460,12 @@ def signatures(docs: DataFrame, near: float) -> DataFrame:
     return written(rows.mapInArrow(given_back(signed), SIGNATURES), "signatures")
 
 
-MET = "a long, b long, key long"
+MET = "a long, b long, key long, n long, pos long"
 
 
 def _met(p: int, q: int):
     """Rows sorted by key and n to the pairs of classes that may be similar; the rows of a key with over ``MOST_PAIRED``
-    classes go through, with no b."""
+    classes go through, with no b but their sizes and places."""
 
     def pairs(table: pa.Table, starts: np.ndarray):
         classes, n, pos = (table[c].to_numpy() for c in ("class", "n", "pos"))
@@ -481,12 +486,13 @@ def _met(p: int, q: int):
         for at in range(0, len(found), 100_000):
             a, b = found[at : at + 100_000].T
             none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_pydict({"a": np.ascontiguousarray(a), "b": np.ascontiguousarray(b), "key": none})
+            own = {"a": np.ascontiguousarray(a), "b": np.ascontiguousarray(b)}
+            yield pa.RecordBatch.from_pydict(own | {"key": none, "n": none, "pos": none})
 
     def through(table: pa.Table):
         for batch in table.combine_chunks().to_batches():
             none = pa.nulls(len(batch), pa.int64())
-            yield pa.RecordBatch.from_pydict({"a": batch.column("class"), "b": none, "key": batch.column("key")})
+            yield pa.RecordBatch.from_pydict({"a": batch.column("class"), "b": none} | {c: batch.column(c) for c in ("key", "n", "pos")})
 
     def groups(table: pa.Table):
         keys = table["key"].to_numpy()
@@ -631,6 +637,79 @@ def _hot_links(p: int, q: int):
     return given
 
 
+PROPOSALS = "a long, b long, key long, one int, two int"
+
+
+def _proposals(p: int, q: int, salts: list[int], last: bool):
+    """The members of one key, or of a pair of its blocks, to pairs (a, b) of classes that may be similar and that no links
+    connect yet: all, if they are few; else some for each class, and a row (key, one, two) that says that there are more, or
+    in the ``last`` round the members (a, key, one, two) whose whole sets must meet."""
+
+    def may_be_similar(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        sizes, places, component = (table[c].to_numpy() for c in ("n", "pos", "component"))
+        known = np.array([x.is_valid for x in table["histogram"]], bool)
+        bins = np.zeros((len(sizes), BINS), np.int32)
+        held = table["histogram"].drop_null().to_pylist()
+        bins[known] = np.frombuffer(b"".join(held), "<u2").reshape(-1, BINS)
+        # sets share nothing before a shingle that is the first one they share
+        left, at_all = sizes - places, np.arange(len(sizes))
+        found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(sizes), ROWS_AT_ONCE):
+            own = slice(at, at + ROWS_AT_ONCE)
+            enough = np.minimum(left[own, None], left) * (p + q) >= (sizes[own, None] + sizes) * p
+            i, j = np.nonzero(enough & (component[own, None] != component) & (at_all > at_all[own, None]))
+            i += at
+            for some in range(0, len(i), 2048):
+                x, y = i[some : some + 2048], j[some : some + 2048]
+                most = np.minimum(bins[x], bins[y]).sum(1, dtype=np.int64)
+                keep = (most * (p + q) >= (sizes[x] + sizes[y]) * p) | ~known[x] | ~known[y]
+                found_i.append(x[keep])
+                found_j.append(y[keep])
+        return np.concatenate(found_i), np.concatenate(found_j)
+
+    def proposed(table: pa.Table) -> pa.Table:
+        classes = table["class"].to_numpy()
+        i, j = may_be_similar(table)
+        members = np.unique(np.concatenate([i, j]))
+        few = len(i) <= len(members) * (FEW_LAST if last else FEW)
+        if few:
+            pairs = np.column_stack([classes[i], classes[j]])
+        elif last:
+            pairs = np.zeros((0, 2), np.int64)
+        else:
+            # each takes the first of its pairs' others, in an order of all classes for each salt: so keys with the same classes
+            # propose the same pairs
+            one, other, pairs = np.concatenate([i, j]), np.concatenate([j, i]), []
+            for salt in salts:
+                order = np.argsort((classes.view(np.uint64) ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15))
+                rank, first = np.empty(len(order), np.int64), np.full(len(order), len(order))
+                rank[order] = np.arange(len(order))
+                np.minimum.at(first, one, rank[other])
+                pairs.append(np.column_stack([classes[members], classes[order[first[members]]]]))
+            pairs = np.concatenate(pairs)
+        a, b = np.unique(np.sort(pairs, axis=1), axis=0).T
+        out = [{"a": np.ascontiguousarray(a), "b": np.ascontiguousarray(b), **dict.fromkeys(("key", "one", "two"), pa.nulls(len(a), pa.int64()))}]
+        if not few:
+            more = classes[members] if last else pa.nulls(1, pa.int64())
+            same = {c: pa.array([table[c][0].as_py()] * len(more), pa.int64()) for c in ("key", "one", "two")}
+            out.append({"a": more, "b": pa.nulls(len(more), pa.int64()), **same})
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("one", pa.int32()), ("two", pa.int32())])
+        return pa.concat_tables([pa.table({k: pa.array(v, pa.int64()) for k, v in x.items()}).cast(schema) for x in out])
+
+    def given(table: pa.Table) -> pa.Table:
+        try:
+            return proposed(table)
+        finally:
+            _give_back()
+
+    return given
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(class): the classes of pairs (a, b)."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+
+
 def _confirmed(pairs: DataFrame, found: DataFrame, p: int, q: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets, in ``found``, are similar."""
     both = pairs.join(found.select(F.col("class").alias("a"), F.col("shingles").alias("of_a")), "a")
@@ -649,18 +728,18 @@ def fingerprint_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, near
     met = linked.join(of("a"), "fp_a").join(of("b"), "fp_b").select("a", "b")
     met = met.unionByName(prints.join(heads, "fp").select(F.col("class").alias("a"), F.col("head").alias("b")))
     pairs = checkpointed(met.where("a <> b").distinct())
-    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    found = _sets(docs, classes.select("class", "node").join(ends, "class", "left_semi"))
+    found = _sets(docs, classes.select("class", "node").join(_ends(pairs), "class", "left_semi"))
     return checkpointed(_confirmed(pairs, found, *_ratio(near)))
 
 
 def near_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, near: float, known: DataFrame) -> DataFrame:
     """(a, b): links that, with those ``known``, connect what all pairs of classes that are similar by ``near`` or more connect.
 
-    Pairs that known links connect already aren't looked at again. Sets that similar share one of their rarest shingles, and from the first shared one on both have enough left. Where a
-    shingle has few classes, their pairs are looked at by size, place and histogram, then on the whole sets. Where it has
-    many, its classes meet with their sets, in blocks of about ``MOST_COMPARED`` sets and ``MOST_SHINGLES`` shingles at most,
-    and only spanning links leave a task."""
+    Pairs that known links connect already aren't looked at again. Sets that similar share one of their rarest shingles, and
+    from the first shared one on both have enough left. Where a shingle has few classes, their pairs are looked at by size, place
+    and histogram, then on the whole sets. Where it has many, the same is looked at in blocks of about ``MOST_COMPARED`` sets and
+    ``MOST_SHINGLES`` shingles at most, in rounds, so that a class's whole set travels for its few proposed pairs and not for each
+    of its shingles. What is left after the last round meets with whole sets, in the same blocks."""
     p, q = _ratio(near)
     prefixes = rows.select("row", "class", "n", "prefix").join(classes.select("row"), "row")
     keyed = prefixes.select("class", "n", F.posexplode("prefix").alias("pos", "key"))
@@ -673,30 +752,47 @@ def near_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, near: float
     pairs = met.where("b is not null and a <> b").select("a", "b").distinct()
     pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     pairs = checkpointed(pairs.where("of_a is null or of_b is null or of_a <> of_b").select("a", "b"))
-    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    held = classes.select("class", "row").join(ends, "class", "left_semi").select("class", "row")
+    hot = met.where("b is null").select("key", F.col("a").alias("class"), "n", "pos")
+    held = classes.select("class", "row").join(_ends(pairs).unionByName(hot.select("class")), "class", "left_semi")
     held = written(held.join(rows.select("row", "histogram"), "row").select("class", "histogram"), "histograms")
     both = pairs.join(held.select(F.col("class").alias("a"), F.col("histogram").alias("of_a")), "a")
     both = both.join(held.select(F.col("class").alias("b"), F.col("histogram").alias("of_b")), "b")
     pairs = checkpointed(both.where(_may_be_similar(p, q)).select("a", "b"))
 
-    hot = met.where("b is null").select("key", F.col("a").alias("class")).distinct()
     # pairs of blocks hold twice a block's sets
-    sized = hot.join(rows.select("row", "class", "n").join(classes.select("row"), "row").select("class", "n"), "class")
-    blocks = F.greatest(F.count("*") * 2 / MOST_COMPARED, F.sum(F.col("n").cast("long")) * 2 / MOST_SHINGLES)
-    sized = sized.groupBy("key").agg(F.ceil(blocks).cast("int").alias("blocks"))
+    blocks = F.greatest(F.count("*") * 2 / MOST_COMPARED, F.sum("n") * 2 / MOST_SHINGLES)
+    sized = hot.groupBy("key").agg(F.ceil(blocks).cast("int").alias("blocks"))
     dealt = hot.join(sized, "key").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = checkpointed(
-        dealt.select("key", "class", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
-    )
-
-    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class")))
-    ends = ends.unionByName(dealt.select("class")).distinct()
-    found = _sets(docs, classes.select("class", "node").join(ends, "class", "left_semi"))
-    cold = _confirmed(pairs, found, p, q)
-    met_whole = dealt.join(found, "class").groupBy("key", "one", "two")
-    return written(cold.unionByName(met_whole.applyInArrow(_hot_links(p, q), "a long, b long")), "links")
+    meet = ["key", "one", "two"]
+    dealt = dealt.select("key", "class", "n", "pos", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+    dealt = checkpointed(dealt)
+
+    def proposed(k: int) -> DataFrame:
+        salts = [xxhash.xxh64_intdigest(str(i), SEED) for i in range(k * PROPOSED, (k + 1) * PROPOSED)]
+        own = dealt.join(held, "class").join(joined.withColumnRenamed("node", "class"), "class", "left")
+        own = own.withColumn("component", F.coalesce("component", "class"))
+        return checkpointed(own.groupBy(*meet).applyInArrow(_proposals(p, q, salts, k == ROUNDS - 1), PROPOSALS).distinct())
+
+    tried = proposed(0)
+    # what later rounds propose are classes of the first one, as components only grow
+    first = tried.where("b is not null").select("a", "b").unionByName(tried.where("a is not null and b is null").select("a", F.col("a").alias("b")))
+    found = _sets(docs, classes.select("class", "node").join(_ends(pairs.unionByName(first)), "class", "left_semi"))
+    links = _confirmed(pairs.unionByName(tried.where("b is not null").select("a", "b")).distinct(), found, p, q)
+    for k in range(1, ROUNDS):
+        more = tried.where("a is null").select(*meet)
+        if more.isEmpty():
+            break
+        links = checkpointed(links)
+        dealt = checkpointed(dealt.join(more, meet, "left_semi"))
+        joined = connected_components(known.unionByName(links), "a", "b")
+        tried = proposed(k)
+        links = links.unionByName(_confirmed(tried.where("b is not null").select("a", "b"), found, p, q))
+    whole = tried.where("a is not null and b is null").select(*meet, F.col("a").alias("class"))
+    if not whole.isEmpty():
+        met_whole = whole.join(found, "class").groupBy(*meet)
+        links = links.unionByName(met_whole.applyInArrow(_hot_links(p, q), "a long, b long"))
+    return written(links, "links")
 
 
 def duplicates(docs: DataFrame, near: float = NEAR) -> DataFrame:
@@ -719,5 +815,8 @@ def duplicates(docs: DataFrame, near: float = NEAR) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies, the one of least id; columns as they were."""
     small_batches(spark)
-    gone = duplicates(docs).select(F.col("doc_id").alias("gone_id"))
+    short_shuffles(spark)
+    gone = written(duplicates(docs).select(F.col("doc_id").alias("gone_id")), "gone")
+    if gone.count() <= MOST_BROADCAST:  # else a join that shuffles the texts
+        gone = F.broadcast(gone)
     return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")

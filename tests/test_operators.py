@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from veridelta.operators import cluster, control, retrieval, stats, uncertainty
 from veridelta import settings
 from veridelta.operators import reports
+from veridelta.plans import flows
 from veridelta.sources import records
 
 
@@ -242,6 +243,41 @@ def test_greedy_classes_at_halves(spark, tmp_path):
     assert got == set(db.sql(plans.ORACLES["greedy_classes"]).fetchall())
 
 
+def test_greedy_classes_sum_in_the_order_of_rows(spark, tmp_path):
+    """A mean on a half depends on the order of its sum: rows of a user lie far apart and in files of their own."""
+    import duckdb
+
+    from veridelta.plans import load
+
+    plans, folder, draw = load(), tmp_path / "sf", random.Random(9)
+    (folder / "events.parquet").mkdir(parents=True)
+    # means that are exactly halves of a hundredth, by sums of four, eight and sixteen values
+    rows = []
+    for u in range(400):
+        for e in "abc":
+            n = draw.choice((4, 8, 16))
+            cents = [draw.randrange(1, 900) for _ in range(n - 1)]
+            cents.append((n // 2 - sum(cents)) % n + n * draw.randrange(40))
+            rows += [(u, e, c / 100) for c in cents]
+    rows += [(500, "a", None), (500, "b", 1.0), (501, "a", float("nan")), (501, "b", 2.0), (None, "a", 0.005), (None, "b", 1.0)]
+    draw.shuffle(rows)
+    frame = pd.DataFrame(rows, columns=["user_id", "event_type", "value"]).astype({"user_id": "Int64"})
+    for k in range(3):
+        frame[k * 4000 : (k + 1) * 4000 if k < 2 else None].to_parquet(folder / f"events.parquet/part-{k}.parquet", row_group_size=500)
+    db = duckdb.connect()
+    db.sql("SET threads = 1")
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    got = {(r.user_id, r.classes) for r in plans.QUERIES["greedy_classes"](spark, str(folder)).collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == set(db.sql(plans.ORACLES["greedy_classes"]).fetchall())
+    means = flows._rounded_means(spark.read.parquet(f"{folder}/events.parquet"), ["user_id", "event_type"], "value")
+    got = {(r.user_id, r.event_type): r.v for r in means.collect()}
+    want = {(u, e): v for u, e, v in db.sql("SELECT user_id, event_type, round(avg(value), 2) FROM events GROUP BY ALL").fetchall()}
+    assert {k: str(v) for k, v in got.items()} == {k: str(v) for k, v in want.items()}
+
+
 def test_equivalence_rules(spark):
     e, n, c = (F.lit(x) for x in ("entailment", "neutral", "contradiction"))
     row = spark.range(1).select(

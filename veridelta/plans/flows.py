@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veridelta.operators import cluster
 from veridelta.plans.registry import query, table
-from veridelta.session import shared_dir
+from veridelta.session import checkpointed, shared_dir
 from veridelta.sources import records
 from veridelta.streaming.append import append_once
 
@@ -29,6 +29,33 @@ def concepts(spark, sf_dir):
     return found.select("conv_id", "turn", "concept", F.round("probability", 6).alias("probability"))
 
 
+def _rounded_means(rows, by, value):
+    """The mean of each group to two digits as ``v``, as SQL has it: a sum of doubles in the order of the rows, and the binary
+    product rounded, where Spark's round to two digits takes the number as it is shown (1.005 to 1.01).
+
+    The order of a sum matters only where its error can reach a half. Those groups are read again and summed in the order of
+    their rows, by a running sum that holds one row at a time; all others are summed before the shuffle."""
+    x = F.avg(value) * 100
+    # what two orders of a sum can differ by, and the rounding of quotient and product
+    error = (F.count(value) + 4) * 2.0**-52 * 100 * F.avg(F.abs(value))
+    means = rows.groupBy(*by).agg(x.alias("x"), (0.5 - F.abs(x - F.rint(x)) <= error).alias("unsure"))
+    means = checkpointed(means)
+    sure = means.where("unsure is null or not unsure").select(*by, (F.round("x") / 100).alias("v"))
+    key = [F.col(c).alias(f"of_{c}") for c in by]
+    same = lambda a: [F.col(c).eqNullSafe(a[f"of_{c}"]) for c in by]
+    unsure = means.where("unsure").select(*key)
+    own = rows.select(*by, value, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    own = own.where(F.col(value).isNotNull()).join(unsure, same(unsure), "left_semi")
+    window = Window.partitionBy(*by).orderBy("file", "at")
+    own = own.select(
+        *by,
+        F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, 0)).alias("total"),
+        F.row_number().over(window).alias("n"),
+    )
+    last = own.groupBy(*by).agg(F.max_by("total", "n").alias("total"), F.max("n").alias("n"))
+    return checkpointed(sure.unionByName(last.select(*by, (F.round(F.col("total") / F.col("n") * 100) / 100).alias("v"))))
+
+
 @query(
     "greedy_classes",
     """WITH v AS (SELECT user_id, event_type, round(avg(value), 2) AS v FROM events GROUP BY ALL),
@@ -42,13 +69,14 @@ def concepts(spark, sf_dir):
 )
 def greedy_classes(spark, sf_dir):
     """Order-dependent classes of every user's kinds of event by their mean value."""
-    # as SQL rounds: the binary product, where Spark's round to two digits takes the number as it is shown (1.005 to 1.01)
-    mean = F.round(F.avg("value") * 100) / 100
-    own = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(mean.alias("v"))
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_type")) - 1
+    own = _rounded_means(table(spark, sf_dir, "events"), ["user_id", "event_type"], "value")
+    # events without a user are a group of their own in SQL
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("event_type").asc_nulls_last())) - 1
     own = own.select("user_id", place.alias("i"), "v")
-    n = own.groupBy("user_id").agg(F.count("*").alias("n"))
-    pairs = own.join(own.select("user_id", F.col("i").alias("j"), F.col("v").alias("w")), "user_id").where("i <> j").join(n, "user_id")
+    n = own.groupBy(F.col("user_id").alias("n_id")).agg(F.count("*").alias("n"))
+    others = own.select(F.col("user_id").alias("other_id"), F.col("i").alias("j"), F.col("v").alias("w"))
+    pairs = own.join(others, F.col("user_id").eqNullSafe(F.col("other_id"))).where("i <> j")
+    pairs = pairs.join(n, F.col("user_id").eqNullSafe(F.col("n_id")))
     pairs = pairs.select("user_id", "n", "i", "j", (F.abs(F.col("v") - F.col("w")) < 2).alias("equal"))
     found = cluster.greedy_classes(pairs, "user_id", "n")
     return found.select("user_id", F.array_join(F.transform("classes", lambda x: x.cast("string")), ",").alias("classes"))

@@ -573,6 +573,19 @@ def test_near_duplicates_drop_no_pair_of_a_drifting_group(spark, monkeypatch):
     assert gone == {i for i, least in enumerate(similar_groups(texts)) if i != least}
 
 
+@pytest.mark.parametrize("order", ["none", "random", "reversed"])
+def test_near_duplicates_need_no_sample(spark, monkeypatch, order):
+    """What ``common_shingles`` counts only puts shingles in an order: any other order finds the same groups."""
+    texts = altered(seed=6, each=6)
+    names, n = np.unique(np.concatenate([simhash._shingles(t) for t in texts]), return_counts=True)
+    draw = np.random.default_rng(2)
+    counts = {"none": n[:0], "random": draw.integers(1, 99, len(n)), "reversed": n.max() + 1 - n}[order]
+    monkeypatch.setattr(simhash, "common_shingles", lambda docs: (names[: len(counts)], counts))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    gone = {r.doc_id for r in simhash.duplicates(rows).collect()}
+    assert gone == {i for i, least in enumerate(similar_groups(texts)) if i != least}
+
+
 def test_near_copies_of_frequent_shingles_meet_by_pairs(spark, monkeypatch):
     """Of a large group of near-copies whole sets travel for a few pairs of each, not for each of their shingles."""
 
